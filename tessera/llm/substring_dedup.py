@@ -102,7 +102,7 @@ ALONE, SHARED, FOUND = range(3)
 
 
 def _candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, at): each document's anchors whose gram occurs in two documents or more."""
+    """(doc, at): each document's anchors whose gram occurs in two documents or more."""
     spark = docs.sparkSession
     n_parts = partition_count(spark)
     ids = partition_ids(spark, n_parts)
@@ -200,14 +200,14 @@ def _candidates(docs: DataFrame) -> DataFrame:
             starts = np.nonzero(np.r_[True, doc[1:] != doc[:-1]])[0]
             at = [np.unique(x).tobytes() for x in np.split(pos, starts[1:])]
             for a in range(0, len(starts), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(doc[starts[a : a + 20_000]]), pa.array(at[a : a + 20_000], pa.binary())], names=["doc_id", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[starts[a : a + 20_000]]), pa.array(at[a : a + 20_000], pa.binary())], names=["doc", "at"])
 
     first = exchange(docs.mapInArrow(emit, SCATTERED), n_parts).mapInArrow(match, SCATTERED)
-    return exchange(first, n_parts).mapInArrow(by_document, "doc_id long, at binary")
+    return exchange(first, n_parts).mapInArrow(by_document, "doc long, at binary")
 
 
 def _spans(rows: DataFrame) -> DataFrame:
-    """(doc_id, spans): merged ranges to remove, from rows (doc_id, text, at)."""
+    """(doc, spans): merged ranges to remove, from rows (doc, text, at)."""
     spark = rows.sparkSession
     n_parts = partition_count(spark)
     ids = partition_ids(spark, n_parts)
@@ -295,10 +295,10 @@ def _spans(rows: DataFrame) -> DataFrame:
             both = np.stack([a, b], axis=1)
             out = [x.tobytes() for x in np.split(both, starts[1:])]
             for i in range(0, len(starts), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(doc[starts[i : i + 20_000]]), pa.array(out[i : i + 20_000], pa.binary())], names=["doc_id", "spans"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[starts[i : i + 20_000]]), pa.array(out[i : i + 20_000], pa.binary())], names=["doc", "spans"])
 
     sent = exchange(rows.mapInArrow(emit, SCATTERED), n_parts).mapInArrow(reduce, SCATTERED)
-    return exchange(sent, n_parts).mapInArrow(by_document, "doc_id long, spans binary")
+    return exchange(sent, n_parts).mapInArrow(by_document, "doc long, spans binary")
 
 
 RUN, SPANS = 0, 1
@@ -391,15 +391,16 @@ def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for every row."""
     spark = docs.sparkSession
     n_parts = partition_count(spark)
-    named = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    digests = named.select("doc_id", F.sha2("text", 256).alias("digest"))
-    least = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).filter("c > 1")
-    copies = digests.join(least, "digest").filter("first < doc_id").select("doc_id", F.lit(True).alias("copy")).distinct()
-    dealt = named.repartition(n_parts, "doc_id")
-    wanted = _candidates(named).join(copies, "doc_id", "left_anti")
-    spans = _spans(dealt.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "at"))
-    rows = dealt.join(spans.hint("shuffle_hash"), "doc_id", "left").join(copies.hint("shuffle_hash"), "doc_id", "left")
-    rows = rows.select("doc_id", "text", "spans", F.coalesce("copy", F.lit(False)).alias("copy"))
+    # another name, so that both reads of the dealt texts have one plan and Spark shuffles them once
+    named = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    digests = named.select("doc", F.sha2("text", 256).alias("digest"))
+    least = digests.groupBy("digest").agg(F.min("doc").alias("first"), F.count("*").alias("c")).filter("c > 1")
+    copies = digests.join(least, "digest").filter("first < doc").select("doc", F.lit(True).alias("copy")).distinct()
+    dealt = named.repartition(n_parts, "doc")
+    wanted = _candidates(named).join(copies, "doc", "left_anti")
+    spans = _spans(dealt.join(wanted.hint("shuffle_hash"), "doc").select("doc", "text", "at"))
+    rows = dealt.join(spans.hint("shuffle_hash"), "doc", "left").join(copies.hint("shuffle_hash"), "doc", "left")
+    rows = rows.select(F.col("doc").alias("doc_id"), "text", "spans", F.coalesce("copy", F.lit(False)).alias("copy"))
     unnamed = docs.filter("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("binary").alias("spans"), F.lit(False).alias("copy"))
     return rows.unionByName(unnamed).mapInArrow(_describe, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
