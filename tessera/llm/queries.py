@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat_format, decontaminate, html_extract, ngram_join, pii, quality_rules, sharding, substring_dedup, toxicity
+from tessera.llm import chat_format, decontaminate, html_extract, ngram_join, pii, quality_rules, sharding, spm_sample, substring_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(_table(spark, sf_dir, "documents"))
 
 
+def op6_spm_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm_sample.segmentations(_table(spark, sf_dir, "documents"), full=False)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.apply_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
@@ -60,6 +64,7 @@ QUERIES: dict[str, Query] = {
     "op3_pii": op3_pii,
     "op4_ngram_join": op4_ngram_join,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_spm_sample": op6_spm_sample,
     "op7_quality_rules": op7_quality_rules,
     "op8_chat_format": op8_chat_format,
     "op9_decontamination": op9_decontamination,
