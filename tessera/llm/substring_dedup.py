@@ -76,6 +76,15 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
+def _squeeze(blob: bytes) -> bytes:
+    """zstd, after the length: context bytes are text, which the shuffle's own codec hardly shortens."""
+    return len(blob).to_bytes(8, "little") + pa.compress(blob, codec="zstd", asbytes=True)
+
+
+def _expand(blob: bytes) -> bytes:
+    return pa.decompress(memoryview(blob)[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+
+
 def _planes(x: np.ndarray) -> np.ndarray:
     """Bytes by significance, which compress; undone by _whole."""
     return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T)
@@ -139,7 +148,7 @@ def _candidates(docs: DataFrame) -> DataFrame:
                 s = picked[cuts[p] : cuts[p + 1]]
                 if len(s):
                     own, ix = np.unique(row[s], return_inverse=True)
-                    blobs.append(_pack_planes([key[s], ix.astype(np.uint32), pos[s]]) + doc[own].tobytes())
+                    blobs.append(_squeeze(_pack_planes([key[s], ix.astype(np.uint32), pos[s]]) + doc[own].tobytes()))
                     pids.append(ids[p])
                     tags.append(tag)
         yield _rows(pids, tags, blobs)
@@ -168,6 +177,7 @@ def _candidates(docs: DataFrame) -> DataFrame:
         yield from flush(doc_ids, at, keys)
 
     def read(blob: bytes) -> list[np.ndarray]:
+        blob = _expand(blob)
         key, ix, pos = _unpack_planes(blob, ["<u8", "<u4", "<u4"])
         return [key, np.frombuffer(blob, "<i8", -1, 8 + 16 * len(key))[ix], pos]
 
@@ -260,7 +270,7 @@ def _spans(rows: DataFrame) -> DataFrame:
                 lefts = np.ascontiguousarray(whole[s, LENGTH + 1 : -1])
                 parts = [common.tobytes(), lengths.tobytes(), np.ascontiguousarray(whole[s, -1]).tobytes(), docs[s].tobytes(), pos[s].astype("<u4").tobytes(), lefts.tobytes(), rest]
                 pids.append(ids[p])
-                blobs.append(len(s).to_bytes(8, "little") + b"".join(parts))
+                blobs.append(_squeeze(len(s).to_bytes(8, "little") + b"".join(parts)))
         yield _rows(pids, [RUN] * len(pids), blobs)
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,7 +341,7 @@ def union(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np
 def merge_runs(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Merge front-coded runs; ranges (doc_id, start, end) that occur in a smaller document."""
     commons, strings, cols = [], [], []
-    for blob in blobs:
+    for blob in map(_expand, blobs):
         n, at, out = int.from_bytes(blob[:8], "little"), 8, []
         for kind, width in (("u1", 1), ("u1", 1), ("u1", 1), ("<i8", 1), ("<u4", 1), ("u1", LEFT)):
             out.append(np.frombuffer(blob, kind, n * width, at))
