@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from tessera.operators.pixelwise import XY
 
 
+#: Rows of pixels that one group of the Euclidean transform holds.
+BAND = 64
+
+
 def envelope(f: np.ndarray) -> np.ndarray:
     """min over q of (p - q)^2 + f(q) for every p, by the lower envelope of parabolas."""
     n = len(f)
@@ -47,7 +51,7 @@ def distance_transform(df: DataFrame, keys: list[str], feature: Column, metric:
     """Squared Euclidean or Manhattan distance of every place to the nearest feature, column d; null where an image has none.
 
     Columns by running windows in the JVM, rows by running windows (Manhattan) or one
-    lower envelope per image row (Euclidean): a group is one row of pixels.
+    lower envelope per image row (Euclidean): a group is a band of rows.
     """
     if metric not in ("euclidean", "manhattan"):
         raise ValueError("the metric must be euclidean or manhattan")
@@ -59,19 +63,27 @@ def distance_transform(df: DataFrame, keys: list[str], feature: Column, metric:
         return rows.select(*keys, *XY, F.least(left, right).alias("d"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("x", kind="stable")
-        x = pdf["x"].to_numpy()
-        f = np.full(int(x[-1] - x[0]) + 1, np.inf)
+        x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
+        width = int(x.max() - x.min()) + 1
+        f = np.full((int(y.max() - y.min()) + 1, width), np.inf)
         g = pdf["g"].to_numpy(dtype=float, na_value=np.nan)
-        f[x - x[0]] = np.where(np.isnan(g), np.inf, g * g)
-        d = envelope(f)[x - x[0]]
-        out = pdf.drop(columns="g")
-        out["d"] = pd.array(np.where(np.isfinite(d), d, 0).astype("int64"), dtype="Int64")
-        out.loc[~np.isfinite(d), "d"] = pd.NA
+        f[y - y.min(), x - x.min()] = np.where(np.isnan(g), np.inf, g * g)
+        if width <= 128:  # all rows at once, one candidate column after the other
+            d, at = np.full_like(f, np.inf), np.arange(width)
+            for q in range(width):
+                np.minimum(d, (at - q) ** 2 + f[:, q : q + 1], out=d)
+        else:
+            d = np.array([envelope(row) for row in f])
+        d = d[y - y.min(), x - x.min()]
+        found = np.isfinite(d)
+        out = pdf.drop(columns=["g", "__band"])
+        out["d"] = pd.array(np.where(found, d, 0).astype("int64"), dtype="Int64")
+        out.loc[~found, "d"] = pd.NA
         return out
 
     schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes if c != "g") + ", d long"
-    return rows.groupBy(*keys, "y").applyInPandas(run, schema)
+    # bands of whole rows: groups of bounded height, few enough to pay for their start
+    return rows.withColumn("__band", F.floor(F.col("y") / BAND)).groupBy(*keys, "__band").applyInPandas(run, schema)
 
 
 def periodic(df: DataFrame, keys: list[str], feature: Column, width: int, height: int, horizontal: bool = True, vertical: bool = False, metric: str = "euclidean") -> DataFrame:
