@@ -203,9 +203,13 @@ def apply_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with their columns; a null doc_id can't be judged twice, so rows are judged in place."""
-    judged = with_features(text_statistics(docs.select("doc_id", "text")))
-    learned = learn(materialize(judged, "rule-features"), labels)
-    verdicts = with_features(text_statistics(docs.select(F.struct(*docs.columns).alias("doc_id"), "text")))
-    kept = verdicts.filter(~F.col("base_failed") & (learned.verdict() == "keep"))
-    return kept.select(*(F.col("doc_id").getField(c).alias(c) for c in docs.columns))
+    """The documents that the rules keep, with their columns.
+
+    Rows and features are written once: the verdict then tests stored columns, where a
+    filter on computed ones would be pushed down and repeat the text statistics per test.
+    """
+    whole = docs.select(F.struct(*docs.columns).alias("doc_id"), "text")
+    judged = materialize(with_features(text_statistics(whole)), "judged").withColumnRenamed("doc_id", "row")
+    learned = learn(judged.withColumn("doc_id", F.col("row.doc_id")), labels)
+    kept = judged.filter(~F.col("base_failed") & (learned.verdict() == "keep"))
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
