@@ -332,3 +332,21 @@ def e08(spark, sf):
 @query("e09_dump_weights", f"WITH s AS (SELECT i, i / 20 AS y FROM range(21) t(i)) SELECT i, y, {_R.format(_weights('y')['lorentzian'])} AS w FROM s")
 def e09(spark, sf):
     return exposure.dump(spark, "lorentz").withColumn("w", r6(F.col("w")))
+
+
+@query("c16_ciecam02_round_trip", "SELECT image_id, x, y, r, g, b FROM rgb", "rgb")
+def c16(spark, sf):
+    from tessera.functions import appearance
+
+    a = fx.rgb(spark, sf).select(*PLACE, appearance.jch(*(c / 255 for c in _rgb())).alias("a"))
+    b = a.select(*PLACE, appearance.rgb(F.col("a.j"), F.col("a.c"), F.col("a.h")).alias("b"))
+    return b.select(*PLACE, *(scalar.half_up(F.col(f"b.{c}") * 255).alias(c) for c in "rgb"))
+
+
+@query("c17_gamut_repair")
+def c17(spark, sf):
+    from tessera.functions import appearance
+
+    a = fx.rgb(spark, sf).filter("x = 0 and y < 2").select(*PLACE, appearance.jch(*(c / 255 for c in _rgb())).alias("a"))
+    b = a.select(*PLACE, appearance.rgb(F.col("a.j"), F.col("a.c") * 1.5, F.col("a.h")).alias("b"))
+    return b.select(*PLACE, *(r6(F.col(f"b.{c}")).alias(c) for c in "rgb"))
