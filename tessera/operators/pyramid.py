@@ -89,12 +89,13 @@ def _spread(at: str, size: str, wrap: bool) -> Column:
     places = F.array(*(F.struct((2 * x + d).cast("long").alias("i"), F.lit(k).cast("long").alias("k")) for d, k in ((-2, 1), (-1, 4), (0, 6), (1, 4), (2, 1))))
     if not wrap:
         return F.filter(places, lambda t: (t["i"] >= 0) & (t["i"] < n))
-    # around the seam: the last column's right neighbour is the first, the first one's left the last; with an odd size those weigh 4
-    coarse = F.floor((n + 1) / 2).cast("long")
-    odd = n % 2 == 1
+    # around the seam the last column's right neighbour is the first, and the first one's left the last; an odd ring's ends weigh 4
+    coarse, odd = F.floor((n + 1) / 2).cast("long"), n % 2 == 1
+    to = lambda i, k: F.struct(i.cast("long").alias("i"), k.cast("long").alias("k"))
     seam = F.array(
-        F.when(x == 0, F.struct(F.when(odd, n - 1).otherwise(n - 1).alias("i"), F.lit(4).cast("long").alias("k"))),
-        F.when(x == coarse - 1, F.struct(F.lit(0).cast("long").alias("i"), F.when(odd, F.lit(4)).otherwise(F.lit(1)).cast("long").alias("k"))),
+        F.when(x == 0, to(n - 1, F.lit(4))),
+        F.when((x == 0) & ~odd, to(n - 2, F.lit(1))),
+        F.when(x == coarse - 1, to(F.lit(0), F.when(odd, F.lit(4)).otherwise(F.lit(1)))),
     )
     seam = F.filter(seam, lambda t: t.isNotNull())
     inner = F.filter(places, lambda t: (t["i"] >= 0) & (t["i"] < n))

@@ -357,3 +357,29 @@ def segments_cross(a: Point, b: Point, c: Point, d: Point) -> bool:
     """Whether the open segments ab and cd cross."""
     side = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
     return side(a, b, c) * side(a, b, d) < 0 and side(c, d, a) * side(c, d, b) < 0
+
+
+def fill(contours: list[list[Point]], shape: tuple[int, int]) -> np.ndarray:
+    """Even-odd fill at pixel centres; corners are (x, y), contours cancel where they overlap."""
+    h, w = shape
+    out = np.zeros((h, w), bool)
+    centres = np.arange(w) + 0.5
+    for contour in contours:
+        for y in range(h):
+            line_y, crossings = y + 0.5, []
+            for (x1, y1), (x2, y2) in zip(contour, contour[1:] + contour[:1]):
+                if (y1 <= line_y) != (y2 <= line_y):
+                    crossings.append(x1 + (line_y - y1) * (x2 - x1) / (y2 - y1))
+            if crossings:
+                out[y] ^= (np.searchsorted(np.sort(crossings), centres) % 2).astype(bool)
+    return out
+
+
+def create_mask(cost: np.ndarray, guide: np.ndarray, distance: int = 4, chain: tuple[str, ...] = ("anneal", "dijkstra"), graph_cut: bool = False) -> np.ndarray:
+    """The seam of one overlap: the guide mask (or a graph cut along it), its contours thinned, moved to cheap pixels, and filled again."""
+    mask = label_cut(cut(cost, cost != BLOCKED), guide) if graph_cut else guide
+    contours = []
+    for contour in vectorise(mask, distance):
+        moved = optimise(cost, contour, chain) if chain and len(contour) > 2 else contour
+        contours.append([(x, y) for _, x, y in moved])
+    return np.where(fill(contours, guide.shape), 255, 0)

@@ -507,3 +507,39 @@ def g05(spark, sf):
     corner = lambda o, x, y, mx, my: rgb.filter(f"x = {x} and y = {y}").select("image_id", F.lit(0).alias("contour"), F.lit(o).alias("ord"), (F.col("r") % mx).alias("x"), (F.col("g") % my).alias("y"))
     t = corner(0, 0, 0, 17, 13).unionByName(corner(1, 3, 2, 19, 14)).unionByName(corner(2, 6, 5, 20, 15))
     return masks.fill_polygons(t, KEYS, 21, 16)
+
+
+def _wrapped_taps(n: int) -> list[tuple[int, int, int]]:
+    """(destination, source, weight) of expanding a ring of (n + 1) div 2 places to n: an odd ring's ends lie side by side and weigh 4."""
+    half = (n + 1) // 2
+    out = []
+    for d in range(n):
+        if d % 2:
+            out += [(d, d // 2, 4), (d, (d // 2 + 1) % half, 4)]
+        else:
+            s = d // 2
+            out += [(d, (s - 1) % half, 4 if n % 2 and s == 0 else 1), (d, s, 6), (d, (s + 1) % half, 4 if n % 2 and s == half - 1 else 1)]
+    return out
+
+
+def _wrap_sql(n: int) -> str:
+    taps = "(VALUES " + ", ".join(map(str, _wrapped_taps(n))) + ") tx(d, s, w)"
+    return f""", half AS (SELECT image_id, x, y, v - 99 AS v FROM gray WHERE x < 4 AND y < 4)
+    SELECT s.image_id, tx.d::BIGINT AS x, 2 * s.y + ty.o AS y, (sum(tx.w * ty.w * s.v) // sum(tx.w * ty.w))::BIGINT AS v FROM half s, {taps}, {_UP} ty(o, w)
+    WHERE s.x = tx.s AND 2 * s.y + ty.o BETWEEN 0 AND 7 GROUP BY ALL"""
+
+
+def _expand_wrapped(spark, sf, n: int) -> DataFrame:
+    half = fx.gray(spark, sf).filter("x < 4 and y < 4").withColumn("v", F.col("v") - 99)
+    sizes = half.select("image_id").distinct().withColumns({"w": F.lit(n).cast("long"), "h": F.lit(8).cast("long")})
+    return _level(pyramid.expand(half, sizes, KEYS, ["v"], wrap=True))
+
+
+@query("m04_expand_wraparound", _wrap_sql(8), "gray")
+def m04_expand(spark, sf):
+    return _expand_wrapped(spark, sf, 8)
+
+
+@query("m04_expand_wraparound_odd", _wrap_sql(7), "gray")
+def m04_expand_odd(spark, sf):
+    return _expand_wrapped(spark, sf, 7)

@@ -79,3 +79,34 @@ def g25(spark, sf):
     p = {"a": (r % 20, g % 20), "b": (b % 20, r % 7), "c": (g % 9, b % 11), "d": (r % 13, b % 17)}
     side = lambda i, j, k: (p[j][0] - p[i][0]) * (p[k][1] - p[i][1]) - (p[j][1] - p[i][1]) * (p[k][0] - p[i][0])
     return s.select("image_id", "x", "y", ((side("a", "b", "c") * side("a", "b", "d") < 0) & (side("c", "d", "a") * side("c", "d", "b") < 0)).alias("crosses"))
+
+
+def _half_guide(image: np.ndarray) -> np.ndarray:
+    return np.where(np.arange(image.shape[1]) < image.shape[1] // 2, 255, 0) * np.ones((image.shape[0], 1), np.int64)
+
+
+@query("g08_create_mask")
+def g08(spark, sf):
+    def kernel(image: np.ndarray) -> list[tuple]:
+        mask = seams.create_mask(image, _half_guide(image), 2, ("dijkstra",), graph_cut=True)
+        return [(x, y, int(mask[y, x])) for y in range(image.shape[0]) for x in range(image.shape[1])]
+
+    return seams.per_image(fx.gray(spark, sf), KEYS, kernel, "x long, y long, m long")
+
+
+@query("g09_vectorised_mask_round_trip", ", bin AS (SELECT image_id, x, y, CASE WHEN v >= 90 THEN 255 ELSE 0 END::BIGINT AS m FROM gray) SELECT image_id, x, y, m FROM bin", "gray")
+def g09_round_trip(spark, sf):
+    def kernel(image: np.ndarray) -> list[tuple]:
+        mask = seams.create_mask(image, image, 1, ())
+        return [(x, y, int(mask[y, x])) for y in range(image.shape[0]) for x in range(image.shape[1])]
+
+    return seams.per_image(_binary(spark, sf), KEYS, kernel, "x long, y long, m long", "m")
+
+
+@query("g20_refine")
+def g20(spark, sf):
+    def kernel(image: np.ndarray) -> list[tuple]:
+        contour = [(False, 0, 4), (True, 3, 2), (True, 5, 6), (False, 7, 4)]
+        return [(o, x, y) for o, (x, y) in enumerate(seams.refine(image, contour))]
+
+    return seams.per_image(fx.gray(spark, sf), KEYS, kernel, "ord long, x long, y long")
