@@ -71,7 +71,37 @@ QUERIES: dict[str, Query] = {
     "op10_html_extract": op10_html_extract,
 }
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 ORACLES: dict[str, str] = {
+    "op4_ngram_join": f"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\\x20\\x09-\\x0D]+') IF x <> ''] AS w
+            FROM documents),
+        shingles AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN [array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)]
+                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+            FROM words),
+        sizes AS (SELECT doc_id, count(s) AS n FROM words LEFT JOIN shingles USING (doc_id) GROUP BY doc_id),
+        common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b USING (s) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+        links AS (
+            SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+        twoway AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach(a, b) AS (SELECT doc_id, doc_id FROM sizes UNION SELECT reach.a, twoway.b FROM reach JOIN twoway ON reach.b = twoway.a)
+        SELECT sizes.doc_id, n AS n_shingles, min(reach.b) AS component_id FROM sizes JOIN reach ON reach.a = sizes.doc_id GROUP BY sizes.doc_id, n
+    """,
+    "op5_substring_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+        bytes AS (SELECT doc_id, n, unnest(range(n)) AS i, h FROM d WHERE n > 0),
+        strings AS (SELECT doc_id, i, CASE WHEN i + 50 <= n THEN substr(h, 2 * i + 1, 100) END AS s, substr(h, 2 * i + 1, 2) AS byte FROM bytes),
+        first AS (SELECT s, min(doc_id) AS first_id FROM strings WHERE s IS NOT NULL GROUP BY s),
+        hits AS (SELECT doc_id, i, byte, CASE WHEN first_id < doc_id THEN i END AS hit FROM strings LEFT JOIN first USING (s)),
+        gone AS (SELECT doc_id, i, byte, coalesce(max(hit) OVER (PARTITION BY doc_id ORDER BY i) >= i - 49, false) AS gone FROM hits),
+        runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS new_run FROM gone),
+        whole AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (new_run) AS n_spans, string_agg(byte, '' ORDER BY i) FILTER (NOT gone) AS kept FROM runs GROUP BY doc_id)
+        SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+        FROM d LEFT JOIN whole USING (doc_id)
+    """,
     "op8_chat_format": """
         WITH turns AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
         bodies AS (
