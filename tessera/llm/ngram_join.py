@@ -13,10 +13,11 @@ neighbourhood of the next segment. (If two sets agree on k empty segments and
 on no other, at most k - 1 segments differ by two or more, so one of the k
 successors differs by at most one.) No link is lost under either plan.
 
-Equal sets become one class first. In each bucket of the index every set is
-verified against the bucket's best connected member; then only sets of
-different components that still share a bucket are compared, in blocks of
-bounded size. All verification is exact on whole texts.
+Equal sets become one class first. The pairs of small buckets, and in large ones each
+set and the best connected member, are candidates unless sizes or sketches rule them
+out; sets that candidates hold together are verified in blocks of bounded size. Then
+sets of different components that a large bucket still ties are verified likewise.
+All verification is exact on whole texts.
 
 Defined results: a null or empty text has no shingles and is linked with nothing;
 with fewer words than a shingle the whole sequence is the one shingle; a null doc_id
@@ -39,14 +40,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.exchange import SCATTERED, exchange, partition_count, partition_ids, scatter, unpack, witnesses
+from tessera.llm.exchange import SCATTERED, bounded_batches, exchange, pack, partition_count, partition_ids, scatter, unpack, witnesses
 from tessera.storage import materialize
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 _S33, _S29, _S32 = np.uint64(33), np.uint64(29), np.uint64(32)
 VOCABULARY = 150_000
 #: Records that a map task combines at once, and shingles of a block of texts.
-FLUSH, BLOCK_SHINGLES = 2_000_000, 150_000
+FLUSH, BLOCK_SHINGLES = 1_500_000, 150_000
+#: Members of a bucket up to which all its pairs are verified, and that a map task sends on as they are. Larger buckets go by hubs.
+SMALL_BUCKET, LOCAL_BUCKET = 64, 8
+PAIRS_AT_ONCE = 500_000
 #: For the plans only: bytes of a word, and how often two lone shingles are equal by chance.
 WORD_BYTES, CHANCE = 6.5, 1e-4
 CANDIDATE_COST = 50.0
@@ -164,46 +168,170 @@ def signatures(join: Join, x: np.ndarray, wide_plan: dict[int, bool]) -> np.ndar
     return np.unique(np.concatenate(out))
 
 
-_KINDS = {0: ["<i8", "<i8", "<u8", "<u8"], 1: ["<u8", "<i8", "<i4"], 2: ["<u8", "<i8", "<i4"], 3: ["<u8", "<i8", "<i4"]}
-DOC, WITNESS, SHARED_WITNESS, DIRECT = range(4)
+DOC, WITNESS, SHARED_WITNESS, EDGE = range(4)
+_DOC, _EDGE = ["<i8"] * 4, ["<i8", "<i8", "?"]
+
+
+def sketch_parts(n: np.ndarray | int) -> np.ndarray:
+    """Parts of a sketch: a power of two that grows with the set, so that sketches of long texts tell as much."""
+    return 64 << np.ceil(np.log2(np.maximum(np.asarray(n) / 800, 1))).astype(np.int64)
+
+
+def sketch(mixed: np.ndarray) -> np.ndarray:
+    """How many shingles fall into each part of the universe, modulo 256."""
+    parts = int(sketch_parts(len(mixed)))
+    return np.bincount(((mixed >> np.uint64(20)) & np.uint64(parts - 1)).astype(np.int64), minlength=parts).astype(np.uint8)
+
+
+def _fold(s: np.ndarray, parts: int) -> np.ndarray:
+    while s.shape[1] > parts:
+        s = s[:, : s.shape[1] // 2] + s[:, s.shape[1] // 2 :]
+    return s
+
+
+def may_link(join: Join, na: np.ndarray, nb: np.ndarray, sa: list[bytes], sb: list[bytes]) -> np.ndarray:
+    """False only where sizes or sketches rule a link out: each unit that two sketches differ by is a shingle not shared."""
+    lo, hi = np.minimum(na, nb), np.maximum(na, nb)
+    total = na + nb
+    # linked: den * both >= num * (total - both), and total - 2 * both are not shared
+    both = -(-join.num * total // (join.num + join.den))
+    out = hi * join.num <= lo * join.den
+    la, lb = np.array([len(x) for x in sa]), np.array([len(x) for x in sb])
+    for p, q in set(zip(la.tolist(), lb.tolist())):
+        at = np.flatnonzero((la == p) & (lb == q) & out)
+        step = max(1, (1 << 21) // max(p, q))
+        for i in range(0, len(at), step):
+            rows = at[i : i + step]
+            x = np.frombuffer(b"".join(sa[r] for r in rows), np.uint8).reshape(-1, p)
+            y = np.frombuffer(b"".join(sb[r] for r in rows), np.uint8).reshape(-1, q)
+            d = _fold(x, min(p, q)) - _fold(y, min(p, q))  # counts wrap, so the distance is around the circle
+            out[rows] = np.minimum(d, -d).sum(axis=1, dtype=np.int64) <= (total - 2 * both)[rows]
+    return out
+
+
+def _pack_keys(key: np.ndarray, doc: np.ndarray, size: np.ndarray) -> bytes:
+    """Ascending 48-bit keys as byte planes of their steps, documents by their place in a table; zstd."""
+    order = np.argsort(key, kind="stable")
+    own, ix = np.unique(doc[order], return_inverse=True)
+    n = np.zeros(len(own), np.int64)
+    n[ix] = size[order]
+    steps = np.diff(key[order], prepend=np.uint64(0))
+    planes = [np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() for x in (steps, ix.astype(np.uint32))]
+    blob = len(key).to_bytes(8, "little") + b"".join(planes) + own.tobytes() + n.tobytes()
+    return len(blob).to_bytes(8, "little") + pa.compress(blob, codec="zstd", asbytes=True)
+
+
+def _unpack_keys(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    blob = pa.decompress(memoryview(blob)[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    n, at = int.from_bytes(blob[:8], "little"), 8
+    whole = lambda kind, width, at: np.ascontiguousarray(np.frombuffer(blob, np.uint8, n * width, at).reshape(width, n).T).view(kind).reshape(n)
+    key, ix = np.cumsum(whole("<u8", 8, at)), whole("<u4", 4, at + 8 * n)
+    table = np.frombuffer(blob, "<i8", -1, at + 12 * n).reshape(2, -1)
+    return key.astype(np.uint64), table[0][ix], table[1][ix]
+
+
+def _stars(group: np.ndarray, doc: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Edges from each record of a bucket to the bucket's hub, the document that is in most buckets here.
+
+    ``group`` ascends, ``count`` is the size of each record's bucket. Returns the hub of
+    every record, and the edges (a, b) with a < b and whether each comes from a bucket of two.
+    """
+    own, ix = np.unique(doc, return_inverse=True)
+    rank = np.bincount(ix)[ix]
+    order = np.lexsort((doc, -rank, group))
+    first = np.ones(len(group), bool)
+    first[1:] = group[order][1:] != group[order][:-1]
+    hub = np.empty(len(group), np.int64)
+    hub[order] = doc[order][first][np.cumsum(first) - 1]
+    apart = hub != doc
+    a, b = np.minimum(hub, doc)[apart], np.maximum(hub, doc)[apart]
+    return hub, a, b, count[apart] == 2
+
+
+def _pairs(starts: np.ndarray, count: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (a, b) with a < b of each small bucket; buckets are [start, start + count) of ``doc``."""
+    a, b = [], []
+    for n in np.unique(count).tolist():
+        i, j = np.triu_indices(n, 1)
+        every = starts[count == n]
+        for k in range(0, len(every), max(1, PAIRS_AT_ONCE // len(i))):  # repeated pairs go before they pile up
+            at = every[k : k + max(1, PAIRS_AT_ONCE // len(i)), None]
+            x, y = doc[at + i].ravel(), doc[at + j].ravel()
+            x, y, _ = _distinct_edges(np.minimum(x, y), np.maximum(x, y), np.ones(len(x), bool))
+            a.append(x[x != y])
+            b.append(y[x != y])
+    if not a:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _distinct_edges(a: np.ndarray, b: np.ndarray, closed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((closed, b, a))
+    a, b, closed = a[order], b[order], closed[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new], closed[new]
 
 
 def _index(docs: DataFrame, join: Join, wide_plan: dict[int, bool]) -> DataFrame:
-    """kind 0: a document's size and set hash; kind 1: the members of buckets with at least two sets."""
+    """kind 0: a document's size, set hash and sketch; kind 1: candidate edges (id, other, closed).
+
+    Buckets never become rows: inside a task, map or reduce, their members are tied to a
+    hub (small buckets: to each other), and edges that many buckets repeat are one. A bucket's members in one map task
+    send one record to its reduce task, so no bucket, however large, gathers anywhere.
+    An edge is closed if it comes from small buckets, all of whose pairs are edges, so that it stands for itself only.
+    """
     spark = docs.sparkSession
     n_parts = partition_count(spark)
     ids = partition_ids(spark, n_parts)
 
-    def flush(info: list[tuple[int, int, int, int]], keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def flush(info: list[tuple[int, int, int, int]], keys: list[np.ndarray], sketches: list[bytes]) -> Iterator[pa.RecordBatch]:
         if not info:
             return
         doc, size = np.array([i[0] for i in info], np.int64), np.array([i[1] for i in info], np.int64)
         h1, h2 = np.array([i[2] for i in info], np.uint64), np.array([i[3] for i in info], np.uint64)
-        yield from scatter((h1 % np.uint64(n_parts)).astype(np.int64), [doc, size, h1, h2], ids, DOC)
+        home = (h1 % np.uint64(n_parts)).astype(np.int64)
+        for p in np.unique(home).tolist():
+            at = np.flatnonzero(home == p)
+            blob = pack([doc[at], size[at], h1[at], h2[at]]) + b"".join(sketches[i] for i in at)
+            yield pa.RecordBatch.from_arrays([pa.array([ids[p]], pa.int32()), pa.array([DOC], pa.int32()), pa.array([blob], pa.binary())], names=["pid", "tag", "blob"])
         # of equal sets in this task the smallest doc_id stands for all
         order = np.lexsort((doc, h2, h1, size))
         first = np.ones(len(doc), bool)
         first[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1]) | (size[order][1:] != size[order][:-1])
         keep = np.zeros(len(doc), bool)
         keep[order[first]] = True
-        lens = np.array([len(k) for k in keys])
         every = np.concatenate(keys)
-        row = np.repeat(np.arange(len(doc)), lens)
+        row = np.repeat(np.arange(len(doc)), [len(k) for k in keys])
         chosen = keep[row]
-        every, row = every[chosen], row[chosen]
+        # 48 bits tell buckets apart well enough: a chance collision is one more candidate to verify
+        every, row = every[chosen] >> np.uint64(16), row[chosen]
         order, first, group = witnesses(every)
-        k, i, s = every[order], doc[row[order]], size[row[order]].astype(np.int32)
-        home = (k % np.uint64(n_parts)).astype(np.int64)
-        alone, lead, rest = first & (group == 1), first & (group > 1), ~first
-        yield from scatter(home[alone], [k[alone], i[alone], s[alone]], ids, WITNESS)
-        yield from scatter(home[lead], [k[lead], i[lead], s[lead]], ids, SHARED_WITNESS)
-        spread = ((k[rest] ^ _mix(i[rest].astype(np.uint64))) % np.uint64(n_parts)).astype(np.int64)
-        yield from scatter(spread, [k[rest], i[rest], s[rest]], ids, DIRECT)
+        k, i, s = every[order], doc[row[order]], size[row[order]]
+        several = group > LOCAL_BUCKET
+        hub, a, b, closed = _stars(np.cumsum(first)[several], i[several], np.full(int(several.sum()), 3))
+        yield from send(a, b, closed)
+        # the hub speaks for its bucket, with its own size
+        size_of = dict(zip(doc.tolist(), size.tolist()))
+        lead = first[several]
+        hubs = hub[lead]
+        for tag, key, who, n in ((WITNESS, k[~several], i[~several], s[~several]), (SHARED_WITNESS, k[several][lead], hubs, np.array([size_of[h] for h in hubs.tolist()], np.int64))):
+            home = (key % np.uint64(n_parts)).astype(np.int64)
+            by = np.argsort(home, kind="stable")
+            cuts = np.searchsorted(home[by], np.arange(n_parts + 1))
+            pids, blobs = [], []
+            for p in range(n_parts):
+                at = by[cuts[p] : cuts[p + 1]]
+                if len(at):
+                    pids.append(ids[p])
+                    blobs.append(_pack_keys(key[at], who[at], n[at]))
+            yield pa.RecordBatch.from_arrays([pa.array(pids, pa.int32()), pa.array([tag] * len(pids), pa.int32()), pa.array(blobs, pa.binary())], names=["pid", "tag", "blob"])
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(join.width)
         info: list[tuple[int, int, int, int]] = []
         keys: list[np.ndarray] = []
+        sketches: list[bytes] = []
         held = 0
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
@@ -211,72 +339,105 @@ def _index(docs: DataFrame, join: Join, wide_plan: dict[int, bool]) -> DataFrame
                 m = _mix(x + _C)
                 info.append((doc_id, len(x), int(m.sum()), int(_mix(m + _A).sum())))
                 keys.append(signatures(join, x, wide_plan) if len(x) else x)
+                sketches.append(sketch(m).tobytes())
                 held += len(keys[-1])
                 if held > FLUSH:
-                    yield from flush(info, keys)
-                    info, keys, held = [], [], 0
-        yield from flush(info, keys)
+                    yield from flush(info, keys, sketches)
+                    info, keys, sketches, held = [], [], [], 0
+        yield from flush(info, keys, sketches)
+
+    def send(a: np.ndarray, b: np.ndarray, closed: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(a):
+            a, b, closed = _distinct_edges(a, b, closed)
+            yield from scatter((_mix(a.astype(np.uint64)) % np.uint64(n_parts)).astype(np.int64), [a, b, closed], ids, EDGE)
 
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[list[np.ndarray]]] = {0: [], 1: [], 2: [], 3: []}
-        for b in batches:
-            for tag, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                parts[tag].append(unpack(blob, _KINDS[tag]))
-        whole = {t: [np.concatenate(c) for c in zip(*p)] for t, p in parts.items() if p}
-        zero = lambda n: pa.array(np.zeros(n, np.int64))
-        names = ["kind", "bucket", "id", "n", "h1", "h2"]
-        if DOC in whole:
-            d, n, h1, h2 = whole[DOC]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(d), np.int32)), zero(len(d)), pa.array(d), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names=names)
-        found = [whole[DIRECT]] if DIRECT in whole else []
-        lone = [whole[t] for t in (WITNESS, SHARED_WITNESS) if t in whole]
+        lone, tied = [], []
+        for batch in batches:
+            for pid, tag, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                if tag == DOC:
+                    yield pa.RecordBatch.from_arrays([pa.array([pid], pa.int32()), pa.array([tag], pa.int32()), pa.array([blob], pa.binary())], names=["pid", "tag", "blob"])
+                elif tag == EDGE:
+                    tied.append(unpack(blob, _EDGE))
+                else:
+                    key, doc, size = _unpack_keys(blob)
+                    lone.append((key, doc, size, np.full(len(key), tag == SHARED_WITNESS)))
+        if tied:
+            yield from send(*(np.concatenate(c) for c in zip(*tied)))
         if lone:
-            k, i, s = (np.concatenate(c) for c in zip(*lone))
-            shared = np.zeros(len(k), bool)
-            shared[len(whole[WITNESS][0]) if WITNESS in whole else 0 :] = SHARED_WITNESS in whole
-            order, first, group = witnesses(k)
-            starts = np.nonzero(first)[0]
-            any_shared = np.logical_or.reduceat(shared[order], starts) if len(starts) else starts
-            multi = (group > 1) | any_shared[np.cumsum(first) - 1]
-            at = order[multi]
-            found.append([k[at], i[at], s[at]])
-        for k, i, s in found:
-            for a in range(0, len(k), 1_000_000):
-                z = slice(a, a + 1_000_000)
-                n = len(k[z])
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.array(k[z].view(np.int64)), pa.array(i[z]), pa.array(s[z].astype(np.int64)), zero(n), zero(n)], names=names)
+            key, doc, size, shared = (np.concatenate(c) for c in zip(*lone))
+            order, first, group = witnesses(key)
+            several = group > 1
+            doc, size, shared, which = doc[order][several], size[order][several], shared[order][several], np.cumsum(first)[several]
+            if len(doc):
+                starts = np.flatnonzero(np.diff(which, prepend=-1))
+                count = np.diff(np.append(starts, len(which)))
+                small = (count <= SMALL_BUCKET) & ~np.logical_or.reduceat(shared, starts)
+                a, b = _pairs(starts[small], count[small], doc)
+                closed = np.ones(len(a), bool)
+                large = np.repeat(~small, count)
+                _, c, d, _ = _stars(which[large], doc[large], np.zeros(int(large.sum())))
+                a, b, closed = np.concatenate([a, c]), np.concatenate([b, d]), np.append(closed, np.zeros(len(c), bool))
+                size_of = dict(zip(doc.tolist(), size.tolist()))
+                if len(a):
+                    a, b, closed = _distinct_edges(a, b, closed)
+                    na, nb = (np.fromiter(map(size_of.__getitem__, x.tolist()), np.int64, len(x)) for x in (a, b))
+                    # a small bucket's pair of sizes too far apart is settled
+                    used = ~closed | (np.maximum(na, nb) * join.num <= np.minimum(na, nb) * join.den)
+                    yield from send(a[used], b[used], closed[used])
+
+    names = ["kind", "id", "other", "n", "h1", "h2", "closed", "sketch"]
+
+    def settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows: documents, and each edge once however many buckets had it."""
+        tied = []
+        for batch in batches:
+            for tag, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if tag == EDGE:
+                    tied.append(unpack(blob, _EDGE))
+                    continue
+                d, n, h1, h2 = unpack(blob, _DOC)
+                ends = 8 + 32 * len(d) + np.cumsum(sketch_parts(n))
+                sketches = [blob[b - w : b] for b, w in zip(ends.tolist(), sketch_parts(n).tolist())]
+                zero = pa.array(np.zeros(len(d), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(d), np.int32)), pa.array(d), zero, pa.array(n), pa.array(h1), pa.array(h2), pa.array(np.zeros(len(d), bool)), pa.array(sketches, pa.binary())], names=names)
+        if tied:
+            a, b, closed = _distinct_edges(*(np.concatenate(c) for c in zip(*tied)))
+            zero = pa.array(np.zeros(len(a), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(a), np.int32)), pa.array(a), pa.array(b), zero, zero, zero, pa.array(closed), pa.nulls(len(a), pa.binary())], names=names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(emit, SCATTERED)
-    out = exchange(rows, n_parts).mapInArrow(gather, "kind int, bucket long, id long, n long, h1 long, h2 long")
-    return materialize(out, "buckets", partition_by="kind")
+    found = exchange(rows, n_parts).mapInArrow(gather, SCATTERED)
+    out = exchange(found, n_parts).mapInArrow(settle, "kind int, id long, other long, n long, h1 long, h2 long, closed boolean, sketch binary")
+    return materialize(out, "candidates", partition_by="kind")
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
-    """The pairs (a, b) whose texts are linked."""
+def _prune(edges: DataFrame, info: DataFrame, join: Join) -> DataFrame:
+    """The edges (a, b, closed) that sizes and sketches leave possible, with column possible."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(join.width)
-        seen: dict[int, np.ndarray] = {}
+        for b in (whole.slice(i, 1000) for whole in batches for i in range(0, len(whole), 1000)):
+            ok = may_link(join, b.column(3).to_numpy(), b.column(4).to_numpy(), b.column(5).to_pylist(), b.column(6).to_pylist()) if len(b) else np.empty(0, bool)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(ok)], names=["a", "b", "closed", "possible"])
 
-        def get(i: int, text: pa.Scalar) -> np.ndarray:
-            x = seen.get(i)
-            if x is None:
-                if len(seen) > 64:
-                    seen.clear()
-                x = seen[i] = shingles(text.as_py())
-            return x
+    a = info.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    b = info.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    joined = edges.join(a, "a").join(b, "b").select("a", "b", "closed", "na", "nb", "sa", "sb")
+    return joined.mapInArrow(run, "a long, b long, closed boolean, possible boolean")
 
-        for b in batches:
-            ia, ib = b.column(0).to_pylist(), b.column(1).to_pylist()
-            ok = []
-            for i, j, ta, tb in zip(ia, ib, b.column(2), b.column(3)):
-                x, y = get(i, ta), get(j, tb)
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                ok.append(join.linked(both, len(x), len(y)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    a, b = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+#: Bits of the filter below: its broadcast is fixed, whatever the number of ids.
+FILTER_BITS = 1 << 23
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the given ids. A bitmap of their hashes, of fixed size, first drops most other rows without a shuffle; the join is exact."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    words = ids.select(place("id").alias("p")).groupBy(F.expr("p div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits"))
+    rows = docs.select(F.col("doc_id").alias("id"), "text").withColumn("p", place("id")).withColumn("word", F.expr("p div 64"))
+    # at most FILTER_BITS / 64 rows are broadcast
+    near = rows.join(F.broadcast(words), "word").filter("shiftright(bits, cast(p % 64 as int)) & 1 = 1").select("id", "text")
+    return near.join(ids, "id").dropDuplicates(["id"])
 
 
 def block_links(join: Join, ids: list[int], labels: list[int], sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
@@ -288,15 +449,26 @@ def block_links(join: Join, ids: list[int], labels: list[int], sets: list[np.nda
     kept = times[column] > 1
     _, column = np.unique(column[kept], return_inverse=True)
     row = row[kept]
-    both = np.zeros((len(sets), len(sets)), np.float32)
-    step = 4096
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    for c in range(0, int(column[-1]) + 1 if len(column) else 0, step):
-        a, b = np.searchsorted(column, [c, c + step])
-        dense = np.zeros((len(sets), step), np.float32)
-        dense[row[a:b], column[a:b] - c] = 1
-        both += dense @ dense.T
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    if len(column):
+        # shingles that the same sets hold count together: one column for all of them
+        starts = np.flatnonzero(np.diff(column, prepend=-1))
+        holders = np.add.reduceat(_mix(np.arange(1, len(sets) + 1, dtype=np.uint64))[row], starts)
+        _, lead, alike = np.unique(holders, return_index=True, return_counts=True)
+        number = np.full(len(starts), -1)
+        number[lead] = np.arange(len(lead))
+        column = number[column]
+        row, column = row[column >= 0], column[column >= 0]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        step = 4096
+        for c in range(0, len(lead), step):
+            a, b = np.searchsorted(column, [c, c + step])
+            dense = np.zeros((len(sets), min(step, len(lead) - c)), np.float32)
+            dense[row[a:b], column[a:b] - c] = 1
+            both += (dense * alike[c : c + step].astype(np.float32)) @ dense.T
     label = np.array(labels)
     inter = both.astype(np.int64)
     ok = join.den * inter >= join.num * (lens[:, None] + lens[None, :] - inter)
@@ -317,16 +489,20 @@ def block_links(join: Join, ids: list[int], labels: list[int], sets: list[np.nda
     return out
 
 
-def _verify_rest(members: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
-    """Links between members of different components that share a bucket.
+def _verify(ties: DataFrame, labels: DataFrame | None, docs: DataFrame, info: DataFrame, join: Join) -> DataFrame:
+    """Links that join what the ties (a, b), pairs of labels, hold together; a document without a label is its own.
 
-    Buckets that share components form a cluster; its sets are dealt into blocks of
-    about BLOCK_SHINGLES shingles and every two blocks meet in one group.
+    Tied labels form a cluster; its sets are dealt into blocks of about BLOCK_SHINGLES
+    shingles and every two blocks meet in one group, so a text moves once per block of
+    its cluster, not once per pair. Of the links in a group only those are rows that join labels.
     """
-    spread = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c")).filter("lo <> hi and c > 2")
-    open_members = materialize(members.join(spread.select("bucket", "lo"), "bucket").select("id", "n", "label", "lo"), "open")
-    clusters = components(open_members.select(F.col("label").alias("a"), F.col("lo").alias("b")))
-    rows = open_members.select("id", "n", "label").distinct().join(clusters, F.col("label") == F.col("node")).select("id", "n", "label", F.col("component").alias("cluster"))
+    clusters = components(ties).select(F.col("node").alias("label"), F.col("component").alias("cluster"))
+    if labels is None:
+        members = clusters.select("cluster", "label", F.col("label").alias("id"))
+    else:
+        members = clusters.join(labels, clusters["label"] == labels["component"], "left").select("cluster", "label", F.coalesce("node", "label").alias("id")).distinct()
+    rows = materialize(members.join(info.select("id", "n"), "id"), "members")
+    texts = materialize(texts_of(docs, rows.select("id").distinct()), "texts")
     total = rows.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     blocked = rows.join(total, "cluster").withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = blocked.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -345,6 +521,7 @@ def _verify_rest(members: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
 
 def classify(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) for every row."""
+    bounded_batches(docs.sparkSession)
     join = Join(width, num, den)
     named = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sizes = F.greatest(F.lit(1), (F.octet_length("text") / WORD_BYTES).cast("long") - (width - 1))
@@ -357,21 +534,19 @@ def classify(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) ->
     info = index.filter("kind = 0").select(F.col("id").alias("doc_id"), "n", "h1", "h2")
     classes = info.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = materialize(classes, "classes")
-    copies = info.filter("n > 0").join(classes.filter("copies > 1"), ["n", "h1", "h2"]).select(F.col("doc_id").alias("id"), F.col("n").alias("size"), "rep").distinct()
-    entries = index.filter("kind = 1").select("bucket", "id", "n")
-    entries = entries.join(copies, (entries["id"] == copies["id"]) & (entries["n"] == copies["size"]), "left").select("bucket", F.coalesce("rep", entries["id"]).alias("id"), "n").distinct()
-    entries = materialize(entries, "entries")
-    counts = entries.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1")
-    entries = materialize(entries.join(counts, "bucket"), "entries")
-    rank = entries.groupBy("id").agg(F.sum("c").alias("rank"))
-    hubs = entries.join(rank, "id").groupBy("bucket").agg(F.max_by(F.struct("id", "n"), F.struct(F.col("rank"), -F.col("id"))).alias("hub"))
-    near = entries.join(hubs, "bucket").filter(f"id <> hub.id and least(n, hub.n) * {den} >= greatest(n, hub.n) * {num}")
-    pairs = near.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
-    texts = materialize(named.withColumnRenamed("doc_id", "id").join(entries.select("id").distinct(), "id").dropDuplicates(["id"]), "texts")
-    links = materialize(_verify(pairs, texts, join), "links")
-    first = components(links)
-    members = entries.join(first, entries["id"] == first["node"], "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("label"))
-    more = materialize(_verify_rest(members, texts, join), "links")
+    copies = info.join(classes.filter("copies > 1"), ["n", "h1", "h2"]).filter("doc_id <> rep").select("doc_id", "rep").dropDuplicates(["doc_id"])
+    to_rep = lambda df, c: df.join(copies.withColumnRenamed("doc_id", c), c, "left").withColumn(c, F.coalesce("rep", c)).drop("rep")
+    edges = to_rep(to_rep(index.filter("kind = 1").select(F.col("id").alias("a"), F.col("other").alias("b"), "closed"), "a"), "b")
+    edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "closed").filter("a <> b")
+    edges = edges.groupBy("a", "b").agg(F.bool_and("closed").alias("closed"))
+    # a document of which a bucket's edge speaks, with its size and sketch
+    known = index.filter("kind = 0").select("id", "n", "sketch").dropDuplicates(["id"])
+    edges = materialize(_prune(edges, known, join), "edges")
+    links = materialize(_verify(edges.filter("possible").select("a", "b"), None, named, known, join), "links")
+    first = materialize(components(links), "components")
+    of = lambda c: first.select(F.col("node").alias(c), F.col("component").alias(f"l{c}"))
+    still = edges.filter("not closed").join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a <> b").distinct()
+    more = materialize(_verify(still, first, named, known, join), "links")
     final = components(links.unionByName(more)).select(F.col("node").alias("rep"), "component")
     linked = classes.join(final, "rep", "left").filter("copies > 1 or component is not null").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component"))
     out = info.join(linked, ["n", "h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

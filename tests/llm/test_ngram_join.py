@@ -51,16 +51,30 @@ def corpus(seed, n=160):
     return docs
 
 
-@pytest.mark.parametrize(("width", "num", "den", "wide"), [(3, 90, 100, False), (5, 80, 100, False), (3, 90, 100, True)])
+@pytest.mark.parametrize(("width", "num", "den", "wide"), [(3, 90, 100, False), (5, 80, 100, False), (3, 90, 100, True), (5, 80, 100, True)])
 def test_equals_brute_force(spark, monkeypatch, width, num, den, wide):
     if wide:
         monkeypatch.setattr(N, "plans", lambda join, histogram: dict.fromkeys(range(200), True))
         monkeypatch.setattr(N, "BLOCK_SHINGLES", 400)  # many blocks
+        monkeypatch.setattr(N, "SMALL_BUCKET", 2)  # and hubs in nearly every bucket
+        monkeypatch.setattr(N, "LOCAL_BUCKET", 1)
     docs = corpus(width + wide)
     got = N.classify(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), width, num, den).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(docs, width, num, den) and len(got) == len(docs)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.integers(0, 10**6), st.sampled_from([(9, 10), (8, 10)]))
+def test_sketches_rule_out_no_link(seed, threshold):
+    rnd = np.random.default_rng(seed)
+    join = N.Join(3, *threshold)
+    x = np.unique(rnd.integers(0, 2**63, rnd.choice([30, 400, 5000])).astype(np.uint64))
+    y = np.unique(np.concatenate([x[rnd.random(len(x)) > rnd.random() / 4], rnd.integers(0, 2**63, rnd.integers(0, 40)).astype(np.uint64)]))
+    if len(y) and join.linked(len(np.intersect1d(x, y)), len(x), len(y)):
+        n = np.array([[len(x)], [len(y)]])
+        assert N.may_link(join, n[0], n[1], [N.sketch(N._mix(x + N._C)).tobytes()], [N.sketch(N._mix(y + N._C)).tobytes()]).all()
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.integers(0, 10**6), st.sampled_from([(9, 10), (8, 10), (1, 2)]), st.booleans())
 def test_no_linked_pair_escapes_the_index(seed, threshold, wide):
