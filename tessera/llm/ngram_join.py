@@ -503,20 +503,23 @@ def _verify(ties: DataFrame, labels: DataFrame | None, docs: DataFrame, info: Da
         members = clusters.join(labels, clusters["label"] == labels["component"], "left").select("cluster", "label", F.coalesce("node", "label").alias("id")).distinct()
     rows = materialize(members.join(info.select("id", "n"), "id"), "members")
     texts = materialize(texts_of(docs, rows.select("id").distinct()), "texts")
-    total = rows.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    blocked = rows.join(total, "cluster").withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # linked sizes lie in one band or in neighbours, so a set meets its own band and the one below; a shade wider, for rounding
+    band = F.floor(F.log(F.col("n")) / (math.log(join.den / join.num) * 1.0001)).cast("int")
+    rows = rows.withColumn("band", F.explode(F.array(band, band - 1)))
+    total = rows.groupBy("cluster", "band").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"), F.count_distinct("label").alias("k")).filter("k > 1").drop("k")
+    blocked = rows.join(total, ["cluster", "band"]).withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = blocked.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("cluster", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "id", "label").join(texts, "id")
+    dealt = dealt.select("cluster", "band", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "id", "label").join(texts, "id")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         shingles = Shingler(join.width)
-        left, right = (pdf["i"] == key[1]).to_numpy(), (pdf["i"] == key[2]).to_numpy()
+        left, right = (pdf["i"] == key[2]).to_numpy(), (pdf["i"] == key[3]).to_numpy()
         if pdf["label"].nunique() < 2 or not left.any() or not right.any():
             return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
         found = block_links(join, pdf["id"].tolist(), pdf["label"].tolist(), [shingles(t) for t in pdf["text"]], left, right)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return dealt.groupBy("cluster", "x", "y").applyInPandas(run, "a long, b long")
+    return dealt.groupBy("cluster", "band", "x", "y").applyInPandas(run, "a long, b long")
 
 
 def classify(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
