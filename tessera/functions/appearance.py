@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions.colour import FROM_XYZ, TO_XYZ, WHITE
-from tessera.functions.minimise import brent, multi_start
+from tessera.functions.minimise import brent_rows, multi_start
 
 # Fixed values of the model.
 CAT02 = np.array([[0.7328, 0.4296, -0.1624], [-0.7036, 1.6975, 0.0061], [0.0030, 0.0136, 0.9834]])
@@ -92,19 +92,27 @@ def _outside(rgb: np.ndarray) -> np.ndarray:
 def from_jch(jch: np.ndarray, tolerance: float = 1e-3) -> np.ndarray:
     """sRGB in [0, 1]; colours outside lose chroma until they fit, or, where that fails, lightness too."""
     rgb = _unclipped(jch)
-    for i in np.nonzero(~(_outside(rgb) <= tolerance))[0]:
-        rgb[:, i] = repair(jch[:, i], tolerance)
+    bad = np.nonzero(~(_outside(rgb) <= tolerance))[0]
+    if len(bad):
+        rgb[:, bad] = repair(jch[:, bad], tolerance)
     return np.clip(np.nan_to_num(rgb), 0, 1)
 
 
 def repair(jch: np.ndarray, tolerance: float = 1e-3) -> np.ndarray:
-    """The displayable colour nearest in chroma, at the same hue."""
+    """The displayable colours nearest in chroma, at the same hues; rows (3, n)."""
+    at = lambda j, c, h: np.nan_to_num(_unclipped(np.array([j, c, h])), nan=9.0)
+    cost = lambda i, c: 1e3 * _outside(at(jch[0, i], c, jch[2, i])) + np.abs(c - jch[1, i]) / 100
+    chroma = brent_rows(cost, np.zeros(jch.shape[1]), np.maximum(jch[1], 1e-6))
+    rgb = at(jch[0], chroma, jch[2])
+    for i in np.nonzero(~(_outside(rgb) <= tolerance))[0]:
+        rgb[:, i] = _repair_both(jch[:, i], chroma[i])
+    return rgb
+
+
+def _repair_both(jch: np.ndarray, chroma: float) -> np.ndarray:
+    """The displayable colour nearest in lightness and chroma, where less chroma alone does not help."""
     at = lambda j, c: np.nan_to_num(_unclipped(np.array([[j], [c], [jch[2]]])), nan=9.0)
     miss = lambda j, c: float(_outside(at(j, c))[0])
-    cost = lambda c: 1e3 * miss(jch[0], c) + abs(c - jch[1]) / 100
-    chroma, _ = brent(cost, 0.0, max(float(jch[1]), 1e-6))
-    if miss(jch[0], chroma) <= tolerance:
-        return at(jch[0], chroma)[:, 0]
     both = lambda p: 1e3 * miss(p[0], abs(p[1])) + abs(p[0] - jch[0]) + abs(abs(p[1]) - jch[1]) / 100
     (j, c), _ = multi_start(both, [np.array([jch[0], chroma]), np.array([50.0, chroma / 2]), np.array([min(jch[0], 100.0), 0.0])], 5.0)
     return np.clip(at(j, abs(c))[:, 0], 0, 1)

@@ -65,6 +65,45 @@ def brent(f: Callable[[float], float], a: float, b: float, tolerance: float = 1e
     return x, fx
 
 
+def brent_rows(f: Callable[[np.ndarray, np.ndarray], np.ndarray], a: np.ndarray, b: np.ndarray, tolerance: float = 1e-8, rounds: int = 100) -> np.ndarray:
+    """The x of ``brent`` for many functions at once; ``f`` takes row numbers and one place for each."""
+    a, b = np.array(a, float), np.array(b, float)
+    x = a + (1 - _PHI) * (b - a)
+    w, v = x.copy(), x.copy()
+    fx = f(np.arange(len(x)), x)
+    fw, fv = fx.copy(), fx.copy()
+    step, last = np.zeros(len(x)), np.zeros(len(x))
+    live = np.arange(len(x))
+    for _ in range(rounds):
+        live = live[~(np.abs(x - (a + b) / 2) <= 2 * (tolerance * np.abs(x) + 1e-12) - (b - a) / 2)[live]]
+        if not len(live):
+            break
+        a_, b_, x_, w_, v_, fx_, fw_, fv_, step_, last_ = (s[live] for s in (a, b, x, w, v, fx, fw, fv, step, last))
+        middle, eps = (a_ + b_) / 2, tolerance * np.abs(x_) + 1e-12
+        r, q = (x_ - w_) * (fx_ - fv_), (x_ - v_) * (fx_ - fw_)
+        p, q = (x_ - v_) * q - (x_ - w_) * r, 2 * (q - r)
+        p, q = np.where(q > 0, -p, p), np.abs(q)
+        tried = np.abs(last_) > eps
+        before, last_ = last_, np.where(tried, step_, last_)
+        fits = tried & (np.abs(p) < np.abs(q * before / 2)) & (q * (a_ - x_) < p) & (p < q * (b_ - x_))
+        parabola = p / np.where(fits, q, 1)
+        near = (x_ + parabola - a_ < 2 * eps) | (b_ - x_ - parabola < 2 * eps)
+        last_ = np.where(fits, last_, np.where(x_ < middle, b_, a_) - x_)
+        step_ = np.where(fits, np.where(near, np.copysign(eps, middle - x_), parabola), (1 - _PHI) * last_)
+        u = x_ + np.where(np.abs(step_) >= eps, step_, np.copysign(eps, step_))
+        fu = f(live, u)
+        better = fu <= fx_
+        second = ~better & ((fu <= fw_) | (w_ == x_))
+        third = ~better & ~second & ((fu <= fv_) | (v_ == x_) | (v_ == w_))
+        right = u >= x_
+        a[live] = np.where(better, np.where(right, x_, a_), np.where(right, a_, u))
+        b[live] = np.where(better, np.where(right, b_, x_), np.where(right, u, b_))
+        v[live], fv[live] = np.where(better | second, w_, np.where(third, u, v_)), np.where(better | second, fw_, np.where(third, fu, fv_))
+        w[live], fw[live] = np.where(better, x_, np.where(second, u, w_)), np.where(better, fx_, np.where(second, fu, fw_))
+        x[live], fx[live], step[live], last[live] = np.where(better, u, x_), np.where(better, fu, fx_), step_, last_
+    return x
+
+
 def nelder_mead(f: Callable[[np.ndarray], float], start: np.ndarray, size: float = 1.0, tolerance: float = 1e-9, rounds: int = 2000) -> tuple[np.ndarray, float]:
     """Downhill simplex from ``start`` with sides ``size``."""
     n = len(start)

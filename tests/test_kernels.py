@@ -238,6 +238,26 @@ def test_appearance_model():
     assert (fixed >= 0).all() and (fixed <= 1).all()
 
 
+def test_brent_of_rows_equals_brent():
+    k = np.linspace(-3, 8, 40)
+    f = lambda i, x: np.abs(x - k[i]) + np.maximum(x - 2, 0) * 50
+    rows = minimise.brent_rows(f, np.full(40, -4.0), np.full(40, 9.0))
+    one = [minimise.brent(lambda x, i=i: float(f(np.array([i]), np.array([x]))[0]), -4.0, 9.0)[0] for i in range(40)]
+    assert np.allclose(rows, one, atol=1e-9)
+
+
+def test_gamut_repair_covers_every_pixel(spark, tmp_path):
+    from tessera.plans.pixel_queries import c17
+    from tessera.sources import fixtures
+
+    rnd = np.random.default_rng(3)
+    rows = [(i, (rnd.random(64) - 0.5).tolist()) for i in range(6)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    place = lambda df: {(r.image_id, r.x, r.y) for r in df.collect()}
+    got = place(c17(spark, str(tmp_path)))
+    assert len(got) == 128 and got == place(fixtures.rgb(spark, str(tmp_path)))
+
+
 def test_stream_folds_like_a_batch(spark, tmp_path):
     from tessera.streaming import incremental
 
