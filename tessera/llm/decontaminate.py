@@ -3,26 +3,28 @@
 Words are lower-cased and stripped of marks at their ends; numbers, quantities,
 units and names become typed placeholders, so that a question with other
 figures or people has the same template. Windows of ``WINDOW`` template words of
-all benchmark items are hashed; documents are scanned against that table in
-place. A matching diagonal (document position minus item position) is taken
-further only if its slots agree: within one item, equal source values must stand
-for equal values in the document. A document is contaminated by an item if such
-a diagonal covers ``MIN_RUN`` words in a row, or all words of a shorter item.
+all benchmark items are hashed, and the same windows of plain lower-cased words;
+documents are scanned against both tables in place. From a window that matches, the
+diagonal (document position minus item position) is followed both ways while the
+template or the plain words agree. It is taken further only if its slots agree: within
+one item, equal source values must stand for equal values in the document. A document
+is contaminated by an item if such a diagonal covers ``MIN_RUN`` words in a row, or
+all words of a shorter item.
 
 The benchmark is read in blocks of at most ``BLOCK_CHARS`` characters, each one
 broadcast of bounded size; every block is matched against all rows, so a
 benchmark of any size is used whole.
 
-Defined results: null or empty texts match nothing; items with fewer than
-``MIN_LITERAL`` words that are not placeholders have no usable template; null
-item ids and texts are skipped; repeated rows are judged each.
+Defined results: null or empty texts match nothing; windows with fewer than
+``MIN_LITERAL`` words that are not placeholders are no templates and match by their
+plain words only; null item ids and texts are skipped; repeated rows are judged each.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -74,8 +76,8 @@ class Words(dict):
     def __init__(self) -> None:
         super().__init__()
         self.pending: list[tuple[int, int, bool, bool]] = []
-        self.hashes, self.kinds = np.empty(0, np.uint64), np.empty(0, np.int8)
-        self.named, self.ends = np.empty(0, bool), np.empty(0, bool)
+        self.hashes, self.kinds = np.empty(1024, np.uint64), np.empty(1024, np.int8)
+        self.named, self.ends = np.empty(1024, bool), np.empty(1024, bool)
 
     def __missing__(self, raw: str) -> int:
         bare, kind, named, ends = _classify(raw)
@@ -83,26 +85,28 @@ class Words(dict):
         self[raw] = n = len(self)
         return n
 
-    def template(self, raw: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Template hashes, types, and positions in ``raw`` (words without letters or digits fall out)."""
+    def template(self, raw: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Template hashes, types, positions in ``raw`` (words without letters or digits fall out), and hashes of the plain words."""
         if len(self) > VOCABULARY:
             self.clear()
             self.__init__()
         rows = np.fromiter(map(self.__getitem__, raw), np.int64, len(raw))
         if self.pending:
+            a, b = len(self) - len(self.pending), len(self)
+            if b > len(self.hashes):  # by doubling, so that new words do not copy the table each time
+                self.hashes, self.kinds, self.named, self.ends = (np.resize(x, 2 * b) for x in (self.hashes, self.kinds, self.named, self.ends))
             h, k, n, e = zip(*self.pending)
-            self.hashes = np.concatenate([self.hashes, np.array(h, np.uint64)])
-            self.kinds = np.concatenate([self.kinds, np.array(k, np.int8)])
-            self.named = np.concatenate([self.named, np.array(n, bool)])
-            self.ends = np.concatenate([self.ends, np.array(e, bool)])
+            self.hashes[a:b] = np.array(h, np.uint64)
+            self.kinds[a:b], self.named[a:b], self.ends[a:b] = k, n, e
             self.pending = []
         starts = np.ones(len(raw), bool)
         if len(raw) > 1:
             starts[1:] = self.ends[rows[:-1]]
         kinds = np.where(self.named[rows] & ~starts, NAME, self.kinds[rows]).astype(np.int8)
-        hashes = np.where(kinds == LITERAL, self.hashes[rows], _PLACEHOLDER[kinds])
-        at = np.nonzero((kinds != LITERAL) | (self.hashes[rows] != 0))[0]
-        return hashes[at], kinds[at], at
+        plain = self.hashes[rows]
+        hashes = np.where(kinds == LITERAL, plain, _PLACEHOLDER[kinds])
+        at = np.nonzero((kinds != LITERAL) | (plain != 0))[0]
+        return hashes[at], kinds[at], at, plain[at]
 
 
 def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
@@ -116,74 +120,95 @@ def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+class Windows:
+    """Windows of one width: their hashes in order, with the item and the place in it of each."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, int, np.ndarray]]) -> None:
+        x = np.concatenate([p[0] for p in parts])
+        order = np.argsort(x, kind="stable")
+        self.hashes = x[order]
+        self.items = np.repeat(np.array([p[1] for p in parts], np.int32), [len(p[0]) for p in parts])[order]
+        self.places = np.concatenate([p[2] for p in parts]).astype(np.int32)[order]
+        self.filter = np.zeros(1 << 18, bool)
+        self.filter[(x >> np.uint64(46)).astype(np.int64)] = True
+
+    def hits(self, x: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(position, item, place in the item) for the window hashes of a document."""
+        maybe = np.nonzero(self.filter[(x >> np.uint64(46)).astype(np.int64)])[0]
+        if len(maybe):
+            a, b = (np.searchsorted(self.hashes, x[maybe], side) for side in ("left", "right"))
+            for k in np.nonzero(b > a)[0].tolist():
+                p = int(maybe[k])
+                for n, i in zip(self.items[a[k] : b[k]].tolist(), self.places[a[k] : b[k]].tolist()):
+                    yield p, n, i
+
+
 class Index:
-    """Template windows of one block of the benchmark."""
+    """Windows of one block of the benchmark, as templates and as plain words."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
-        self.items: list[tuple[int, list[str], np.ndarray]] = []
-        self.width: list[int] = []
+        self.items: list[tuple[int, list[str], np.ndarray, np.ndarray, np.ndarray]] = []
         words = Words()
-        places: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        parts: dict[tuple[bool, int], list[tuple[np.ndarray, int, np.ndarray]]] = defaultdict(list)
         for item_id, text in items:
             raw = text.split()
-            h, kinds, at = words.template(raw)
+            h, kinds, at, plain = words.template(raw)
             width = min(WINDOW, len(h))
+            if not width:
+                continue
             n = len(self.items)
-            self.items.append((item_id, [_classify(raw[i])[0] for i in at], kinds))
-            for i, x in enumerate(window_hashes(h, width).tolist() if width else []):
-                if (kinds[i : i + width] == LITERAL).sum() >= MIN_LITERAL:
-                    places[width][x].append((n, i))
-        self.places = {w: dict(p) for w, p in places.items()}
-        self.sorted = {w: np.array(sorted(p), np.uint64) for w, p in places.items()}
-        self.filter = {}
-        for w, x in self.sorted.items():
-            self.filter[w] = f = np.zeros(1 << 18, bool)
-            f[(x >> np.uint64(46)).astype(np.int64)] = True
-
-    def hits(self, h: np.ndarray, width: int) -> list[tuple[int, int]]:
-        """(document position, hash) of the windows that the block has."""
-        x = window_hashes(h, width)
-        maybe = np.nonzero(self.filter[width][(x >> np.uint64(46)).astype(np.int64)])[0]
-        if not len(maybe):
-            return []
-        y, known = x[maybe], self.sorted[width]
-        k = np.minimum(np.searchsorted(known, y), len(known) - 1)
-        sure = maybe[known[k] == y]
-        return list(zip(sure.tolist(), x[sure].tolist()))
+            looks = [_classify(raw[i]) for i in at]
+            self.items.append((item_id, [x[0] for x in looks], kinds, h, plain))
+            literal = np.convolve(kinds == LITERAL, np.ones(width, int), "valid")
+            usable = np.nonzero(literal >= MIN_LITERAL)[0]
+            parts[False, width].append((window_hashes(h, width)[usable], n, usable))
+            parts[True, width].append((window_hashes(plain, width), n, np.arange(len(literal))))
+            if looks[0][2] and kinds[0] == LITERAL and literal[0] >= MIN_LITERAL:
+                # after a heading the first word would look like a name
+                first = np.append(_PLACEHOLDER[NAME], h[1:width])
+                parts[False, width].append((window_hashes(first, width), n, np.zeros(1, int)))
+        self.windows = {key: Windows(p) for key, p in parts.items()}
 
     def match(self, text: str | None, words: Words) -> dict[int, tuple[int, bool]]:
         """Item -> (longest run of words, whether all its slots are the item's own)."""
         raw = (text or "").split()
-        h, kinds, at = words.template(raw) if raw else (np.empty(0, np.uint64), np.empty(0, np.int8), np.empty(0, np.int64))
         out: dict[int, tuple[int, bool]] = {}
-        for width, places in self.places.items():
-            if len(h) < width:
-                continue
-            diagonals: dict[tuple[int, int], list[int]] = defaultdict(list)
-            for p, x in self.hits(h, width):
-                for n, i in places[x]:
-                    diagonals[n, p - i].append(i)
-            for (n, shift), starts in diagonals.items():
-                item_id, values, item_kinds = self.items[n]
-                need = min(MIN_RUN, len(values))
-                for a, b in _runs(starts, width):
-                    if b - a < need:
-                        continue
-                    a, b, same = _consistent(values, item_kinds, a, b, [_classify(raw[at[j + shift]])[0] for j in range(a, b)], need)
-                    if b - a >= need and (item_id not in out or (b - a, same) > out[item_id]):
-                        out[item_id] = (b - a, same)
+        if not raw:
+            return out
+        h, _, at, plain = words.template(raw)
+        diagonals: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+        for (as_plain, width), windows in self.windows.items():
+            for p, n, i in windows.hits(window_hashes(plain if as_plain else h, width)):
+                diagonals[n, p - i].append((i, i + width))
+        for (n, shift), starts in diagonals.items():
+            item_id, values, item_kinds, item_h, item_plain = self.items[n]
+            need = min(MIN_RUN, len(values))
+            lo, hi = max(0, -shift), min(len(values), len(h) - shift)
+            agree = lambda j: item_h[j] == h[j + shift] or item_plain[j] == plain[j + shift]  # noqa: B023, E731
+            for a, b in _runs(sorted(starts), agree, lo, hi):
+                if b - a < need:
+                    continue
+                a, b, same = _consistent(values, item_kinds, a, b, [_classify(raw[at[j + shift]])[0] for j in range(a, b)], need)
+                if b - a >= need and (item_id not in out or (b - a, same) > out[item_id]):
+                    out[item_id] = (b - a, same)
         return out
 
 
-def _runs(starts: list[int], width: int) -> Iterator[tuple[int, int]]:
-    """Ranges of item words that windows starting at ``starts`` (ascending) cover without a gap."""
-    a = b = -1
-    for i in starts:
-        if i > b:
+def _runs(starts: list[tuple[int, int]], agree: Callable[[int], bool], lo: int, hi: int) -> Iterator[tuple[int, int]]:
+    """Ranges of item words in [lo, hi) that agree without a gap around the windows ``starts`` (ascending)."""
+    a = b = lo
+    for i, j in starts:
+        if i >= b:
             if b > a:
                 yield a, b
-            a = i
-        b = i + width
+            a, stop = i + (not agree(i)), b  # another name may stand in the first word's place
+            while a > stop and agree(a - 1):
+                a -= 1
+        elif j <= b:
+            continue
+        b = j
+        while b < hi and agree(b):
+            b += 1
     if b > a:
         yield a, b
 

@@ -38,6 +38,30 @@ def test_slot_consistency():
     assert 1 not in index.match(mixed, words)
 
 
+def test_verbatim_copies_need_no_literals():
+    items = [
+        "What is 12 times 7 plus 30 minus 5?",
+        "Convert 5 miles 300 yards and 2 feet to 7 km 20 m and 3 cm.",
+        "Which Famous Roman Emperor Built The Great Wall Across Northern Britain After Hadrian Died?",
+        "Add 2 and 2.",
+        "Name the capital of France",
+        "Name the old capital of northern France today",
+    ]
+    index, words = D.Index(list(enumerate(items))), D.Words()
+    for i, t in enumerate(items):
+        n = len(t.split())
+        for text in (t, t.upper(), t.lower(), f"Some heading {t} and more", f"A sentence. {t}"):
+            assert index.match(text, words).get(i) == (n, True), (t, text)
+    assert index.match("A heading What is 40 times 9 plus 31 minus 6?", words) == {0: (9, False)}
+    assert index.match("Convert 6 miles 301 yards and 3 feet to 8 km 21 m and 4 cm. Add 2 and 3.", words) == {}
+
+
+def test_a_heading_does_not_hide_a_template():
+    index, words = D.Index([(1, "Give him exactly 3 of those")]), D.Words()
+    assert index.match("Some heading Give him exactly 4 of those things", words) == {1: (6, False)}
+    assert index.match("Some heading Tell him exactly 4 of those things", words) == {}
+
+
 def test_matches_brute_force_and_blocks(spark):
     rnd = random.Random(4)
     word = lambda: "".join(rnd.choice("abc") for _ in range(3))
