@@ -3,9 +3,11 @@
 Markup is stripped to lines (one per block element); each line remembers whether
 it stands in a boilerplate container and how much of it is link text. The
 text lengths of non-boilerplate lines are summed over a sliding window of
-lines; where the sum rises over a threshold the text surges, where it falls to
-nothing it dives, and the lines between are kept. Lines of an explicit article
-count as over the threshold, so short articles keep all their paragraphs.
+lines; where the sum rises over a threshold (or, on short pages, to its peak) the
+text surges, where it falls to nothing it dives, and the lines between are kept, but
+for those of links alone. Where an explicit article holds most of the text, its lines
+count as over the threshold, so short articles keep all their paragraphs, and the
+rest of the page goes.
 
 Defined results: null or empty html gives an empty text; truncated pages and
 unclosed tags are read as far as they go; repeated rows give repeated rows;
@@ -61,12 +63,13 @@ def _boiler(tag: str, attrs: str, in_article: bool) -> bool:
 
 
 class Line:
-    """Text of one block; ``zone``: 'article', 'boiler' or ''."""
+    """Text of one block; ``links``: characters of link text; ``bare``: all its words are links; ``zone``: 'article', 'boiler' or ''."""
 
-    __slots__ = ("text", "links", "zone")
+    __slots__ = ("text", "links", "bare", "zone")
 
-    def __init__(self, text: str, links: int, zone: str) -> None:
-        self.text, self.links, self.zone = text, links, zone
+    def __init__(self, text: str, links: str, zone: str) -> None:
+        self.text, self.links, self.zone = text, len(links), zone
+        self.bare = bool(links) and sum(map(str.isalnum, links)) >= sum(map(str.isalnum, text))
 
 
 def to_lines(page: str) -> list[Line]:
@@ -81,7 +84,7 @@ def to_lines(page: str) -> list[Line]:
         if parts:
             text = " ".join(html_lib.unescape("".join(parts)).split())
             if text:
-                lines.append(Line(text, len(" ".join(html_lib.unescape("".join(links)).split())), zone))
+                lines.append(Line(text, " ".join(html_lib.unescape("".join(links)).split()), zone))
             parts.clear()
             links.clear()
 
@@ -158,15 +161,18 @@ def _segments(weights: list[int], window: int, surge: int) -> list[tuple[int, in
 def extract(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The main text of one page."""
     lines = to_lines(page or "")
-    explicit = any(x.zone == "article" for x in lines)
-    usable = [x.zone == "article" if explicit else x.zone != "boiler" and x.links <= MAX_LINK_SHARE * len(x.text) for x in lines]
+    usable = [x.zone != "boiler" and x.links <= MAX_LINK_SHARE * len(x.text) for x in lines]
+    # a teaser in an article element does not stand for the page
+    inside = sum(len(x.text) for x in lines if x.zone == "article")
+    explicit = inside > sum(len(x.text) for x, ok in zip(lines, usable) if ok and x.zone != "article")
+    if explicit:
+        usable = kept = [x.zone == "article" for x in lines]
+    else:
+        kept = [x.zone != "boiler" and not x.bare for x in lines]
     weights = [(len(x.text) + surge * explicit) * ok for x, ok in zip(lines, usable)]
-    found = _segments(weights, window, surge)
-    if not explicit and found:
-        # without an article element the heaviest stretch is the text, with others of half its weight
-        sums = [sum(weights[a:b]) for a, b in found]
-        found = [s for s, w in zip(found, sums) if 2 * w >= max(sums)]
-    return " ".join(lines[i].text for a, b in found for i in range(a, b) if usable[i])
+    peak = max((sum(weights[i : i + window]) for i in range(len(weights))), default=0)
+    found = _segments(weights, window, min(surge, peak)) if peak else []
+    return " ".join(lines[i].text for a, b in found for i in range(a, b) if kept[i])
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -28,6 +28,20 @@ def test_line_blocks_without_article():
     assert all(f"word {i}" in text for i in range(5)) and "home" not in text and "next page" not in text
 
 
+def test_nothing_else_is_dropped_without_article():
+    long, last = "word " * 180, "closing words " * 14
+    page = f"<body><div><p>{long}</p><div class=ad>x</div><div class=ad>y</div><div class=ad>z</div><p>{last}</p></div></body>"
+    assert extract(page) == f"{long.strip()} {last.strip()}"
+    assert extract("<body><nav>menu</nav><div><p>A short page.</p><p>Two lines.</p></div></body>") == "A short page. Two lines."
+    linked = f"<p>See <a>{'linked words ' * 10}</a> here</p>"
+    assert "linked words" in extract(f"<body><div><p>{long}</p>{linked}<p>{last}</p></div></body>")
+
+
+def test_teaser_article_is_not_the_page():
+    text = extract(f"<body><article><p>Teaser card</p></article><div>{'<p>' + 'main text ' * 30 + '</p>'}</div></body>")
+    assert text.count("main text") == 30
+
+
 def test_pages_frame(spark):
     rows = [(1, "u", PAGE), (2, None, None), (1, "u", PAGE), (None, "v", "")]
     out = extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as text"))
