@@ -5,7 +5,7 @@ kind; emails are found from each ``@`` outwards, so the cost is linear in the te
 even for very long runs. Then a chain of transducers rewrites the text, each
 keeping for every output character the source range it came from: look-alike,
 full-width and other-script characters to ASCII and invisible ones dropped;
-spelled digits to digits; letters that stand for digits; ``at`` and ``dot`` in words or
+spelled digits to digits; dot words between figures to dots; letters that stand for digits; ``at`` and ``dot`` in words or
 brackets. Identifiers found in the result map back to source offsets and are
 added where they cover a rewritten or dropped character and overlap no base span of their kind.
 
@@ -171,8 +171,9 @@ _DW = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _DOT_WORD = r"(?:dot|point|punkt|punto)"
 _PLUS_WORD = r"(?:plus|más)"
 #: A run of at least three spelled digits, which may hold figures, "double", dots and a plus before it.
-_SPELLED = re.compile(rf"(?<!\w)(?:{_PLUS_WORD}[\s,-]+)?(?:(?:double|triple)\s+)?(?:{_DW})(?:(?:[\s,-]+(?:{_DOT_WORD}[\s,-]+)?|\s*\.\s*)(?:(?:double|triple)\s+)?(?:{_DW}|[0-9]+))+(?!\w)", re.I)
-_SPELLED_PAIR = re.compile(rf"(?<!\w)(?:{_DW})[\s,.-]+(?:double\s+|triple\s+|{_DOT_WORD}\s+)?(?:{_DW})(?!\w)", re.I)
+_SPELLED = re.compile(rf"(?<!\w)(?:{_PLUS_WORD}[\s,-]+(?:[0-9]+[\s,-]+)?)?(?:(?:double|triple)\s+)?(?:{_DW})(?:(?:[\s,-]+(?:{_DOT_WORD}[\s,-]+)?|\s*\.\s*)(?:(?:double|triple)\s+)?(?:{_DW}|[0-9]+))+(?!\w)", re.I)
+#: The start of every such run.
+_SPELLED_PAIR = re.compile(rf"(?<!\w)(?:{_DW})(?:[\s,-]+(?:{_DOT_WORD}[\s,-]+)?|\s*\.\s*)(?:(?:double|triple)\s+)?(?:{_DW}|[0-9])", re.I)
 _SPELLED_TOKEN = re.compile(rf"{_PLUS_WORD}(?!\w)|{_DOT_WORD}(?!\w)|double(?!\w)|triple(?!\w)|{_DW}|[0-9]+|\.", re.I)
 
 
@@ -197,6 +198,13 @@ def spelled_digits(m: Mapped) -> Mapped:
     return m.edit(edits)
 
 
+_FIGURE_DOT = re.compile(rf"(?<=[0-9])\s{{1,3}}{_DOT_WORD}\s{{1,3}}(?=[0-9])", re.I)
+
+
+def figure_dots(m: Mapped) -> Mapped:
+    return m.edit((x.start(), x.end(), ".") for x in _FIGURE_DOT.finditer(m.text))
+
+
 _DIGIT_LETTER = re.compile(r"(?<=[0-9])[OoIl]{1,3}(?=[\s.-]?[0-9])")
 
 
@@ -216,6 +224,26 @@ _LABELS = re.compile(_DOT, re.I)
 _HINT = re.compile(rf"[\[({{<]\s{{0,3}}(?:at|@|ät|arroba|arobase|{_DOT_WORD}|\.)\s{{0,3}}[\])}}>]|\s{_DOT_WORD}\s|\s@|@\s|\s(?:at|arroba|arobase|ät)\s+[A-Za-z0-9-]+\.[A-Za-z0-9-]", re.I)
 
 
+# Endings that no sentence has; words before and after an "at" of prose.
+SURE_ENDINGS = (".com", ".org", ".net", ".edu", ".de", ".fr", ".es", ".io")
+BEFORE_AT = frozenset(
+    "look looks looked looking arrive arrives arrived meet meets met stay stays stayed live lives lived work works worked be is are was were been start starts started end ends ended stop stops stopped aim aimed laugh laughed good bad not and or but up back down out here there it he she we they you him her them us".split()
+)
+AFTER_AT = frozenset(
+    "this that these those the a an it its him her them us me you my your his our their all any each every some once least last first most best worst noon night midnight dawn dusk home work school lunch dinner breakfast times time hand present which what whom one two three four five six seven eight nine ten".split()
+)
+
+
+def _prose(local: str, domain: str) -> bool:
+    """Whether a spoken at with a written dot is more likely a sentence that lacks the space after its full stop."""
+    if domain.lower().endswith(SURE_ENDINGS):
+        return False
+    labels = domain.split(".")
+    if not labels[-1].isalpha() or len(labels[-1]) < 2 or (labels[-1][0].isupper() and not labels[-1].isupper()):
+        return True
+    return local.lower() in BEFORE_AT or labels[0].lower() in AFTER_AT
+
+
 def at_and_dot(m: Mapped) -> Mapped:
     if not _HINT.search(m.text):
         return m
@@ -229,13 +257,13 @@ def at_and_dot(m: Mapped) -> Mapped:
             continue
         spoken = not m.text[a:b].strip() == "@"
         dots = [*_DOT_WORDS.finditer(m.text, x.start(), a), *_DOT_WORDS.finditer(m.text, b, x.end())]
-        if spoken and not dots and not m.text[b : x.end()].lower().endswith((".com", ".org", ".net", ".edu", ".de", ".fr", ".es", ".io")):
+        if spoken and not dots and _prose(m.text[x.start() : a], m.text[b : x.end()]):
             continue  # "look at this.thing" is prose
         edits += sorted([(d.start(), d.end(), ".") for d in dots] + ([(a, b, "@")] if m.text[a:b] != "@" else []))
     return m.edit(edits)
 
 
-TRANSDUCERS: tuple[Callable[[Mapped], Mapped], ...] = (plain_characters, spelled_digits, digit_letters, at_and_dot)
+TRANSDUCERS: tuple[Callable[[Mapped], Mapped], ...] = (plain_characters, spelled_digits, figure_dots, digit_letters, at_and_dot)
 
 
 def normalise(text: str) -> Mapped | None:

@@ -58,6 +58,28 @@ def test_disguises_map_back_to_the_source():
         assert want in found(text), (text, found(text))
 
 
+def test_mixed_spellings_and_any_ending():
+    cases = {
+        "call plus four 9 one 7 two 3 three 1 four 5 now": ("phone", "plus four 9 one 7 two 3 three 1 four 5"),
+        "call plus 4 nine one 7 two 3 three 1 four 5 now": ("phone", "plus 4 nine one 7 two 3 three 1 four 5"),
+        "host 192 dot 168 dot 0 dot 1 is up": ("ip", "192 dot 168 dot 0 dot 1"),
+        "host 192 dot one six eight dot 0 dot 1 is up": ("ip", "192 dot one six eight dot 0 dot 1"),
+        "write jane at example.co.uk today": ("email", "jane at example.co.uk"),
+        "write jane at example.info today": ("email", "jane at example.info"),
+    }
+    for text, want in cases.items():
+        assert want in found(text), (text, found(text))
+    for text in ["we met at noon.Then we left", "look at this.thing now", "version 3 point 5", "Anna arrived at once.but late"]:
+        assert found(text) == set(), text
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["one", "nine", "4", "17", "plus", "double", "dot", ".", ",", " ", " ", "-", "x"]), max_size=14))
+def test_the_first_test_is_no_narrower_than_the_runs(pieces):
+    text = "".join(pieces)
+    assert not pii._SPELLED.search(text) or pii._SPELLED_PAIR.search(text)
+
+
 def test_clean_prose_has_no_spans():
     for text in ["we met at noon. dot the i", "look at this.thing now", "one two three go", "null eins zwei", "Привет мир", "at at at dot dot"]:
         assert found(text) == set(), text
