@@ -17,7 +17,8 @@ Equal sets become one class first. The pairs of small buckets, and in large ones
 set and the best connected member, are candidates unless sizes or sketches rule them
 out; sets that candidates hold together are verified in blocks of bounded size. Then
 sets of different components that a large bucket still ties are verified likewise.
-All verification is exact on whole texts.
+All verification is exact on whole texts. Numbers of links are added up inside the
+blocks, so that the links of a large group are no rows unless ``links`` is asked for.
 
 Defined results: a null or empty text has no shingles and is linked with nothing;
 with fewer words than a shingle the whole sequence is the one shingle; a null doc_id
@@ -440,8 +441,8 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return near.join(ids, "id").dropDuplicates(["id"])
 
 
-def block_links(join: Join, ids: list[int], labels: list[int], sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Links between a left and a right set of different labels that join labels not yet joined by earlier ones."""
+def block_matrix(join: Join, labels: list[int], sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which left and right sets of different labels are linked."""
     lens = np.array([len(s) for s in sets])
     every = np.concatenate(sets) if sets else np.empty(0, np.uint64)
     _, column, times = np.unique(every, return_inverse=True, return_counts=True)
@@ -472,7 +473,11 @@ def block_links(join: Join, ids: list[int], labels: list[int], sets: list[np.nda
     label = np.array(labels)
     inter = both.astype(np.int64)
     ok = join.den * inter >= join.num * (lens[:, None] + lens[None, :] - inter)
-    ok &= (label[:, None] != label[None, :]) & left[:, None] & right[None, :]
+    return ok & (label[:, None] != label[None, :]) & left[:, None] & right[None, :]
+
+
+def block_links(ids: list[int], labels: list[int], ok: np.ndarray) -> list[tuple[int, int]]:
+    """The links of ``ok`` that join labels not yet joined by earlier ones."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -489,42 +494,53 @@ def block_links(join: Join, ids: list[int], labels: list[int], sets: list[np.nda
     return out
 
 
-def _verify(ties: DataFrame, labels: DataFrame | None, docs: DataFrame, info: DataFrame, join: Join) -> DataFrame:
-    """Links that join what the ties (a, b), pairs of labels, hold together; a document without a label is its own.
+def _verify(ties: DataFrame, labels: DataFrame | None, docs: DataFrame, info: DataFrame, join: Join, keep: str, weights: DataFrame) -> DataFrame:
+    """Links (a, b) that join what the ties (a, b), pairs of labels, hold together; a document without a label is its own.
 
     Tied labels form a cluster; its sets are dealt into blocks of about BLOCK_SHINGLES
     shingles and every two blocks meet in one group, so a text moves once per block of
-    its cluster, not once per pair. Of the links in a group only those are rows that join labels.
+    its cluster, not once per pair. ``keep`` tells what becomes of the links in a group: "joins",
+    those are rows that join labels; "all", each is a row; "counts", as "joins", and each
+    linked set has a row with b null and in ``links`` the weight of its partners.
     """
     clusters = components(ties).select(F.col("node").alias("label"), F.col("component").alias("cluster"))
     if labels is None:
         members = clusters.select("cluster", "label", F.col("label").alias("id"))
     else:
         members = clusters.join(labels, clusters["label"] == labels["component"], "left").select("cluster", "label", F.coalesce("node", "label").alias("id")).distinct()
-    rows = materialize(members.join(info.select("id", "n"), "id"), "members")
+    rows = members.join(info.select("id", "n"), "id")
+    rows = rows.join(weights.withColumnRenamed("rep", "id"), "id") if keep == "counts" else rows.withColumn("docs", F.lit(1).cast("long"))
+    rows = materialize(rows, "members")
     texts = materialize(texts_of(docs, rows.select("id").distinct()), "texts")
     total = rows.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     blocked = rows.join(total, "cluster").withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = blocked.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("cluster", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "id", "label").join(texts, "id")
+    dealt = dealt.select("cluster", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "id", "label", "docs").join(texts, "id")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         shingles = Shingler(join.width)
         left, right = (pdf["i"] == key[1]).to_numpy(), (pdf["i"] == key[2]).to_numpy()
         if pdf["label"].nunique() < 2 or not left.any() or not right.any():
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        found = block_links(join, pdf["id"].tolist(), pdf["label"].tolist(), [shingles(t) for t in pdf["text"]], left, right)
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    return dealt.groupBy("cluster", "x", "y").applyInPandas(run, "a long, b long")
-
-
-def classify(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) for every row."""
+            return pd.DataFrame({"a": [], "b": [], "links": []})
+        ids, labels = pdf["id"].to_numpy(), pdf["label"].tolist()
+        ok = block_matrix(join, labels, [shingles(t) for t in pdf["text"]], left, right)
+        if keep == "all":
+            i, j = np.nonzero(np.triu(ok | ok.T))
+            return pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j]), "links": None})
+        found = pd.DataFrame(block_links(ids.tolist(), labels, ok), columns=["a", "b"], dtype="int64").assign(links=None)
+        if keep == "joins":
+            return found
+        n = (ok | ok.T) @ pdf["docs"].to_numpy(np.int64)
+        return pd.concat([found, pd.DataFrame({"a": ids[n > 0], "b": None, "links": n[n > 0]})]).astype("Int64")
+
+    return dealt.groupBy("cluster", "x", "y").applyInPandas(run, "a long, b long, links long")
+
+
+def _find(docs: DataFrame, join: Join, keep: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents (doc_id, n, h1, h2), classes of equal sets with their representatives, and the rows of both verifications."""
     bounded_batches(docs.sparkSession)
-    join = Join(width, num, den)
     named = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sizes = F.greatest(F.lit(1), (F.octet_length("text") / WORD_BYTES).cast("long") - (width - 1))
+    sizes = F.greatest(F.lit(1), (F.octet_length("text") / WORD_BYTES).cast("long") - (join.width - 1))
     guess = named.filter("text is not null").select(F.floor(F.log2(sizes) * 8).alias("g")).groupBy("g").count().collect()  # a few hundred rows
     histogram: dict[int, int] = {}
     for r in guess:
@@ -532,7 +548,7 @@ def classify(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) ->
         histogram[band] = histogram.get(band, 0) + r["count"]
     index = _index(named, join, plans(join, histogram))
     info = index.filter("kind = 0").select(F.col("id").alias("doc_id"), "n", "h1", "h2")
-    classes = info.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    classes = info.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), (F.countDistinct("doc_id") if keep == "counts" else F.count("*")).alias("docs"))
     classes = materialize(classes, "classes")
     copies = info.join(classes.filter("copies > 1"), ["n", "h1", "h2"]).filter("doc_id <> rep").select("doc_id", "rep").dropDuplicates(["doc_id"])
     to_rep = lambda df, c: df.join(copies.withColumnRenamed("doc_id", c), c, "left").withColumn(c, F.coalesce("rep", c)).drop("rep")
@@ -542,15 +558,39 @@ def classify(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) ->
     # a document of which a bucket's edge speaks, with its size and sketch
     known = index.filter("kind = 0").select("id", "n", "sketch").dropDuplicates(["id"])
     edges = materialize(_prune(edges, known, join), "edges")
-    links = materialize(_verify(edges.filter("possible").select("a", "b"), None, named, known, join), "links")
-    first = materialize(components(links), "components")
+    weights = classes.groupBy("rep").agg(F.max("docs").alias("docs"))
+    links = materialize(_verify(edges.filter("possible").select("a", "b"), None, named, known, join, keep, weights), "links")
+    first = materialize(components(_pairs_of(links)), "components")
     of = lambda c: first.select(F.col("node").alias(c), F.col("component").alias(f"l{c}"))
     still = edges.filter("not closed").join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a <> b").distinct()
-    more = materialize(_verify(still, first, named, known, join), "links")
-    final = components(links.unionByName(more)).select(F.col("node").alias("rep"), "component")
+    # sets of one component were compared with each other above, so no link is found twice
+    more = materialize(_verify(still, first, named, known, join, keep, weights), "links")
+    return info, classes, links.unionByName(more)
+
+
+def _pairs_of(found: DataFrame) -> DataFrame:
+    return found.filter("b is not null").select("a", "b")
+
+
+def links(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """All links (a, b) with a < b between different sets, each named by its smallest doc_id."""
+    return _pairs_of(_find(docs, Join(width, num, den), "all")[2])
+
+
+def classify(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, count: bool = False) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) for every row; with ``count`` n_links as well, the documents that each is linked with."""
+    join = Join(width, num, den)
+    info, classes, found = _find(docs, join, "counts" if count else "joins")
+    final = components(_pairs_of(found)).select(F.col("node").alias("rep"), "component")
     linked = classes.join(final, "rep", "left").filter("copies > 1 or component is not null").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component"))
-    out = info.join(linked, ["n", "h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-    return out.unionByName(_unnamed(docs, join))
+    out = info.join(linked, ["n", "h1", "h2"], "left")
+    columns = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")]
+    if not count:
+        return out.select(*columns).unionByName(_unnamed(docs, join))
+    near = found.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("near"))
+    counted = classes.join(near, "rep", "left").select("n", "h1", "h2", (F.col("docs") - 1 + F.coalesce("near", F.lit(0))).alias("n_links")).filter("n_links > 0")
+    out = out.join(counted, ["n", "h1", "h2"], "left").select(*columns, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.unionByName(_unnamed(docs, join).withColumn("n_links", F.lit(0).cast("long")))
 
 
 def _unnamed(docs: DataFrame, join: Join) -> DataFrame:

@@ -32,6 +32,10 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classify(_table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
+def op4_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classify(_table(spark, sf_dir, "documents"), width=3, num=90, den=100, count=True)
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(_table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Query] = {
     "op2_sharding": op2_sharding,
     "op3_pii": op3_pii,
     "op4_ngram_join": op4_ngram_join,
+    "op4_ngram_links": op4_ngram_links,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_spm_sample": op6_spm_sample,
     "op7_quality_rules": op7_quality_rules,

@@ -63,6 +63,24 @@ def test_equals_brute_force(spark, monkeypatch, width, num, den, wide):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(docs, width, num, den) and len(got) == len(docs)
 
 
+@pytest.mark.parametrize("many", [False, True])
+def test_all_links_and_their_numbers(spark, monkeypatch, many):
+    if many:
+        monkeypatch.setattr(N, "BLOCK_SHINGLES", 400)
+        monkeypatch.setattr(N, "SMALL_BUCKET", 2)
+        monkeypatch.setattr(N, "LOCAL_BUCKET", 1)
+    docs = corpus(11 + many)
+    sets = {i: shingle_set(t, 3) for i, t in docs}
+    linked = lambda x, y: bool(x & y) and 10 * len(x & y) >= 8 * len(x | y)
+    rep = {i: min(j for j in sets if sets[j] == sets[i]) for i in sets}
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = N.classify(frame, 3, 8, 10, count=True).collect()
+    assert {r.doc_id: r.n_links for r in got} == {i: sum(linked(sets[i], sets[j]) for j in sets if j != i) for i in sets} and len(got) == len(docs)
+    pairs = [(r.a, r.b) for r in N.links(frame, 3, 8, 10).collect()]
+    reps = set(rep.values())
+    assert len(pairs) == len(set(pairs)) and set(pairs) == {(a, b) for a in reps for b in reps if a < b and linked(sets[a], sets[b])}
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.integers(0, 10**6), st.sampled_from([(9, 10), (8, 10)]))
 def test_sketches_rule_out_no_link(seed, threshold):
