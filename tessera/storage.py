@@ -10,33 +10,49 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder, as in tests.
-FALLBACK_DIR = "/tmp/checkpoints"
+#: Used only in local mode, and only where the session names no shared folder, as in tests.
+LOCAL_DIR = "/tmp/checkpoints"
 
 _written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one only where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR).rstrip("/")
-
-
-def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and return it as read from there."""
+    """The folder of ``spark.checkpoint.dir``; a cluster without one is an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return LOCAL_DIR
+
+
+def materialize(df: DataFrame, name: str, partition_by: str | None = None, scratch: list[str] | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and return it as read from there; its path is added to ``scratch``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
     _written.append(path)
+    if scratch is not None:
+        scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Delete the tables that this process wrote; frames that read them can't be used afterwards."""
+def discard(spark: SparkSession, paths: list[str]) -> int:
+    """Delete tables that no frame still to be run reads, and empty the list."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     n = 0
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    while paths:
+        name = paths.pop()
+        path = jvm.org.apache.hadoop.fs.Path(name)
         n += bool(path.getFileSystem(conf).delete(path, True))
+        if name in _written:
+            _written.remove(name)
     return n
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all tables that this process wrote; frames that read them can't be used afterwards."""
+    return discard(spark, list(_written))
