@@ -7,22 +7,25 @@ Segments with v = 1 are indexed as the subset of the set that falls into them;
 v = 2 adds the neighbourhood of that subset with one shingle deleted; v = 0 is not indexed.
 Two plans compete per band, by estimated records and chance candidates from the
 corpus' own length histogram: H + 1 segments with v = 1, or half as many with
-v = 2. In the first plan an empty segment, which would match too much, gets
-v = 0 and its successor v = 2: it is indexed only with the one-deletion
-neighbourhood of the next segment. (If two sets agree on k empty segments and
-on no other, at most k - 1 segments differ by two or more, so one of the k
-successors differs by at most one.) No link is lost under either plan.
+v = 2. In the first plan a weak segment, one that holds nothing or only one or two of the
+corpus' most frequent shingles and so would match too much, gets v = 0 and its successor
+v = 2: it is indexed only with the one-deletion neighbourhood of the next segment. (If
+two sets agree on k weak segments and on no other, at most k - 1 segments differ by two or
+more, so one of the k successors differs by at most one.) No link is lost under either
+plan, whichever shingles count as frequent.
 
 Equal sets become one class first. The pairs of small buckets, and in large ones each
 set and the best connected member, are candidates unless sizes or sketches rule them
-out; sets that candidates hold together are verified in blocks of bounded size. Then
-sets of different components that a large bucket still ties are verified likewise.
+out; sets that candidates hold together are verified in blocks of bounded size, those of
+a large cluster within their block and with the cluster's best connected set. Then the sets of different
+components that a large bucket or a candidate still ties are compared by sketches, size
+band by size band, and what is left is verified between all blocks.
 All verification is exact on whole texts. Numbers of links are added up inside the
 blocks, so that the links of a large group are no rows unless ``links`` is asked for.
 
 Defined results: a null or empty text has no shingles and is linked with nothing;
-with fewer words than a shingle the whole sequence is the one shingle; a null doc_id
-is linked with nothing and gets a null component; repeated rows are one
+with fewer words than a shingle the whole sequence is the one shingle; a doc_id that is
+null or no integer is linked with nothing and gets a null component; repeated rows are one
 class; a doc_id stands for one text (of rows that repeat it with another text, one is
 compared); columns besides doc_id and text are not read.
 """
@@ -37,18 +40,21 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
 from tessera.llm.exchange import SCATTERED, bounded_batches, exchange, pack, partition_count, partition_ids, scatter, unpack, witnesses
-from tessera.storage import materialize
+from tessera.storage import discard, materialize
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 _S33, _S29, _S32 = np.uint64(33), np.uint64(29), np.uint64(32)
 VOCABULARY = 150_000
-#: Records that a map task combines at once, and shingles of a block of texts.
-FLUSH, BLOCK_SHINGLES = 1_500_000, 150_000
+#: Records that a map task combines at once; shingles and sets of a block of texts; sets of a block of sketches.
+FLUSH, BLOCK_SHINGLES, BLOCK_SETS, BLOCK_SKETCHES = 1_500_000, 150_000, 1_500, 4_096
+#: Frequent shingles for the plans: at most so many, with at least so many documents, and repeated in a map task.
+FREQUENT, FREQUENT_DOCS, REPEATED = 1 << 18, 128, 8
 #: Members of a bucket up to which all its pairs are verified, and that a map task sends on as they are. Larger buckets go by hubs.
 SMALL_BUCKET, LOCAL_BUCKET = 64, 8
 PAIRS_AT_ONCE = 500_000
@@ -137,16 +143,53 @@ def plans(join: Join, histogram: dict[int, int]) -> dict[int, bool]:
     return out
 
 
-def signatures(join: Join, x: np.ndarray, wide_plan: dict[int, bool]) -> np.ndarray:
-    """The index keys of a set under all its schemes."""
+def frequent(docs: DataFrame, width: int) -> np.ndarray:
+    """The corpus' most frequent shingles, ascending: at most FREQUENT hashes, from counts over all documents.
+
+    Map tasks count each of their distinct sets once and send on what repeats there. Only the cost of the index hangs on the result.
+    """
+
+    def count(sets: list[np.ndarray]) -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate(sets), return_counts=True)
+        chosen = n >= REPEATED
+        return pa.RecordBatch.from_arrays([pa.array(h[chosen].view(np.int64)), pa.array(n[chosen].astype(np.int64))], names=["h", "n"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingler(width)
+        held: dict[bytes, np.ndarray] = {}
+        size = 0
+        for b in batches:
+            for text in b.column(0):
+                x = shingles(text.as_py())
+                if len(x) and (digest := xxhash.xxh3_128_digest(x)) not in held:
+                    held[digest] = x
+                    size += len(x)
+                    if size > FLUSH:
+                        yield count(list(held.values()))
+                        held, size = {}, 0
+        if held:
+            yield count(list(held.values()))
+
+    counts = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT_DOCS)
+    top = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).select("h").toArrow()  # at most FREQUENT numbers
+    return np.sort(top.column(0).to_numpy().astype(np.int64).view(np.uint64))
+
+
+def signatures(join: Join, x: np.ndarray, wide_plan: dict[int, bool], common: np.ndarray | None = None) -> np.ndarray:
+    """The index keys of a set under all its schemes; ``common``: the frequent shingles, ascending."""
     out = []
     mixed = _mix(x + _A)
+    value = _mix(mixed ^ _B)
+    rare = None
+    if common is not None and len(common):
+        rare = common[np.minimum(np.searchsorted(common, x), len(common) - 1)] != x
+        if rare.all():
+            rare = None
     for band in join.schemes(len(x)):
         h = join.difference(band)
         wide = wide_plan.get(band, False)
         m = (h + 2) // 2 if wide else h + 1
         segment = (((mixed >> _S32) * np.uint64(m)) >> _S32).astype(np.int64)
-        value = _mix(mixed ^ _B)
         sums = np.zeros(m, np.uint64)
         np.add.at(sums, segment, value)
         salt = _mix((np.arange(m, dtype=np.uint64) + np.uint64(1)) * _A + np.uint64(band))
@@ -155,17 +198,26 @@ def signatures(join: Join, x: np.ndarray, wide_plan: dict[int, bool]) -> np.ndar
             # with an odd H + 1 the last segment has v = 2 as well, which only adds candidates
             out.append(_mix(sums[segment] - value + salt[segment]))
             continue
-        empty = np.bincount(segment, minlength=m) == 0
-        out.append(_mix(sums[~empty] + salt[~empty]))
-        if empty.any() and m > 1:
-            after = np.nonzero(empty)[0]
+        size = np.bincount(segment, minlength=m)
+        weak = size == 0
+        if rare is not None:
+            weak |= (size <= 2) & (np.bincount(segment[rare], minlength=m) == 0)
+        if m == 1:
+            weak[:] = False  # nothing may differ, so the whole set is the key
+        out.append(_mix(sums[~weak] + salt[~weak]))
+        if weak.any():
+            after = np.nonzero(weak)[0]
             nxt = (after + 1) % m
-            pair = _mix(salt[after] ^ _C)
+            pair = _mix((salt[after] + sums[after]) ^ _C)
             out.append(_mix(sums[nxt] + salt[nxt] + pair))
-            for s, e, p in zip(nxt, after, pair):
-                inside = value[segment == s]
-                if len(inside):
-                    out.append(_mix(sums[s] - inside + salt[s] + p))
+            # each shingle of the next segment deleted in turn
+            behind = np.zeros(m, np.uint64)
+            behind[nxt] = pair
+            follows = np.zeros(m, bool)
+            follows[nxt] = True
+            at = np.nonzero(follows[segment])[0]
+            s = segment[at]
+            out.append(_mix(sums[s] - value[at] + salt[s] + behind[s]))
     return np.unique(np.concatenate(out))
 
 
@@ -274,7 +326,7 @@ def _distinct_edges(a: np.ndarray, b: np.ndarray, closed: np.ndarray) -> tuple[n
     return a[new], b[new], closed[new]
 
 
-def _index(docs: DataFrame, join: Join, wide_plan: dict[int, bool]) -> DataFrame:
+def _index(docs: DataFrame, join: Join, wide_plan: dict[int, bool], common: Broadcast, scratch: list[str]) -> DataFrame:
     """kind 0: a document's size, set hash and sketch; kind 1: candidate edges (id, other, closed).
 
     Buckets never become rows: inside a task, map or reduce, their members are tied to a
@@ -339,7 +391,7 @@ def _index(docs: DataFrame, join: Join, wide_plan: dict[int, bool]) -> DataFrame
                 x = shingles(text.as_py())
                 m = _mix(x + _C)
                 info.append((doc_id, len(x), int(m.sum()), int(_mix(m + _A).sum())))
-                keys.append(signatures(join, x, wide_plan) if len(x) else x)
+                keys.append(signatures(join, x, wide_plan, common.value) if len(x) else x)
                 sketches.append(sketch(m).tobytes())
                 held += len(keys[-1])
                 if held > FLUSH:
@@ -407,10 +459,10 @@ def _index(docs: DataFrame, join: Join, wide_plan: dict[int, bool]) -> DataFrame
             zero = pa.array(np.zeros(len(a), np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(a), np.int32)), pa.array(a), pa.array(b), zero, zero, zero, pa.array(closed), pa.nulls(len(a), pa.binary())], names=names)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(emit, SCATTERED)
+    rows = docs.mapInArrow(emit, SCATTERED)
     found = exchange(rows, n_parts).mapInArrow(gather, SCATTERED)
     out = exchange(found, n_parts).mapInArrow(settle, "kind int, id long, other long, n long, h1 long, h2 long, closed boolean, sketch binary")
-    return materialize(out, "candidates", partition_by="kind")
+    return materialize(out, "candidates", partition_by="kind", scratch=scratch)
 
 
 def _prune(edges: DataFrame, info: DataFrame, join: Join) -> DataFrame:
@@ -478,78 +530,183 @@ def block_matrix(join: Join, labels: list[int], sets: list[np.ndarray], left: np
 
 def block_links(ids: list[int], labels: list[int], ok: np.ndarray) -> list[tuple[int, int]]:
     """The links of ``ok`` that join labels not yet joined by earlier ones."""
-    parent: dict[int, int] = {}
+    i, j = np.nonzero(ok)
+    at = {(labels[x], labels[y]): (ids[x], ids[y]) for x, y in zip(i.tolist(), j.tolist())}
+    return [at[pair] for pair in forest(*map(list, zip(*at)))] if at else []
 
-    def root(x: int) -> int:
-        while parent.get(x, x) != x:
-            parent[x] = x = parent.get(parent[x], parent[x])
-        return x
 
-    out = []
-    for i, j in zip(*np.nonzero(ok)):
-        p, q = root(labels[i]), root(labels[j])
-        if p != q:
-            parent[max(p, q)] = min(p, q)
-            out.append((ids[i], ids[j]))
-    return out
-
-
-def _verify(ties: DataFrame, labels: DataFrame | None, docs: DataFrame, info: DataFrame, join: Join, keep: str, weights: DataFrame) -> DataFrame:
-    """Links (a, b) that join what the ties (a, b), pairs of labels, hold together; a document without a label is its own.
+def _verify(ties: DataFrame, labels: DataFrame | None, docs: DataFrame, info: DataFrame, join: Join, keep: str, weights: DataFrame, all_blocks: bool, scratch: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Links among the sets that the ties (a, b) hold together, and the sets of clusters of several blocks.
 
-    Tied labels form a cluster; its sets are dealt into blocks of about BLOCK_SHINGLES
-    shingles and every two blocks meet in one group, so a text moves once per block of
-    its cluster, not once per pair. ``keep`` tells what becomes of the links in a group: "joins",
-    those are rows that join labels; "all", each is a row; "counts", as "joins", and each
+    Tied sets form a cluster, dealt into blocks of about BLOCK_SHINGLES shingles and BLOCK_SETS sets. Clusters of
+    one block share groups; of others either every two blocks meet (``all_blocks``), so a text moves once per block of its
+    cluster, or each block meets itself and the set with the most ties. Sets of one label (a set without
+    a label is its own) are not compared. ``keep`` tells what becomes of the links in a group: "joins",
+    those are rows (a, b) that join labels; "all", each is a row; "counts", as "joins", and each
     linked set has a row with b null and in ``links`` the weight of its partners.
     """
-    clusters = components(ties).select(F.col("node").alias("label"), F.col("component").alias("cluster"))
-    if labels is None:
-        members = clusters.select("cluster", "label", F.col("label").alias("id"))
-    else:
-        members = clusters.join(labels, clusters["label"] == labels["component"], "left").select("cluster", "label", F.coalesce("node", "label").alias("id")).distinct()
-    rows = members.join(info.select("id", "n"), "id")
+    own: list[str] = []
+    spark = docs.sparkSession
+    clusters = components(ties, own).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    ends = ties.select(F.col("a").alias("id")).unionByName(ties.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("ties"))
+    rows = clusters.join(ends, "id").join(info.select("id", "n"), "id")
+    rows = rows.withColumn("label", F.col("id")) if labels is None else rows.join(labels.select(F.col("node").alias("id"), F.col("component").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
     rows = rows.join(weights.withColumnRenamed("rep", "id"), "id") if keep == "counts" else rows.withColumn("docs", F.lit(1).cast("long"))
-    rows = materialize(rows, "members")
-    texts = materialize(texts_of(docs, rows.select("id").distinct()), "texts")
-    total = rows.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    blocked = rows.join(total, "cluster").withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = blocked.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("cluster", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "id", "label", "docs").join(texts, "id")
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        shingles = Shingler(join.width)
-        left, right = (pdf["i"] == key[1]).to_numpy(), (pdf["i"] == key[2]).to_numpy()
-        if pdf["label"].nunique() < 2 or not left.any() or not right.any():
-            return pd.DataFrame({"a": [], "b": [], "links": []})
-        ids, labels = pdf["id"].to_numpy(), pdf["label"].tolist()
-        ok = block_matrix(join, labels, [shingles(t) for t in pdf["text"]], left, right)
+    total = rows.groupBy("cluster").agg(
+        F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("blocks"),
+        F.max(F.struct("ties", F.negative("id").alias("least"))).alias("top"),
+    )
+    rows = rows.join(total.select("cluster", "blocks", F.negative("top.least").alias("lead")), "cluster")
+    rows = materialize(rows, "members", scratch=own)
+    texts = materialize(texts_of(docs, rows.select("id").distinct()), "texts", scratch=own)
+    bins = rows.filter("blocks = 1").agg(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_SETS).alias("x")).first().x
+    blocked = rows.withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # clusters of one block by the block-full; the others' group is the cluster
+    group = F.when(F.col("blocks") == 1, -1 - F.pmod(F.xxhash64("cluster"), F.lit(1 + int(bins or 0)))).otherwise(F.col("cluster"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    others = every if all_blocks else F.when(F.col("id") == F.col("lead"), every).otherwise(F.array("i"))
+    dealt = blocked.withColumn("group", group).withColumn("j", F.explode(others))
+    x, y = (F.least("i", "j"), F.greatest("i", "j")) if all_blocks else (F.col("j"), F.col("j"))
+    dealt = dealt.select("group", x.alias("x"), y.alias("y"), "cluster", "i", "id", "label", "docs").join(texts, "id")
+
+    def links_of(ids: np.ndarray, labels: list[int], weight: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> pd.DataFrame:
+        ok = block_matrix(join, labels, sets, left, right)
         if keep == "all":
             i, j = np.nonzero(np.triu(ok | ok.T))
             return pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j]), "links": None})
         found = pd.DataFrame(block_links(ids.tolist(), labels, ok), columns=["a", "b"], dtype="int64").assign(links=None)
         if keep == "joins":
             return found
-        n = (ok | ok.T) @ pdf["docs"].to_numpy(np.int64)
+        n = (ok | ok.T) @ weight
         return pd.concat([found, pd.DataFrame({"a": ids[n > 0], "b": None, "links": n[n > 0]})]).astype("Int64")
 
-    return dealt.groupBy("cluster", "x", "y").applyInPandas(run, "a long, b long, links long")
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        shingles = Shingler(join.width)
+        out = [pd.DataFrame({"a": [], "b": [], "links": []})]
+        # blocks of one cluster are left and right; in all other groups everything is both
+        apart = key[1] != key[2]
+        order = np.argsort(pdf["cluster"].to_numpy(), kind="stable")
+        cluster, i = pdf["cluster"].to_numpy()[order], pdf["i"].to_numpy()[order]
+        ids, label, weight = pdf["id"].to_numpy()[order], pdf["label"].to_numpy()[order], pdf["docs"].to_numpy(np.int64)[order]
+        text = pdf["text"].to_numpy()[order]
+        cuts = np.flatnonzero(np.diff(cluster, prepend=cluster[0] - 1, append=cluster[-1] + 1))
+        for a, b in zip(cuts, cuts[1:]):
+            left = i[a:b] == key[1] if apart else np.ones(b - a, bool)
+            right = ~left if apart else left
+            if (label[a:b] != label[a]).any() and left.any() and right.any():
+                out.append(links_of(ids[a:b], label[a:b].tolist(), weight[a:b], [shingles(t) for t in text[a:b]], left, right))
+        return pd.concat([x for x in out if len(x)] or out[:1])
+
+    found = materialize(dealt.groupBy("group", "x", "y").applyInPandas(run, "a long, b long, links long"), "links", scratch=scratch)
+    wide = materialize(rows.filter("blocks > 1").select("id"), "wide", scratch=scratch)
+    discard(spark, own)
+    return found, wide
+
+
+def _sketched(ties: DataFrame, labels: DataFrame, info: DataFrame, join: Join, scratch: list[str]) -> DataFrame:
+    """Ties (a, b) of sets: what sizes and sketches leave of the pairs of sets whose labels differ and are tied.
+
+    Ties of labels hold clusters together. A cluster's sets are dealt into blocks of one size band each, and two
+    blocks meet if sets of their bands can be linked. A group of two blocks gives a spanning
+    forest of its possible pairs, so at most a row for each set.
+    """
+    own: list[str] = []
+    spark = info.sparkSession
+    clusters = components(ties, own).select(F.col("node").alias("label"), F.col("component").alias("cluster"))
+    members = clusters.join(labels, clusters["label"] == labels["component"], "left").select("cluster", "label", F.coalesce("node", "label").alias("id")).distinct()
+    lows = F.array(*(F.lit(int(v)) for v in join.lows[:-1]))
+    rows = members.join(info, "id").withColumn("band", F.size(F.filter(lows, lambda v: v <= F.col("n"))) - 1)
+    rows = materialize(rows, "sketches", scratch=own)
+    total = rows.groupBy("cluster", "band").agg(F.ceil(F.count("*") / BLOCK_SKETCHES).cast("int").alias("blocks"))
+    above, below = total.select("cluster", (F.col("band") - 1).alias("band"), F.col("blocks").alias("up")), total.select("cluster", (F.col("band") + 1).alias("band"), F.col("blocks").alias("down"))
+    total = total.join(above, ["cluster", "band"], "left").join(below, ["cluster", "band"], "left")
+    blocked = rows.join(total, ["cluster", "band"]).withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    meet = lambda low, x, high, y: F.struct(low.alias("low"), x.alias("x"), high.alias("high"), y.alias("y"))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    band, i = F.col("band"), F.col("i")
+    groups = F.concat(
+        F.transform(upto(F.col("blocks")), lambda j: meet(band, F.least(i, j), band, F.greatest(i, j))),
+        F.transform(upto(F.coalesce("up", F.lit(0))), lambda j: meet(band, i, band + 1, j)),
+        F.transform(upto(F.coalesce("down", F.lit(0))), lambda j: meet(band - 1, j, band, i)),
+    )
+    dealt = blocked.select("cluster", F.explode(groups).alias("g"), "band", "i", "id", "label", "n", "sketch").select("cluster", "g.*", "band", "i", "id", "label", "n", "sketch")
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        _, low, x, high, y = key
+        band, i = pdf["band"].to_numpy(), pdf["i"].to_numpy()
+        left, right = np.flatnonzero((band == low) & (i == x)), np.flatnonzero((band == high) & (i == y))
+        ids, label, n, sketches = pdf["id"].to_numpy(), pdf["label"].to_numpy(), pdf["n"].to_numpy(), pdf["sketch"].tolist()
+        a, b = possible_pairs(join, n, label, sketches, left, right, (low, x) == (high, y))
+        return pd.DataFrame(forest(ids[a].tolist(), ids[b].tolist()), columns=["a", "b"], dtype="int64")
+
+    out = materialize(dealt.groupBy("cluster", "low", "x", "high", "y").applyInPandas(run, "a long, b long"), "ties", scratch=scratch)
+    discard(spark, own)
+    return out
+
+
+def possible_pairs(join: Join, n: np.ndarray, label: np.ndarray, sketches: list[bytes], left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (of left and right, of different labels) that sizes and sketches leave possible; ``same``: both are one block."""
+    parts = np.array([len(s) for s in sketches])
+    found = []
+    for p in np.unique(parts[left]).tolist():
+        for q in np.unique(parts[right]).tolist():
+            width = min(p, q)
+            rows, columns = left[parts[left] == p], right[parts[right] == q]
+            r = _fold(np.frombuffer(b"".join(sketches[k] for k in rows), np.uint8).reshape(-1, p), width)
+            c = _fold(np.frombuffer(b"".join(sketches[k] for k in columns), np.uint8).reshape(-1, q), width)
+            for k, at in enumerate(rows.tolist()):
+                # as in may_link, for one set and a whole block
+                lo, hi, total = np.minimum(n[at], n[columns]), np.maximum(n[at], n[columns]), n[at] + n[columns]
+                ok = (hi * join.num <= lo * join.den) & (label[columns] != label[at])
+                if same:
+                    ok &= columns > at
+                some = np.flatnonzero(ok)
+                d = c[some] - r[k]
+                both = -(-join.num * total[some] // (join.num + join.den))
+                some = some[np.minimum(d, -d).sum(axis=1, dtype=np.int64) <= total[some] - 2 * both]
+                if len(some):
+                    found.append((np.full(len(some), at), columns[some]))
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def forest(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Those pairs that join what earlier ones have not joined."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            parent[x] = x = parent.get(parent[x], parent[x])
+        return x
+
+    out = []
+    for x, y in zip(a, b):
+        p, q = root(x), root(y)
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            out.append((x, y))
+    return out
 
 
 def _find(docs: DataFrame, join: Join, keep: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents (doc_id, n, h1, h2), classes of equal sets with their representatives, and the rows of both verifications."""
-    bounded_batches(docs.sparkSession)
-    named = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    kept: list[str] = []  # what the result reads
+    scratch: list[str] = []
+    named = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     sizes = F.greatest(F.lit(1), (F.octet_length("text") / WORD_BYTES).cast("long") - (join.width - 1))
     guess = named.filter("text is not null").select(F.floor(F.log2(sizes) * 8).alias("g")).groupBy("g").count().collect()  # a few hundred rows
     histogram: dict[int, int] = {}
     for r in guess:
         band = join.band(max(1, int(2 ** (r.g / 8))))
         histogram[band] = histogram.get(band, 0) + r["count"]
-    index = _index(named, join, plans(join, histogram))
-    info = index.filter("kind = 0").select(F.col("id").alias("doc_id"), "n", "h1", "h2")
+    common = spark.sparkContext.broadcast(frequent(named, join.width))
+    index = _index(named, join, plans(join, histogram), common, scratch)
+    info = materialize(index.filter("kind = 0").select(F.col("id").alias("doc_id"), "n", "h1", "h2"), "sizes", scratch=kept)
     classes = info.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), (F.countDistinct("doc_id") if keep == "counts" else F.count("*")).alias("docs"))
-    classes = materialize(classes, "classes")
+    classes = materialize(classes, "classes", scratch=kept)
     copies = info.join(classes.filter("copies > 1"), ["n", "h1", "h2"]).filter("doc_id <> rep").select("doc_id", "rep").dropDuplicates(["doc_id"])
     to_rep = lambda df, c: df.join(copies.withColumnRenamed("doc_id", c), c, "left").withColumn(c, F.coalesce("rep", c)).drop("rep")
     edges = to_rep(to_rep(index.filter("kind = 1").select(F.col("id").alias("a"), F.col("other").alias("b"), "closed"), "a"), "b")
@@ -557,14 +714,22 @@ def _find(docs: DataFrame, join: Join, keep: str) -> tuple[DataFrame, DataFrame,
     edges = edges.groupBy("a", "b").agg(F.bool_and("closed").alias("closed"))
     # a document of which a bucket's edge speaks, with its size and sketch
     known = index.filter("kind = 0").select("id", "n", "sketch").dropDuplicates(["id"])
-    edges = materialize(_prune(edges, known, join), "edges")
+    # an edge of a small bucket that sketches rule out is settled
+    edges = materialize(_prune(edges, known, join).filter("possible or not closed"), "edges", scratch=scratch)
     weights = classes.groupBy("rep").agg(F.max("docs").alias("docs"))
-    links = materialize(_verify(edges.filter("possible").select("a", "b"), None, named, known, join, keep, weights), "links")
-    first = materialize(components(_pairs_of(links)), "components")
+    links, wide = _verify(edges.filter("possible").select("a", "b"), None, named, known, join, keep, weights, keep != "joins", kept)
+    first = components(_pairs_of(links), scratch)
     of = lambda c: first.select(F.col("node").alias(c), F.col("component").alias(f"l{c}"))
-    still = edges.filter("not closed").join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a <> b").distinct()
+    # settled by now: edges of small buckets, unless their ends were in different blocks
+    still = edges.filter("not closed")
+    if keep == "joins":
+        still = still.unionByName(edges.filter("closed").join(wide.select(F.col("id").alias("a")), "a", "left_semi"))
+    still = still.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a <> b").distinct()
+    ties = _sketched(still, first, known, join, scratch)
     # sets of one component were compared with each other above, so no link is found twice
-    more = materialize(_verify(still, first, named, known, join, keep, weights), "links")
+    more, _ = _verify(ties, first, named, known, join, keep, weights, True, kept)
+    discard(spark, scratch)
+    common.unpersist()
     return info, classes, links.unionByName(more)
 
 
@@ -602,7 +767,7 @@ def _unnamed(docs: DataFrame, join: Join) -> DataFrame:
             n = [len(shingles(t)) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()), pa.array(n, pa.int64()), pa.nulls(len(n), pa.int64())], names=["doc_id", "n_shingles", "component_id"])
 
-    return docs.filter("doc_id is null").select("text").mapInArrow(run, "doc_id long, n_shingles long, component_id long")
+    return docs.filter(F.col("doc_id").try_cast("long").isNull()).select("text").mapInArrow(run, "doc_id long, n_shingles long, component_id long")
 
 
 def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
