@@ -7,7 +7,7 @@ keeping for every output character the source range it came from: look-alike,
 full-width and other-script characters to ASCII and invisible ones dropped;
 spelled digits to digits; dot words between figures to dots; letters that stand for digits; ``at`` and ``dot`` in words or
 brackets. Identifiers found in the result map back to source offsets and are
-added where they cover a rewritten or dropped character and overlap no base span of their kind.
+added where they cover a rewritten or dropped character and overlap no base span of their kind, unless they hold it whole and more.
 
 Defined results: a null text counts as empty; repeated rows are judged each;
 other columns are not read. The hash of no spans is that of the empty string.
@@ -205,11 +205,33 @@ def figure_dots(m: Mapped) -> Mapped:
     return m.edit((x.start(), x.end(), ".") for x in _FIGURE_DOT.finditer(m.text))
 
 
+# Letters that stand for digits.
+DIGIT_LETTERS = dict(zip("OoIlSBZ", "0011582", strict=True))
+_DL = "".join(DIGIT_LETTERS)
 _DIGIT_LETTER = re.compile(r"(?<=[0-9])[OoIl]{1,3}(?=[\s.-]?[0-9])")
+#: A place that every word of digits and such letters has.
+_LETTER_EDGE = re.compile(rf"[0-9][{_DL}]|[{_DL}][0-9]")
+_MIXED_GROUP = re.compile(rf"(?<![^\W_])[0-9{_DL}]++(?![^\W_])")
+_DIGIT_BEFORE, _DIGIT_AFTER = re.compile(r"[0-9][\s.()-]{0,2}\Z"), re.compile(r"[\s.()-]{0,2}[0-9]")
+
+
+def _as_digits(text: str) -> str:
+    return "".join(DIGIT_LETTERS.get(c, c) for c in text)
 
 
 def digit_letters(m: Mapped) -> Mapped:
-    return m.edit((x.start(), x.end(), "".join("0" if c in "Oo" else "1" for c in x[0])) for x in _DIGIT_LETTER.finditer(m.text))
+    m = m.edit((x.start(), x.end(), _as_digits(x[0])) for x in _DIGIT_LETTER.finditer(m.text))
+    if not _LETTER_EDGE.search(m.text):
+        return m
+    edits = []
+    for x in _MIXED_GROUP.finditer(m.text):
+        digits = sum(map(str.isdigit, x[0]))
+        # mostly digits, and part of a longer number
+        if len(x[0]) > digits >= len(x[0]) - digits and (
+            digits >= 7 or _DIGIT_BEFORE.search(m.text, max(0, x.start() - 3), x.start()) or _DIGIT_AFTER.match(m.text, x.end())
+        ):
+            edits += [(x.start() + i, x.start() + i + 1, DIGIT_LETTERS[c]) for i, c in enumerate(x[0]) if c in DIGIT_LETTERS]
+    return m.edit(edits)
 
 
 _BRACKET_AT = re.compile(r"\s{0,3}[\[({<]\s{0,3}(?:at|@|ät|arroba|arobase)\s{0,3}[\])}>]\s{0,3}", re.I)
@@ -227,7 +249,7 @@ _HINT = re.compile(rf"[\[({{<]\s{{0,3}}(?:at|@|ät|arroba|arobase|{_DOT_WORD}|\.
 # Endings that no sentence has; words before and after an "at" of prose.
 SURE_ENDINGS = (".com", ".org", ".net", ".edu", ".de", ".fr", ".es", ".io")
 BEFORE_AT = frozenset(
-    "look looks looked looking arrive arrives arrived meet meets met stay stays stayed live lives lived work works worked be is are was were been start starts started end ends ended stop stops stopped aim aimed laugh laughed good bad not and or but up back down out here there it he she we they you him her them us".split()
+    "look looks looked looking arrive arrives arrived meet meets met stay stays stayed live lives lived work works worked be is are was were been start starts started end ends ended stop stops stopped aim aimed laugh laughed good bad not and or but up back down out here there it he she we they you me him her them us".split()
 )
 AFTER_AT = frozenset(
     "this that these those the a an it its him her them us me you my your his our their all any each every some once least last first most best worst noon night midnight dawn dusk home work school lunch dinner breakfast times time hand present which what whom one two three four five six seven eight nine ten".split()
@@ -249,17 +271,19 @@ def at_and_dot(m: Mapped) -> Mapped:
         return m
     m = m.edit((x.start(), x.end(), "@") for x in _BRACKET_AT.finditer(m.text))
     m = m.edit((x.start(), x.end(), ".") for x in _BRACKET_DOT.finditer(m.text))
-    edits = []
-    for x in _WORD_ADDRESS.finditer(m.text):
+    edits, at = [], 0
+    while x := _WORD_ADDRESS.search(m.text, at):
         a, b = x.span("at")
+        at = b  # what follows the at of no address may begin one
         labels = [w for part in (m.text[x.start() : a], m.text[b : x.end()]) for w in _LABELS.split(part)]
-        if any(w.lower() in ("at", "dot") for w in labels):
+        if any(w.lower() in ("at", "dot") for w in labels) or _AT_WORD.match(m.text, x.end()):
             continue
         spoken = not m.text[a:b].strip() == "@"
         dots = [*_DOT_WORDS.finditer(m.text, x.start(), a), *_DOT_WORDS.finditer(m.text, b, x.end())]
         if spoken and not dots and _prose(m.text[x.start() : a], m.text[b : x.end()]):
             continue  # "look at this.thing" is prose
         edits += sorted([(d.start(), d.end(), ".") for d in dots] + ([(a, b, "@")] if m.text[a:b] != "@" else []))
+        at = x.end()
     return m.edit(edits)
 
 
@@ -269,7 +293,7 @@ TRANSDUCERS: tuple[Callable[[Mapped], Mapped], ...] = (plain_characters, spelled
 def normalise(text: str) -> Mapped | None:
     """The normalised text with its source offsets; None where nothing was rewritten."""
     # the cheap tests first, so clean texts build no offset lists
-    if not (_FOREIGN.search(text) or _SPELLED_PAIR.search(text) or _DIGIT_LETTER.search(text) or _HINT.search(text)):
+    if not (_FOREIGN.search(text) or _SPELLED_PAIR.search(text) or (_DIGIT.search(text) and (_DIGIT_LETTER.search(text) or _LETTER_EDGE.search(text))) or _HINT.search(text)):
         return None
     m = first = Mapped.of(text)
     for step in TRANSDUCERS:
@@ -287,7 +311,7 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
     for s, kind, e in base_spans(m.text):
         a, b = m.start[s], m.end[e - 1]
         if any(m.changed[s:e]) or b - a != e - s:  # rewritten, or something inside dropped
-            if all(b <= x or a >= y for x, y in taken[kind]):
+            if all(b <= x or a >= y or (a <= x and y <= b and b - a > y - x) for x, y in taken[kind]):
                 found.append((a, kind, b))
                 taken[kind].append((a, b))
     return found

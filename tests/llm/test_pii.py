@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -102,3 +103,40 @@ def test_frame(spark):
     out = pii.redact_documents(spark.createDataFrame([(1, "mail a@b.co", 11), (2, None, None)], "doc_id long, text string, n_chars long")).collect()
     assert {tuple(r) for r in out} == {(1, "mail <EMAIL>", 12), (2, None, None)}
     assert pii.find(d.limit(0)).count() == 0
+
+
+DISGUISED = {
+    "reach me at jane.doe at example dot com": ("email", "jane.doe at example dot com"),
+    "I met him at home.Then at jane dot doe at mail dot com ok": ("email", "jane dot doe at mail dot com"),
+    "write to jane at example.co.uk please": ("email", "jane at example.co.uk"),
+    "mail bob [at] site [dot] org": ("email", "bob [at] site [dot] org"),
+    "max (ät) beispiel (punkt) de": ("email", "max (ät) beispiel (punkt) de"),
+    "ana arroba correo punto es": ("email", "ana arroba correo punto es"),
+    "bob@sit\u200be.org": ("email", "bob@sit\u200be.org"),
+    "jоhn@example.com with a Cyrillic letter": ("email", "jоhn@example.com"),
+    "192 dot 168 dot 0 dot 1": ("ip", "192 dot 168 dot 0 dot 1"),
+    "192[.]168[.]0[.]1": ("ip", "192[.]168[.]0[.]1"),
+    "１９２．１６８．０．１": ("ip", "１９２．１６８．０．１"),
+    "card 4041 8949 7460 879S": ("card", "4041 8949 7460 879S"),
+    "pay 4111 1111 1111 l111 now": ("card", "4111 1111 1111 l111"),
+    "pay 4111 1111 l111 1111 now": ("card", "4111 1111 l111 1111"),
+    "pay 4111\u20131111\u20131111\u20131111": ("card", "4111\u20131111\u20131111\u20131111"),
+    "four one one one 1111 1111 1111": ("card", "four one one one 1111 1111 1111"),
+    "plus four 9 one 7 two 3 three 1 four 5": ("phone", "plus four 9 one 7 two 3 three 1 four 5"),
+    "+49 17O 1234567": ("phone", "+49 17O 1234567"),
+    "plus vier neun eins sieben null eins zwei drei vier fünf": ("phone", "plus vier neun eins sieben null eins zwei drei vier fünf"),
+}
+
+
+def test_disguised_identifiers_are_found():
+    for t, (kind, found) in DISGUISED.items():
+        every = pii.base_spans(t) + pii.added_spans(t, pii.base_spans(t))
+        assert (kind, found) in [(pii.KINDS[k], t[a:b]) for a, k, b in every], t
+
+
+def test_letters_in_prose_are_no_digits():
+    for t in ("we have 5S and 10l of it", "ISO 9001 B12", "3 l and 2 Z", "look at this.thing", "is 12 B or 13 S"):
+        assert not pii.added_spans(t, pii.base_spans(t)), t
+    start = time.perf_counter()
+    pii.added_spans("1l " * 200_000 + "a at b.c " * 50_000, [])
+    assert time.perf_counter() - start < 20
