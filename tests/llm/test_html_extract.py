@@ -1,4 +1,11 @@
-from tessera.llm.html_extract import extract, extract_pages
+import os
+import time
+
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+
+from tessera.llm.html_extract import Line, extract, extract_pages, stretches, window_sums
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{margin:0}</style><script>var t="</p>";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href="/a">one</a></li><li>two</li></ul></nav><!-- ad --><div class="ad">Buy this now</div>
@@ -49,3 +56,53 @@ def test_pages_frame(spark):
     assert len(got) == 4 and [r.n_chars for r in got if r.page_id == 1] == [len(extract(PAGE))] * 2
     assert all(r.text == "" and r.n_chars == 0 for r in got if r.page_id != 1)
     assert extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@given(st.lists(st.integers(0, 60), max_size=40), st.integers(1, 5))
+def test_window_sums_equal_brute_force(weights, window):
+    assert window_sums(weights, window) == [sum(weights[i : i + window]) for i in range(len(weights))]
+
+
+@given(st.lists(st.sampled_from([0, 0, 5, 30, 90]), max_size=40), st.integers(1, 120))
+def test_stretches_equal_brute_force(weights, surge):
+    lines = [Line("x" * w, "", False, False) for w in weights]
+    sums = [sum(weights[i : i + 3]) for i in range(len(weights))]
+    got = {i for a, b in stretches(lines, weights, sums, surge) for i in range(a, b)}
+    # a line is kept if a surge stands at or before it and no dive between them
+    want = {i for i in range(len(weights)) if any(weights[s] and sums[s] >= surge and all(sums[s : i + 1]) for s in range(i + 1))}
+    assert got == want
+
+
+def test_distribution_decides():
+    body = "".join(f"<p>{'word ' * 30}{i}</p>" for i in range(4))
+    far = "<div>" + "<p><a>link text here</a></p>" * 4 + "</div>"
+    # a short line far from every surge goes, a heading shortly before one stays
+    assert extract(f"<body><div>lost</div>{far}<h1>Top</h1><p>By</p><p>Me</p>{body}{far}<p>gone</p></body>") == "Top By Me " + " ".join("word " * 30 + str(i) for i in range(4))
+    # in an article all that stands between dives is kept
+    assert extract(f"<article><h2>A</h2><p>b</p><p>c</p><p>d</p>{body}<aside>x</aside><p>e</p></article><p>{'outside ' * 9}</p>").startswith("A b c d word")
+
+
+def test_class_words():
+    long = "<p>" + "text of the article " * 20 + "</p>"
+    for name in ("share-price", "notice-board", "article-header", "related-work", "entry-header"):
+        assert "Kept here" in extract(f"<article>{long}<div class='{name}'>Kept here</div>{long}</article>"), name
+    for name in ("ad", "ad-300x250", "share-buttons", "site-header", "cookie-notice", "post-comments", "comment", "left-sidebar", "siteFooter", "alert alert-info", "newsletter-signup"):
+        assert "Gone" not in extract(f"<article>{long}<div class='{name}'>Gone</div>{long}</article>"), name
+
+
+SMALL = "/root/testdata/sf0.01/pages.parquet"
+
+
+@pytest.mark.skipif(not os.path.exists(SMALL), reason="no test data")
+def test_pages_do_not_need_article_tags(spark):
+    for (html,) in spark.read.parquet(SMALL).select("html").collect():
+        whole = extract(html)
+        assert len(extract(html.replace("<article", "<div").replace("</article>", "</div>"))) >= 0.95 * len(whole) > 0
+
+
+def test_hostile_markup_is_linear():
+    n = 40_000
+    for page in ("<div>" * n + "</x-y><section></nav>" * n, "<svg>" * n, "<div>" * n + "<article>" * n, "<a x" * n + '"', '<a "x>' * (n + 1), "<p>" * n + "</div>" * n, "<b class=ad>" * n + "</i>" * n):
+        start = time.perf_counter()
+        extract(page)
+        assert time.perf_counter() - start < 5
