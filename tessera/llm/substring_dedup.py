@@ -16,7 +16,9 @@ documents share fills no task.
 
 Defined results: null texts are empty; texts under 50 bytes lose nothing; a null
 doc_id is neither smaller nor larger than another, so its row loses nothing and
-removes nothing; repeated rows come back each; columns besides doc_id and text are not read.
+removes nothing; repeated rows come back each; of different texts with one doc_id neither
+counts as smaller, so they remove nothing from each other; a doc_id that is no integer counts as null;
+columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -111,21 +113,22 @@ ALONE, SHARED, FOUND = range(3)
 
 
 def _candidates(docs: DataFrame) -> DataFrame:
-    """(doc, at): each document's anchors whose gram occurs in two documents or more."""
+    """(doc, var, at): each document's anchors whose gram occurs in two documents or more. ``var`` tells texts of one doc_id apart."""
     spark = docs.sparkSession
     n_parts = partition_count(spark)
     ids = partition_ids(spark, n_parts)
 
-    def flush(doc_ids: list[int], at: list[np.ndarray], keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def flush(doc_ids: list[tuple[int, int]], at: list[np.ndarray], keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if not doc_ids:
             return
-        doc = np.array(doc_ids, np.int64)
+        doc, var = np.array(doc_ids, np.int64).T
         # documents in ascending order, so that the first record of a key has the smallest id
         rank = np.empty(len(doc), np.int64)
-        rank[np.argsort(doc, kind="stable")] = np.arange(len(doc))
+        ascending = np.argsort(doc, kind="stable")
+        rank[ascending] = np.arange(len(doc))
         lens = np.array([len(x) for x in at])
         row, pos, key = np.repeat(rank, lens), np.concatenate(at).astype(np.uint32), np.concatenate(keys)
-        doc = np.sort(doc)
+        doc, var = doc[ascending], var[ascending].astype(np.int32)
         order = np.lexsort((row, key))
         row, pos, key = row[order], pos[order], key[order]
         new = np.ones(len(key), bool)
@@ -148,25 +151,25 @@ def _candidates(docs: DataFrame) -> DataFrame:
                 s = picked[cuts[p] : cuts[p + 1]]
                 if len(s):
                     own, ix = np.unique(row[s], return_inverse=True)
-                    blobs.append(_squeeze(_pack_planes([key[s], ix.astype(np.uint32), pos[s]]) + doc[own].tobytes()))
+                    blobs.append(_squeeze(_pack_planes([key[s], ix.astype(np.uint32), pos[s]]) + doc[own].tobytes() + var[own].tobytes()))
                     pids.append(ids[p])
                     tags.append(tag)
         yield _rows(pids, tags, blobs)
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc_ids: list[int] = []
+        doc_ids: list[tuple[int, int]] = []
         at: list[np.ndarray] = []
         keys: list[np.ndarray] = []
         held, seen = 0, set()
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
+            for doc_id, var, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 raw = text.as_py().encode()
                 digest = (xxhash.xxh3_128_digest(raw), doc_id)
                 p, h = anchors(raw)
                 if not len(p) or digest in seen:
                     continue
                 seen.add(digest)
-                doc_ids.append(doc_id)
+                doc_ids.append((doc_id, var))
                 at.append(p)
                 keys.append(h)
                 held += len(p)
@@ -179,63 +182,66 @@ def _candidates(docs: DataFrame) -> DataFrame:
     def read(blob: bytes) -> list[np.ndarray]:
         blob = _expand(blob)
         key, ix, pos = _unpack_planes(blob, ["<u8", "<u4", "<u4"])
-        return [key, np.frombuffer(blob, "<i8", -1, 8 + 16 * len(key))[ix], pos]
+        at = 8 + 16 * len(key)
+        n = (len(blob) - at) // 12
+        return [key, np.frombuffer(blob, "<i8", n, at)[ix], np.frombuffer(blob, "<i4", n, at + 8 * n)[ix], pos]
 
     def match(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list[list[np.ndarray]]] = {ALONE: [], SHARED: [], FOUND: []}
         for b in batches:
             for tag, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 parts[tag].append(read(blob))
-        out = [[d, p] for _, d, p in parts[FOUND]]
+        out = [c[1:] for c in parts[FOUND]]
         lone = [(*c, tag == SHARED) for tag in (ALONE, SHARED) for c in parts[tag]]
         if lone:
-            key, doc, pos = (np.concatenate([c[i] for c in lone]) for i in range(3))
-            shared = np.concatenate([np.full(len(c[0]), c[3]) for c in lone])
+            key, doc, var, pos = (np.concatenate([c[i] for c in lone]) for i in range(4))
+            shared = np.concatenate([np.full(len(c[0]), c[4]) for c in lone])
             order = np.argsort(key, kind="stable")
-            key, doc, pos, shared = key[order], doc[order], pos[order], shared[order]
+            key, doc, var, pos, shared = key[order], doc[order], var[order], pos[order], shared[order]
             starts = np.nonzero(np.r_[True, key[1:] != key[:-1]])[0]
             multi = np.logical_or.reduceat(shared, starts) | (np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts))
             chosen = np.repeat(multi, np.diff(np.r_[starts, len(key)]))
-            out.append([doc[chosen], pos[chosen]])
+            out.append([doc[chosen], var[chosen], pos[chosen]])
         if out:
-            doc, pos = (np.concatenate(c) for c in zip(*out))
-            yield from scatter((_mix(doc.astype(np.uint64)) % np.uint64(n_parts)).astype(np.int64), [doc, pos], ids, 0)
+            doc, var, pos = (np.concatenate(c) for c in zip(*out))
+            yield from scatter((_mix(doc.astype(np.uint64)) % np.uint64(n_parts)).astype(np.int64), [doc, var, pos], ids, 0)
 
     def by_document(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [unpack(x, ["<i8", "<u4"]) for b in batches for x in b.column(2).to_pylist()]
+        parts = [unpack(x, ["<i8", "<i4", "<u4"]) for b in batches for x in b.column(2).to_pylist()]
         if parts:
-            doc, pos = (np.concatenate(c) for c in zip(*parts))
-            order = np.lexsort((pos, doc))
-            doc, pos = doc[order], pos[order]
-            starts = np.nonzero(np.r_[True, doc[1:] != doc[:-1]])[0]
+            doc, var, pos = (np.concatenate(c) for c in zip(*parts))
+            order = np.lexsort((pos, var, doc))
+            doc, var, pos = doc[order], var[order], pos[order]
+            starts = np.nonzero(np.r_[True, (doc[1:] != doc[:-1]) | (var[1:] != var[:-1])])[0]
             at = [np.unique(x).tobytes() for x in np.split(pos, starts[1:])]
             for a in range(0, len(starts), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(doc[starts[a : a + 20_000]]), pa.array(at[a : a + 20_000], pa.binary())], names=["doc", "at"])
+                some = starts[a : a + 20_000]
+                yield pa.RecordBatch.from_arrays([pa.array(doc[some]), pa.array(var[some]), pa.array(at[a : a + 20_000], pa.binary())], names=["doc", "var", "at"])
 
     first = exchange(docs.mapInArrow(emit, SCATTERED), n_parts).mapInArrow(match, SCATTERED)
-    return exchange(first, n_parts).mapInArrow(by_document, "doc long, at binary")
+    return exchange(first, n_parts).mapInArrow(by_document, "doc long, var int, at binary")
 
 
 def _spans(rows: DataFrame) -> DataFrame:
-    """(doc, spans): merged ranges to remove, from rows (doc, text, at)."""
+    """(doc, var, spans): merged ranges to remove, from rows (doc, var, text, at)."""
     spark = rows.sparkSession
     n_parts = partition_count(spark)
     ids = partition_ids(spark, n_parts)
 
-    def flush(held: list[tuple[int, bytes, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    def flush(held: list[tuple[int, int, bytes, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         if not held:
             return
-        docs = np.repeat(np.array([d for d, _, _ in held], np.int64), [len(p) for _, _, p in held])
+        times = [len(h[3]) for h in held]
+        docs, var = np.repeat(np.array([h[0] for h in held], np.int64), times), np.repeat(np.array([h[1] for h in held], np.int32), times)
         # one padded buffer; every context is a row of bytes read from it
         pad = bytes(LENGTH)
         starts, sizes, at = [], [], LENGTH
-        for _, text, _ in held:
+        for _, _, text, _ in held:
             starts.append(at)
             sizes.append(len(text))
             at += len(text) + LENGTH
-        data = np.frombuffer(pad + pad.join(t for _, t, _ in held) + pad, np.uint8)
-        pos = np.concatenate([p for _, _, p in held]).astype(np.int64)
-        times = [len(p) for _, _, p in held]
+        data = np.frombuffer(pad + pad.join(h[2] for h in held) + pad, np.uint8)
+        pos = np.concatenate([h[3] for h in held]).astype(np.int64)
         base, size = np.repeat(np.array(starts), times), np.repeat(np.array(sizes), times)
         right_len = np.minimum(LENGTH, size - pos).astype(np.uint8)
         left_len = np.minimum(LEFT, pos).astype(np.uint8)
@@ -246,7 +252,7 @@ def _spans(rows: DataFrame) -> DataFrame:
         whole = np.ascontiguousarray(np.concatenate([right, right_len[:, None], left, left_len[:, None]], axis=1))
         as_one = whole.view(f"S{whole.shape[1]}").reshape(-1)
         order = np.lexsort((pos, docs, as_one))
-        docs, pos, whole, as_one = docs[order], pos[order], whole[order], as_one[order]
+        docs, var, pos, whole, as_one = docs[order], var[order], pos[order], whole[order], as_one[order]
         new = np.ones(len(docs), bool)
         new[1:] = (whole[1:] != whole[:-1]).any(axis=1)
         group = np.cumsum(new) - 1
@@ -255,9 +261,9 @@ def _spans(rows: DataFrame) -> DataFrame:
         rl, ll = whole[:, LENGTH].astype(np.int64), whole[:, -1].astype(np.int64)
         lost = (docs > lead) & (rl + ll >= LENGTH)
         if lost.any():
-            yield from _scatter_spans(docs[lost], pos[lost] - ll[lost], pos[lost] + rl[lost], ids, n_parts)
+            yield from _scatter_spans(docs[lost], var[lost], pos[lost] - ll[lost], pos[lost] + rl[lost], ids, n_parts)
         keep = docs == lead
-        docs, pos, whole = docs[keep], pos[keep], whole[keep]
+        docs, var, pos, whole = docs[keep], var[keep], pos[keep], whole[keep]
         home = (_mix(np.ascontiguousarray(whole[:, :8]).view(np.uint64).reshape(-1) * _M[0] + np.ascontiguousarray(whole[:, 8:16]).view(np.uint64).reshape(-1)) % np.uint64(n_parts)).astype(np.int64)
         pids, blobs = [], []
         picked = np.argsort(home, kind="stable")
@@ -268,19 +274,19 @@ def _spans(rows: DataFrame) -> DataFrame:
                 lengths = whole[s, LENGTH]
                 common, rest = front_code(whole[s, :LENGTH], lengths.astype(np.int64))
                 lefts = np.ascontiguousarray(whole[s, LENGTH + 1 : -1])
-                parts = [common.tobytes(), lengths.tobytes(), np.ascontiguousarray(whole[s, -1]).tobytes(), docs[s].tobytes(), pos[s].astype("<u4").tobytes(), lefts.tobytes(), rest]
+                parts = [common.tobytes(), lengths.tobytes(), np.ascontiguousarray(whole[s, -1]).tobytes(), docs[s].tobytes(), var[s].tobytes(), pos[s].astype("<u4").tobytes(), lefts.tobytes(), rest]
                 pids.append(ids[p])
                 blobs.append(_squeeze(len(s).to_bytes(8, "little") + b"".join(parts)))
         yield _rows(pids, [RUN] * len(pids), blobs)
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, bytes, np.ndarray]] = []
+        held: list[tuple[int, int, bytes, np.ndarray]] = []
         n = 0
         for b in batches:
-            for doc_id, text, at in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+            for doc_id, var, text, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
                 p = np.frombuffer(at.as_py(), "<u4")
-                held.append((doc_id, text.as_py().encode(), p))
-                n += len(p) + len(held[-1][1]) // 64
+                held.append((doc_id, var, text.as_py().encode(), p))
+                n += len(p) + len(held[-1][2]) // 64
                 if n > SORT_FLUSH:
                     yield from flush(held)
                     held, n = [], 0
@@ -299,57 +305,58 @@ def _spans(rows: DataFrame) -> DataFrame:
     def by_document(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [unpack(x, _SPAN) for b in batches for x in b.column(2).to_pylist()]
         if parts:
-            doc, a, b = (np.concatenate(c) for c in zip(*parts))
-            doc, a, b = union(doc, a.astype(np.int64), b.astype(np.int64))
-            starts = np.nonzero(np.r_[True, doc[1:] != doc[:-1]])[0]
+            doc, var, a, b = (np.concatenate(c) for c in zip(*parts))
+            doc, var, a, b = union(doc, var, a.astype(np.int64), b.astype(np.int64))
+            starts = np.nonzero(np.r_[True, (doc[1:] != doc[:-1]) | (var[1:] != var[:-1])])[0]
             both = np.stack([a, b], axis=1)
             out = [x.tobytes() for x in np.split(both, starts[1:])]
             for i in range(0, len(starts), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(doc[starts[i : i + 20_000]]), pa.array(out[i : i + 20_000], pa.binary())], names=["doc", "spans"])
+                some = starts[i : i + 20_000]
+                yield pa.RecordBatch.from_arrays([pa.array(doc[some]), pa.array(var[some]), pa.array(out[i : i + 20_000], pa.binary())], names=["doc", "var", "spans"])
 
     sent = exchange(rows.mapInArrow(emit, SCATTERED), n_parts).mapInArrow(reduce, SCATTERED)
-    return exchange(sent, n_parts).mapInArrow(by_document, "doc long, spans binary")
+    return exchange(sent, n_parts).mapInArrow(by_document, "doc long, var int, spans binary")
 
 
 RUN, SPANS = 0, 1
 SORT_FLUSH = 250_000
-_SPAN = ["<i8", "<u4", "<u4"]
+_SPAN = ["<i8", "<i4", "<u4", "<u4"]
 
 
-def _scatter_spans(doc: np.ndarray, a: np.ndarray, b: np.ndarray, ids: list[int], n_parts: int, tag: int = SPANS) -> Iterator[pa.RecordBatch]:
+def _scatter_spans(doc: np.ndarray, var: np.ndarray, a: np.ndarray, b: np.ndarray, ids: list[int], n_parts: int, tag: int = SPANS) -> Iterator[pa.RecordBatch]:
     if len(doc):
-        doc, a, b = union(doc, a.astype(np.int64), b.astype(np.int64))
-        yield from scatter((_mix(doc.astype(np.uint64)) % np.uint64(n_parts)).astype(np.int64), [doc, a.astype("<u4"), b.astype("<u4")], ids, tag)
+        doc, var, a, b = union(doc, var, a.astype(np.int64), b.astype(np.int64))
+        yield from scatter((_mix(doc.astype(np.uint64)) % np.uint64(n_parts)).astype(np.int64), [doc, var, a.astype("<u4"), b.astype("<u4")], ids, tag)
 
 
-def union(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ranges [a, b) merged per document where they touch or overlap."""
-    order = np.lexsort((b, a, doc))
-    doc, a, b = doc[order], a[order], b[order]
+def union(doc: np.ndarray, var: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges [a, b) merged per text (doc, var) where they touch or overlap."""
+    order = np.lexsort((b, a, var, doc))
+    doc, var, a, b = doc[order], var[order], a[order], b[order]
     if not len(doc):
-        return doc, a, b
-    # the running maximum of b within a document: offsets keep documents apart
-    new_doc = np.r_[True, doc[1:] != doc[:-1]]
+        return doc, var, a, b
+    # the running maximum of b within a text: offsets keep texts apart
+    new_doc = np.r_[True, (doc[1:] != doc[:-1]) | (var[1:] != var[:-1])]
     shift = np.cumsum(new_doc) * (int(b.max()) + 1)
     reach = np.maximum.accumulate(b + shift)
     new = new_doc.copy()
     new[1:] |= (a + shift)[1:] > reach[:-1]
     starts = np.nonzero(new)[0]
-    return doc[starts], a[starts], np.maximum.reduceat(b, starts)
+    return doc[starts], var[starts], a[starts], np.maximum.reduceat(b, starts)
 
 
-def merge_runs(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Merge front-coded runs; ranges (doc_id, start, end) that occur in a smaller document."""
+def merge_runs(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Merge front-coded runs; ranges (doc, var, start, end) that occur in a smaller document."""
     commons, strings, cols = [], [], []
     for blob in map(_expand, blobs):
         n, at, out = int.from_bytes(blob[:8], "little"), 8, []
-        for kind, width in (("u1", 1), ("u1", 1), ("u1", 1), ("<i8", 1), ("<u4", 1), ("u1", LEFT)):
+        for kind, width in (("u1", 1), ("u1", 1), ("u1", 1), ("<i8", 1), ("<i4", 1), ("<u4", 1), ("u1", LEFT)):
             out.append(np.frombuffer(blob, kind, n * width, at))
             at += out[-1].nbytes
-        common, lengths, left_len, doc, pos, left = out
+        common, lengths, left_len, doc, var, pos, left = out
         commons.append(common.tolist())
         strings.append(decode(common, lengths, blob[at:]))
-        cols.append([lengths, left_len, doc, pos, left.reshape(n, LEFT)])
+        cols.append([lengths, left_len, doc, var, pos, left.reshape(n, LEFT)])
     source, prefix = merge(strings, commons)
     del strings
     # the i-th output of a run is its i-th row
@@ -360,8 +367,8 @@ def merge_runs(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sorted_source = source[by_run]
     nth[by_run] = np.arange(len(source)) - np.searchsorted(sorted_source, sorted_source)
     order = offset[source] + nth
-    right_len, left_len, doc, pos = (np.concatenate([c[i] for c in cols])[order] for i in range(4))
-    left = np.concatenate([c[4] for c in cols])[order]
+    right_len, left_len, doc, var, pos = (np.concatenate([c[i] for c in cols])[order] for i in range(5))
+    left = np.concatenate([c[5] for c in cols])[order]
     prefix = np.array(prefix)
     prefix[0] = 0
     # suffixes with no neighbour of the same gram have no partner
@@ -370,10 +377,10 @@ def merge_runs(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(alive)
     none = np.empty(0, np.int64)
     if not n:
-        return none, none, none
+        return none, none, none, none
     # common prefix with the alive one before: dropped ones stand apart from both sides
     prefix = np.where(np.r_[False, np.diff(alive) == 1], prefix[alive], 0)
-    right_len, left_len, doc, pos, left = right_len[alive].astype(np.int64), left_len[alive].astype(np.int64), doc[alive], pos[alive].astype(np.int64), left[alive]
+    right_len, left_len, doc, var, pos, left = right_len[alive].astype(np.int64), left_len[alive].astype(np.int64), doc[alive], var[alive], pos[alive].astype(np.int64), left[alive]
     least_l, most_l = np.full(n, LENGTH), np.full(n, -1)
     hashed = np.zeros(n, np.uint64)
     for l in range(LEFT + 1):
@@ -394,7 +401,7 @@ def merge_runs(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         most_l[hit] = l
     # strings through one anchor overlap in its gram, so what they cover is one range
     cut = most_l >= 0
-    return doc[cut], pos[cut] - most_l[cut], pos[cut] - least_l[cut] + LENGTH
+    return doc[cut], var[cut], pos[cut] - most_l[cut], pos[cut] - least_l[cut] + LENGTH
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -402,16 +409,20 @@ def dedup(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n_parts = partition_count(spark)
     # another name, so that both reads of the dealt texts have one plan and Spark shuffles them once
-    named = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    digests = named.select("doc", F.sha2("text", 256).alias("digest"))
+    named = docs.select(F.col("doc_id").try_cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text")).filter("doc is not null")
+    # a doc_id of several texts: a hash of the text goes with it, which is 0 everywhere else
+    mark = F.xxhash64("text")
+    several = named.groupBy("doc").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).filter("low <> high").select("doc", F.lit(True).alias("several"))
+    named = named.join(several, "doc", "left").select("doc", F.when(F.col("several"), F.hash("text")).otherwise(0).alias("var"), "text")
+    digests = named.select("doc", "var", F.sha2("text", 256).alias("digest"))
     least = digests.groupBy("digest").agg(F.min("doc").alias("first"), F.count("*").alias("c")).filter("c > 1")
-    copies = digests.join(least, "digest").filter("first < doc").select("doc", F.lit(True).alias("copy")).distinct()
-    dealt = named.repartition(n_parts, "doc")
-    wanted = _candidates(named).join(copies, "doc", "left_anti")
-    spans = _spans(dealt.join(wanted.hint("shuffle_hash"), "doc").select("doc", "text", "at"))
-    rows = dealt.join(spans.hint("shuffle_hash"), "doc", "left").join(copies.hint("shuffle_hash"), "doc", "left")
+    copies = digests.join(least, "digest").filter("first < doc").select("doc", "var", F.lit(True).alias("copy")).distinct()
+    dealt = named.repartition(n_parts, "doc", "var")
+    wanted = _candidates(named).join(copies, ["doc", "var"], "left_anti")
+    spans = _spans(dealt.join(wanted.hint("shuffle_hash"), ["doc", "var"]).select("doc", "var", "text", "at"))
+    rows = dealt.join(spans.hint("shuffle_hash"), ["doc", "var"], "left").join(copies.hint("shuffle_hash"), ["doc", "var"], "left")
     rows = rows.select(F.col("doc").alias("doc_id"), "text", "spans", F.coalesce("copy", F.lit(False)).alias("copy"))
-    unnamed = docs.filter("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("binary").alias("spans"), F.lit(False).alias("copy"))
+    unnamed = docs.filter(F.col("doc_id").try_cast("long").isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("binary").alias("spans"), F.lit(False).alias("copy"))
     return rows.unionByName(unnamed).mapInArrow(_describe, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 

@@ -58,6 +58,22 @@ def test_equals_brute_force(spark, monkeypatch):
         assert sorted(map(tuple, got), key=str) == brute(docs)
 
 
+def test_texts_that_share_a_doc_id(spark, monkeypatch):
+    monkeypatch.setattr(S, "FLUSH", 300)
+    monkeypatch.setattr(S, "SORT_FLUSH", 200)
+    rnd = random.Random(8)
+    texts = [t for _, t in corpus(5, 120)]
+    docs = [(rnd.randrange(30), t) for t in texts] + [(40, texts[3] + "z" * 80), (40, "z" * 80 + "a unique text " * 9), (41, "z" * 80), (41, texts[3])]
+    got = S.dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(6)).collect()
+    assert sorted(map(tuple, got), key=str) == brute(docs)
+
+
+def test_doc_ids_that_are_no_numbers(spark):
+    line = "one and the same long line that stands in all of these rows, word for word"
+    got = S.dedup(spark.createDataFrame([("1", line), ("x", line), ("2", line), (None, line)], "doc_id string, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_removed) for r in got) == [("1", 0), ("2", len(line)), ("None", 0), ("None", 0)]
+
+
 def test_hot_passage_and_empty_table(spark):
     line = "This very line stands in every single document of the corpus, word for word."
     docs = [(i, f"{i} unique start {i * 7919} {line} and {i * 104729} its own end") for i in range(400)]
