@@ -8,7 +8,7 @@ in constant time with no shuffle. Removing a shard moves few rows of the others.
 
 Defined results: a null key is placed as the key ``\\0``; equal keys go to one
 shard; all input rows come back, with all columns except those named like the
-two added ones.
+two added ones; an empty table gives an empty result. Column names may hold dots; ``key`` is a name, not a path.
 """
 
 from __future__ import annotations
@@ -61,9 +61,9 @@ def table_frame(spark: SparkSession, shards: tuple[str, ...] | list[str], size:
 
 def place(df: DataFrame, key: str, shards: tuple[str, ...] | list[str] = SHARDS, size: int = TABLE_SIZE, weights: dict[str, int] | None = None) -> DataFrame:
     """``df`` with columns ``slot`` and ``shard``."""
-    digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("\0")).cast("binary"))
+    digest = F.md5(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("\0")).cast("binary"))
     slot = F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") % size
     others = [c for c in df.columns if c.lower() not in ("slot", "shard")]
     rows = df.select(*(F.col(f"`{c}`") for c in others), slot.alias("slot"))
     # Broadcast is safe: the table has `size` rows, a parameter, not a function of the data.
-    return rows.join(F.broadcast(table_frame(df.sparkSession, shards, size, weights)), "slot", "left").select(*others, "slot", "shard")
+    return rows.join(F.broadcast(table_frame(df.sparkSession, shards, size, weights)), "slot", "left").select(*(F.col(f"`{c}`") for c in others), "slot", "shard")

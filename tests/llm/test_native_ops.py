@@ -90,6 +90,22 @@ def test_sharding_places_by_brute_force(spark):
         sharding.fill_table(["a"], 12)
 
 
+def test_sharding_names_with_dots_and_empty_table(spark):
+    df = spark.createDataFrame([(1, "x"), (2, None)], "`a.b` long, `c d` string")
+    assert sharding.place(df, "a.b").columns == ["a.b", "c d", "slot", "shard"] and sharding.place(df, "a.b").count() == 2
+    assert sharding.place(df.limit(0), "c d").count() == 0
+
+
+def test_very_long_texts(spark):
+    long = "word after word " * 60_000
+    docs = spark.createDataFrame([(1, long), (2, "line\n" * 100_000)], "doc_id long, text string")
+    got = {r.doc_id: r for r in quality_rules.text_statistics(docs).collect()}
+    assert got[1].n_words == 180_000 == got[1].n_repeat_words and got[2].n_dup_lines == 99_999
+    turns = [(1, 0, "user", long), (1, 1, "assistant", "a"), (2, 0, "user", long)]
+    out = chat_format.collapse(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    assert [(r.conv_id, r.n_turns, len(r.text) > 2 * 480_000) for r in out] == [(1, 2, True)]
+
+
 def brute_chats(rows):
     convs = {}
     for c, t, r, x in set(rows):
