@@ -3,7 +3,16 @@
 Quality rules drop junk, the n-gram join leaves the smallest doc_id of each group of
 near copies (five words, similarity 0.8), decontamination drops documents that hold
 benchmark items, personal data is replaced by its kind, and what is left is
-segmented. Each stage's rows are written to the shared folder and read again by the next.
+segmented. Each stage's rows are written to the shared folder and read again by the next,
+which deletes them once its own are written.
+
+Defined results: a null or empty text fails the quality rules, so its document goes; documents
+without a doc_id have no near copies, and the other stages treat them like all others; repeated rows
+(one doc_id, one text) are one document, whose rows all stay or all go; of texts that share a doc_id
+one is compared with other documents, and all rows of the id stay or go with it; columns
+besides those of documents are dropped by the first stage; an empty documents table gives an
+empty result, an empty labels table no learned rule, an empty benchmark no contamination; very long texts
+are worked on whole.
 """
 
 from __future__ import annotations
@@ -13,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontaminate, ngram_join, pii, quality_rules, spm_sample
-from tessera.storage import materialize
+from tessera.storage import discard, materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -58,6 +67,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last: list[str] = []
     for i, (_, stage) in enumerate(STAGES):
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{i}")
+        written: list[str] = []
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{i}", scratch=written)
+        discard(spark, last)
+        last = written
     return docs
