@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.storage import materialize
+from tessera.storage import discard, materialize
 
 WS = r"[\x20\x09-\x0D]+"
 NOT_WS = r"[^\x20\x09-\x0D]"
@@ -164,9 +164,10 @@ def learn(features: DataFrame, labels: DataFrame, max_rules: int = 8, max_litera
     prefix with the best worth (p - n) / (p + n) on the rest, and is accepted if
     its precision over both folds reaches ``min_precision``; rows it covers leave.
     """
+    written: list[str] = []
     y = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     folds = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 2
-    rows = materialize(features.filter("not base_failed").join(y, "doc_id").select(*FEATURES, (F.col("quality") == 0).alias("bad"), folds.alias("prune")), "rule-rows")
+    rows = materialize(features.filter("not base_failed").join(y, "doc_id").select(*FEATURES, (F.col("quality") == 0).alias("bad"), folds.alias("prune")), "rule-rows", scratch=written)
     learned = DecisionList()
     uncovered = "true"
     for _ in range(max_rules):
@@ -192,6 +193,7 @@ def learn(features: DataFrame, labels: DataFrame, max_rules: int = 8, max_litera
             break
         learned.rules.append(Rule(tuple(literals[: keep + 1]), hits, misses))
         uncovered = f"{uncovered} AND NOT ({learned.rules[-1].sql()})"
+    discard(features.sparkSession, written)
     return learned
 
 

@@ -96,3 +96,46 @@ def test_run_is_the_registered_query(spark):
     import __spark_entry__ as E
 
     assert E.queries()["pipeline"](spark, SF).count() > 0
+
+
+def tables(spark, folder, docs, labels=(), items=()):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, rule long, item_ids string, contaminated boolean"
+    spark.createDataFrame([(*d, "k", 1, "x", None) for d in docs], schema).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality long, toxic long").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def prose(n, k=60):
+    return " ".join(f"{w}{n}" for w in "alpha beta gamma delta epsilon zeta eta theta iota kappa".split() for _ in [0]) + " " + " ".join(f"word{n * 1000 + i}" for i in range(k))
+
+
+def test_edge_cases(spark, tmp_path):
+    import corpus_pipeline as P
+
+    long = " ".join(f"long{i}" for i in range(60_000))
+    item = "the answer to this benchmark question is the number that comes after the last one here"
+    docs = [
+        (1, prose(1), "en", "s", 10),
+        (1, prose(1), "en", "s", 10),  # a repeated row
+        (2, prose(1) + " tail", None, None, None),  # a near copy
+        (3, None, None, None, None),
+        (4, "", "en", "s", 0),
+        (None, prose(5) + " mail a@b.example now", None, "s", None),
+        (6, long, "en", "s", 1),
+        (7, prose(7) + " " + item, "en", "s", 1),
+        (8, "few words", "en", "s", 1),
+    ]
+    sf = tables(spark, tmp_path / "a", docs, [(1, None, None), (None, 0, 1), (99, 0, 0)], [(1, item), (None, None), (2, None)])
+    out = P.run(spark, sf).collect()
+    texts = {(r.doc_id, r.decoded) for r in out}
+    assert texts == {(1, prose(1)), (None, prose(5) + " mail <EMAIL> now"), (6, long)}
+    assert sum(r.doc_id == 1 for r in out) == 4 and all(r.round_trip for r in out)
+
+
+def test_empty_tables(spark, tmp_path):
+    import corpus_pipeline as P
+
+    assert P.run(spark, tables(spark, tmp_path / "none", [])).count() == 0
+    only = P.run(spark, tables(spark, tmp_path / "one", [(1, prose(1), "en", "s", 1)])).collect()
+    assert {r.doc_id for r in only} == {1}
