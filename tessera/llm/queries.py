@@ -41,7 +41,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_spm_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spm_sample.segmentations(_table(spark, sf_dir, "documents"), full=False)
+    return spm_sample.segmentations(_table(spark, sf_dir, "documents"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +49,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op7_text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics of op7_quality_rules before any rule, which SQL can express."""
+    out = quality_rules.text_statistics(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.collapse(_table(spark, sf_dir, "conversations"))
 
@@ -71,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_spm_sample": op6_spm_sample,
     "op7_quality_rules": op7_quality_rules,
+    "op7_text_statistics": op7_text_statistics,
     "op8_chat_format": op8_chat_format,
     "op9_decontamination": op9_decontamination,
     "op10_html_extract": op10_html_extract,
@@ -78,7 +85,32 @@ QUERIES: dict[str, Query] = {
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+
+def _names(shards: tuple[str, ...], slots: list[int]) -> str:
+    return ",".join(shards[i] for i in slots)
+
+
 ORACLES: dict[str, str] = {
+    "op2_sharding": f"""
+        WITH slots AS (SELECT string_split('{_names(sharding.SHARDS, sharding.fill_table(sharding.SHARDS))}', ',') AS names),
+        placed AS (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, chr(0))), 1, 13))::BIGINT % {sharding.TABLE_SIZE} AS slot FROM documents)
+        SELECT doc_id, slot, names[slot + 1] AS shard FROM placed, slots
+    """,
+    "op7_text_statistics": """
+        WITH words AS (
+            SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS r,
+                   [x FOR x IN string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+') IF x <> ''] AS w,
+                   [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^\\x20\\x09-\\x0D]')] AS lines
+            FROM documents),
+        starts AS (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM words),
+        windows AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS s FROM starts),
+        twice AS (SELECT r, unnest(range(i, i + 8)) AS p FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS c FROM windows) WHERE c > 1),
+        covered AS (SELECT r, count(DISTINCT p) AS n FROM twice GROUP BY r)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum([length(x) FOR x IN w]), 0)::BIGINT AS word_chars,
+               length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+               (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words
+        FROM words LEFT JOIN covered USING (r)
+    """,
     "op4_ngram_join": f"""
         WITH RECURSIVE words AS (
             SELECT doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\\x20\\x09-\\x0D]+') IF x <> ''] AS w

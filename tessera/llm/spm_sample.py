@@ -45,8 +45,8 @@ SAMPLES, SEED = 2, 20
 POWER, RANK_SHIFT = 1.0, 32.0
 #: Pieces of a path whose deviations are drawn at once.
 STEPS = 64
-#: Bytes of text a task works on together, and lattice nodes it remembers.
-BATCH_CHARS, CACHE_NODES = 400_000, 900_000
+#: Bytes of text a task works on together, lattice nodes it remembers, and uses that let a chunk outlive a full memory.
+BATCH_CHARS, CACHE_NODES, KEPT_USES = 400_000, 1_500_000, 3
 SPACE = "▁"
 _CHUNK = re.compile(r" *[^ ]+| +")
 _G, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -153,32 +153,74 @@ class Pieces:
 
 
 def _grown(x: np.ndarray, used: int, need: int) -> np.ndarray:
-    """Room for ``need`` rows and a third more, the first ``used`` kept."""
-    out = np.empty((need + need // 3, *x.shape[1:]), x.dtype)
+    """Room for ``need`` values and a third more, the first ``used`` kept."""
+    out = np.empty(need + need // 3, x.dtype)
     out[:used] = x[:used]
     return out
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
+def chunk_starts(codes: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Where chunks start in joined texts that start at ``texts``, each with a space: at every space that follows none."""
+    space = codes == 32
+    first = space.copy()
+    first[1:] &= ~space[:-1]
+    first[texts] = True
+    return np.flatnonzero(first)
+
+
+_powers = np.ones(1, np.uint64)
+
+
+def _chunk_hashes(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    global _powers
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    longest = int(sizes.max())
+    if longest > len(_powers):
+        _powers = np.multiply.accumulate(np.append(np.uint64(1), np.full(longest, _G)))
+    x = (codes.astype(np.uint64) + np.uint64(1)) * _M1
+    x ^= x >> np.uint64(29)
+    x *= _powers[np.arange(len(codes)) - np.repeat(starts, sizes)]
+    return _hash(np.add.reduceat(x, starts) + sizes.astype(np.uint64) * _M2)
+
+
 class Lattices:
     """Lattices of chunks in flat arrays: nodes with their edges, each with log probability, target and piece.
 
+    A node's edges stand from the longest piece to the shortest; ``upto`` adds their probabilities up.
     An edge's ``piece`` is an id, or -1 - c for the character ``extra[c]`` as its bytes.
     """
 
     def __init__(self, pieces: Pieces) -> None:
         self.pieces = pieces
         self.reset()
-        self.cum = np.full((1024, 16), 2.0, np.float32)
         self.edge0, self.width = np.zeros(1024, np.int32), np.zeros(1024, np.int8)
-        self.logp, self.target, self.piece = np.zeros(4096), np.zeros(4096, np.int32), np.zeros(4096, np.int32)
+        self.logp, self.target, self.piece, self.upto = np.zeros(4096), np.zeros(4096, np.int32), np.zeros(4096, np.int32), np.zeros(4096, np.float32)
 
     def reset(self) -> None:
         """Forget all lattices; the arrays keep their room."""
-        self.first_node: dict[str, int] = {}
+        self.first_node: dict[int, int] = {}
+        self.uses, self.code = np.zeros(1024, np.int64), np.zeros(1024, np.uint32)
         self.n_nodes = self.n_edges = 0
         self.extra: list[tuple[int, ...]] = []
         self.extra_at: dict[int, int] = {}
 
+    def shrink(self) -> None:
+        """Forget the lattices of rare chunks; the others start anew, the most used first, in half the memory at most."""
+        first = np.sort(np.fromiter(self.first_node.values(), np.int64, len(self.first_node)))
+        size = np.diff(first, append=self.n_nodes)
+        order = np.argsort(-self.uses[first], kind="stable")
+        order = order[(self.uses[first][order] >= KEPT_USES) & (np.cumsum(size[order]) <= CACHE_NODES // 2)]
+        codes = self.code[_ranges(first[order], size[order])]
+        self.reset()
+        if len(codes):
+            self.rows(codes, np.cumsum(size[order]) - size[order])
+
     def _edges(self, codes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Edges (position, length, piece, log weight) of characters ``codes``; ``left``: characters to the end of the chunk."""
         pieces = self.pieces
@@ -210,20 +252,23 @@ class Lattices:
             ends = pieces.ends[state]
             hit = ends >= 0
             found.append((at[hit], np.full(int(hit.sum()), length), ends[hit], pieces.weights[ends[hit]]))
-        return tuple(np.concatenate(c) for c in zip(*found))
+        return tuple(np.concatenate(c) for c in zip(*reversed(found)))
 
-    def rows(self, chunks: list[str]) -> np.ndarray:
-        """The first node of each chunk, after adding lattices not seen before."""
+    def rows(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The first node of each chunk of ``codes``, after adding lattices not seen before. A 64-bit hash stands for a chunk."""
         known = self.first_node
-        new = [c for c in dict.fromkeys(chunks) if c not in known]
-        if new:
-            lens = np.array([len(c) for c in new])
+        sizes = np.diff(starts, append=len(codes))
+        hashes, at, which = np.unique(_chunk_hashes(codes, starts, sizes), return_index=True, return_inverse=True)
+        keys = hashes.tolist()
+        new = np.array([i for i, k in enumerate(keys) if k not in known], np.int64)
+        if len(new):
+            lens = sizes[at[new]]
             begin = np.cumsum(lens) - lens
-            known.update(zip(new, (begin + self.n_nodes).tolist()))
-            codes = np.frombuffer("".join(new).encode("utf-32-le"), np.uint32)
+            known.update(zip(hashes[new].tolist(), (begin + self.n_nodes).tolist()))
+            codes = codes[_ranges(starts[at[new]], lens)]
             left = np.repeat(begin + lens, lens) - np.arange(len(codes))
             at, length, piece, weight = self._edges(codes, left)
-            order = np.argsort(at, kind="stable")  # lengths ascend within a position already
+            order = np.argsort(at, kind="stable")  # lengths descend within a position already
             at, length, piece, weight = at[order], length[order], piece[order], weight[order]
             width = np.bincount(at, minlength=len(codes))
             first = np.cumsum(width) - width
@@ -241,27 +286,28 @@ class Lattices:
                 x, y = ends[a], ends[b]
                 beta[nodes[a:b]] = np.logaddexp.reduceat(w[x:y] + beta[t[x:y]], ends[a:b] - x)
             logp = weight + beta[target] - beta[at]
-            self._append(logp, np.where(last, -1, target + self.n_nodes), piece.astype(np.int32), width.astype(np.int32))
-        return np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
+            self._append(codes, logp, np.where(last, -1, target + self.n_nodes), piece.astype(np.int32), width.astype(np.int32))
+        out = np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))
+        self.uses[out] += np.bincount(which, minlength=len(out))
+        return out[which]
 
-    def _append(self, logp: np.ndarray, target: np.ndarray, piece: np.ndarray, width: np.ndarray) -> None:
+    def _append(self, codes: np.ndarray, logp: np.ndarray, target: np.ndarray, piece: np.ndarray, width: np.ndarray) -> None:
         e, n = self.n_edges, self.n_nodes
         e1, n1 = e + len(logp), n + len(width)
         if e1 > len(self.logp):
-            self.logp, self.target, self.piece = (_grown(x, e, e1) for x in (self.logp, self.target, self.piece))
+            self.logp, self.target, self.piece, self.upto = (_grown(x, e, e1) for x in (self.logp, self.target, self.piece, self.upto))
         if n1 > len(self.width):
-            self.cum, self.edge0, self.width = (_grown(x, n, n1) for x in (self.cum, self.edge0, self.width))
+            self.edge0, self.width = (_grown(x, n, n1) for x in (self.edge0, self.width))
+        if n1 > len(self.code):
+            self.code, self.uses = (_grown(x, n, n1) for x in (self.code, self.uses))
+        self.code[n:n1], self.uses[n:n1] = codes, 0
         self.logp[e:e1], self.target[e:e1], self.piece[e:e1] = logp, target, piece
         starts = np.cumsum(width) - width
         self.edge0[n:n1], self.width[n:n1] = e + starts, width
         p = np.exp(logp)
         total = np.cumsum(p)
-        inside = total - np.repeat(total[starts] - p[starts], width)
-        column = np.arange(len(p)) - np.repeat(starts, width)
-        row = np.repeat(np.arange(n, n1), width)
-        inner = column < np.repeat(width, width) - 1  # the last edge takes what is left
-        self.cum[n:n1] = 2.0
-        self.cum[row[inner], column[inner]] = inside[inner]
+        self.upto[e:e1] = total - np.repeat(total[starts] - p[starts], width)
+        self.upto[e + starts + width - 1] = 2.0  # the last edge takes what is left
         self.n_edges, self.n_nodes = e1, n1
 
     def walk(self, start: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -271,7 +317,11 @@ class Lattices:
         found, edges, step = [], [], 0
         while len(index):
             u = _unit(_hash(key + np.uint64(step * int(_G) & (2**64 - 1)))).astype(np.float32)
-            edge = self.edge0[node] + (u[:, None] >= self.cum[node]).sum(axis=1)
+            edge = self.edge0[node]
+            on = np.flatnonzero(u >= self.upto[edge])
+            while len(on):
+                edge[on] += 1
+                on = on[u[on] >= self.upto[edge[on]]]
             found.append(index)
             edges.append(edge)
             node = self.target[edge]
@@ -345,11 +395,14 @@ class Sampler:
         """For each text its samples, best first, and the threshold (-inf if there are no further segmentations)."""
         lat = self.lattices
         if lat.n_nodes > CACHE_NODES:
-            lat.reset()
-        split = [chunks_of(t) if t else [] for t in texts]
-        flat = [c for s in split for c in s]
-        every = lat.rows(flat)
-        cuts = np.cumsum([0, *map(len, split)])
+            lat.shrink()
+        whole = [" " + t if t else "" for t in texts]
+        ends = np.cumsum([len(t) for t in whole])
+        begin = ends - [len(t) for t in whole]
+        codes = np.frombuffer("".join(whole).encode("utf-32-le"), np.uint32)
+        starts = chunk_starts(codes, begin[ends > begin])
+        every = lat.rows(codes, starts)
+        cuts = np.searchsorted(starts, np.append(begin, len(codes)))
         rows = [_Row(every[cuts[i] : cuts[i + 1]], self.key(k)) for i, k in enumerate(keys)]
         for j in range(self.k):
             self._extend(rows, j)
@@ -520,7 +573,7 @@ def _batches(b: pa.RecordBatch) -> Iterator[tuple[int, int]]:
 _kept: dict[str, Pieces] = {}
 
 
-def _run(batches: Iterable[pa.RecordBatch], model_file: str, k: int, seed: int, full: bool) -> Iterator[pa.RecordBatch]:
+def _run(batches: Iterable[pa.RecordBatch], model_file: str, k: int, seed: int) -> Iterator[pa.RecordBatch]:
     # A worker process keeps the vocabulary for its next tasks, but no lattices, which are large.
     if model_file not in _kept:
         _kept.clear()
@@ -530,40 +583,35 @@ def _run(batches: Iterable[pa.RecordBatch], model_file: str, k: int, seed: int,
         for a, z in _batches(b):
             part = b.slice(a, z - a)
             texts = part.column(1).to_pylist()
-            rows: dict[str, list] = {c: [] for c in (_FULL if full else _DIGEST)}
-            where = []
+            where, found, bounds = [], [], []
             for i, (samples, bound) in enumerate(sampler.sample(part.column(0).to_pylist(), texts)):
-                for j, s in enumerate(samples):
-                    where.append(i)
-                    text = sampler.decode(s.ids)
-                    rows["sample"].append(j)
-                    rows["n_pieces"].append(len(s.ids))
-                    rows["log_prob"].append(s.log_prob)
-                    rows["perturbed"].append(s.perturbed)
-                    rows["inclusion"].append(inclusion(s.log_prob, bound))
-                    if full:
-                        rows["ids"].append(s.ids)
-                        rows["decoded"].append(text)
-                    else:
-                        rows["ids_digest"].append(xxhash.xxh3_64_hexdigest(s.ids.astype("<i4").tobytes()))
-                        rows["round_trip"].append(text == (texts[i] or ""))
-            names = list(rows)
-            kinds = _FULL if full else _DIGEST
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(where, pa.int64())), *(pa.array(rows[c], kinds[c]) for c in names)], names=["doc_id", *names])
-
-
-_COMMON = {"sample": pa.int32(), "n_pieces": pa.int64(), "log_prob": pa.float64(), "perturbed": pa.float64(), "inclusion": pa.float64()}
-_FULL = _COMMON | {"ids": pa.list_(pa.int32()), "decoded": pa.string()}
-_DIGEST = _COMMON | {"ids_digest": pa.string(), "round_trip": pa.bool_()}
-_DDL = "sample int, n_pieces long, log_prob double, perturbed double, inclusion double, "
-
-
-def segmentations(docs: DataFrame, model_file: str = DEFAULT_MODEL, k: int = SAMPLES, seed: int = SEED, full: bool = True) -> DataFrame:
-    """A row per row of ``docs`` and sample: ids and the decoded text, or (``full=False``) a digest of the ids and whether decoding gives the text back.
+                where += [i] * len(samples)
+                found += samples
+                bounds += [bound] * len(samples)
+            decoded = [sampler.decode(s.ids) for s in found]
+            sizes = np.array([len(s.ids) for s in found], np.int64)
+            nth = np.arange(len(where)) - np.searchsorted(where, where)
+            ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(np.concatenate([s.ids for s in found]), pa.int32()))
+            arrays = [
+                part.column(0).take(pa.array(where, pa.int64())),
+                pa.array(nth, pa.int32()),
+                pa.array(sizes),
+                pa.array([s.log_prob for s in found], pa.float64()),
+                pa.array([s.perturbed for s in found], pa.float64()),
+                pa.array([inclusion(s.log_prob, x) for s, x in zip(found, bounds)], pa.float64()),
+                ids,
+                pa.array(decoded, pa.string()),
+                pa.array([t == (texts[i] or "") for t, i in zip(decoded, where)], pa.bool_()),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion", "ids", "decoded", "round_trip"])
+
+
+def segmentations(docs: DataFrame, model_file: str = DEFAULT_MODEL, k: int = SAMPLES, seed: int = SEED) -> DataFrame:
+    """A row per row of ``docs`` and sample: ids, the decoded text, and whether that is the text again.
 
     ``model_file`` must be readable under the same path on every executor.
     """
     bounded_batches(docs.sparkSession)
-    run = partial(_run, model_file=model_file, k=k, seed=seed, full=full)
+    run = partial(_run, model_file=model_file, k=k, seed=seed)
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + _DDL + ("ids array<int>, decoded string" if full else "ids_digest string, round_trip boolean"))
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, sample int, n_pieces long, log_prob double, perturbed double, inclusion double, ids array<int>, decoded string, round_trip boolean")

@@ -107,7 +107,24 @@ def test_frame(spark):
     assert len(full) == 7 and all(r.decoded == (texts[r.doc_id] or "") for r in full)
     twice = [tuple(r.ids) for r in full if r.doc_id == 1]
     assert len(set(twice)) == 2 and Counter(twice).most_common(1)[0][1] == 2
-    digest = S.segmentations(d, full=False).collect()
-    assert len(digest) == 7 and all(r.round_trip for r in digest) and all(0 < r.inclusion <= 1 for r in digest)
+    assert all(r.round_trip and r.n_pieces == len(r.ids) and 0 < r.inclusion <= 1 for r in full)
     assert S.segmentations(d.limit(0)).count() == 0
-    assert np.isclose(sum(r.log_prob for r in digest), sum(r.log_prob for r in full))
+
+
+def test_full_memory_does_not_change_samples(sampler, monkeypatch):
+    texts = [f"some words {i % 7} and  others {'y' * (i % 5)}" for i in range(60)]
+    want = [x for i, t in enumerate(texts) for x in sampler.sample([i], [t])]
+    monkeypatch.setattr(S, "CACHE_NODES", 40)
+    small = S.Sampler(k=2)
+    got = [x for i, t in enumerate(texts) for x in small.sample([i], [t])]
+    assert [[s.ids.tolist() for s in x[0]] for x in want] == [[s.ids.tolist() for s in x[0]] for x in got]
+    assert small.lattices.n_nodes < 200
+
+
+def test_chunks_are_found_in_joined_texts():
+    texts = ["a  b c ", " ", "", "  x", "y"]
+    whole = [" " + t for t in texts if t]
+    codes = np.frombuffer("".join(whole).encode("utf-32-le"), np.uint32)
+    starts = S.chunk_starts(codes, np.cumsum([0, *map(len, whole)])[:-1])
+    joined = "".join(whole)
+    assert [joined[a:b] for a, b in zip(starts, [*starts[1:], len(joined)])] == [c for t in texts if t for c in S.chunks_of(t)]
