@@ -1,7 +1,15 @@
+import os
 import random
+import re
+
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
 
 from tessera.llm import decontaminate as D
 
+BENCHMARK = "/root/testdata/sf0.01/benchmark.parquet"
+
 ITEM = "Alice bought 12 apples at the market and gave Bob 5 of them before walking 3 km home with the rest of 12 apples."
 
 
@@ -96,3 +104,59 @@ def test_drop_keeps_columns_and_empty_tables(spark):
     out = D.drop_contaminated(d, b)
     assert out.columns == d.columns and [r.doc_id for r in out.collect()] == [2]
     assert D.drop_contaminated(d, b.limit(0)).count() == 2 and D.drop_contaminated(d.limit(0), b).count() == 0
+
+
+def test_slots_are_one_to_one():
+    item = "At noon Alice has 3 red balls and Bob has 5 red ones"
+    index, words = D.Index([(1, item)]), D.Words()
+    assert index.match("At noon Dana has 4 red balls and Tom has 9 red ones", words)
+    assert not index.match("At noon Tom has 4 red balls and Tom has 9 red ones", words)
+    assert not index.match("At noon Dana has 7 red balls and Tom has 7 red ones", words)
+
+
+def test_titles_and_number_words_of_four_languages():
+    items = [
+        "Anna kauft sieben rote Äpfel und gibt ihrem Bruder drei davon, wie viele bleiben ihr dann noch",
+        "marie achète sept pommes rouges et donne trois pommes à son frère, combien en reste-t-il alors",
+        "ana compra siete manzanas rojas y da tres manzanas a su hermano, cuántas le quedan después",
+        "she buys seven red apples and gives three of them to her brother, how many are left then",
+    ]
+    other = {"sieben": "neun", "drei": "acht", "sept": "neuf", "trois": "huit", "siete": "nueve", "tres": "dos", "seven": "9", "three": "4"}
+    index, words = D.Index(list(enumerate(items))), D.Words()
+    for i, t in enumerate(items):
+        swapped = " ".join(other.get(w, w) for w in t.split())
+        for text in (t, t.title(), t.upper(), swapped, swapped.title(), swapped.upper()):
+            assert list(index.match(f"before it. {text} behind it", words)) == [i], text
+
+
+@pytest.mark.skipif(not os.path.exists(BENCHMARK), reason="no test data")
+def test_recased_and_renumbered_copies_of_all_items():
+    items = [(r["item_id"], r["text"]) for r in pq.read_table(BENCHMARK).to_pylist()]
+    rnd = random.Random(6)
+    with_numbers = []
+    for k, t in items:
+        w = t.split()
+        for i in sorted(rnd.sample(range(len(w)), 3), reverse=True):
+            w.insert(i, str(rnd.randrange(100)))
+        with_numbers.append((k, " ".join(w)))
+    index, words = D.Index(with_numbers), D.Words()
+    renumber = lambda t: re.sub(r"\b\d+\b", lambda m: str(int(m[0]) + 1000), t)
+    for change in (str.title, str.upper, str.lower, renumber, lambda t: renumber(t).title()):
+        assert all(k in index.match("words before " + change(t), words) for k, t in with_numbers)
+    assert not index.match(None, words) and not index.match("", words)
+
+
+def test_very_long_text():
+    index, words = D.Index([(9, ITEM)]), D.Words()
+    long = " ".join(f"w{i % 5000}" for i in range(400_000))
+    assert not index.match(long, words) and list(index.match(f"{long} {ITEM} {long}", words)) == [9]
+
+
+def test_window_hashes_are_one_polynomial():
+    h = np.arange(3, 60, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for width in range(1, 9):
+        x = np.zeros(len(h) - width + 1, np.uint64)
+        for i in range(width):
+            x = x * D._A + h[i : i + len(x)]
+        x = (x ^ (x >> np.uint64(32))) * D._MIX
+        assert (D.window_hashes(h, width) == (x ^ (x >> np.uint64(29)))).all()
