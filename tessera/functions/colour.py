@@ -90,12 +90,12 @@ def hue(c: Channels, top: float) -> Column:
     return F.when(d == 0, F.lit(int(top)).cast("long")).otherwise(half_away(F.when(sixth < 0, sixth + 6).otherwise(sixth) / 6 * (top - 1)))
 
 
-def hue_luminance_difference(a: Channels, b: Channels, top: float) -> Column:
-    """The larger of the hue distance around the circle and the luminance distance."""
+def hue_luminance_difference(a: Channels, b: Channels, top: float, hue_weight: float = 1.0, luminance_weight: float = 1.0) -> Column:
+    """The larger of the weighted hue distance around the circle and luminance distance."""
     dh = F.abs(hue(a, top) - hue(b, top))
     around = F.when(dh > top / 2, top - dh).otherwise(dh)
     dl = F.abs(PROJECTORS["luminance"](a, top) - PROJECTORS["luminance"](b, top))
-    return F.greatest(around * 1.0, dl)
+    return F.greatest(around * float(hue_weight), dl * float(luminance_weight))
 
 
 def _f(t: Column) -> Column:

@@ -2,11 +2,45 @@
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
+# Factor, increment and modulus of the random sequence, and the seed of searches.
+LCG = (1_103_515_245, 12_345, 1 << 31)
+SEED = 1_000_003
+
+
+def random_sequence(seed: int = SEED) -> Iterator[float]:
+    """Reproducible numbers in [0, 1)."""
+    factor, increment, modulus = LCG
+    state = seed
+    while True:
+        state = (state * factor + increment) % (1 << 32)
+        yield state % modulus / modulus
+
+
+def bracket(f: Callable[[float], float], x: float, a: float, b: float, tries: int = 100, seed: int = SEED) -> float | None:
+    """A point of (a, b) where f is less than at both ends: ``x`` or a random one, None if no try hits one."""
+    bound = min(f(a), f(b))
+    inner = (a + (b - a) * (0.001 + 0.998 * u) for u in random_sequence(seed))
+    return next((p for p in itertools.chain([x], itertools.islice(inner, tries)) if f(p) < bound), None)
+
+
+def spaced_starts(n: int, a: float, b: float, centre: float, power: float = 2.0) -> list[float]:
+    """n starting points of a search, from ``centre`` out to both ends in turn, denser around it the higher the power."""
+    share = lambda k, count: (k / count) ** power if count else 0.0
+    right, left = (n - 1) // 2, n // 2
+    out = [centre]
+    for k in range(1, left + 1):
+        out.append(centre - (centre - a) * share(k, left))
+        if k <= right:
+            out.append(centre + (b - centre) * share(k, right))
+    return out
+
+
 _PHI = (math.sqrt(5) - 1) / 2
 
 

@@ -68,15 +68,32 @@ def from_fixed(q: Column, fraction_bits: int) -> Column:
     return whole + F.when(rest >= 1 << (fraction_bits - 1), 1).otherwise(0)
 
 
+def _draw(n: int, seed: int, place: tuple[Column, ...]) -> Column:
+    """A number from 0 to n - 1 that the place decides, so reruns agree."""
+    digest = F.md5(F.concat_ws(",", F.lit(str(seed)), *(p.cast("string") for p in place)).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % n
+
+
 def from_fixed_dithered(q: Column, fraction_bits: int, *place: Column, seed: int = 0) -> Column:
-    """Fractions under a quarter go down, from three quarters up; between, a hash of the place decides, so reruns agree."""
+    """Fractions under a quarter go down, from three quarters up; between, a draw by place decides."""
     one = 1 << fraction_bits
     whole = F.shiftright(q, fraction_bits)
     rest = q - whole * one
-    draw = F.pmod(F.xxhash64(F.lit(seed), *place), F.lit(one // 2)) + one // 4
+    draw = _draw(one // 2, seed, place) + one // 4
     return whole + F.when(rest < one // 4, 0).when(rest >= 3 * one // 4, 1).otherwise(F.when(draw <= rest, 1).otherwise(0))
 
 
+#: Steps of a dithered fraction.
+DITHER_STEPS = 1 << 20
+
+
+def dither(v: Column, *place: Column, seed: int = 0) -> Column:
+    """The integer below or above a real value: fractions under a quarter go down, from three quarters up; between, a draw by place decides."""
+    rest = v - F.floor(v)
+    draw = 0.25 + (_draw(DITHER_STEPS, seed, place) + 0.5) / (2 * DITHER_STEPS)
+    return F.floor(v).cast("long") + F.when(rest < 0.25, 0).when(rest >= 0.75, 1).otherwise(F.when(draw <= rest, 1).otherwise(0))
+
+
 def log_map(v: Column) -> Column:
     """Real values to a range without extremes: 1 + ln(1 + v) from zero up, 1 / (1 - v) below."""
     return F.when(v >= 0, 1 + F.log1p(v)).otherwise(1 / (1 - v))

@@ -95,11 +95,18 @@ def periodic(df: DataFrame, keys: list[str], feature: Column, width: int, height
     return distance_transform(copies, keys, F.col("__f"), metric).filter((F.col("x") >= 0) & (F.col("x") < width) & (F.col("y") >= 0) & (F.col("y") < height))
 
 
-def nearest_feature(df: DataFrame, keys: list[str], white: str = "white", black: str = "black", metric: str = "euclidean") -> DataFrame:
-    """Column m: 255 where the nearest place that only white covers is closer than the nearest that only black covers."""
-    to_white = distance_transform(df, keys, F.col(white) & ~F.col(black), metric).withColumnRenamed("d", "dw")
-    to_black = distance_transform(df, keys, F.col(black) & ~F.col(white), metric).withColumnRenamed("d", "db")
-    rows = to_white.join(to_black, [*keys, *XY])
+def nearest_feature(df: DataFrame, keys: list[str], white: str = "white", black: str = "black", metric: str = "euclidean", wrap: str = "none", size: tuple[int, int] = (0, 0)) -> DataFrame:
+    """Column m: 255 where the nearest place that only white covers is closer than the nearest that only black covers.
+
+    ``wrap`` (horizontal, vertical or both) makes a canvas of ``size`` a strip or torus.
+    """
+
+    def distance(feature: Column, name: str) -> DataFrame:
+        if wrap == "none":
+            return distance_transform(df, keys, feature, metric).withColumnRenamed("d", name)
+        return periodic(df, keys, feature, *size, wrap in ("horizontal", "both"), wrap in ("vertical", "both"), metric).withColumnRenamed("d", name)
+
+    rows = distance(F.col(white) & ~F.col(black), "dw").join(distance(F.col(black) & ~F.col(white), "db"), [*keys, *XY])
     closer = F.col("dw").isNotNull() & (F.col("db").isNull() | (F.col("dw") < F.col("db")))
     return rows.select(*keys, *XY, F.when(closer, 255).otherwise(0).cast("long").alias("m"))
 

@@ -131,10 +131,15 @@ def _add(fine: DataFrame, other: DataFrame, keys: list[str], values: list[str],
     return rows.select(*[c for c in fine.columns if c not in values], *((F.col(v) + sign * F.col(f"__{v}")).alias(v) for v in values))
 
 
+def less_expanded(fine: DataFrame, coarse: DataFrame, keys: list[str], values: list[str], wrap: bool = False) -> DataFrame:
+    """A Gaussian level less the expansion of the next, in ``values``; its other columns stay."""
+    return _add(fine, expand(coarse, _sizes(fine, keys), keys, values, wrap), keys, values, -1)
+
+
 def laplacian(df: DataFrame, keys: list[str], values: list[str], levels: int, alpha: str | None = None, wrap: bool = False) -> list[DataFrame]:
     """Each Gaussian level less the expansion of the next; the top level stays."""
     g = gaussian(df, keys, values, levels, alpha, wrap)
-    return [_add(g[i], expand(g[i + 1], _sizes(g[i], keys), keys, values, wrap), keys, values, -1) for i in range(levels - 1)] + [g[-1]]
+    return [less_expanded(g[i], g[i + 1], keys, values, wrap) for i in range(levels - 1)] + [g[-1]]
 
 
 def collapse(levels: list[DataFrame], keys: list[str], values: list[str], wrap: bool = False) -> DataFrame:
@@ -147,14 +152,14 @@ def stack_levels(levels: list[DataFrame]) -> DataFrame:
     return fold(DataFrame.unionByName, (d.withColumn("level", F.lit(i).cast("long")) for i, d in enumerate(levels)))
 
 
-def blend_levels(mask: list[DataFrame], white: list[DataFrame], black: list[DataFrame], keys: list[str], value: str = "v", top: float = 255.0) -> list[DataFrame]:
+def blend_levels(mask: list[DataFrame], white: list[DataFrame], black: list[DataFrame], keys: list[str], values: list[str], top: float = 255.0) -> list[DataFrame]:
     """Level by level: white where the mask is full, black where empty, else linear, rounded half away from zero."""
     from tessera.functions.scalar import half_away, lerp_masked
 
     out = []
     for m, w, b in zip(mask, white, black, strict=True):
-        rows = w.join(b.select(*keys, *XY, F.col(value).alias("__b")), [*keys, *XY]).join(m.select(*keys, *XY, (F.col("m") / top).alias("__m")), [*keys, *XY])
-        out.append(rows.select(*keys, *XY, half_away(lerp_masked(F.col("__m"), F.col(value) * 1.0, F.col("__b") * 1.0)).alias(value), "w", "h"))
+        rows = w.join(b.select(*keys, *XY, *(F.col(v).alias(f"__b{v}") for v in values)), [*keys, *XY]).join(m.select(*keys, *XY, (F.col("m") / top).alias("__m")), [*keys, *XY])
+        out.append(rows.select(*keys, *XY, *(half_away(lerp_masked(F.col("__m"), F.col(v) * 1.0, F.col(f"__b{v}") * 1.0)).alias(v) for v in values), "w", "h"))
     return out
 
 

@@ -253,12 +253,16 @@ def refine(cost: np.ndarray, contour: list[tuple[bool, int, int]], radius: int =
     return out
 
 
-OPTIMIZERS: dict[str, Callable] = {"anneal": anneal, "dijkstra": lambda cost, contour: [(True, x, y) for x, y in refine(cost, contour)]}
-
-
-def optimise(cost: np.ndarray, contour: list[tuple[bool, int, int]], chain: tuple[str, ...] = ("anneal", "dijkstra")) -> list[tuple[bool, int, int]]:
+def optimise(cost: np.ndarray, contour: list[tuple[bool, int, int]], chain: tuple[str, ...] = ("anneal", "dijkstra"), radius: int = 25, **cooling: float) -> list[tuple[bool, int, int]]:
+    """The contour after a chain of optimizers; ``cooling`` are the settings of :func:`anneal`."""
     for name in chain:
-        contour = drop_blocked(cost, OPTIMIZERS[name](cost, contour))
+        if name == "anneal":
+            contour = anneal(cost, contour, **cooling)
+        elif name == "dijkstra":
+            contour = [(True, x, y) for x, y in refine(cost, contour, radius)]
+        else:
+            raise ValueError(f"unknown optimizer {name!r}")
+        contour = drop_blocked(cost, contour)
     return contour
 
 
@@ -375,11 +379,17 @@ def fill(contours: list[list[Point]], shape: tuple[int, int]) -> np.ndarray:
     return out
 
 
-def create_mask(cost: np.ndarray, guide: np.ndarray, distance: int = 4, chain: tuple[str, ...] = ("anneal", "dijkstra"), graph_cut: bool = False) -> np.ndarray:
+def create_mask(cost: np.ndarray, guide: np.ndarray, distance: int = 4, chain: tuple[str, ...] = ("anneal", "dijkstra"), graph_cut: bool = False, **settings: float) -> np.ndarray:
     """The seam of one overlap: the guide mask (or a graph cut along it), its contours thinned, moved to cheap pixels, and filled again."""
     mask = label_cut(cut(cost, cost != BLOCKED), guide) if graph_cut else guide
     contours = []
     for contour in vectorise(mask, distance):
-        moved = optimise(cost, contour, chain) if chain and len(contour) > 2 else contour
+        moved = optimise(cost, contour, chain, **settings) if chain and len(contour) > 2 else contour
         contours.append([(x, y) for _, x, y in moved])
     return np.where(fill(contours, guide.shape), 255, 0)
+
+
+def coarse_seam(cost: np.ndarray, guide: np.ndarray, factor: int, **options: object) -> np.ndarray:
+    """:func:`create_mask` on every ``factor``-th row and column, each place of its result spread over the places it stands for."""
+    mask = create_mask(cost[::factor, ::factor], guide[::factor, ::factor], **options)
+    return mask.repeat(factor, axis=0).repeat(factor, axis=1)[: cost.shape[0], : cost.shape[1]]

@@ -1,4 +1,4 @@
-"""Mosaic blending: images join the mosaic one by one across nearest-feature seams.
+"""Mosaic blending: images join the mosaic one by one across seams.
 
 The fold over a mosaic's images is ordered, as seams depend on what is there already;
 every step handles all mosaics at once and is written to the shared folder, so plans
@@ -7,18 +7,24 @@ stay short and a lost executor costs one step.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce as fold
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import masks, pyramid
+from tessera.functions import colour
+from tessera.operators import masks, pyramid, seams, windows
 from tessera.operators.pixelwise import XY
+from tessera.plans.config import NEAREST, BlendConfig
 from tessera.storage import materialize
 
 
 def overlaps(df: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:
-    """(keys, a, b) with a < b: images of a mosaic that share a place; pairs are combined before the shuffle."""
-    left, right = df.select(*keys, *XY, F.col(order).alias("a")), df.select(*keys, *XY, F.col(order).alias("b"))
-    return left.join(right, [*keys, *XY]).filter("a < b").select(*keys, "a", "b").distinct()
+    """(keys, a, b) with a < b: images of a mosaic that share a place. Sets of images that share one are combined before any pair is made."""
+    met = df.groupBy(*keys, *XY).agg(F.sort_array(F.collect_set(order)).alias("met")).filter("size(met) > 1").select(*keys, "met").distinct()
+    pairs = met.select(*keys, F.posexplode("met").alias("i", "a"), "met").select(*keys, "a", F.explode(F.expr("slice(met, i + 2, size(met))")).alias("b"))
+    return pairs.distinct()
 
 
 def assemble(df: DataFrame, keys: list[str], n: int, order: str = "ord") -> DataFrame:
@@ -40,40 +46,131 @@ def assemble(df: DataFrame, keys: list[str], n: int, order: str = "ord") -> Data
     return placed.select(*keys, F.col("p.o").alias(order), F.col("p.batch").cast("long").alias("batch"))
 
 
-def join_image(black: DataFrame, white: DataFrame, keys: list[str], levels: int, value: str = "v") -> DataFrame:
-    """One step: (keys, x, y, value, alpha) of the mosaic so far and of the next image, on one canvas.
+def _mismatch(config: BlendConfig, channels: tuple[str, ...]) -> Column:
+    """How much the two images differ at a place, from 0 to 254; blocked where not both are there."""
+    one = lambda side: tuple(F.col(f"{c}{side}") for c in channels)
+    if len(channels) == 1:
+        d = config.luminance_weight * F.abs(one("w")[0] - one("b")[0])
+    else:
+        d = colour.hue_luminance_difference(one("w"), one("b"), 255, config.chrominance_weight, config.luminance_weight)
+    return F.when(F.col("white") & F.col("black"), F.least(F.floor(d).cast("long"), F.lit(seams.BLOCKED - 1))).otherwise(seams.BLOCKED).cast("long")
+
+
+def seam_mask(both: DataFrame, keys: list[str], config: BlendConfig, channels: tuple[str, ...], size: tuple[int, int]) -> DataFrame:
+    """(keys, x, y, m): 255 where the white image is to be seen.
+
+    The graph cut and the optimizers take one overlap's bounding box as an array, not the canvas; outside
+    the overlap the nearest-feature mask stays.
+    """
+    guide = masks.nearest_feature(both, keys, wrap=config.wrap, size=size)
+    if config.seam == "nearest" and not config.optimizers:
+        return guide
+    place = [*keys, *XY]
+    guide = materialize(guide, "guide")
+    cost = _mismatch(config, channels)
+    rows = both.withColumn("shared", F.col("white") & F.col("black")).select(*place, "shared", cost.alias("cost")).join(guide, place)
+    box = masks.bounding_box(rows, keys, "shared")
+    inner = rows.join(box, keys).filter("x between x0 and x1 and y between y0 and y1")
+    # cost and guide in one number: the guide is the ninth bit
+    packed = inner.select(*keys, (F.col("x") - F.col("x0")).alias("x"), (F.col("y") - F.col("y0")).alias("y"), (F.col("cost") + F.when(F.col("m") > 0, 256).otherwise(0)).alias("v"))
+    settings = dict(
+        distance=config.vectorize_distance, chain=config.optimizers, graph_cut=config.seam == "graphcut", radius=config.dijkstra_radius, distance_weight=config.distance_weight,
+        mismatch_weight=config.mismatch_weight, tau=config.tau, delta_max=config.delta_max, delta_min=config.delta_min, k_max=config.k_max,
+    )
+    factor = config.coarse_factor
+
+    def kernel(image: np.ndarray) -> list[tuple]:
+        mask = seams.coarse_seam(image & 255, (image >> 8) * 255, factor, **settings)
+        y, x = np.nonzero((image & 255) != seams.BLOCKED)
+        return list(zip(x.tolist(), y.tolist(), mask[y, x].tolist()))
+
+    moved = seams.per_image(packed, keys, kernel, "x long, y long, moved long").join(box, keys)
+    moved = moved.select(*keys, (F.col("x") + F.col("x0")).alias("x"), (F.col("y") + F.col("y0")).alias("y"), "moved")
+    return guide.join(moved, place, "left").select(*place, F.coalesce("moved", "m").alias("m"))
+
+
+def _region(masked: DataFrame, keys: list[str], levels: int) -> DataFrame:
+    """(keys, x0, y0, x1, y1): where a seam has any effect, from a corner that all levels share with the canvas; no row without a seam."""
+    margin, step = 2 * pyramid.filter_half_width(levels), 2 ** (levels - 1)
+    low = lambda c: F.greatest(F.floor((F.col(c) - margin) / step) * step, F.lit(0)).cast("long").alias(c)
+    return windows.transition_bounds(masked.select(*keys, *XY, "m"), keys).select(*keys, low("x0"), low("y0"), (F.col("x1") + margin).alias("x1"), (F.col("y1") + margin).alias("y1"))
+
+
+def _both(black: DataFrame, white: DataFrame, keys: list[str], channels: tuple[str, ...]) -> DataFrame:
+    """Both images at every place: channels with b or w behind their names, and whether each is valid."""
+    side = lambda df, end, alpha: df.select(*keys, *XY, *(F.col(c).alias(f"{c}{end}") for c in channels), F.col("alpha").alias(alpha))
+    both = side(black, "b", "black").join(side(white, "w", "white"), [*keys, *XY], "full")
+    values = [F.coalesce(f"{c}{end}", F.lit(0)).alias(f"{c}{end}") for end in "bw" for c in channels]
+    return both.select(*keys, *XY, *values, *(F.coalesce(c, F.lit(False)).alias(c) for c in ("black", "white")))
+
+
+def join_image(black: DataFrame, white: DataFrame, keys: list[str], levels: int, channels: tuple[str, ...] = ("v",), config: BlendConfig = NEAREST, size: tuple[int, int] = (0, 0), hard: bool = False) -> DataFrame:
+    """One step: (keys, x, y, channels, alpha, m) of the mosaic so far and of the next image, on one canvas.
 
     No overlap: white lies on top. Complete overlap: white is skipped. Otherwise the two
-    are blended in pyramid space across the nearest-feature seam, where either is valid.
+    are blended in pyramid space across the seam, within the region that the seam affects (all of a canvas
+    that wraps around). m is the white image's mask; ``hard`` cuts along it and does not blend.
     """
-    b = black.select(*keys, *XY, F.col(value).alias("vb"), F.col("alpha").alias("black"))
-    w = white.select(*keys, *XY, F.col(value).alias("vw"), F.col("alpha").alias("white"))
-    both = b.join(w, [*keys, *XY], "full")
-    both = both.select(*keys, *XY, *(F.coalesce(c, F.lit(0)).alias(c) for c in ("vb", "vw")), *(F.coalesce(c, F.lit(False)).alias(c) for c in ("black", "white")))
-    both = materialize(both, "step")
+    place = [*keys, *XY]
+    both = materialize(_both(black, white, keys, channels), "step")
     kind = masks.overlap_class(both, keys)
     seam = both.join(kind.filter("overlap = 'partial'"), keys, "left_semi")
-    mask = masks.nearest_feature(seam, keys)
-    half = lambda v, a: pyramid.laplacian(seam.select(*keys, *XY, F.col(v).alias(value), F.col(a).alias("alpha")), keys, [value], levels, "alpha")
-    blended = pyramid.collapse(pyramid.blend_levels(pyramid.gaussian(mask, keys, ["m"], levels), half("vw", "white"), half("vb", "black"), keys, value), keys, [value])
-    blended = blended.select(*keys, *XY, F.least(F.greatest(value, F.lit(0)), F.lit(255)).alias("vs"))
-    rows = both.join(kind, keys).join(blended, [*keys, *XY], "left")
-    out = F.when(F.col("overlap") == "complete", F.col("vb")).when(F.col("overlap") == "none", F.when(F.col("white"), F.col("vw")).otherwise(F.col("vb"))).otherwise(F.col("vs"))
+    mask = materialize(seam_mask(seam, keys, config, channels, size), "mask")
+    rows = both.join(kind, keys).join(mask, place, "left")
+    m = F.when(F.col("overlap") == "complete", 0).when(F.col("overlap") == "none", F.when(F.col("white"), 255).otherwise(0)).otherwise(F.col("m")).cast("long")
+    rows = rows.withColumn("m", m)
+    blended: list[str] = []
+    if not hard:
+        wrap = config.wrap in ("horizontal", "both")
+        part = seam.join(mask, place)
+        if config.wrap == "none":
+            region = materialize(_region(part, keys, levels), "region")
+            part = part.join(region, keys).filter("x between x0 and x1 and y between y0 and y1")
+            part = part.withColumns({"x": F.col("x") - F.col("x0"), "y": F.col("y") - F.col("y0")}).drop("x0", "y0", "x1", "y1")
+        part = materialize(part, "part")
+        names = list(channels)
+        half = lambda end, a: pyramid.laplacian(part.select(*place, *(F.col(f"{c}{end}").alias(c) for c in channels), F.col(a).alias("alpha")), keys, names, levels, "alpha", wrap)
+        weights = pyramid.gaussian(part.select(*place, "m"), keys, ["m"], levels, wrap=False)
+        done = pyramid.collapse(pyramid.blend_levels(weights, half("w", "white"), half("b", "black"), keys, names), keys, names, wrap)
+        if config.wrap == "none":
+            done = done.join(region, keys).withColumns({"x": F.col("x") + F.col("x0"), "y": F.col("y") + F.col("y0")})
+        blended = [f"{c}s" for c in channels]
+        rows = rows.join(done.select(*place, *(F.least(F.greatest(c, F.lit(0)), F.lit(255)).alias(f"{c}s") for c in channels)), place, "left")
     alpha = F.col("black") | F.col("white")
-    return rows.select(*keys, *XY, F.when(alpha, out).otherwise(0).cast("long").alias(value), alpha.alias("alpha"))
 
+    def value(c: str) -> Column:
+        cut = F.when(F.col("white") & ((F.col("m") > 0) | ~F.col("black")), F.col(f"{c}w")).otherwise(F.col(f"{c}b"))
+        out = F.when(F.col("overlap") == "partial", F.coalesce(f"{c}s", cut)).otherwise(cut) if blended else cut
+        return F.when(alpha, out).otherwise(0).cast("long").alias(c)
 
-def canvas(df: DataFrame, keys: list[str], width: int, height: int) -> DataFrame:
+    return rows.select(*place, *map(value, channels), alpha.alias("alpha"), F.col("m"))
+
+
+def canvas(df: DataFrame, keys: list[str], width: int, height: int, channels: tuple[str, ...] = ("v",)) -> DataFrame:
     """Every place of the canvas for every mosaic; places without a pixel are invalid."""
     places = df.select(*keys).distinct().withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long")))).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(height - 1).cast("long"))))
-    return places.join(df, [*keys, *XY], "left").withColumns({"v": F.coalesce("v", F.lit(0).cast("long")), "alpha": F.coalesce("alpha", F.lit(False))})
+    filled = {c: F.coalesce(c, F.lit(0).cast("long")) for c in channels}
+    return places.join(df, [*keys, *XY], "left").withColumns(filled | {"alpha": F.coalesce("alpha", F.lit(False))})
 
 
-def blend(df: DataFrame, keys: list[str], width: int, height: int, images: int, levels: int = 0, order: str = "ord") -> DataFrame:
-    """Mosaics of up to ``images`` positioned images (keys, order, x, y, v, alpha) on a canvas."""
-    n = pyramid.natural_levels(min(width, height), levels)
-    base = materialize(canvas(df.filter(F.col(order) == 0).drop(order), keys, width, height), "mosaic")
+def blend(
+    df: DataFrame, keys: list[str], width: int, height: int, images: int, levels: int = 0, order: str = "ord", channels: tuple[str, ...] = ("v",), config: BlendConfig = NEAREST, masks_only: bool = False
+) -> DataFrame:
+    """Mosaics of up to ``images`` positioned images (keys, order, x, y, channels, alpha) on a canvas.
+
+    ``masks_only`` gives (keys, step, x, y, m) of every step instead and blends nothing. With
+    ``config.pre_assemble`` images that do not overlap join the mosaic together.
+    """
+    n = pyramid.natural_levels(min(width, height), levels or config.levels)
+    if config.pre_assemble:
+        valid = df.filter("alpha")
+        batches = assemble(valid, keys, images, order)
+        df = valid.join(batches, [*keys, order]).drop(order).withColumnRenamed("batch", order)
+    at = lambda i: canvas(df.filter(F.col(order) == i).drop(order), keys, width, height, channels)
+    base = materialize(at(0), "mosaic")
+    steps = []
     for i in range(1, images):
-        white = canvas(df.filter(F.col(order) == i).drop(order), keys, width, height)
-        base = materialize(join_image(base, white, keys, n), "mosaic")
-    return base
+        joined = materialize(join_image(base, at(i), keys, n, channels, config, (width, height), masks_only), "mosaic")
+        steps.append(joined.select(*keys, F.lit(i).cast("long").alias("step"), *XY, "m"))
+        base = joined.drop("m")
+    return fold(DataFrame.unionByName, steps) if masks_only else base

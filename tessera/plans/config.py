@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, fields, replace
+from typing import TypeVar
+
+Config = TypeVar("Config", "FuseConfig", "BlendConfig")
 
 
 class Parameters(dict):
@@ -25,9 +28,27 @@ class Parameters(dict):
         return value in ("1", "true", "yes")
 
 
+def override(config: Config, parameters: Parameters) -> Config:
+    """``config`` with the named options changed; a name that is no option is an error."""
+    kinds = {f.name: type(getattr(config, f.name)) for f in fields(config)}
+    changed = {}
+    for key in parameters:
+        name = key.replace("-", "_")
+        if name not in kinds or kinds[name] is tuple:
+            raise ValueError(f"unknown parameter {key!r}")
+        changed[name] = {bool: parameters.flag, int: parameters.integer, float: parameters.real}.get(kinds[name], parameters.get)(key, getattr(config, name))
+    return replace(config, **changed)
+
+
 @dataclass(frozen=True)
 class FuseConfig:
-    """Stack fusion: criterion weights in [0, 1] and their shapes."""
+    """Stack fusion: criterion weights in [0, 1] and their shapes.
+
+    Exposure counts only where ``lower_projector`` reaches ``exposure_lower`` and ``upper_projector`` does not
+    pass ``exposure_upper`` (shares of the range). Contrast is the local deviation or, with an
+    ``edge_scale``, the Laplacian of a Gaussian of that scale, for which the deviation
+    stands in where it is under ``min_curvature``.
+    """
 
     exposure_weight: float = 1.0
     contrast_weight: float = 0.0
@@ -37,29 +58,44 @@ class FuseConfig:
     exposure_width: float = 0.2
     exposure_function: str = "gaussian"
     projector: str = "average"
+    exposure_lower: float = 0.0
+    exposure_upper: float = 1.0
+    lower_projector: str = "anti-value"
+    upper_projector: str = "value"
     contrast_window: int = 5
+    edge_scale: float = 0.0
+    min_curvature: float = 0.0
     entropy_window: int = 3
     hard_mask: bool = False
     levels: int = 0
-    parameters: Parameters = field(default_factory=Parameters)
 
     def __post_init__(self) -> None:
-        for name in ("exposure_weight", "contrast_weight", "saturation_weight", "entropy_weight", "exposure_optimum"):
+        for name in ("exposure_weight", "contrast_weight", "saturation_weight", "entropy_weight", "exposure_optimum", "exposure_lower", "exposure_upper"):
             if not 0 <= getattr(self, name) <= 1:
                 raise ValueError(f"{name} must be from 0 to 1")
         if self.exposure_width <= 0:
             raise ValueError("exposure_width must be positive")
+        if self.edge_scale < 0 or self.min_curvature < 0:
+            raise ValueError("edge_scale and min_curvature must not be negative")
+        if not any((self.exposure_weight, self.contrast_weight, self.saturation_weight, self.entropy_weight)):
+            raise ValueError("at least one criterion needs a weight")
         if self.contrast_window < 3 or self.contrast_window % 2 == 0 or self.entropy_window < 3 or self.entropy_window % 2 == 0:
             raise ValueError("windows must be odd and at least 3")
 
 
 @dataclass(frozen=True)
 class BlendConfig:
-    """Mosaic blending: seam generation and optimisation."""
+    """Mosaic blending: seam generation and optimisation.
+
+    A seam is the nearest-feature mask or a graph cut along it, found on every ``coarse_factor``-th
+    row and column; its contours, a vertex every ``vectorize_distance`` corners, go through the optimizers.
+    """
 
     levels: int = 0
     wrap: str = "none"
-    coarse_factor: int = 8
+    seam: str = "graphcut"
+    coarse_factor: int = 1
+    vectorize_distance: int = 4
     optimizers: tuple[str, ...] = ("anneal", "dijkstra")
     luminance_weight: float = 1.0
     chrominance_weight: float = 1.0
@@ -71,10 +107,19 @@ class BlendConfig:
     k_max: int = 32
     dijkstra_radius: int = 25
     pre_assemble: bool = False
-    parameters: Parameters = field(default_factory=Parameters)
 
     def __post_init__(self) -> None:
         if self.wrap not in ("none", "horizontal", "vertical", "both"):
             raise ValueError("wrap must be none, horizontal, vertical or both")
+        if self.seam not in ("nearest", "graphcut"):
+            raise ValueError("seam must be nearest or graphcut")
+        if not set(self.optimizers) <= {"anneal", "dijkstra"}:
+            raise ValueError("optimizers are anneal and dijkstra")
         if not 0 < self.tau < 1 or self.k_max < 3 or self.dijkstra_radius < 1:
             raise ValueError("annealing needs 0 < tau < 1, k_max >= 3 and a positive radius")
+        if self.coarse_factor < 1 or self.vectorize_distance < 1:
+            raise ValueError("coarse_factor and vectorize_distance must be at least 1")
+
+
+#: Seams as they come from the distance transforms.
+NEAREST = BlendConfig(seam="nearest", optimizers=())

@@ -274,12 +274,29 @@ def c21(spark, sf):
     return fx.gray(spark, sf).select(*PLACE, scalar.to_fixed(v, 7).alias("encoded"), scalar.from_fixed(v * 128 + F.col("x"), 7).alias("half"), scalar.from_fixed(v * 100, 7).alias("decoded"))
 
 
-@query("c22_dithered_fixed_point")
+def _md5_draw(n: int) -> str:
+    return f"(('0x' || substr(md5('0,' || image_id || ',' || x || ',' || y), 1, 8))::BIGINT % {n})"
+
+
+@query(
+    "c22_dithered_fixed_point",
+    f", q AS (SELECT *, v * 100 // 128 AS whole, v * 100 % 128 AS rest FROM gray) SELECT image_id, x, y, whole + CASE WHEN rest < 32 THEN 0 WHEN rest >= 96 THEN 1 WHEN {_md5_draw(64)} + 32 <= rest THEN 1 ELSE 0 END AS decoded FROM q",
+    "gray",
+)
 def c22(spark, sf):
     q = F.col("v") * 100
     return fx.gray(spark, sf).select(*PLACE, scalar.from_fixed_dithered(q, 7, F.col("image_id"), F.col("x"), F.col("y")).alias("decoded"))
 
 
+@query(
+    "c24_dithered_real",
+    f", q AS (SELECT *, v / 8 AS t FROM gray), f AS (SELECT *, floor(t) AS whole, t - floor(t) AS rest FROM q) SELECT image_id, x, y, (whole + CASE WHEN rest < 0.25 THEN 0 WHEN rest >= 0.75 THEN 1 WHEN 0.25 + ({_md5_draw(1 << 20)} + 0.5) / {2 << 20} <= rest THEN 1 ELSE 0 END)::BIGINT AS decoded FROM f",
+    "gray",
+)
+def c24(spark, sf):
+    return fx.gray(spark, sf).select(*PLACE, scalar.dither(F.col("v") / 8, F.col("image_id"), F.col("x"), F.col("y")).alias("decoded"))
+
+
 @query("c23_log_map", f", d AS (SELECT image_id, x, y, (v - 100) / 50 AS t FROM gray), u AS (SELECT *, CASE WHEN t >= 0 THEN 1 + ln(1 + t) ELSE 1 / (1 - t) END AS u FROM d) SELECT image_id, x, y, {_R.format('u')} AS u, {_R.format('t')} AS back FROM u", "gray")
 def c23(spark, sf):
     u = scalar.log_map((F.col("v") - 100) / 50)

@@ -158,17 +158,17 @@ def m02_odd(spark, sf):
     return _level(pyramid.reduce_plain(pyramid.with_size(odd, KEYS), KEYS, ["v"]))
 
 
-@query("m03_expand", f", half AS (SELECT image_id, x, y, v - 128 AS v FROM gray WHERE x < 4 AND y < 4) {_expand_sql('half', 8)}", "gray")
+@query("m03_expand", f", half AS (SELECT image_id, x, y, v - 128 AS v FROM gray) {_expand_sql('half', 16)}", "gray")
 def m03(spark, sf):
-    half = fx.gray(spark, sf).filter("x < 4 and y < 4").withColumn("v", F.col("v") - 128)
-    sizes = half.select("image_id").distinct().withColumns({"w": F.lit(8).cast("long"), "h": F.lit(8).cast("long")})
+    half = fx.gray(spark, sf).withColumn("v", F.col("v") - 128)
+    sizes = half.select("image_id").distinct().withColumns({"w": F.lit(16).cast("long"), "h": F.lit(16).cast("long")})
     return _level(pyramid.expand(half, sizes, KEYS, ["v"]))
 
 
-@query("m03_expand_odd", f", half AS (SELECT image_id, x, y, v FROM gray WHERE x < 4 AND y < 4) {_expand_sql('half', 7)}", "gray")
+@query("m03_expand_odd", f", half AS (SELECT image_id, x, y, v FROM gray) {_expand_sql('half', 15)}", "gray")
 def m03_odd(spark, sf):
-    half = fx.gray(spark, sf).filter("x < 4 and y < 4")
-    sizes = half.select("image_id").distinct().withColumns({"w": F.lit(7).cast("long"), "h": F.lit(7).cast("long")})
+    half = fx.gray(spark, sf)
+    sizes = half.select("image_id").distinct().withColumns({"w": F.lit(15).cast("long"), "h": F.lit(15).cast("long")})
     return _level(pyramid.expand(half, sizes, KEYS, ["v"]))
 
 
@@ -236,7 +236,7 @@ def m09(spark, sf):
     white = pyramid.laplacian(g, KEYS, ["v"], 2, "alpha")
     black = [x.withColumn("image_id", F.col("image_id") - 1) for x in pyramid.laplacian(g, KEYS, ["v"], 2, "alpha")]
     mask = pyramid.gaussian(g.select(*PLACE, F.when(F.col("x") < 4, 255).otherwise(0).cast("long").alias("m")), KEYS, ["m"], 2)
-    return _level(pyramid.collapse(pyramid.blend_levels(mask, white, black, KEYS), KEYS, ["v"]))
+    return _level(pyramid.collapse(pyramid.blend_levels(mask, white, black, KEYS, ["v"]), KEYS, ["v"]))
 
 
 @query("m11_filter_half_width", "SELECT l AS level, CASE WHEN l = 1 THEN 0 ELSE 2 ** (l + 1) - 4 END::BIGINT AS half_width FROM range(1, 30) t(l)")
@@ -524,22 +524,22 @@ def _wrapped_taps(n: int) -> list[tuple[int, int, int]]:
 
 def _wrap_sql(n: int) -> str:
     taps = "(VALUES " + ", ".join(map(str, _wrapped_taps(n))) + ") tx(d, s, w)"
-    return f""", half AS (SELECT image_id, x, y, v - 99 AS v FROM gray WHERE x < 4 AND y < 4)
+    return f""", half AS (SELECT image_id, x, y, v - 99 AS v FROM gray)
     SELECT s.image_id, tx.d::BIGINT AS x, 2 * s.y + ty.o AS y, (sum(tx.w * ty.w * s.v) // sum(tx.w * ty.w))::BIGINT AS v FROM half s, {taps}, {_UP} ty(o, w)
-    WHERE s.x = tx.s AND 2 * s.y + ty.o BETWEEN 0 AND 7 GROUP BY ALL"""
+    WHERE s.x = tx.s AND 2 * s.y + ty.o BETWEEN 0 AND 15 GROUP BY ALL"""
 
 
 def _expand_wrapped(spark, sf, n: int) -> DataFrame:
-    half = fx.gray(spark, sf).filter("x < 4 and y < 4").withColumn("v", F.col("v") - 99)
-    sizes = half.select("image_id").distinct().withColumns({"w": F.lit(n).cast("long"), "h": F.lit(8).cast("long")})
+    half = fx.gray(spark, sf).withColumn("v", F.col("v") - 99)
+    sizes = half.select("image_id").distinct().withColumns({"w": F.lit(n).cast("long"), "h": F.lit(16).cast("long")})
     return _level(pyramid.expand(half, sizes, KEYS, ["v"], wrap=True))
 
 
-@query("m04_expand_wraparound", _wrap_sql(8), "gray")
+@query("m04_expand_wraparound", _wrap_sql(16), "gray")
 def m04_expand(spark, sf):
-    return _expand_wrapped(spark, sf, 8)
+    return _expand_wrapped(spark, sf, 16)
 
 
-@query("m04_expand_wraparound_odd", _wrap_sql(7), "gray")
+@query("m04_expand_wraparound_odd", _wrap_sql(15), "gray")
 def m04_expand_odd(spark, sf):
-    return _expand_wrapped(spark, sf, 7)
+    return _expand_wrapped(spark, sf, 15)

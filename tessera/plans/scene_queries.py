@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tessera.operators import pyramid
 from tessera.operators import pixelwise as px
 from tessera.plans import blend, fuse
+from tessera.plans.config import BlendConfig, FuseConfig
+from tessera.plans.pixel_queries import _R, _weights, r6
 from tessera.plans.raster_queries import _expand_sql, _reduce_sql
 from tessera.plans.registry import query
 from tessera.sources import catalog
@@ -229,13 +231,45 @@ def _step_sql() -> str:
 def b04(spark, sf):
     m = fx.mosaic(spark, sf).withColumn("alpha", F.col("v") >= 60)
     part = lambda i: blend.canvas(m.filter(F.col("ord") == i).drop("ord"), MOSAIC, 13, 8)
-    return blend.join_image(part(0), part(1), MOSAIC, 2)
+    return blend.join_image(part(0), part(1), MOSAIC, 2).drop("m")
+
+
+def _alpha_mosaic(spark, sf):
+    return fx.mosaic(spark, sf).withColumn("alpha", F.col("v") >= 60)
 
 
 @query("blend_mosaic")
 def blend_mosaic(spark, sf):
-    m = fx.mosaic(spark, sf).withColumn("alpha", F.col("v") >= 60)
-    return blend.blend(m, MOSAIC, 23, 8, 4, 2)
+    return blend.blend(_alpha_mosaic(spark, sf), MOSAIC, 23, 8, 4, 2)
+
+
+@query("blend_mosaic_graphcut")
+def blend_mosaic_graphcut(spark, sf):
+    return blend.blend(_alpha_mosaic(spark, sf), MOSAIC, 23, 8, 4, 2, config=BlendConfig(vectorize_distance=2, optimizers=("dijkstra",)))
+
+
+@query("blend_mosaic_color")
+def blend_mosaic_color(spark, sf):
+    c = fx.rgb(spark, sf)
+    m = c.select(F.expr("image_id div 4").alias("mosaic_id"), (F.col("image_id") % 4).alias("ord"), (F.col("x") + 5 * (F.col("image_id") % 4)).alias("x"), "y", "r", "g", "b", (F.col("g") >= 60).alias("alpha"))
+    return blend.blend(m, MOSAIC, 23, 8, 4, 2, channels=fuse.RGB, config=BlendConfig(seam="nearest", optimizers=(), pre_assemble=True))
+
+
+@query(
+    "b07_masks_only",
+    """, a AS (SELECT *, v >= 60 AS alpha FROM mosaic), steps AS (SELECT unnest([1, 2, 3])::BIGINT AS step),
+    place AS (SELECT DISTINCT mosaic_id, step, x.x, y.y FROM mosaic, steps, range(23) x(x), range(8) y(y)),
+    twin AS (SELECT p.mosaic_id, p.step, p.x, p.y, coalesce(bool_or(a.alpha AND a.ord < p.step), false) AS black, coalesce(bool_or(a.alpha AND a.ord = p.step), false) AS white
+        FROM place p LEFT JOIN a ON a.mosaic_id = p.mosaic_id AND a.x = p.x AND a.y = p.y GROUP BY ALL),
+    kind AS (SELECT mosaic_id, step, CASE WHEN NOT bool_or(white AND black) THEN 'none' WHEN bool_or(white AND NOT black) THEN 'partial' ELSE 'complete' END AS overlap FROM twin GROUP BY ALL),
+    dist AS (SELECT p.mosaic_id, p.step, p.x, p.y, p.white, min((p.x - f.x) ** 2 + (p.y - f.y) ** 2) FILTER (f.white AND NOT f.black) AS dw,
+        min((p.x - f.x) ** 2 + (p.y - f.y) ** 2) FILTER (f.black AND NOT f.white) AS db FROM twin p JOIN twin f USING (mosaic_id, step) GROUP BY ALL)
+    SELECT mosaic_id, step, x, y, CASE overlap WHEN 'complete' THEN 0 WHEN 'none' THEN CASE WHEN white THEN 255 ELSE 0 END
+        ELSE CASE WHEN dw IS NOT NULL AND (db IS NULL OR dw < db) THEN 255 ELSE 0 END END::BIGINT AS m FROM dist JOIN kind USING (mosaic_id, step)""",
+    "mosaic",
+)
+def b07(spark, sf):
+    return blend.blend(_alpha_mosaic(spark, sf), MOSAIC, 23, 8, 4, 2, masks_only=True)
 
 
 _STACK = f""", w AS (SELECT *, 255 - abs(v - 128) AS w FROM bracket),
@@ -260,11 +294,39 @@ def m10(spark, sf):
 
 @query("fuse_stack")
 def fuse_stack(spark, sf):
-    from tessera.plans.config import FuseConfig
-
     return fuse.fuse(fx.bracket(spark, sf), ["scene_id"], FuseConfig(contrast_weight=0.3, entropy_weight=0.1), side=16)
 
 
+@query("fuse_exposure_stack", _STACK.replace("255 - abs(v - 128) AS w", _weights("v / 255")["gaussian"] + " AS w"), "bracket")
+def fuse_exposure_stack(spark, sf):
+    return fuse.fuse(fx.bracket(spark, sf), ["scene_id"], FuseConfig(), side=16)
+
+
+_HI, _LO = "greatest(r, g, b)", "least(r, g, b)"
+_SATURATION = f"(CASE WHEN {_HI} = {_LO} THEN 0 WHEN {_HI} + {_LO} <= 255 THEN ({_HI} - {_LO}) / ({_HI} + {_LO}) ELSE ({_HI} - {_LO}) / (510 - {_HI} - {_LO}) END::DOUBLE)"
+_COLOR_SCORE = f"CASE WHEN alpha THEN 0.9::DOUBLE * CASE WHEN {_LO} >= 25.5 AND {_HI} <= 229.5 THEN {_weights('((r + g + b) / 3 / 255)')['gaussian']} ELSE 0 END + 0.2::DOUBLE * {_SATURATION} + 0.3::DOUBLE * coalesce(sd, 0) / 255 ELSE 0 END"
+
+
+@query(
+    "fuse_color_scores",
+    f""", p AS (SELECT *, floor((r + g + b) / 3 + 0.5)::BIGINT AS v FROM color_bracket),
+    sd AS (SELECT p.scene_id, p.ord, p.x, p.y, coalesce(stddev_samp(q.v) FILTER (q.alpha), 0) AS sd FROM p JOIN p q ON q.scene_id = p.scene_id AND q.ord = p.ord AND abs(q.x - p.x) <= 2 AND abs(q.y - p.y) <= 2
+        WHERE p.alpha AND p.x BETWEEN 2 AND 5 AND p.y BETWEEN 2 AND 5 GROUP BY ALL)
+    SELECT p.scene_id, p.ord, p.x, p.y, {_R.format(_COLOR_SCORE)} AS w FROM p LEFT JOIN sd USING (scene_id, ord, x, y)""",
+    "color_bracket",
+)
+def fuse_color_scores(spark, sf):
+    config = FuseConfig(exposure_weight=0.9, saturation_weight=0.2, contrast_weight=0.3, exposure_lower=0.1, exposure_upper=0.9)
+    out = fuse.score(fx.color_bracket(spark, sf), ["scene_id", "ord"], config, channels=fuse.RGB, alpha="alpha")
+    return out.select("scene_id", "ord", "x", "y", r6(F.col("w")).alias("w"))
+
+
+@query("fuse_color_stack")
+def fuse_color_stack(spark, sf):
+    config = FuseConfig(saturation_weight=0.2, contrast_weight=0.3, entropy_weight=0.1, projector="luminance", edge_scale=0.5, min_curvature=0.01, exposure_lower=0.05)
+    return fuse.fuse(fx.color_bracket(spark, sf), ["scene_id"], config, side=16, channels=fuse.RGB, alpha="alpha")
+
+
 @query(
     "b_gigapixel_bounds",
     "SELECT 0::BIGINT AS x0, 15::BIGINT AS y0, 39::BIGINT AS x1, 29::BIGINT AS y1, 200::BIGINT AS shared",

@@ -36,6 +36,13 @@ def bracket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("scene_id", F.col("k.ord").alias("ord"), "x", "y", F.expr("least(255L, v * k.num div 2)").alias("v"))
 
 
+def color_bracket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exposure brackets in colour: scene_id, ord 0..2, x, y, r, g, b with gains 1/2, 1 and 2, alpha where the image's red is 40 or more."""
+    gains = F.explode(F.array(*(F.struct(F.lit(o).cast("long").alias("ord"), F.lit(n).cast("long").alias("num")) for o, n in enumerate((1, 2, 4)))))
+    c = rgb(spark, sf_dir).withColumn("k", gains)
+    return c.select(F.col("image_id").alias("scene_id"), F.col("k.ord").alias("ord"), "x", "y", *(F.expr(f"least(255L, {n} * k.num div 2)").alias(n) for n in "rgb"), (F.col("r") >= 40).alias("alpha"))
+
+
 def mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four images a mosaic, each five columns to the right of the last: mosaic_id, ord, x, y, v on a 23 x 8 canvas."""
     g = gray(spark, sf_dir)
@@ -65,18 +72,27 @@ SQL = {
         max(v) FILTER (image_id % 3 = 2) AS b FROM gray GROUP BY image_id // 3, x, y HAVING count(*) = 3""",
     "bracket": """SELECT image_id AS scene_id, ord::BIGINT AS ord, x, y, least(255, v * num // 2)::BIGINT AS v
         FROM gray, (VALUES (0, 1), (1, 2), (2, 4)) k(ord, num)""",
+    "color_bracket": """SELECT image_id AS scene_id, ord::BIGINT AS ord, x, y, least(255, r * num // 2)::BIGINT AS r, least(255, g * num // 2)::BIGINT AS g,
+        least(255, b * num // 2)::BIGINT AS b, r >= 40 AS alpha FROM rgb, (VALUES (0, 1), (1, 2), (2, 4)) k(ord, num)""",
     "mosaic": "SELECT image_id // 4 AS mosaic_id, image_id % 4 AS ord, x + 5 * (image_id % 4) AS x, y, v FROM gray",
     "heat": "SELECT (month(l_shipdate) - 1)::BIGINT AS x, (l_quantity::BIGINT - 1) // 5 AS y, count(*) AS v FROM lineitem GROUP BY 1, 2",
     "layers": """SELECT l_orderkey AS file, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS layer_no,
         l_quantity::BIGINT AS w, 1 + l_partkey % 16 AS h FROM lineitem""",
 }
-_NEEDS = {"gray": [], "rgb": ["gray"], "bracket": ["gray"], "mosaic": ["gray"], "heat": [], "layers": []}
+_NEEDS = {"gray": [], "rgb": ["gray"], "bracket": ["gray"], "color_bracket": ["rgb"], "mosaic": ["gray"], "heat": [], "layers": []}
 
 
 def with_rasters(body: str, *names: str) -> str:
     """``body`` after the named rasters (and what they need) as common table expressions; further ones may follow in ``body`` after a comma."""
     order: list[str] = []
+
+    def add(name: str) -> None:
+        for m in _NEEDS[name]:
+            add(m)
+        if name not in order:
+            order.append(name)
+
     for n in names:
-        order += [m for m in [*_NEEDS[n], n] if m not in order]
+        add(n)
     ctes = ",\n".join(f"{n} AS ({SQL[n]})" for n in order)
     return f"WITH {ctes}{body if body.lstrip().startswith(',') else chr(10) + body}"

@@ -1,5 +1,6 @@
 """Kernels against plain twins, and the properties that pyramids, masks and codecs must have."""
 
+import itertools
 import random
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions import appearance, exposure, minimise, scalar
 from tessera.operators import masks, pyramid, seams, stack
 from tessera.plans import blend, fuse
-from tessera.plans.config import BlendConfig, FuseConfig, Parameters
+from tessera.plans.config import BlendConfig, FuseConfig, Parameters, override
 from tessera.sources import catalog, images
 
 
@@ -270,3 +271,98 @@ def test_stream_folds_like_a_batch(spark, tmp_path):
     q.awaitTermination(120)
     got = {r.x: r.v for r in incremental.latest(spark, str(tmp_path / "out"), 2).collect()}
     assert got == {0: 0, 1: 11, 2: 22, 3: 23}
+
+
+def test_search_helpers():
+    first = list(itertools.islice(minimise.random_sequence(), 2000))
+    assert first == list(itertools.islice(minimise.random_sequence(), 2000)) and all(0 <= u < 1 for u in first) and 0.45 < sum(first) / 2000 < 0.55
+    valley = lambda x: min((x - 7.0) ** 2, 4.0)
+    assert abs(minimise.bracket(valley, 1.0, 0.0, 10.0) - 7) < 2 and minimise.bracket(valley, 6.5, 0.0, 10.0) == 6.5
+    assert minimise.bracket(lambda x: -abs(x), 0.0, -1.0, 1.0) is None
+    for n in (1, 2, 5, 8):
+        got = minimise.spaced_starts(n, 0.0, 100.0, 30.0)
+        assert len(got) == n == len(set(got)) and got[0] == 30 and all(0 <= x <= 100 for x in got) and (n < 3 or {0.0, 100.0} <= set(got))
+
+
+def test_options_are_used_or_refused():
+    with pytest.raises(ValueError):
+        FuseConfig(exposure_weight=0)
+    assert FuseConfig(exposure_weight=0, saturation_weight=1).saturation_weight == 1
+    changed = override(FuseConfig(), Parameters.parse("contrast-window=7:hard-mask=yes:exposure-width=0.3:projector=value"))
+    assert (changed.contrast_window, changed.hard_mask, changed.exposure_width, changed.projector) == (7, True, 0.3, "value")
+    assert override(BlendConfig(), Parameters.parse("k-max=9")).k_max == 9
+    for text in ("no-such-option=1", "optimizers=anneal"):
+        with pytest.raises(ValueError):
+            override(BlendConfig(), Parameters.parse(text))
+    with pytest.raises(ValueError):
+        BlendConfig(optimizers=("magic",))
+
+
+def test_each_criterion_changes_the_score(spark):
+    rnd = np.random.default_rng(2)
+    rows = [(0, o, x, y, *map(int, rnd.integers(0, 256, 3)), bool(rnd.random() < 0.8)) for o in range(2) for x in range(9) for y in range(9)]
+    df = spark.createDataFrame(rows, "scene_id long, ord long, x long, y long, r long, g long, b long, alpha boolean")
+    of = lambda **kw: {(r.ord, r.x, r.y): r.w for r in fuse.score(df, ["scene_id", "ord"], FuseConfig(**kw), channels=fuse.RGB, alpha="alpha").collect()}
+    plain = of()
+    for kw in ({"saturation_weight": 0.5}, {"contrast_weight": 0.5}, {"contrast_weight": 0.5, "edge_scale": 0.6}, {"contrast_weight": 0.5, "edge_scale": 0.6, "min_curvature": 0.3}, {"entropy_weight": 0.5}, {"projector": "value"}, {"exposure_lower": 0.2}, {"exposure_upper": 0.8}):
+        assert of(**kw) != plain, kw
+    assert of(contrast_weight=0.5, edge_scale=0.6) != of(contrast_weight=0.5, edge_scale=0.6, min_curvature=0.3)
+    assert all(plain[o, x, y] == 0 for _, o, x, y, *_, a in rows if not a)
+    fused = fuse.fuse(df, ["scene_id"], FuseConfig(saturation_weight=0.3), 16, channels=fuse.RGB, alpha="alpha").collect()
+    assert len(fused) == 81 and all(0 <= v <= 255 for r in fused for v in (r.r, r.g, r.b)) and all(r.r == r.g == r.b == 0 for r in fused if not r.alpha)
+
+
+def two_images(spark, colour=False):
+    """Two images that overlap in the middle of a wide canvas."""
+    rnd = np.random.default_rng(5)
+    value = lambda: tuple(map(int, rnd.integers(0, 256, 3 if colour else 1)))
+    rows = [(0, o, x, y, *value(), bool(rnd.random() < 0.95)) for o, (a, b) in enumerate(((0, 60), (40, 96))) for x in range(a, b) for y in range(20)]
+    names = "r long, g long, b long" if colour else "v long"
+    return spark.createDataFrame(rows, f"mosaic_id long, ord long, x long, y long, {names}, alpha boolean")
+
+
+def test_the_region_of_a_seam_gives_what_the_canvas_gives(spark, monkeypatch):
+    df = two_images(spark)
+    part = blend.blend(df, ["mosaic_id"], 96, 20, 2, 3).collect()
+    region = blend._region
+    monkeypatch.setattr(blend, "_region", lambda *a: region(*a).selectExpr("mosaic_id", "0L as x0", "0L as y0", "95L as x1", "19L as y1"))
+    whole = blend.blend(df, ["mosaic_id"], 96, 20, 2, 3).collect()
+    assert sorted(part) == sorted(whole) and len(part) == 96 * 20
+
+
+@pytest.mark.parametrize("colour", [False, True])
+def test_graph_cut_masks_equal_the_kernel_on_the_overlap(spark, colour):
+    df = two_images(spark, colour)
+    channels = ("r", "g", "b") if colour else ("v",)
+    config = BlendConfig(optimizers=("dijkstra",), vectorize_distance=3, coarse_factor=2, dijkstra_radius=9)
+    got = {(r.x, r.y): r.m for r in blend.blend(df, ["mosaic_id"], 96, 20, 2, 2, channels=channels, config=config, masks_only=True).collect()}
+    near = {(r.x, r.y): r.m for r in blend.blend(df, ["mosaic_id"], 96, 20, 2, 2, channels=channels, masks_only=True).collect()}
+    at = {(r.ord, r.x, r.y): r for r in df.filter("alpha").collect()}
+    shared = [(x, y) for x in range(96) for y in range(20) if (0, x, y) in at and (1, x, y) in at]
+    x0, x1 = min(x for x, _ in shared), max(x for x, _ in shared)
+    y0, y1 = min(y for _, y in shared), max(y for _, y in shared)
+    cost, guide = np.full((y1 - y0 + 1, x1 - x0 + 1), 255), np.zeros((y1 - y0 + 1, x1 - x0 + 1), int)
+    for x in range(x0, x1 + 1):
+        for y in range(y0, y1 + 1):
+            guide[y - y0, x - x0] = near[x, y]
+    if not colour:
+        for x, y in shared:
+            cost[y - y0, x - x0] = min(254, abs(at[0, x, y].v - at[1, x, y].v))
+        mask = seams.coarse_seam(cost, guide, 2, distance=3, chain=("dijkstra",), graph_cut=True, radius=9)
+        assert all(got[x, y] == mask[y - y0, x - x0] for x, y in shared)
+    assert all(got[p] == near[p] for p in got if p not in set(shared)) and set(got.values()) == {0, 255}
+
+
+def test_pre_assembled_images_join_together(spark):
+    rows = [(0, o, x, y, 50 * o + 10, True) for o, a in enumerate((0, 20, 8, 28)) for x in range(a, a + 10) for y in range(8)]
+    df = spark.createDataFrame(rows, "mosaic_id long, ord long, x long, y long, v long, alpha boolean")
+    steps = blend.blend(df, ["mosaic_id"], 40, 8, 4, 1, config=BlendConfig(seam="nearest", optimizers=(), pre_assemble=True), masks_only=True)
+    assert {r.step for r in steps.filter("m > 0").select("step").distinct().collect()} == {1}
+    assert {(r.a, r.b) for r in blend.overlaps(df, ["mosaic_id"]).collect()} == {(0, 2), (1, 3)}
+
+
+def test_canvas_that_wraps_around(spark):
+    rows = [(0, 0, x, 0, 10, True) for x in range(0, 10)] + [(0, 1, x, 0, 90, True) for x in [*range(8, 16), 0, 1]]
+    df = spark.createDataFrame(rows, "mosaic_id long, ord long, x long, y long, v long, alpha boolean")
+    of = lambda wrap: {r.x: r.m for r in blend.blend(df, ["mosaic_id"], 16, 1, 2, 1, config=BlendConfig(wrap=wrap, seam="nearest", optimizers=()), masks_only=True).collect()}
+    assert of("none")[0] == 0 and of("horizontal")[0] == 255 and of("horizontal")[1] == 0
