@@ -319,6 +319,7 @@ def _spans(rows: DataFrame) -> DataFrame:
 
 
 RUN, SPANS = 0, 1
+MARK_BITS = 1 << 23
 SORT_FLUSH = 250_000
 _SPAN = ["<i8", "<i4", "<u4", "<u4"]
 
@@ -410,10 +411,14 @@ def dedup(docs: DataFrame) -> DataFrame:
     n_parts = partition_count(spark)
     # another name, so that both reads of the dealt texts have one plan and Spark shuffles them once
     named = docs.select(F.col("doc_id").try_cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text")).filter("doc is not null")
-    # a doc_id of several texts: a hash of the text goes with it, which is 0 everywhere else
-    mark = F.xxhash64("text")
-    several = named.groupBy("doc").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).filter("low <> high").select("doc", F.lit(True).alias("several"))
-    named = named.join(several, "doc", "left").select("doc", F.when(F.col("several"), F.hash("text")).otherwise(0).alias("var"), "text")
+    # A doc_id of several texts: a hash of the text goes with it, which is 0 elsewhere. Those ids are told by a bitmap of
+    # their hashes, of at most MARK_BITS / 64 rows, so no text is shuffled; an id that shares a bit gets its hash too, which does no harm.
+    mark, place = F.xxhash64("text"), F.pmod(F.xxhash64("doc"), F.lit(MARK_BITS))
+    several = named.groupBy("doc").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).filter("low <> high")
+    words = several.select(place.alias("p")).groupBy(F.expr("p div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits"))
+    named = named.withColumn("p", place).withColumn("word", F.expr("p div 64")).join(F.broadcast(words), "word", "left")
+    marked = F.expr("coalesce(shiftright(bits, cast(p % 64 as int)) & 1, 0) = 1")
+    named = named.select("doc", F.when(marked, F.hash("text")).otherwise(0).alias("var"), "text")
     digests = named.select("doc", "var", F.sha2("text", 256).alias("digest"))
     least = digests.groupBy("digest").agg(F.min("doc").alias("first"), F.count("*").alias("c")).filter("c > 1")
     copies = digests.join(least, "digest").filter("first < doc").select("doc", "var", F.lit(True).alias("copy")).distinct()
