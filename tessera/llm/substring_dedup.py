@@ -319,7 +319,7 @@ def _spans(rows: DataFrame) -> DataFrame:
 
 
 RUN, SPANS = 0, 1
-MARK_BITS = 1 << 23
+MARK_BITS, SALTS = 1 << 23, 16
 SORT_FLUSH = 250_000
 _SPAN = ["<i8", "<i4", "<u4", "<u4"]
 
@@ -419,9 +419,11 @@ def dedup(docs: DataFrame) -> DataFrame:
     named = named.withColumn("p", place).withColumn("word", F.expr("p div 64")).join(F.broadcast(words), "word", "left")
     marked = F.expr("coalesce(shiftright(bits, cast(p % 64 as int)) & 1, 0) = 1")
     named = named.select("doc", F.when(marked, F.hash("text")).otherwise(0).alias("var"), "text")
-    digests = named.select("doc", "var", F.sha2("text", 256).alias("digest"))
+    # whole copies: the least doc_id of a text is an aggregate; the way back is salted, as one text may be most of the rows
+    digests = named.select("doc", "var", F.unhex(F.sha2("text", 256)).alias("digest"), F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int").alias("salt"))
     least = digests.groupBy("digest").agg(F.min("doc").alias("first"), F.count("*").alias("c")).filter("c > 1")
-    copies = digests.join(least, "digest").filter("first < doc").select("doc", "var", F.lit(True).alias("copy")).distinct()
+    least = least.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    copies = digests.join(least, ["digest", "salt"]).filter("first < doc").select("doc", "var", F.lit(True).alias("copy")).distinct()
     dealt = named.repartition(n_parts, "doc", "var")
     wanted = _candidates(named).join(copies, ["doc", "var"], "left_anti")
     spans = _spans(dealt.join(wanted.hint("shuffle_hash"), ["doc", "var"]).select("doc", "var", "text", "at"))
