@@ -1,6 +1,6 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features are presences: each word, each word's four-letter start (languages that
+Features are presences: each word, the four and the six letters it starts with (languages that
 compound carry their marker there), pairs of neighbours and pairs with one word
 between, hashed to ``2 ** BITS`` coordinates. Every coordinate has its own
 learning rate and an L1 threshold, so few weights are not zero; those are
@@ -38,7 +38,9 @@ THRESHOLD = 0.7
 #: Words remembered by a task before its table starts anew.
 VOCABULARY = 200_000
 
-ALPHA, BETA, L1, L2, EPOCHS, POSITIVE_WEIGHT = 1.5, 1.0, 15.0, 0.1, 12, 6.0
+ALPHA, BETA, L1, L2, EPOCHS, POSITIVE_WEIGHT = 1.5, 1.0, 30.0, 0.1, 12, 10.0
+#: Lengths of the starts of words.
+STARTS = (4, 6)
 #: Training documents that a coordinate must occur in.
 MIN_DOCS = 3
 
@@ -48,17 +50,15 @@ _MIX, _SHIFT = np.uint64(0xFF51AFD7ED558CCD), np.uint64(64 - BITS)
 
 
 class _Vocabulary(dict):
-    """Word -> row of ``hashes`` (whole word, start of word), filled on first use."""
+    """Word -> row of ``hashes`` (whole word, its starts), filled on first use."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.words: list[int] = []
-        self.starts: list[int] = []
-        self.hashes = np.empty((2, 0), np.uint64)
+        self.pending: list[tuple[int, ...]] = []
+        self.hashes = np.empty((1 + len(STARTS), 1024), np.uint64)
 
     def __missing__(self, word: str) -> int:
-        self.words.append(xxhash.xxh3_64_intdigest(word))
-        self.starts.append(xxhash.xxh3_64_intdigest(word[:4], seed=4))
+        self.pending.append((xxhash.xxh3_64_intdigest(word), *(xxhash.xxh3_64_intdigest(word[:n], seed=n) for n in STARTS)))
         self[word] = n = len(self)
         return n
 
@@ -67,10 +67,14 @@ class _Vocabulary(dict):
             self.__init__()
             self.clear()
         out = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if self.words:
-            new = np.array([self.words, self.starts], np.uint64)
-            self.hashes = np.concatenate([self.hashes, new], axis=1)
-            self.words, self.starts = [], []
+        if self.pending:
+            a, b = len(self) - len(self.pending), len(self)
+            if b > self.hashes.shape[1]:  # by doubling, so that new words do not copy the table each time
+                grown = np.empty((len(self.hashes), 2 * b), np.uint64)
+                grown[:, :a] = self.hashes[:, :a]
+                self.hashes = grown
+            self.hashes[:, a:b] = np.array(self.pending, np.uint64).T
+            self.pending = []
         return self.hashes[:, out]
 
 
@@ -79,8 +83,8 @@ def coordinates(text: str | None, vocabulary: _Vocabulary) -> np.ndarray:
     words = _WORDS.findall((text or "").lower())
     if not words:
         return np.empty(0, np.int64)
-    h, starts = vocabulary.rows(words)
-    out = [h, starts]
+    h, *starts = vocabulary.rows(words)
+    out = [h, *starts]
     for gap, by in ((1, _PAIR), (2, _SKIP)):
         if len(h) > gap:
             x = h[:-gap] * by + h[gap:]

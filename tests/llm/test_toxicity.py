@@ -1,9 +1,14 @@
+import math
 import random
+import re
 import zlib
 
 import numpy as np
+import pytest
+import xxhash
 
 from tessera.llm import toxicity
+from tessera.llm import toxicity as T
 
 
 def fixture(n=900):
@@ -67,3 +72,35 @@ def test_edges(spark):
     got = toxicity.score(d, toxicity.train(d, y)).collect()
     assert len(got) == 5 and all(0 <= r.score < 0.7 and r.predicted == 0 for r in got)
     assert toxicity.score(d.limit(0), toxicity.train(d.limit(0), y.limit(0))).count() == 0
+
+
+def test_coordinates_equal_features_hashed_one_by_one(monkeypatch):
+    monkeypatch.setattr(T, "VOCABULARY", 5)  # the table starts anew again and again
+    top = 1 << 64
+    h = lambda w, seed=0: xxhash.xxh3_64_intdigest(w, seed=seed)
+    place = lambda x: (x * int(T._MIX) % top) >> (64 - T.BITS)
+
+    def brute(text):
+        words = re.findall(r"\w+", (text or "").lower())
+        out = [h(w) for w in words] + [h(w[:n], n) for n in T.STARTS for w in words]
+        for gap, by in ((1, T._PAIR), (2, T._SKIP)):
+            for a, b in zip(words, words[gap:]):
+                x = (h(a) * int(by) + h(b)) % top
+                out.append(x ^ (x >> 31))
+        return sorted(map(place, out))
+
+    vocabulary = T._Vocabulary()
+    for text in (None, "", "one", "Two words", "a b c a b c d e f g h", "Größe çà и ещё 123 x_y", "lots " * 50, "trash, trash! and Idiotic-things"):
+        assert sorted(T.coordinates(text, vocabulary).tolist()) == brute(text)
+
+
+def test_scores_equal_the_sum_of_weights(spark):
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, None), (3, "gamma " * 4)], "doc_id long, text string")
+    vocabulary = T._Vocabulary()
+    index = np.unique(T.coordinates("alpha beta gamma", vocabulary))
+    value = np.linspace(-1, 2, len(index))
+    weights = dict(zip(index.tolist(), value.tolist()))
+    got = {r.doc_id: r.score for r in T.score(docs, (index, value, -0.5)).collect()}
+    for i, text in ((1, "alpha beta"), (2, None), (3, "gamma " * 4)):
+        total = sum(weights.get(c, 0.0) for c in set(T.coordinates(text, vocabulary).tolist())) - 0.5
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-total)))
