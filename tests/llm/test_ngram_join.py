@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -63,6 +64,66 @@ def test_equals_brute_force(spark, monkeypatch, width, num, den, wide):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(docs, width, num, den) and len(got) == len(docs)
 
 
+@pytest.mark.parametrize(("width", "num"), [(3, 90), (5, 80)])
+def test_frequent_shingles_and_small_blocks_change_nothing(spark, monkeypatch, width, num):
+    """Every repeated shingle counts as frequent, buckets go by hubs, and blocks hold a few sets."""
+    for name, value in {"FREQUENT_DOCS": 2, "REPEATED": 1, "SMALL_BUCKET": 2, "LOCAL_BUCKET": 1, "BLOCK_SETS": 3, "BLOCK_SKETCHES": 4, "BLOCK_SHINGLES": 500}.items():
+        monkeypatch.setattr(N, name, value)
+    docs = corpus(20 + width)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert len(N.frequent(frame, width)) > 50
+    got = N.classify(frame, width, num, 100).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(docs, width, num, 100) and len(got) == len(docs)
+
+
+def test_signatures_of_linked_sets_meet_whatever_is_frequent():
+    rnd = random.Random(4)
+    for num in (80, 90):
+        join = N.Join(3, num, 100)
+        for _ in range(400):
+            n = rnd.choice([3, 8, 20, 60, 200])
+            x = {rnd.getrandbits(64) for _ in range(n)}
+            y = set(x)
+            while True:  # as different as a link allows
+                z = set(y)
+                z.discard(rnd.choice(sorted(z)))
+                if rnd.random() < 0.5:
+                    z.add(rnd.getrandbits(64))
+                if not z or not join.linked(len(x & z), len(x), len(z)):
+                    break
+                y = z
+            common = np.array(sorted(k for k in x | y if rnd.random() < rnd.choice([0.2, 0.9, 1.0])), np.uint64)
+            a, b = (np.array(sorted(s), np.uint64) for s in (x, y))
+            assert set(N.signatures(join, a, {}, common).tolist()) & set(N.signatures(join, b, {}, common).tolist())
+
+
+def test_sketches_never_rule_out_a_link():
+    rnd = random.Random(9)
+    join = N.Join(3, 80, 100)
+    sets = []
+    for _ in range(12):
+        base = [rnd.getrandbits(64) for _ in range(rnd.choice([10, 100, 2000]))]
+        for _ in range(5):
+            sets.append(np.array(sorted({x for x in base if rnd.random() < 0.95} | {rnd.getrandbits(64) for _ in range(rnd.randrange(3))}), np.uint64))
+    n, label = np.array([len(s) for s in sets]), np.arange(len(sets))
+    sketches = [N.sketch(N._mix(s + N._C)).tobytes() for s in sets]
+    every = np.arange(len(sets))
+    got = set(zip(*(c.tolist() for c in N.possible_pairs(join, n, label, sketches, every, every, True))))
+    linked = {(i, j) for i in every.tolist() for j in every.tolist() if i < j and join.linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))}
+    assert linked and linked <= got and len(got) < len(sets) * (len(sets) - 1) / 4
+    forest = N.forest(*map(list, zip(*sorted(got))))
+    assert len(forest) < len(sets) and set(forest) <= got
+
+
+def test_blocks_are_bounded_by_sets():
+    sets = [np.arange(i, i + 10, dtype=np.uint64) for i in range(2 * N.BLOCK_SETS)]
+    tracemalloc.start()
+    ok = N.block_matrix(N.Join(3, 80, 100), list(range(len(sets))), sets, np.arange(len(sets)) < N.BLOCK_SETS, np.arange(len(sets)) >= N.BLOCK_SETS)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ok.sum() == 1 and peak < 500e6
+
+
 @pytest.mark.parametrize("many", [False, True])
 def test_all_links_and_their_numbers(spark, monkeypatch, many):
     if many:
