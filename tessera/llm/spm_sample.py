@@ -46,7 +46,7 @@ POWER, RANK_SHIFT = 1.0, 32.0
 #: Pieces of a path whose deviations are drawn at once.
 STEPS = 64
 #: Bytes of text a task works on together, lattice nodes it remembers, and uses that let a chunk outlive a full memory.
-BATCH_CHARS, CACHE_NODES, KEPT_USES = 400_000, 1_500_000, 3
+BATCH_CHARS, CACHE_NODES, KEPT_USES = 200_000, 400_000, 3
 SPACE = "▁"
 _CHUNK = re.compile(r" *[^ ]+| +")
 _G, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
