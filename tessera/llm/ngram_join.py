@@ -52,7 +52,7 @@ _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.ui
 _S33, _S29, _S32 = np.uint64(33), np.uint64(29), np.uint64(32)
 VOCABULARY = 150_000
 #: Records that a map task combines at once; shingles and sets of a block of texts; sets of a block of sketches.
-FLUSH, BLOCK_SHINGLES, BLOCK_SETS, BLOCK_SKETCHES = 1_500_000, 150_000, 1_500, 4_096
+FLUSH, BLOCK_SHINGLES, BLOCK_SETS, BLOCK_SKETCHES = 1_500_000, 150_000, 1_000, 2_048
 #: Frequent shingles for the plans: at most so many, with at least so many documents, and repeated in a map task.
 FREQUENT, FREQUENT_DOCS, REPEATED = 1 << 18, 128, 8
 #: Members of a bucket up to which all its pairs are verified, and that a map task sends on as they are. Larger buckets go by hubs.
@@ -516,16 +516,20 @@ def block_matrix(join: Join, labels: list[int], sets: list[np.ndarray], left: np
         row, column = row[column >= 0], column[column >= 0]
         order = np.argsort(column, kind="stable")
         row, column = row[order], column[order]
-        step = 4096
+        step = 1024
         for c in range(0, len(lead), step):
             a, b = np.searchsorted(column, [c, c + step])
             dense = np.zeros((len(sets), min(step, len(lead) - c)), np.float32)
             dense[row[a:b], column[a:b] - c] = 1
             both += (dense * alike[c : c + step].astype(np.float32)) @ dense.T
     label = np.array(labels)
-    inter = both.astype(np.int64)
-    ok = join.den * inter >= join.num * (lens[:, None] + lens[None, :] - inter)
-    return ok & (label[:, None] != label[None, :]) & left[:, None] & right[None, :]
+    ok = np.zeros(both.shape, bool)
+    for a in range(0, len(sets), 256):  # some rows at a time: only the counts and the result are whole
+        rows = slice(a, a + 256)
+        inter = both[rows].astype(np.int64)
+        linked = join.den * inter >= join.num * (lens[rows, None] + lens[None, :] - inter)
+        ok[rows] = linked & (label[rows, None] != label[None, :]) & left[rows, None] & right[None, :]
+    return ok
 
 
 def block_links(ids: list[int], labels: list[int], ok: np.ndarray) -> list[tuple[int, int]]:

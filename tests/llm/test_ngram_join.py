@@ -121,7 +121,7 @@ def test_blocks_are_bounded_by_sets():
     ok = N.block_matrix(N.Join(3, 80, 100), list(range(len(sets))), sets, np.arange(len(sets)) < N.BLOCK_SETS, np.arange(len(sets)) >= N.BLOCK_SETS)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert ok.sum() == 1 and peak < 500e6
+    assert ok.sum() == 1 and peak < 100e6
 
 
 @pytest.mark.parametrize("many", [False, True])
