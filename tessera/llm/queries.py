@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat_format, decontaminate, divergence, html_extract, ngram_join, pii, quality_rules, sharding, spm_sample, substring_dedup, toxicity
+from tessera.llm import chat_format, collocations, decontaminate, divergence, html_extract, neighbours, ngram_join, pii, quality_rules, sharding, spm_sample, substring_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,6 +72,15 @@ def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
 
+def op12_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return neighbours.score(docs, neighbours.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_sharding": op2_sharding,
@@ -86,6 +95,8 @@ QUERIES: dict[str, Query] = {
     "op9_decontamination": op9_decontamination,
     "op10_html_extract": op10_html_extract,
     "op11_divergence_audit": op11_divergence_audit,
+    "op12_quality_neighbours": op12_quality_neighbours,
+    "op13_collocations": op13_collocations,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -186,4 +197,27 @@ ORACLES: dict[str, str] = {
         ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (FROM pairs UNION ALL FROM terms))
         SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
     """,
+    "op13_collocations": f"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+            FROM documents),
+        words AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+        totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+        f1 AS (SELECT lang, x, count(*)::HUGEINT AS f FROM (SELECT lang, unnest(w) AS x FROM words) GROUP BY ALL),
+        f2 AS (SELECT lang, x, y, count(*)::HUGEINT AS f FROM (SELECT lang, unnest([[w[i], w[i + 1]] FOR i IN range(1, len(w))]) AS p, p[1] AS x, p[2] AS y FROM words) GROUP BY ALL HAVING f >= 10),
+        f3 AS (SELECT lang, x, y, z, count(*)::HUGEINT AS f FROM (SELECT lang, unnest([[w[i], w[i + 1], w[i + 2]] FOR i IN range(1, len(w) - 1)]) AS p, p[1] AS x, p[2] AS y, p[3] AS z FROM words) GROUP BY ALL HAVING f >= 10),
+        longer AS (SELECT lang, x, y, max(f) AS f FROM (SELECT lang, x, y, f FROM f3 UNION ALL SELECT lang, y, z, f FROM f3) GROUP BY ALL),
+        two AS (
+            SELECT p.lang, p.x || ' ' || p.y AS phrase, p.f AS a, u.f AS l, v.f AS r, (1000000 * p.f * p.f) // (u.f * v.f) AS score
+            FROM f2 p JOIN f1 u ON u.lang = p.lang AND u.x = p.x JOIN f1 v ON v.lang = p.lang AND v.x = p.y
+            LEFT JOIN longer g ON g.lang = p.lang AND g.x = p.x AND g.y = p.y WHERE g.f IS NULL OR 100 * g.f < 50 * p.f),
+        cuts AS (
+            SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z AS phrase, t.f AS a, u.f AS l1, q.f AS r1, p.f AS l2, v.f AS r2,
+                   (1000000 * t.f * t.f) // (u.f * q.f) AS s1, (1000000 * t.f * t.f) // (p.f * v.f) AS s2
+            FROM f3 t JOIN f1 u ON u.lang = t.lang AND u.x = t.x JOIN f2 q ON q.lang = t.lang AND q.x = t.y AND q.y = t.z
+            JOIN f2 p ON p.lang = t.lang AND p.x = t.x AND p.y = t.y JOIN f1 v ON v.lang = t.lang AND v.x = t.z),
+        three AS (SELECT lang, phrase, a, CASE WHEN s2 < s1 THEN l2 ELSE l1 END AS l, CASE WHEN s2 < s1 THEN r2 ELSE r1 END AS r, least(s1, s2) AS score FROM cuts),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM (FROM two UNION ALL FROM three))
+        SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+    """,
 }

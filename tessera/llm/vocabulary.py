@@ -16,9 +16,9 @@ class Vocabulary(dict):
     def ids(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
-    def strings(self) -> pa.Array:
-        """The words, UTF-8 bytes, as strings in the order of their numbers."""
-        return pa.array(list(self), pa.binary()).cast(pa.string())
+    def strings(self, first: int = 0) -> pa.Array:
+        """The words, UTF-8 bytes, as strings in the order of their numbers, from number ``first``."""
+        return pa.array(list(self)[first:], pa.binary()).cast(pa.string())
 
 
 def list_array(starts: np.ndarray, values: pa.Array) -> pa.ListArray:
