@@ -87,15 +87,16 @@ def hue(c: Channels, top: float) -> Column:
     hi, lo = F.greatest(*c), F.least(*c)
     d = hi - lo
     sixth = F.when(hi == r, (g - b) / d).when(hi == g, 2 + (b - r) / d).otherwise(4 + (r - g) / d)
-    return F.when(d == 0, F.lit(int(top)).cast("long")).otherwise(half_away(F.when(sixth < 0, sixth + 6).otherwise(sixth) / 6 * (top - 1)))
+    return F.when(d == 0, F.lit(int(top)).cast("long")).otherwise(half_away(F.when(sixth < 0, sixth + 6).otherwise(sixth) / 6 * top))
 
 
 def hue_luminance_difference(a: Channels, b: Channels, top: float, hue_weight: float = 1.0, luminance_weight: float = 1.0) -> Column:
-    """The larger of the weighted hue distance around the circle and luminance distance."""
+    """The larger of the hue distance around the circle and the distance of whole luminances, by weights that add up to 1."""
+    total = hue_weight + luminance_weight
     dh = F.abs(hue(a, top) - hue(b, top))
     around = F.when(dh > top / 2, top - dh).otherwise(dh)
-    dl = F.abs(PROJECTORS["luminance"](a, top) - PROJECTORS["luminance"](b, top))
-    return F.greatest(around * float(hue_weight), dl * float(luminance_weight))
+    dl = F.abs(half_away(PROJECTORS["luminance"](a, top)) - half_away(PROJECTORS["luminance"](b, top)))
+    return F.greatest(around * (hue_weight / total), dl * (luminance_weight / total))
 
 
 def _f(t: Column) -> Column:
@@ -157,7 +158,8 @@ def decode_lab(enc: Channels, integer_bits: int) -> Channels:
 
 
 def delta_e(a: Channels, b: Channels, top: float, luminance_weight: float = 1.0, chrominance_weight: float = 1.0) -> Column:
-    """Weighted colour distance of two pixels in Lab, over 128."""
+    """Colour distance of two pixels in Lab, over 128; the weights of lightness and of the two chroma axes add up to 1."""
+    total = luminance_weight + 2 * chrominance_weight
     la, lb = to_lab(a, top), to_lab(b, top)
     d = [x - y for x, y in zip(la, lb)]
-    return F.sqrt(luminance_weight * d[0] * d[0] + chrominance_weight * (d[1] * d[1] + d[2] * d[2])) / 128.0
+    return F.sqrt(luminance_weight / total * d[0] * d[0] + chrominance_weight / total * (d[1] * d[1] + d[2] * d[2])) / 128.0

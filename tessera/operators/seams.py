@@ -141,91 +141,124 @@ def movable_runs(contour: list[tuple[bool, int, int]]) -> list[list[tuple[bool,
     return runs if n > 1 else []
 
 
-def line(a: Point, b: Point) -> list[Point]:
-    """Pixels of the straight line between two points, both included."""
-    (x, y), (x2, y2) = a, b
-    dx, dy, sx, sy = abs(x2 - x), -abs(y2 - y), 1 if x < x2 else -1, 1 if y < y2 else -1
-    e, out = dx + dy, []
-    while True:
-        out.append((x, y))
-        if (x, y) == (x2, y2):
-            return out
-        twice = 2 * e
-        if twice >= dy:
-            e += dy
-            x += sx
-        if twice <= dx:
-            e += dx
-            y += sy
-
-
-def line_cost(cost: np.ndarray, a: Point, b: Point) -> int:
-    """Costs under a line; a line under 8 pixels pays for each it lacks, so vertices do not clump."""
+def raster(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pixels of straight lines from a to b, rows (x, y), without their ends: [line, step, 2], and which steps each line has.
+
+    Step t of a line whose longer side is n moves by t / n of both sides, truncated.
+    """
+    d = b - a
+    n = np.abs(d).max(axis=1)
+    t = np.arange(int(n.max(initial=0)))
+    moved = (t[None, :, None] * np.abs(d)[:, None, :]) // np.maximum(n, 1)[:, None, None]
+    return a[:, None, :] + np.sign(d)[:, None, :] * moved, t[None, :] < n[:, None]
+
+
+#: Lines under this length are penalised.
+SHORT_LINE = 8
+
+
+def line_costs(cost: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Costs under lines from a to b, their ends left out; a line shorter than SHORT_LINE pays for each pixel it lacks, so vertices do not clump."""
     h, w = cost.shape
-    px = [cost[y, x] if 0 <= x < w and 0 <= y < h else BLOCKED for x, y in line(a, b)]
-    return int(sum(px)) + BLOCKED * max(0, 8 - len(px))
+    at, on = raster(a, b)
+    x, y = at[..., 0], at[..., 1]
+    inside = (x >= 0) & (x < w) & (y >= 0) & (y < h)
+    under = np.where(inside, cost[np.clip(y, 0, h - 1), np.clip(x, 0, w - 1)], BLOCKED)
+    return (under * on).sum(axis=1) + BLOCKED * np.maximum(0, SHORT_LINE - np.abs(b - a).max(axis=1))
 
 
 def states(cost: np.ndarray, before: Point, at: Point, after: Point, k_max: int = 32) -> tuple[np.ndarray, np.ndarray]:
-    """Places a vertex may take: its own, and points on the normal through it until the border or a blocked pixel; with half their distance."""
+    """Places a vertex may take, with half their distance: on both sides of it along the normal, every few pixels, up to the border or the first blocked pixel."""
     h, w = cost.shape
     nx, ny = -(after[1] - before[1]), after[0] - before[0]
     length = math.hypot(nx, ny)
-    points, far = [at], [0]
-    if length:
-        reach = min(w, h) / 3
-        step = max(1, math.ceil(2 * reach / k_max))
-        for sign in (1, -1):
-            for i in range(1, int(reach / step) + 1):
-                x, y = round(at[0] + sign * i * step * nx / length), round(at[1] + sign * i * step * ny / length)
-                if not (0 <= x < w and 0 <= y < h) or cost[y, x] == BLOCKED:
-                    break
-                points.append((x, y))
-                far.append(max(abs(x - at[0]), abs(y - at[1])) // 2)
-    return np.array(points), np.array(far)
-
-
-def update(p: np.ndarray, energy: np.ndarray) -> np.ndarray:
-    """One round of the deterministic annealing of a vertex' state probabilities."""
-    d = np.clip(energy[:, None] - energy[None, :], -700, 700)
-    pair = (p[:, None] + p[None, :]) / (1 + np.exp(d))
-    np.fill_diagonal(pair, 0)
-    new = (p + pair.sum(axis=1)) / len(p)
-    return new / new.sum()
+    here, still = np.array([at]), (np.array([at]), np.array([0]))
+    if not length:
+        return still
+    reach = min(w, h) // 3
+    way = np.rint(np.array([nx, ny]) * reach / length).astype(int)
+    whole = int(np.abs(2 * way).max())
+    if not whole:
+        return still
+    gap = math.ceil(whole / k_max)
+    points = []
+    for sign, first, n in ((1, 0, (whole + 1) // 2), (-1, 1, 1 + whole // 2)):
+        line, on = raster(here, here + 2 * sign * way)  # as far again, so the end of the reach is there
+        line = line[0][on[0]][:n]
+        x, y = line.T
+        inside = (x >= 0) & (x < w) & (y >= 0) & (y < h)
+        shut = ~inside | (cost[np.clip(y, 0, h - 1), np.clip(x, 0, w - 1)] == BLOCKED)
+        if sign < 0:
+            shut[:1] = False  # the vertex itself is the other side's
+        stop = int(np.argmax(shut)) if shut.any() else len(line)
+        points.append(line[first:stop][(np.arange(first, stop) % gap) == 0])
+    found = np.concatenate(points)
+    return (found, np.abs(found - here).max(axis=1) // 2) if len(found) else still
+
+
+def preferences(energy: np.ndarray) -> np.ndarray:
+    """How far each state j is preferred to each other state i, [..., i, j]; 0 for states without a finite energy."""
+    real = np.isfinite(energy)
+    e = np.where(real, energy, 0.0)
+    d = np.clip(e[..., None, :] - e[..., :, None], -700, 700)
+    return (real[..., :, None] & real[..., None, :] & ~np.eye(energy.shape[-1], dtype=bool)) / (1 + np.exp(d))
+
+
+def update(p: np.ndarray, preferred: np.ndarray) -> np.ndarray:
+    """One round of the deterministic annealing of vertices' state probabilities, [..., state]."""
+    new = p * (1 + preferred.sum(axis=-2)) + np.matmul(p[..., None, :], preferred)[..., 0, :]
+    return new / new.sum(axis=-1, keepdims=True)
 
 
 def anneal(cost: np.ndarray, contour: list[tuple[bool, int, int]], distance_weight: float = 12.0, mismatch_weight: float = 1.0, tau: float = 0.75, delta_max: float = 7000.0, delta_min: float = 5.0, k_max: int = 32) -> list[tuple[bool, int, int]]:
-    """Move the vertices to cheap places nearby: mean-field annealing over each one's states, cooling from delta_max to delta_min."""
+    """Move the vertices to cheap places nearby: mean-field annealing over each one's states, cooling from delta_max to delta_min.
+
+    All vertices are updated at once from their neighbours' last estimates; only the energies next to
+    an estimate that moved are computed anew.
+    """
     n = len(contour)
-    spots = []
-    for i, (movable, x, y) in enumerate(contour):
-        before, after = contour[i - 1][1:], contour[(i + 1) % n][1:]
-        spots.append(states(cost, before, (x, y), after, k_max) if movable else (np.array([(x, y)]), np.array([0])))
-    prob = [np.full(len(s), 1 / len(s)) for s, _ in spots]
-    mean = [tuple(np.rint(p @ s).astype(int)) for p, (s, _) in zip(prob, spots)]
-    k = max(len(s) for s, _ in spots)
+    spots = [states(cost, contour[i - 1][1:], (x, y), contour[(i + 1) % n][1:], k_max) if movable else (np.array([(x, y)]), np.array([0])) for i, (movable, x, y) in enumerate(contour)]
+    count = np.array([len(s) for s, _ in spots])
+    k = int(count.max())
     if k < 2:
         return contour
+    place, far, there = np.zeros((n, k, 2), int), np.zeros((n, k)), np.arange(k) < count[:, None]
+    for i, (s, f) in enumerate(spots):
+        place[i, : len(s)], far[i, : len(s)] = s, f
+    prob = there / count[:, None]
+    estimate = lambda: np.floor((prob[..., None] * place).sum(axis=1) + 0.5).astype(int)
+    mean = estimate()
     total = distance_weight + mismatch_weight
     wd, wm = 2 * distance_weight / total, 2 * mismatch_weight / total
-    t = math.ceil(delta_max / math.log(k / (k - 2))) if k > 2 else delta_max
-    stop = delta_min / math.log(k * k - k - 1) if k > 2.5 else delta_max
+    many = k > 2
+    t = math.ceil(delta_max / math.log(k / (k - 2))) if many else delta_max
+    stop = delta_min / math.log(k * k - k - 1) if many else delta_min
+    energy, preferred = np.full((n, k), np.inf), np.zeros((n, k, k))
+    stale = far_off = np.ones(n, bool)  # preferences, and energies, to be computed anew
     while t > stop and k > 1:
         rounds = max(1, math.ceil(math.log(1 / k) / math.log(min(1 - 1e-9, (k - 2) / (2 * k) * math.exp(-t / delta_max) + 0.5))))
+        stale = np.ones(n, bool)  # the temperature is another
         for _ in range(rounds):
-            for i, (s, far) in enumerate(spots):
-                if len(s) < 2:
-                    continue
-                a, b = mean[i - 1], mean[(i + 1) % n]
-                energy = np.array([wd * f + wm * (line_cost(cost, a, (x, y)) + line_cost(cost, (x, y), b)) for (x, y), f in zip(s.tolist(), far.tolist())]) / t
-                prob[i] = update(prob[i], energy)
-            mean = [tuple(np.rint(p @ s).astype(int)) for p, (s, _) in zip(prob, spots)]
-        for i, (s, far) in enumerate(spots):
-            keep = prob[i] >= (0.5 if prob[i].max() > 0.99 else 1e-5)
-            if keep.any() and not keep.all():
-                p = prob[i][keep]
-                spots[i], prob[i] = (s[keep], far[keep]), p / p.sum()
-        k = max(len(s) for s, _ in spots)
+            busy = there.sum(axis=1) > 1
+            new = busy & stale
+            i, j = np.nonzero(there & (new & far_off)[:, None])
+            if len(i):
+                energy[i, j] = wd * far[i, j] + wm * (line_costs(cost, mean[i - 1], place[i, j]) + line_costs(cost, place[i, j], mean[(i + 1) % n]))
+            preferred[new] = preferences(np.where(there[new], energy[new], np.inf) / t)
+            prob[busy], last = update(prob[busy], preferred[busy]), prob[busy]
+            before, mean = mean, estimate()
+            moved = (mean != before).any(axis=1)
+            stale = far_off = np.roll(moved, 1) | np.roll(moved, -1)
+            if not moved.any() and np.abs(prob[busy] - last).max(initial=0) < 1e-15:
+                break  # further rounds at this temperature change nothing
+        least = np.where(prob.max(axis=1) > 0.99, 0.5, 1e-5)[:, None]
+        there &= prob >= least
+        prob = np.where(there, prob, 0.0)
+        prob /= prob.sum(axis=1, keepdims=True)
+        before, mean = mean, estimate()
+        moved = (mean != before).any(axis=1)
+        far_off = far_off | np.roll(moved, 1) | np.roll(moved, -1)
+        k = int(there.sum(axis=1).max())
         t *= tau
     return [(m, int(x), int(y)) for (m, _, _), (x, y) in zip(contour, mean)]
 
@@ -266,97 +299,6 @@ def optimise(cost: np.ndarray, contour: list[tuple[bool, int, int]], chain: tupl
     return contour
 
 
-def endpoints(overlap: np.ndarray) -> tuple[Point, Point] | None:
-    """Entry and exit of a seam: the middles of the two longest runs of the overlap along the image border."""
-    h, w = overlap.shape
-    ring = [(x, 0) for x in range(w)] + [(w - 1, y) for y in range(1, h)] + [(x, h - 1) for x in range(w - 2, -1, -1)] + [(0, y) for y in range(h - 2, 0, -1)]
-    on = [bool(overlap[y, x]) for x, y in ring]
-    if all(on):
-        return ring[0], ring[len(ring) // 2]
-    first = on.index(False)
-    runs: list[list[Point]] = [[]]
-    for p, o in zip(ring[first:] + ring[:first], on[first:] + on[:first]):
-        if o:
-            runs[-1].append(p)
-        elif runs[-1]:
-            runs.append([])
-    runs = sorted((r for r in runs if r), key=len, reverse=True)
-    if len(runs) < 2:
-        return None
-    return runs[0][len(runs[0]) // 2], runs[1][len(runs[1]) // 2]
-
-
-def cut(difference: np.ndarray, overlap: np.ndarray) -> list[Point]:
-    """The cheapest way through the dual grid (corners between pixels) from entry to exit of the overlap.
-
-    A step between corners costs the differences of the two pixels beside it, times their
-    gradients across it where there are any; corners outside the overlap are blocked.
-    """
-    ends = endpoints(overlap)
-    if ends is None:
-        return []
-    h, w = difference.shape
-    d = np.where(overlap, difference, BLOCKED).astype(float)
-    gx, gy = np.zeros_like(d), np.zeros_like(d)
-    gx[:, 1:-1], gy[1:-1, :] = np.abs(d[:, 2:] - d[:, :-2]) / 2, np.abs(d[2:, :] - d[:-2, :]) / 2
-
-    def weight(a: Point, b: Point) -> float:
-        if a[0] == b[0]:  # down or up: pixels left and right
-            y = min(a[1], b[1])
-            beside, g = [(a[0] - 1, y), (a[0], y)], gy
-        else:
-            x = min(a[0], b[0])
-            beside, g = [(x, a[1] - 1), (x, a[1])], gx
-        inside = [(x, y) for x, y in beside if 0 <= x < w and 0 <= y < h]
-        base = sum(d[y, x] for x, y in inside) + BLOCKED * (2 - len(inside))
-        slope = sum(g[y, x] for x, y in inside)
-        return (base * slope if slope > 0 else base) + 1e-3
-
-    start, end = ends
-    best, parent, queue = {start: 0.0}, {}, [(0.0, start)]
-    while queue:
-        c, at = heapq.heappop(queue)
-        if at == end:
-            break
-        if c > best[at]:
-            continue
-        for to in ((at[0] + 1, at[1]), (at[0] - 1, at[1]), (at[0], at[1] + 1), (at[0], at[1] - 1)):
-            if 0 <= to[0] <= w and 0 <= to[1] <= h and (nc := c + weight(at, to)) < best.get(to, math.inf):
-                best[to], parent[to] = nc, at
-                heapq.heappush(queue, (nc, to))
-    path = [end]
-    while path[-1] != start:
-        path.append(parent[path[-1]])
-    return path[::-1]
-
-
-def label_cut(path: list[Point], guide: np.ndarray) -> np.ndarray:
-    """The mask whose border the path is: regions grow up to the path, and the side that agrees more with ``guide`` gets 255."""
-    h, w = guide.shape
-    walls = {(min(a, b), max(a, b)) for a, b in zip(path, path[1:])}
-    label = np.full((h, w), -1)
-    n = 0
-    for sy in range(h):
-        for sx in range(w):
-            if label[sy, sx] >= 0:
-                continue
-            label[sy, sx] = n
-            todo = [(sx, sy)]
-            while todo:
-                x, y = todo.pop()
-                for nx, ny, a, b in ((x + 1, y, (x + 1, y), (x + 1, y + 1)), (x - 1, y, (x, y), (x, y + 1)), (x, y + 1, (x, y + 1), (x + 1, y + 1)), (x, y - 1, (x, y), (x + 1, y))):
-                    if 0 <= nx < w and 0 <= ny < h and label[ny, nx] < 0 and (a, b) not in walls:
-                        label[ny, nx] = n
-                        todo.append((nx, ny))
-            n += 1
-    out = np.zeros((h, w), np.int64)
-    for i in range(n):
-        here = label == i
-        if 2 * (guide[here] != 0).sum() > here.sum():
-            out[here] = 255
-    return out
-
-
 def segments_cross(a: Point, b: Point, c: Point, d: Point) -> bool:
     """Whether the open segments ab and cd cross."""
     side = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
@@ -377,19 +319,3 @@ def fill(contours: list[list[Point]], shape: tuple[int, int]) -> np.ndarray:
             if crossings:
                 out[y] ^= (np.searchsorted(np.sort(crossings), centres) % 2).astype(bool)
     return out
-
-
-def create_mask(cost: np.ndarray, guide: np.ndarray, distance: int = 4, chain: tuple[str, ...] = ("anneal", "dijkstra"), graph_cut: bool = False, **settings: float) -> np.ndarray:
-    """The seam of one overlap: the guide mask (or a graph cut along it), its contours thinned, moved to cheap pixels, and filled again."""
-    mask = label_cut(cut(cost, cost != BLOCKED), guide) if graph_cut else guide
-    contours = []
-    for contour in vectorise(mask, distance):
-        moved = optimise(cost, contour, chain, **settings) if chain and len(contour) > 2 else contour
-        contours.append([(x, y) for _, x, y in moved])
-    return np.where(fill(contours, guide.shape), 255, 0)
-
-
-def coarse_seam(cost: np.ndarray, guide: np.ndarray, factor: int, **options: object) -> np.ndarray:
-    """:func:`create_mask` on every ``factor``-th row and column, each place of its result spread over the places it stands for."""
-    mask = create_mask(cost[::factor, ::factor], guide[::factor, ::factor], **options)
-    return mask.repeat(factor, axis=0).repeat(factor, axis=1)[: cost.shape[0], : cost.shape[1]]

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import colour
-from tessera.operators import masks, pyramid, seams, windows
+from tessera.functions.scalar import half_away
+from tessera.operators import cuts, masks, pyramid, seams, windows
 from tessera.operators.pixelwise import XY
 from tessera.plans.config import NEAREST, BlendConfig
 from tessera.storage import materialize
@@ -47,13 +48,22 @@ def assemble(df: DataFrame, keys: list[str], n: int, order: str = "ord") -> Data
 
 
 def _mismatch(config: BlendConfig, channels: tuple[str, ...]) -> Column:
-    """How much the two images differ at a place, from 0 to 254; blocked where not both are there."""
+    """How much the two images differ at a place, from 0 to 255; blocked where not both are there."""
     one = lambda side: tuple(F.col(f"{c}{side}") for c in channels)
     if len(channels) == 1:
-        d = config.luminance_weight * F.abs(one("w")[0] - one("b")[0])
+        d = F.abs(one("w")[0] - one("b")[0])
+    elif config.difference == "delta-e":
+        d = half_away(255 * colour.delta_e(one("w"), one("b"), 255, config.luminance_weight, config.chrominance_weight))
     else:
-        d = colour.hue_luminance_difference(one("w"), one("b"), 255, config.chrominance_weight, config.luminance_weight)
-    return F.when(F.col("white") & F.col("black"), F.least(F.floor(d).cast("long"), F.lit(seams.BLOCKED - 1))).otherwise(seams.BLOCKED).cast("long")
+        d = half_away(colour.hue_luminance_difference(one("w"), one("b"), 255, config.chrominance_weight, config.luminance_weight))
+    return F.when(F.col("white") & F.col("black"), F.least(d.cast("long"), F.lit(seams.BLOCKED))).otherwise(seams.BLOCKED).cast("long")
+
+
+def _light(channels: tuple[str, ...]) -> Column:
+    """The sum of both images' luminances, whose slopes weigh the steps of a graph cut."""
+    one = lambda side: tuple(F.col(f"{c}{side}") for c in channels)
+    of = lambda c: c[0] if len(c) == 1 else half_away(colour.PROJECTORS["luminance"](c, 255))
+    return (of(one("w")) + of(one("b"))).cast("long")
 
 
 def seam_mask(both: DataFrame, keys: list[str], config: BlendConfig, channels: tuple[str, ...], size: tuple[int, int]) -> DataFrame:
@@ -68,11 +78,14 @@ def seam_mask(both: DataFrame, keys: list[str], config: BlendConfig, channels: t
     place = [*keys, *XY]
     guide = materialize(guide, "guide")
     cost = _mismatch(config, channels)
-    rows = both.withColumn("shared", F.col("white") & F.col("black")).select(*place, "shared", cost.alias("cost")).join(guide, place)
+    rows = both.withColumn("shared", F.col("white") & F.col("black")).select(*place, "shared", cost.alias("cost"), _light(channels).alias("light")).join(guide, place)
     box = masks.bounding_box(rows, keys, "shared")
     inner = rows.join(box, keys).filter("x between x0 and x1 and y between y0 and y1")
-    # cost and guide in one number: the guide is the ninth bit
-    packed = inner.select(*keys, (F.col("x") - F.col("x0")).alias("x"), (F.col("y") - F.col("y0")).alias("y"), (F.col("cost") + F.when(F.col("m") > 0, 256).otherwise(0)).alias("v"))
+    # one number a place: cost, guide, whether both images are there, light
+    packed = inner.select(
+        *keys, (F.col("x") - F.col("x0")).alias("x"), (F.col("y") - F.col("y0")).alias("y"),
+        (F.col("cost") + F.when(F.col("m") > 0, 256).otherwise(0) + F.when(F.col("shared"), 512).otherwise(0) + 1024 * F.col("light")).alias("v"),
+    )
     settings = dict(
         distance=config.vectorize_distance, chain=config.optimizers, graph_cut=config.seam == "graphcut", radius=config.dijkstra_radius, distance_weight=config.distance_weight,
         mismatch_weight=config.mismatch_weight, tau=config.tau, delta_max=config.delta_max, delta_min=config.delta_min, k_max=config.k_max,
@@ -80,8 +93,9 @@ def seam_mask(both: DataFrame, keys: list[str], config: BlendConfig, channels: t
     factor = config.coarse_factor
 
     def kernel(image: np.ndarray) -> list[tuple]:
-        mask = seams.coarse_seam(image & 255, (image >> 8) * 255, factor, **settings)
-        y, x = np.nonzero((image & 255) != seams.BLOCKED)
+        shared = (image & 512) > 0
+        mask = cuts.coarse_seam(image & 255, shared, (image >> 8 & 1) * 255, image >> 10, factor, **settings)
+        y, x = np.nonzero(shared)
         return list(zip(x.tolist(), y.tolist(), mask[y, x].tolist()))
 
     moved = seams.per_image(packed, keys, kernel, "x long, y long, moved long").join(box, keys)
@@ -162,6 +176,10 @@ def blend(
     ``config.pre_assemble`` images that do not overlap join the mosaic together.
     """
     n = pyramid.natural_levels(min(width, height), levels or config.levels)
+    if config.seam != "nearest" or config.optimizers:
+        box = masks.bounding_box(df, [*keys, order])
+        shortest = box.agg(F.min(F.least(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) + 1)).first()[0]
+        config = config.for_images(shortest or 0)
     if config.pre_assemble:
         valid = df.filter("alpha")
         batches = assemble(valid, keys, images, order)

@@ -88,15 +88,18 @@ class BlendConfig:
     """Mosaic blending: seam generation and optimisation.
 
     A seam is the nearest-feature mask or a graph cut along it, found on every ``coarse_factor``-th
-    row and column; its contours, a vertex every ``vectorize_distance`` corners, go through the optimizers.
+    row and column; its contours, a vertex every ``vectorize_distance`` corners (0: as many as suit the mask), go through the optimizers.
+    Where that leaves the smallest image fewer than ``smallest_coarse`` places, masks are fine instead, see :meth:`for_images`.
     """
 
     levels: int = 0
     wrap: str = "none"
     seam: str = "graphcut"
-    coarse_factor: int = 1
-    vectorize_distance: int = 4
+    coarse_factor: int = 8
+    smallest_coarse: int = 64
+    vectorize_distance: int = 0
     optimizers: tuple[str, ...] = ("anneal", "dijkstra")
+    difference: str = "delta-e"
     luminance_weight: float = 1.0
     chrominance_weight: float = 1.0
     distance_weight: float = 12.0
@@ -117,8 +120,23 @@ class BlendConfig:
             raise ValueError("optimizers are anneal and dijkstra")
         if not 0 < self.tau < 1 or self.k_max < 3 or self.dijkstra_radius < 1:
             raise ValueError("annealing needs 0 < tau < 1, k_max >= 3 and a positive radius")
-        if self.coarse_factor < 1 or self.vectorize_distance < 1:
-            raise ValueError("coarse_factor and vectorize_distance must be at least 1")
+        if self.coarse_factor < 1 or self.vectorize_distance < 0:
+            raise ValueError("coarse_factor must be at least 1, vectorize_distance not negative")
+        if self.difference not in ("delta-e", "hue-luminance"):
+            raise ValueError("difference must be delta-e or hue-luminance")
+        if min(self.luminance_weight, self.chrominance_weight) < 0 or not self.luminance_weight + self.chrominance_weight:
+            raise ValueError("difference weights must not be negative, nor both zero")
+
+    def for_images(self, shortest: int) -> BlendConfig:
+        """The options in force where the shortest side of an image is ``shortest``.
+
+        A coarse mask that would be too small gives way to a fine one, and a graph cut of that is not optimised further; vertices
+        are 4 corners apart on coarse masks, 20 on fine ones.
+        """
+        config = self
+        if config.coarse_factor > 1 and shortest // config.coarse_factor < config.smallest_coarse:
+            config = replace(config, coarse_factor=1, optimizers=() if config.seam == "graphcut" else config.optimizers)
+        return config if config.vectorize_distance else replace(config, vectorize_distance=4 if config.coarse_factor > 1 else 20)
 
 
 #: Seams as they come from the distance transforms.

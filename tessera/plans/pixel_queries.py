@@ -187,7 +187,7 @@ def c09(spark, sf):
 
 _HUE = """, d AS (SELECT *, greatest(r, g, b) AS hi, greatest(r, g, b) - least(r, g, b) AS d FROM rgb),
 s AS (SELECT *, CASE WHEN d = 0 THEN 0 WHEN hi = r THEN (g - b) / d WHEN hi = g THEN 2 + (b - r) / d ELSE 4 + (r - g) / d END AS s FROM d),
-hue AS (SELECT image_id, x, y, r, g, b, CASE WHEN d = 0 THEN 255 ELSE floor((CASE WHEN s < 0 THEN s + 6 ELSE s END) / 6 * 254 + 0.5) END::BIGINT AS h FROM s)"""
+hue AS (SELECT image_id, x, y, r, g, b, CASE WHEN d = 0 THEN 255 ELSE floor((CASE WHEN s < 0 THEN s + 6 ELSE s END) / 6 * 255 + 0.5) END::BIGINT AS h FROM s)"""
 
 
 @query("c10_hue", _HUE + " SELECT image_id, x, y, h FROM hue", "rgb")
@@ -208,7 +208,7 @@ def _ab():
 @query(
     "c11_hue_luminance_difference",
     _HUE
-    + f""" SELECT p.image_id, p.x, p.y, {_R.format('greatest(CASE WHEN abs(p.h - q.h) > 127.5 THEN 255 - abs(p.h - q.h) ELSE abs(p.h - q.h) END::DOUBLE, abs((p.r * 0.3::DOUBLE + p.g * 0.59::DOUBLE + p.b * 0.11::DOUBLE) - (q.r * 0.3::DOUBLE + q.g * 0.59::DOUBLE + q.b * 0.11::DOUBLE)))')} AS d
+    + f""" SELECT p.image_id, p.x, p.y, {_R.format('greatest(0.5 * CASE WHEN abs(p.h - q.h) > 127 THEN 255 - abs(p.h - q.h) ELSE abs(p.h - q.h) END::DOUBLE, 0.5 * abs(floor(p.r * 0.3::DOUBLE + p.g * 0.59::DOUBLE + p.b * 0.11::DOUBLE + 0.5) - floor(q.r * 0.3::DOUBLE + q.g * 0.59::DOUBLE + q.b * 0.11::DOUBLE + 0.5)))')} AS d
     FROM hue p JOIN hue q ON p.image_id = q.image_id - 1 AND p.x = q.x AND p.y = q.y""",
     "rgb",
 )
@@ -219,7 +219,7 @@ def c11(spark, sf):
 @query(
     "c12_delta_e",
     _LAB
-    + f" SELECT p.image_id, p.x, p.y, {_R.format('sqrt((p.l - q.l) * (p.l - q.l) + (p.a - q.a) * (p.a - q.a) + (p.bb - q.bb) * (p.bb - q.bb)) / 128')} AS d FROM lab p JOIN lab q ON p.image_id = q.image_id - 1 AND p.x = q.x AND p.y = q.y",
+    + f" SELECT p.image_id, p.x, p.y, {_R.format('sqrt(((p.l - q.l) * (p.l - q.l) + (p.a - q.a) * (p.a - q.a) + (p.bb - q.bb) * (p.bb - q.bb)) / 3) / 128')} AS d FROM lab p JOIN lab q ON p.image_id = q.image_id - 1 AND p.x = q.x AND p.y = q.y",
     "rgb",
 )
 def c12(spark, sf):

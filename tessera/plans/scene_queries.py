@@ -60,11 +60,13 @@ def s07(spark, sf):
 
 @query(
     "s08_filename_templates",
-    """SELECT s_suppkey, 'mask-' || lpad(s_suppkey::VARCHAR, greatest(4, length(s_suppkey::VARCHAR))::INTEGER, '0') || '_' || (s_suppkey - 1) || '-' || s_name || '.tif%out.png' AS name FROM supplier""",
+    """SELECT s_suppkey, 'mask-' || lpad(s_suppkey::VARCHAR, greatest(4, length(s_suppkey::VARCHAR))::INTEGER, '0') || '_' || lpad((s_suppkey - 1)::VARCHAR, greatest(3, length((s_suppkey - 1)::VARCHAR))::INTEGER, '0')
+        || '-' || lpad(s_suppkey::VARCHAR, greatest(6, length(s_suppkey::VARCHAR))::INTEGER, '#') || ' /in/' || s_nationkey || ' ' || s_name || '.x.tif ' || s_name || '.x .tif /in/' || s_nationkey || '/' || s_name || '.x.tif'
+        || ' % out out.png . .png' AS name FROM supplier""",
 )
 def s08(spark, sf):
-    s = fx.table(spark, sf, "supplier").withColumn("file", F.concat(F.lit("/in/"), F.col("s_name"), F.lit(".tif")))
-    name = catalog.expand_template("mask-%04n_%i-%f%%%F", F.col("s_suppkey"), F.col("s_suppkey") - 1, F.col("file"), "/tmp/out.png")
+    s = fx.table(spark, sf, "supplier").withColumn("file", F.concat(F.lit("/in/"), F.col("s_nationkey"), F.lit("/"), F.col("s_name"), F.lit(".x.tif")))
+    name = catalog.expand_template("mask-%04n_%i-%#6n %d %b %f %e %p %% %F %B %D %E", F.col("s_suppkey") - 1, F.col("file"), "out.png", images=999)
     return s.select("s_suppkey", name.alias("name"))
 
 
@@ -245,7 +247,14 @@ def blend_mosaic(spark, sf):
 
 @query("blend_mosaic_graphcut")
 def blend_mosaic_graphcut(spark, sf):
-    return blend.blend(_alpha_mosaic(spark, sf), MOSAIC, 23, 8, 4, 2, config=BlendConfig(vectorize_distance=2, optimizers=("dijkstra",)))
+    """A graph cut whose fine masks go through annealing and shortest paths."""
+    return blend.blend(_alpha_mosaic(spark, sf), MOSAIC, 23, 8, 4, 2, config=BlendConfig(coarse_factor=1, vectorize_distance=2))
+
+
+@query("blend_mosaic_default")
+def blend_mosaic_default(spark, sf):
+    """All options as they come."""
+    return blend.blend(_alpha_mosaic(spark, sf), MOSAIC, 23, 8, 4, config=BlendConfig())
 
 
 @query("blend_mosaic_color")

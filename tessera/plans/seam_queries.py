@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.operators import seams
+from tessera.operators import cuts, lines, seams
 from tessera.plans.raster_queries import KEYS, _binary
 from tessera.plans.registry import query
 from tessera.sources import fixtures as fx
@@ -27,23 +27,24 @@ def g06(spark, sf):
     return seams.per_image(_binary(spark, sf), KEYS, kernel, "contour_id long, segment_id long, ord long, movable boolean, x long, y long", "m")
 
 
-def _border(image: np.ndarray) -> np.ndarray:
-    return np.ones_like(image, bool)
+def _bright(image: np.ndarray) -> np.ndarray:
+    """The brighter half of an image as guide: its border differs from image to image."""
+    return np.where(image >= np.median(image), 255, 0)
 
 
 @query("g10_graph_cut")
 def g10(spark, sf):
     def kernel(image: np.ndarray) -> list[tuple]:
-        return [(o, x, y) for o, (x, y) in enumerate(seams.cut(image, _border(image)))]
+        walls = cuts.cut(image, np.ones_like(image, bool), _bright(image), image)
+        return [(c, o, x, y) for c, wall in enumerate(walls) for o, (x, y) in enumerate(wall)]
 
-    return seams.per_image(fx.gray(spark, sf), KEYS, kernel, "ord long, x long, y long")
+    return seams.per_image(fx.gray(spark, sf), KEYS, kernel, "leg long, ord long, x long, y long")
 
 
 @query("g14_cut_labels")
 def g14(spark, sf):
     def kernel(image: np.ndarray) -> list[tuple]:
-        guide = np.where(np.arange(image.shape[1]) < image.shape[1] // 2, 255, 0) * np.ones((image.shape[0], 1), np.int64)
-        mask = seams.label_cut(seams.cut(image, _border(image)), guide)
+        mask = cuts.cut_mask(image, np.ones_like(image, bool), _half_guide(image), image)
         return [(x, y, int(mask[y, x])) for y in range(image.shape[0]) for x in range(image.shape[1])]
 
     return seams.per_image(fx.gray(spark, sf), KEYS, kernel, "x long, y long, m long")
@@ -52,11 +53,10 @@ def g14(spark, sf):
 @query("g15_anneal")
 def g15(spark, sf):
     def kernel(image: np.ndarray) -> list[tuple]:
-        contour = [(False, 0, 4), (True, 2, 4), (True, 4, 4), (True, 6, 4), (False, 7, 4)]
-        return [(o, m, x, y) for o, (m, x, y) in enumerate(seams.anneal(image, contour))]
+        contours = seams.vectorise(_bright(image), 2)
+        return [(c, o, m, x, y) for c, contour in enumerate(contours) for o, (m, x, y) in enumerate(seams.anneal(image, contour))]
 
-    some = fx.gray(spark, sf)
-    return seams.per_image(some, KEYS, kernel, "ord long, movable boolean, x long, y long")
+    return seams.per_image(fx.gray(spark, sf), KEYS, kernel, "contour_id long, ord long, movable boolean, x long, y long")
 
 
 @query("g21_cheapest_path")
@@ -88,7 +88,7 @@ def _half_guide(image: np.ndarray) -> np.ndarray:
 @query("g08_create_mask")
 def g08(spark, sf):
     def kernel(image: np.ndarray) -> list[tuple]:
-        mask = seams.create_mask(image, _half_guide(image), 2, ("dijkstra",), graph_cut=True)
+        mask = cuts.create_mask(image, np.ones_like(image, bool), _half_guide(image), image, 2, graph_cut=True)
         return [(x, y, int(mask[y, x])) for y in range(image.shape[0]) for x in range(image.shape[1])]
 
     return seams.per_image(fx.gray(spark, sf), KEYS, kernel, "x long, y long, m long")
@@ -97,7 +97,7 @@ def g08(spark, sf):
 @query("g09_vectorised_mask_round_trip", ", bin AS (SELECT image_id, x, y, CASE WHEN v >= 90 THEN 255 ELSE 0 END::BIGINT AS m FROM gray) SELECT image_id, x, y, m FROM bin", "gray")
 def g09_round_trip(spark, sf):
     def kernel(image: np.ndarray) -> list[tuple]:
-        mask = seams.create_mask(image, image, 1, ())
+        mask = np.where(seams.fill([[(x, y) for _, x, y in c] for c in seams.vectorise(image, 1)], image.shape), 255, 0)
         return [(x, y, int(mask[y, x])) for y in range(image.shape[0]) for x in range(image.shape[1])]
 
     return seams.per_image(_binary(spark, sf), KEYS, kernel, "x long, y long, m long", "m")
@@ -106,7 +106,45 @@ def g09_round_trip(spark, sf):
 @query("g20_refine")
 def g20(spark, sf):
     def kernel(image: np.ndarray) -> list[tuple]:
-        contour = [(False, 0, 4), (True, 3, 2), (True, 5, 6), (False, 7, 4)]
-        return [(o, x, y) for o, (x, y) in enumerate(seams.refine(image, contour))]
+        # corners on the far edges are no pixels
+        contours = [[v for v in c if v[1] < image.shape[1] and v[2] < image.shape[0]] for c in seams.vectorise(_bright(image), 3)]
+        return [(c, o, x, y) for c, contour in enumerate(contours) for o, (x, y) in enumerate(seams.refine(image, contour))]
 
-    return seams.per_image(fx.gray(spark, sf), KEYS, kernel, "ord long, x long, y long")
+    return seams.per_image(fx.gray(spark, sf), KEYS, kernel, "contour_id long, ord long, x long, y long")
+
+
+# four lines an image, from and to places that its pixels name
+_ENDS = """, p AS (SELECT image_id, y AS line, max(CASE WHEN x = 0 THEN v % 8 END) AS ax, max(CASE WHEN x = 1 THEN v % 8 END) AS ay, max(CASE WHEN x = 2 THEN v % 11 END) AS bx, max(CASE WHEN x = 3 THEN v % 11 END) AS by_
+    FROM gray WHERE y < 4 GROUP BY image_id, y),
+sides AS (SELECT *, greatest(abs(bx - ax), abs(by_ - ay)) AS n FROM p),
+dots AS (SELECT image_id, line, unnest(range(n)) AS t, ax, ay, bx, by_, n FROM sides),
+px AS (SELECT image_id, line, t, ax + sign(bx - ax)::BIGINT * (t * abs(bx - ax) // n) AS x, ay + sign(by_ - ay)::BIGINT * (t * abs(by_ - ay) // n) AS y FROM dots)"""
+
+
+def _lines(spark, sf):
+    end = lambda x, m: F.max(F.when(F.col("x") == x, F.col("v") % m))
+    return fx.gray(spark, sf).filter("y < 4").groupBy("image_id", F.col("y").alias("line")).agg(end(0, 8).alias("ax"), end(1, 8).alias("ay"), end(2, 11).alias("bx"), end(3, 11).alias("by"))
+
+
+@query(
+    "g19_line_costs",
+    _ENDS + """, under AS (SELECT image_id, line, sum(coalesce(v, 255)) AS s FROM px LEFT JOIN gray USING (image_id, x, y) GROUP BY ALL)
+    SELECT image_id, line, (coalesce(s, 0) + 255 * greatest(8 - n, 0))::BIGINT AS cost FROM sides LEFT JOIN under USING (image_id, line)""",
+    "gray",
+)
+def g19(spark, sf):
+    return lines.costs(_lines(spark, sf), fx.gray(spark, sf), ["image_id", "line"], ["image_id"])
+
+
+@query(
+    "g24_seam_drawing",
+    _ENDS.replace("% 11", "% 8").replace("p AS (", "p0 AS (", 1).replace(
+        "sides AS (", "p AS (SELECT image_id, line, ax, ay, coalesce(lead(ax) OVER o, first(ax) OVER o) AS bx, coalesce(lead(ay) OVER o, first(ay) OVER o) AS by_ FROM p0 WINDOW o AS (PARTITION BY image_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),\nsides AS (", 1
+    )
+    + """, marks AS (SELECT image_id, x, y, 1 AS mark FROM px UNION ALL SELECT image_id, ax, ay, CASE WHEN line % 2 = 1 THEN 3 ELSE 2 END FROM p0)
+    SELECT image_id, x, y, max(mark)::BIGINT AS mark FROM marks GROUP BY image_id, x, y""",
+    "gray",
+)
+def g24(spark, sf):
+    v = _lines(spark, sf).select("image_id", F.lit(0).alias("contour"), F.col("line").alias("ord"), (F.col("line") % 2 == 1).alias("movable"), F.col("ax").alias("x"), F.col("ay").alias("y"))
+    return lines.draw(v, ["image_id"], 8, 8)

@@ -113,36 +113,39 @@ def pass_metadata(own: Column, source: Column, blocked: str) -> Column:
 _LETTERS = "nipdbfe"
 
 
-def expand_template(template: str, number: Column, index: Column, file: Column, output: str | None = None) -> Column:
-    """Output names: %n number from 1, %i index from 0, %p path, %d folder, %b base name, %f file name, %e extension; %[0][width]n pads.
+def expand_template(template: str, number: Column, file: Column, output: str | None = None, images: int = 1) -> Column:
+    """Output names: %n number from 1, %i index ``number`` from 0, %p path, %d folder, %b file name, %f file name without extension, %e extension.
 
-    Upper-case letters take the parts of ``output``; %% is a percent sign.
+    Numbers take a sign to pad with (zeros unless another punctuation mark is given) and a width
+    between the per cent sign and the letter; without a width, that of the largest of ``images`` images. Longer numbers
+    stay whole. Upper-case letters take the parts of ``output``; %% is a percent sign.
     """
 
     def parts(name: Column) -> dict[str, Column]:
         base = F.regexp_extract(name, r"([^/]*)$", 1)
-        ext = F.regexp_extract(base, r"(\.[^.]*)$", 1)
-        return {"p": name, "d": F.regexp_extract(name, r"^(.*/)", 1), "f": base, "e": ext, "b": F.substring(base, F.lit(1), F.length(base) - F.length(ext))}
+        ext = F.regexp_extract(base, r"^.+(\.[^.]*)$", 1)  # a name that starts with its only dot has no extension
+        folder = F.regexp_extract(name, r"^(.*)/", 1)
+        folder = F.when(~name.contains("/"), ".").when(folder == "", "/").otherwise(folder)
+        return {"p": name, "d": folder, "b": base, "e": ext, "f": F.substring(base, F.lit(1), F.length(base) - F.length(ext))}
 
     values = parts(file)
     outs = parts(F.lit(output or ""))
     pieces: list[Column] = []
     at = 0
-    for m in re.finditer(r"%(%|(\d*)([a-zA-Z]))", template):
+    for m in re.finditer(r"%(%|([!-/:-@\[-`{-~0]*)(\d*)([a-zA-Z]))", template):
         pieces.append(F.lit(template[at : m.start()]))
         at = m.end()
         if m[1] == "%":
             pieces.append(F.lit("%"))
             continue
-        letter, pad = m[3], m[2]
+        pad, width, letter = m[2][-1:] or "0", m[3], m[4]
         if letter.lower() not in _LETTERS:
             raise ValueError(f"unknown template variable %{letter}")
         if letter.lower() in "ni":
-            text = (number if letter.lower() == "n" else index).cast("string")
-            if pad:
-                fill = "0" if pad.startswith("0") and len(pad) > 1 else " "
-                text = F.lpad(text, F.greatest(F.length(text), F.lit(int(pad))), F.lit(fill))
-            pieces.append(text)
+            one = letter.lower() == "n"
+            text = (number + int(one)).cast("string")
+            digits = int(width) if width else len(str(max(images - 1 + one, 0)))
+            pieces.append(F.lpad(text, F.greatest(F.length(text), F.lit(digits)), F.lit(pad)))
         else:
             pieces.append(values[letter] if letter.islower() else outs[letter.lower()])
     pieces.append(F.lit(template[at:]))

@@ -7,6 +7,8 @@ local checkpoint does not.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,12 +29,31 @@ def shared_dir(spark: SparkSession) -> str:
     return LOCAL_DIR
 
 
+#: Spark's own option to delete an execution's shuffle files once it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def without_leftovers(spark: SparkSession) -> Iterator[None]:
+    """Executions in here leave no shuffle files behind: what they write has no need of them, and they would pile up until the driver collects garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def materialize(df: DataFrame, name: str, partition_by: str | None = None, scratch: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return it as read from there; its path is added to ``scratch``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(path)
+    with without_leftovers(spark):
+        writer.parquet(path)
     _written.append(path)
     if scratch is not None:
         scratch.append(path)

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions import appearance, exposure, minimise, scalar
-from tessera.operators import masks, pyramid, seams, stack
+from tessera.operators import cuts, masks, pyramid, seams, stack
 from tessera.plans import blend, fuse
 from tessera.plans.config import BlendConfig, FuseConfig, Parameters, override
 from tessera.sources import catalog, images
@@ -73,28 +73,20 @@ def test_boundary_encloses_the_region(seed):
     assert (inside == mask).all()
 
 
-def test_cut_separates_and_labels_follow():
-    rnd = random.Random(3)
-    for _ in range(10):
-        d = image(rnd, 8, 8)
-        overlap = np.ones((8, 8), bool)
-        path = seams.cut(d, overlap)
-        assert len(set(path)) == len(path) and all(abs(a[0] - b[0]) + abs(a[1] - b[1]) == 1 for a, b in zip(path, path[1:]))
-        guide = np.zeros((8, 8), np.int64)
-        guide[:, :4] = 255
-        assert set(np.unique(seams.label_cut(path, guide))) <= {0, 255}
+def along(cost, contour):
+    at = np.array([v[1:] for v in contour])
+    return int(seams.line_costs(cost, at[:-1], at[1:]).sum())
 
 
 def test_line_annealing_and_runs():
-    assert seams.line((0, 0), (3, 1))[0] == (0, 0) and seams.line((0, 0), (3, 1))[-1] == (3, 1)
     cost = np.full((20, 20), 200)
     cost[6, :] = 1
     start = [(False, 0, 6)] + [(True, x, 10) for x in (4, 8, 12, 16)] + [(False, 19, 6)]
-    before = sum(seams.line_cost(cost, a[1:], b[1:]) for a, b in zip(start, start[1:]))
+    before = along(cost, start)
     moved = seams.anneal(cost, start, distance_weight=1, mismatch_weight=12)
     assert moved[0] == start[0] and moved[-1] == start[-1]
-    assert sum(seams.line_cost(cost, a[1:], b[1:]) for a, b in zip(moved, moved[1:])) <= before
-    p = seams.update(np.full(4, 0.25), np.array([0.0, 1, 2, 3]))
+    assert along(cost, moved) <= before
+    p = seams.update(np.full(4, 0.25), seams.preferences(np.array([0.0, 1, 2, 3])))
     assert abs(p.sum() - 1) < 1e-12 and p[0] == p.max()
     runs = seams.movable_runs(start)
     assert len(runs) == 1 and len(runs[0]) == 6
@@ -334,21 +326,27 @@ def test_the_region_of_a_seam_gives_what_the_canvas_gives(spark, monkeypatch):
 def test_graph_cut_masks_equal_the_kernel_on_the_overlap(spark, colour):
     df = two_images(spark, colour)
     channels = ("r", "g", "b") if colour else ("v",)
-    config = BlendConfig(optimizers=("dijkstra",), vectorize_distance=3, coarse_factor=2, dijkstra_radius=9)
+    config = BlendConfig(optimizers=("dijkstra",), vectorize_distance=3, coarse_factor=2, smallest_coarse=1, dijkstra_radius=9)
     got = {(r.x, r.y): r.m for r in blend.blend(df, ["mosaic_id"], 96, 20, 2, 2, channels=channels, config=config, masks_only=True).collect()}
     near = {(r.x, r.y): r.m for r in blend.blend(df, ["mosaic_id"], 96, 20, 2, 2, channels=channels, masks_only=True).collect()}
     at = {(r.ord, r.x, r.y): r for r in df.filter("alpha").collect()}
     shared = [(x, y) for x in range(96) for y in range(20) if (0, x, y) in at and (1, x, y) in at]
     x0, x1 = min(x for x, _ in shared), max(x for x, _ in shared)
     y0, y1 = min(y for _, y in shared), max(y for _, y in shared)
-    cost, guide = np.full((y1 - y0 + 1, x1 - x0 + 1), 255), np.zeros((y1 - y0 + 1, x1 - x0 + 1), int)
+    cost, guide, light = np.full((y1 - y0 + 1, x1 - x0 + 1), 255), *(np.zeros((y1 - y0 + 1, x1 - x0 + 1), int) for _ in range(2))
     for x in range(x0, x1 + 1):
         for y in range(y0, y1 + 1):
             guide[y - y0, x - x0] = near[x, y]
     if not colour:
         for x, y in shared:
-            cost[y - y0, x - x0] = min(254, abs(at[0, x, y].v - at[1, x, y].v))
-        mask = seams.coarse_seam(cost, guide, 2, distance=3, chain=("dijkstra",), graph_cut=True, radius=9)
+            cost[y - y0, x - x0] = abs(at[0, x, y].v - at[1, x, y].v)
+        every = {(r.ord, r.x, r.y): r.v for r in df.collect()}
+        for x in range(x0, x1 + 1):
+            for y in range(y0, y1 + 1):
+                light[y - y0, x - x0] = every[0, x, y] + every[1, x, y]
+        overlap = np.zeros(cost.shape, bool)
+        overlap[[y - y0 for _, y in shared], [x - x0 for x, _ in shared]] = True
+        mask = cuts.coarse_seam(cost, overlap, guide, light, 2, distance=3, chain=("dijkstra",), graph_cut=True, radius=9)
         assert all(got[x, y] == mask[y - y0, x - x0] for x, y in shared)
     assert all(got[p] == near[p] for p in got if p not in set(shared)) and set(got.values()) == {0, 255}
 
