@@ -42,8 +42,6 @@ _BREAK = 0xFF
 _BYTES = bytes(c + 32 if 65 <= c <= 90 else _BREAK if chr(c) in ".,;:!?\n\v\f\r" else 32 if c == 9 else c for c in range(256))
 _BREAKS, _SPACED = bytes([_BREAK]), b" %c " % _BREAK
 
-_NAME = "name long, at int, freq long"
-
 
 class _Block:
     """Texts of one language as numbers of words; 0 stands between pieces."""
@@ -160,10 +158,13 @@ def ratio(both: Column, left: Column, right: Column) -> Column:
 
 def mine(docs: DataFrame, least: int = MIN_COUNT, top: int = TOP, block_places: int = BLOCK) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of the best phrases of each language."""
+    spark = docs.sparkSession
     scratch: list[str] = []
     text = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     schema = "block long, lang string, n long, words array<string>, counts array<long>, places binary"
-    blocks = materialize(text.mapInArrow(_blocker(block_places), schema), "phrases-words", scratch=scratch)
+    now: list[str] = []
+    blocks = materialize(text.mapInArrow(_blocker(block_places), schema), "phrases-words", scratch=now)
+    totals = materialize(blocks.groupBy("lang").agg(F.sum("n").alias("n")), "phrases-totals", scratch=scratch)
 
     each = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x"))
     each = each.select("block", (F.col("at") + 1).alias("at"), "lang", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
@@ -171,7 +172,9 @@ def mine(docs: DataFrame, least: int = MIN_COUNT, top: int = TOP, block_places:
 
     schema = "block long, first array<long>, second array<long>, counts array<long>, places binary"
     paired = _with_names(blocks, words, F.size("words") + 1).mapInArrow(_pair, schema)
-    paired = materialize(paired, "phrases-pairs", scratch=scratch)
+    last, now = now, []
+    paired = materialize(paired, "phrases-pairs", scratch=now)
+    discard(spark, last)
     each = paired.select("block", F.posexplode(F.arrays_zip("first", "second", "counts")).alias("at", "x"))
     each = each.select("block", "at", F.col("x.first").alias("first"), F.col("x.second").alias("second"), F.col("x.counts").alias("n"))
     pairs = materialize(_named(each, ["first", "second"], least), "phrases-named-pairs", scratch=scratch)
@@ -180,9 +183,10 @@ def mine(docs: DataFrame, least: int = MIN_COUNT, top: int = TOP, block_places:
     each = tripled.select(F.explode(F.arrays_zip("first", "second", "counts")).alias("x")).select("x.*")
     triples = each.groupBy("first", "second").agg(F.sum("counts").alias("freq")).filter(F.col("freq") >= least)
     triples = materialize(triples, "phrases-triples", scratch=scratch)
+    discard(spark, now)
 
-    out = materialize(rank(words, pairs, triples, blocks.groupBy("lang").agg(F.sum("n").alias("n")), top), "phrases", scratch=None)
-    discard(docs.sparkSession, scratch)
+    out = materialize(rank(words, pairs, triples, totals, top), "phrases")
+    discard(spark, scratch)
     return out
 
 
