@@ -33,7 +33,7 @@ TOP = 2000
 #: A longer candidate with at least this many hundredths of a phrase's occurrences stands for it.
 SUBSUMED = 50
 #: Places of a block, with separators.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Blocks a map task can number.
 PER_TASK = 1 << 12
 
