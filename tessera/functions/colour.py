@@ -125,7 +125,7 @@ def from_lab(lab: Channels, top: float) -> Channels:
 
 
 _WHITE_SUM = WHITE[0] + 15 * WHITE[1] + 3 * WHITE[2]
-_U0, _V0 = 4 * WHITE[0] / _WHITE_SUM, 9 * WHITE[1] / _WHITE_SUM
+LUV_WHITE = _U0, _V0 = 4 * WHITE[0] / _WHITE_SUM, 9 * WHITE[1] / _WHITE_SUM
 
 
 def to_luv(c: Channels, top: float) -> Channels:

@@ -27,15 +27,22 @@ Run = Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
-    offsets = np.concatenate([[0], np.cumsum([a.size for a in arrays])]).astype(np.int32)
-    flat = np.concatenate([a.ravel() for a in arrays]) if arrays else np.empty(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat).cast(kind))
+    return _flat_lists(np.concatenate([[0], np.cumsum([a.size for a in arrays])]), np.concatenate([a.ravel() for a in arrays]) if arrays else np.empty(0, np.int64), kind)
+
+
+def _flat_lists(ends: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values).cast(kind))
+
+
+def _numbers(values: pa.Array) -> np.ndarray:
+    """Booleans as 0 and 1."""
+    return values.cast(pa.int64()).to_numpy(zero_copy_only=False)
 
 
 def _plane(column: pa.ListArray, row: int) -> np.ndarray:
-    """One row's array; booleans as 0 and 1."""
+    """One row's array."""
     a, b = column.offsets[row].as_py(), column.offsets[row + 1].as_py()
-    return column.values.slice(a, b - a).cast(pa.int64()).to_numpy(zero_copy_only=False)
+    return _numbers(column.values.slice(a, b - a))
 
 
 def _types(df: DataFrame, names: list[str]) -> str:
@@ -43,7 +50,7 @@ def _types(df: DataFrame, names: list[str]) -> str:
     return ", ".join(f"`{n}` {kinds[n]}" for n in names)
 
 
-def _taken(b: pa.RecordBatch, keys: list[str], at: list[int]) -> list[pa.Array]:
+def _taken(b: pa.RecordBatch, keys: list[str], at: list[int] | np.ndarray) -> list[pa.Array]:
     rows = pa.array(at, pa.int64())
     return [b.column(b.schema.get_field_index(k)).take(rows) for k in keys]
 
@@ -56,6 +63,64 @@ def _ints(b: pa.RecordBatch, names: list[str]) -> list[tuple]:
     return list(zip(*(b.column(n).to_pylist() for n in names)))
 
 
+def _alike(columns: list[np.ndarray]) -> Iterator[tuple[tuple[int, ...], np.ndarray]]:
+    """Rows that agree in all columns, with what they agree in: whole groups of tiles are worked on at once."""
+    if len(columns[0]):
+        same, group = np.unique(np.stack(columns, axis=1), axis=0, return_inverse=True)
+        group = group.ravel()
+        order = np.argsort(group, kind="stable")
+        for values, rows in zip(same.tolist(), np.split(order, np.cumsum(np.bincount(group))[:-1])):
+            yield tuple(values), rows
+
+
+def _geometry(b: pa.RecordBatch, names: list[str]) -> list[np.ndarray]:
+    return [b.column(n).to_numpy() for n in names]
+
+
+def _stack(starts: np.ndarray, values: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """Arrays of one shape that begin at ``starts``, [row, y, x]."""
+    return values[starts[:, None] + np.arange(shape[0] * shape[1])].reshape(-1, *shape)
+
+
+class _Sent:
+    """Rows made group by group: the row each comes from, its numbers, its arrays."""
+
+    def __init__(self, numbers: int, planes: int) -> None:
+        self.at: list[np.ndarray] = []
+        self.meta: list[tuple[int, ...]] = []
+        self.planes: list[list[np.ndarray]] = [[] for _ in range(planes)]
+        self.n = numbers
+
+    def add(self, rows: np.ndarray, meta: tuple[int, ...], planes: list[np.ndarray]) -> None:
+        self.at.append(rows)
+        self.meta.append(meta)
+        for kept, p in zip(self.planes, planes):
+            kept.append(p.reshape(len(rows), -1))
+
+    def batch(self, b: pa.RecordBatch, keys: list[str], names: list[str]) -> pa.RecordBatch:
+        count = [len(r) for r in self.at]
+        at = np.concatenate(self.at) if self.at else np.empty(0, np.int64)
+        meta = np.repeat(np.array(self.meta, np.int64).reshape(-1, self.n), count, axis=0)
+        lists = []
+        for kept in self.planes:
+            ends = np.concatenate([[0], np.cumsum(np.repeat([p.shape[1] for p in kept], count).astype(np.int64))])
+            lists.append(_flat_lists(ends, np.concatenate([p.ravel() for p in kept]) if kept else np.empty(0, np.int64), pa.int64()))
+        return pa.RecordBatch.from_arrays([*_taken(b, keys, at), *(pa.array(c) for c in meta.T), *lists], names=names)
+
+
+def _shapes(b: pa.RecordBatch, side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Widths of a batch's tiles, heights, and where each begins when all lie one after the other."""
+    tx, ty, w, h = _geometry(b, [*TILE, "w", "h"])
+    tw, th = np.minimum(side, w - tx * side), np.minimum(side, h - ty * side)
+    return tw, th, np.concatenate([[0], np.cumsum(tw * th)])
+
+
+def _places(base: np.ndarray, wide: np.ndarray | int, x: int, y: int, w: int, h: int) -> np.ndarray:
+    """Where the rectangles' places are in arrays that begin at ``base`` and are ``wide``, [row, place]."""
+    wide = np.broadcast_to(wide, base.shape)
+    return (base[:, None, None] + (y + np.arange(h))[None, :, None] * wide[:, None, None] + x + np.arange(w)).reshape(len(base), -1)
+
+
 def pack(df: DataFrame, keys: list[str], values: list[str], flags: list[str] = [], side: int = SIDE) -> DataFrame:  # noqa: B006
     """Pixels (keys, x, y, long values, boolean flags) as tiles; places without a pixel get 0 and false."""
     names = [*values, *flags]
@@ -69,19 +134,17 @@ def pack(df: DataFrame, keys: list[str], values: list[str], flags: list[str] = [
         for b in batches:
             cells = b.column("cells")
             where, parts = cells.offsets.to_numpy(), [cells.values.field(i).to_numpy(zero_copy_only=False) for i in range(2 + len(names))]
-            out: list[list[np.ndarray]] = [[] for _ in names]
-            sizes = []
-            for r, (tx, ty, w, h) in enumerate(_ints(b, [*TILE, "w", "h"])):
-                tw, th = min(side, w - tx * side), min(side, h - ty * side)
-                x, y = parts[0][where[r] : where[r + 1]] - tx * side, parts[1][where[r] : where[r + 1]] - ty * side
-                for k, p in enumerate(parts[2:]):
-                    dense = np.zeros((th, tw), np.int64)
-                    dense[y, x] = p[where[r] : where[r + 1]]
-                    out[k].append(dense)
-                sizes.append((tx, ty, w, h, 0, 0))
-            kinds = [pa.int64()] * len(values) + [pa.bool_()] * len(flags)
-            columns = [*_taken(b, keys, list(range(b.num_rows))), *_longs(sizes, 6), *map(_lists, out, kinds)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keys, *TILE, *SIZE, *names])
+            tw, _, ends = _shapes(b, side)
+            tx, ty, w, h = _geometry(b, [*TILE, "w", "h"])
+            of = np.repeat(np.arange(b.num_rows), np.diff(where))
+            at = ends[of] + (parts[1][where[0] : where[-1]] - ty[of] * side) * tw[of] + parts[0][where[0] : where[-1]] - tx[of] * side
+            lists = []
+            for p, kind in zip(parts[2:], [pa.int64()] * len(values) + [pa.bool_()] * len(flags)):
+                dense = np.zeros(ends[-1], np.int64)
+                dense[at] = p[where[0] : where[-1]]
+                lists.append(_flat_lists(ends, dense, kind))
+            zero = np.zeros(b.num_rows, np.int64)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), *map(pa.array, (tx, ty, w, h, zero, zero)), *lists], names=[*keys, *TILE, *SIZE, *names])
 
     return rows.mapInArrow(run, f"{_types(df, keys)}, {_schema(values, flags)}")
 
@@ -98,6 +161,48 @@ def unpack(tiles: DataFrame, keys: list[str], names: list[str], side: int = SIDE
     return rows.select(*keys, x.alias("x"), y.alias("y"), *(F.col("cell").getItem(n).alias(n) for n in names))
 
 
+def haloed(tiles: DataFrame, keys: list[str], names: list[str], half: int, side: int = SIDE) -> DataFrame:
+    """Each tile with what lies up to ``half`` places around it: (keys, tx, ty, sizes, x0, y0, pw, ph, names), arrays of the window's pw x ph places from (x0, y0) on.
+
+    A tile sends every tile around it the rectangle that one sees; windows end at the image's border.
+    """
+
+    columns = [*keys, *TILE, *SIZE, "x0", "y0", "pw", "ph", *names]
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sent = _Sent(10, len(names))
+            values = [(b.column(n).offsets.to_numpy(), _numbers(b.column(n).values)) for n in names]
+            for (tx, ty, w, h, fw, fh), rows in _alike(_geometry(b, [*TILE, *SIZE])):
+                x0, y0 = tx * side, ty * side
+                x1, y1 = min(x0 + side, w), min(y0 + side, h)
+                planes = [_stack(starts[rows], v, (y1 - y0, x1 - x0)) for starts, v in values]
+                for ny in range(max(y0 - half, 0) // side, (min(y1 + half, h) - 1) // side + 1):
+                    for nx in range(max(x0 - half, 0) // side, (min(x1 + half, w) - 1) // side + 1):
+                        a, e = max(x0, nx * side - half), min(x1, nx * side + side + half)
+                        c, g = max(y0, ny * side - half), min(y1, ny * side + side + half)
+                        sent.add(rows, (nx, ny, w, h, fw, fh, a, c, e - a, g - c), [p[:, c - y0 : g - y0, a - x0 : e - x0] for p in planes])
+            yield sent.batch(b, keys, columns)
+
+    def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tx, ty, w, h = _geometry(b, [*TILE, "w", "h"])
+            x0, y0 = np.maximum(tx * side - half, 0), np.maximum(ty * side - half, 0)
+            pw, ph = np.minimum(tx * side + side + half, w) - x0, np.minimum(ty * side + side + half, h) - y0
+            ends = np.concatenate([[0], np.cumsum(pw * ph)])
+            whole = [np.empty(ends[-1], np.int64) for _ in names]
+            for of, (x, y, wide, high), starts, values in _arrived(b, len(names)):
+                for k, v in enumerate(values):
+                    for (dx, dy), rows in _alike([x - x0[of], y - y0[of]]):
+                        whole[k][_places(ends[of[rows]], pw[of[rows]], dx, dy, wide, high)] = v[starts[k][rows][:, None] + np.arange(wide * high)]
+            lists = [_flat_lists(ends, v, pa.int64()) for v in whole]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (*keys, *TILE, *SIZE)), *map(pa.array, (x0, y0, pw, ph)), *lists], names=columns)
+
+    schema = ", ".join([_types(tiles, keys), *(f"{c} long" for c in (*TILE, *SIZE, "x0", "y0", "pw", "ph")), *(f"`{n}` array<long>" for n in names)])
+    parts = tiles.select(*keys, *TILE, *SIZE, *names).mapInArrow(cut, schema)
+    return _gathered(parts, keys, list(names)).mapInArrow(join, schema)
+
+
 # Taps of one axis ------------------------------------------------------------------------------
 
 
@@ -173,16 +278,14 @@ def _parts(tiles: DataFrame, keys: list[str], values: list[str], alpha: str | No
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at: list[int] = []
-            meta: list[tuple] = []
-            out: list[list[np.ndarray]] = [[] for _ in names]
-            for r, (tx, ty, w, h, fw, fh) in enumerate(_ints(b, [*TILE, *SIZE])):
+            sent = _Sent(10, len(names))
+            columns = {n: (b.column(n).offsets.to_numpy(), _numbers(b.column(n).values)) for n in (*values, *([alpha] if alpha and not up else []))}
+            for (tx, ty, w, h, fw, fh), rows in _alike(_geometry(b, [*TILE, *SIZE])):
                 x0, y0 = tx * side, ty * side
                 tw, th = min(side, w - x0), min(side, h - y0)
-                planes = [_plane(b.column(v), r).reshape(th, tw) for v in values]
+                planes = [_stack(starts[rows], v, (th, tw)) for starts, v in columns.values()]
                 if alpha and not up:
-                    mask = _plane(b.column(alpha), r).reshape(th, tw)
-                    planes = [*(p * mask for p in planes), mask]
+                    planes = [*(p * planes[-1] for p in planes[:-1]), planes[-1]]
                 to_w, to_h = (fw, fh) if up else ((w + 1) // 2, (h + 1) // 2)
                 sizes = (to_w, to_h, 0, 0) if up else (to_w, to_h, w, h)
                 for left, across in _pieces(up, sideways, to_w if up else w, x0, x0 + tw):
@@ -192,28 +295,40 @@ def _parts(tiles: DataFrame, keys: list[str], values: list[str], alpha: str | No
                             for nx in range(left // side, (left + len(across) - 1) // side + 1):
                                 a, c = max(left, nx * side), max(top, ny * side)
                                 e, g = min(left + len(across), nx * side + side), min(top + len(down), ny * side + side)
-                                at.append(r)
-                                meta.append((nx, ny, *sizes, a - nx * side, c - ny * side, e - a, g - c))
-                                for k, s in enumerate(sums):
-                                    out[k].append(s[c - top : g - top, a - left : e - left])
-            columns = [*_taken(b, keys, at), *_longs(meta, 10), *(_lists(o, pa.int64()) for o in out)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keys, *TILE, *SIZE, "x0", "y0", "pw", "ph", *names])
+                                sent.add(rows, (nx, ny, *sizes, a - nx * side, c - ny * side, e - a, g - c), [s[:, c - top : g - top, a - left : e - left] for s in sums])
+            yield sent.batch(b, keys, [*keys, *TILE, *SIZE, "x0", "y0", "pw", "ph", *names])
 
     schema = ", ".join([_types(tiles, keys), *(f"{c} long" for c in (*TILE, *SIZE, "x0", "y0", "pw", "ph")), *(f"`{n}` array<long>" for n in names)])
     return tiles.select(*keys, *TILE, *SIZE, *values, *([alpha] if alpha and not up else [])).mapInArrow(run, schema)
 
 
-def _sum_parts(column: pa.ListArray, row: int, k: int, shape: tuple[int, int]) -> np.ndarray:
-    """The sums that arrived for a tile, value ``k`` of the parts."""
-    out = np.zeros(shape, np.int64)
-    for p in range(column.offsets[row].as_py(), column.offsets[row + 1].as_py()):
-        x, y, w, h = (column.values.field(i)[p].as_py() for i in range(4))
-        out[y : y + h, x : x + w] += _plane(column.values.field(4 + k), p).reshape(h, w)
-    return out
+def _arrived(b: pa.RecordBatch, planes: int) -> Iterator[tuple[np.ndarray, tuple, list[np.ndarray], list[np.ndarray]]]:
+    """The parts of a batch by the size of their rectangles: the tile of each; its x0 and y0, and the size; where its arrays start, and all values."""
+    parts = b.column("parts")
+    where = parts.offsets.to_numpy()
+    of = np.repeat(np.arange(b.num_rows), np.diff(where))
+    x, y, w, h = (parts.values.field(i).to_numpy()[where[0] : where[-1]] for i in range(4))
+    starts = [parts.values.field(4 + k).offsets.to_numpy()[where[0] : where[-1]] for k in range(planes)]
+    values = [_numbers(parts.values.field(4 + k).values) for k in range(planes)]
+    for (wide, high), rows in _alike([w, h]):
+        yield of[rows], (x[rows], y[rows], wide, high), [s[rows] for s in starts], values
+
+
+def _sum_parts(b: pa.RecordBatch, planes: int, side: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Where each tile begins when all lie one after the other; the sums that arrived; and, of parts with x0 < 0, the tiles' own values."""
+    tw, _, ends = _shapes(b, side)
+    sums, own = ([np.zeros(ends[-1], np.int64) for _ in range(planes)] for _ in range(2))
+    for of, (x, y, wide, high), starts, values in _arrived(b, planes):
+        for (x0, y0), rows in _alike([x, y]):
+            at = _places(ends[of[rows]], tw[of[rows]], max(x0, 0), y0, wide, high)
+            for k, v in enumerate(values):
+                # tiles on a ring may send one tile the same rectangle twice
+                np.add.at((own if x0 < 0 else sums)[k], at, v[starts[k][rows][:, None] + np.arange(wide * high)])
+    return ends, sums, own
 
 
 def _gathered(parts: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
-    """One row a tile with all its parts: those of the few tiles around it."""
+    """One row a tile with all its parts: those of the few tiles around it, and its own."""
     part = F.struct("x0", "y0", "pw", "ph", *names)
     return parts.groupBy(*keys, *TILE).agg(*(F.max(c).alias(c) for c in SIZE), F.collect_list(part).alias("parts"))
 
@@ -225,21 +340,14 @@ def reduce(tiles: DataFrame, keys: list[str], values: list[str], alpha: str | No
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list[np.ndarray]] = [[] for _ in names]
-            sizes = _ints(b, [*TILE, *SIZE])
-            for r, (tx, ty, w, h, _, _) in enumerate(sizes):
-                shape = min(side, h - ty * side), min(side, w - tx * side)
-                sums = [_sum_parts(b.column("parts"), r, k, shape) for k in range(len(names))]
-                if alpha:
-                    some = sums[-1] > 0
-                    done = [*(np.where(some, _truncated(s, np.maximum(sums[-1], 1)), 0) for s in sums[:-1]), some]
-                else:
-                    done = [_truncated(s, 256) for s in sums]
-                for k, d in enumerate(done):
-                    out[k].append(d)
-            kinds = [pa.int64()] * len(values) + [pa.bool_()] * bool(alpha)
-            columns = [*_taken(b, keys, list(range(b.num_rows))), *_longs(sizes, 6), *map(_lists, out, kinds)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keys, *TILE, *SIZE, *values, *([alpha] if alpha else [])])
+            ends, sums, _ = _sum_parts(b, len(names), side)
+            if alpha:
+                some = sums[-1] > 0
+                done = [*(np.where(some, _truncated(s, np.maximum(sums[-1], 1)), 0) for s in sums[:-1]), some]
+            else:
+                done = [_truncated(s, 256) for s in sums]
+            lists = [_flat_lists(ends, d, kind) for d, kind in zip(done, [pa.int64()] * len(values) + [pa.bool_()] * bool(alpha))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (*keys, *TILE, *SIZE)), *lists], names=[*keys, *TILE, *SIZE, *values, *([alpha] if alpha else [])])
 
     return rows.mapInArrow(run, f"{_types(tiles, keys)}, {_schema(values, [alpha] if alpha else [])}")
 
@@ -247,38 +355,31 @@ def reduce(tiles: DataFrame, keys: list[str], values: list[str], alpha: str | No
 def plus_expanded(fine: DataFrame, coarse: DataFrame, keys: list[str], values: list[str], sign: int, wrap: bool = False, side: int = SIDE) -> DataFrame:
     """``fine`` plus (or less) the expansion of the next coarser level, in ``values``; its other columns stay."""
     names = list(values)
+    kinds = dict(fine.dtypes)
+    rest = [c for c in fine.columns if c not in (*keys, *TILE, *SIZE, *names)]
     whole = lambda c: F.least(F.lit(side), F.col(c[1]) - F.col(c[0]) * side)
-    own = fine.select(*keys, *TILE, *SIZE, F.lit(-1).cast("long").alias("x0"), F.lit(0).cast("long").alias("y0"), whole(("tx", "w")).alias("pw"), whole(("ty", "h")).alias("ph"), *names)
-    rows = _gathered(_parts(coarse, keys, names, None, True, wrap, side).unionByName(own), keys, names)
+    own = fine.select(*keys, *TILE, *SIZE, F.lit(-1).cast("long").alias("x0"), F.lit(0).cast("long").alias("y0"), whole(("tx", "w")).alias("pw"), whole(("ty", "h")).alias("ph"), *names, *rest)
+    sent = _parts(coarse, keys, names, None, True, wrap, side).select("*", *(F.lit(None).cast(kinds[c]).alias(c) for c in rest))
+    rows = _gathered(sent.unionByName(own), keys, [*names, *rest])
     kind = "ring" if wrap else "masked"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            ends, sums, own = _sum_parts(b, len(names), side)
+            by = np.empty(ends[-1], np.int64)
+            for (tx, ty, w, h), rows in _alike(_geometry(b, [*TILE, "w", "h"])):
+                grid = np.outer(_weights("masked", h)[ty * side : ty * side + side], _weights(kind, w)[tx * side : tx * side + side]).ravel()
+                by[ends[rows][:, None] + np.arange(grid.size)] = grid
+            lists = [_flat_lists(ends, o + sign * _truncated(s, by), pa.int64()) for o, s in zip(own, sums)]
             parts = b.column("parts")
-            out: list[list[np.ndarray]] = [[] for _ in names]
-            sizes = _ints(b, [*TILE, *SIZE])
-            for r, (tx, ty, w, h, _, _) in enumerate(sizes):
-                shape = min(side, h - ty * side), min(side, w - tx * side)
-                by = np.outer(_weights("masked", h)[ty * side : ty * side + shape[0]], _weights(kind, w)[tx * side : tx * side + shape[1]])
-                here = range(parts.offsets[r].as_py(), parts.offsets[r + 1].as_py())
-                left = parts.values.field(0)
-                for k in range(len(names)):
-                    base, sums = None, np.zeros(shape, np.int64)
-                    for p in here:
-                        x, y, pw, ph = (parts.values.field(i)[p].as_py() for i in range(4))
-                        plane = _plane(parts.values.field(4 + k), p).reshape(ph, pw)
-                        if left[p].as_py() < 0:
-                            base = plane
-                        else:
-                            sums[y : y + ph, x : x + pw] += plane
-                    out[k].append(base + sign * _truncated(sums, by))
-            columns = [*_taken(b, keys, list(range(b.num_rows))), *_longs([s[:2] for s in sizes], 2), *(_lists(o, pa.int64()) for o in out)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keys, *TILE, *names])
-
-    schema = ", ".join([_types(fine, keys), "tx long, ty long", *(f"`{n}` array<long>" for n in names)])
-    done = rows.mapInArrow(run, schema)
-    rest = [c for c in fine.columns if c not in names]
-    return fine.select(*rest).join(done, [*keys, *TILE]).select(*fine.columns)
+            first, where = parts.values.field(0).to_numpy(), parts.offsets.to_numpy()
+            mine = np.nonzero(first < 0)[0]
+            mine = pa.array(mine[(mine >= where[0]) & (mine < where[-1])])  # one a tile, in their order
+            others = [parts.values.field(4 + len(names) + k).take(mine) for k in range(len(rest))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (*keys, *TILE, *SIZE)), *lists, *others], names=[*keys, *TILE, *SIZE, *names, *rest])
+
+    schema = ", ".join([_types(fine, keys), _schema(names), *(f"`{c}` {kinds[c]}" for c in rest)])
+    return rows.mapInArrow(run, schema).select(*fine.columns)
 
 
 def gaussian(tiles: DataFrame, keys: list[str], values: list[str], levels: int, alpha: str | None = None, wrap: bool = False, side: int = SIDE) -> list[DataFrame]:
@@ -321,27 +422,38 @@ def weighted_sum(tiles: DataFrame, keys: list[str], values: list[str], mask: str
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, sums, meta, row = None, [], None, None
+        last = None  # the tile that may go on in the next batch: its row, numbers and sums
 
-        def close() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*row, *_longs([meta], 6), *(_lists([s], pa.int64()) for s in sums)], names=[*keys, *TILE, *SIZE, *values])
+        def made(row: list[pa.Array], sums: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*row, *(_lists([s], pa.int64()) for s in sums)], names=[*keys, *TILE, *SIZE, *values])
 
         for b in batches:
+            m = _numbers(b.column(mask).flatten())
+            products = []
+            for v in values:
+                p = _numbers(b.column(v).flatten()) * m / top
+                products.append(np.where(p >= 0, np.floor(p + 0.5), np.ceil(p - 0.5)).astype(np.int64))
+            ends = b.column(mask).offsets.to_numpy() - b.column(mask).offsets[0].as_py()
             ids = list(zip(*(b.column(k).to_pylist() for k in (*keys, *TILE))))
-            for r, size in enumerate(_ints(b, [*TILE, *SIZE])):
-                m = _plane(b.column(mask), r)
-                new = []
-                for v in values:
-                    p = _plane(b.column(v), r) * m / top
-                    new.append(np.where(p >= 0, np.floor(p + 0.5), np.ceil(p - 0.5)).astype(np.int64))
-                if ids[r] == last:
-                    sums = [a + c for a, c in zip(sums, new)]
+            first = [r for r in range(len(ids)) if not r or ids[r] != ids[r - 1]]
+            done, lists = [], [[] for _ in values]
+            for r, stop in zip(first, [*first[1:], len(ids)]):
+                sums = [p[ends[r] : ends[stop]].reshape(stop - r, -1).sum(axis=0) for p in products]
+                if last and last[0] == ids[r]:
+                    sums = [a + c for a, c in zip(last[2], sums)]
+                elif last:
+                    yield made(*last[1:])
+                last = None
+                if stop < len(ids):
+                    done.append(r)
+                    for kept, s in zip(lists, sums):
+                        kept.append(s)
                 else:
-                    if last is not None:
-                        yield close()
-                    last, sums, meta, row = ids[r], new, size, _taken(b, keys, [r])
-        if last is not None:
-            yield close()
+                    last = ids[r], _taken(b, [*keys, *TILE, *SIZE], [r]), sums
+            if done:
+                yield pa.RecordBatch.from_arrays([*_taken(b, [*keys, *TILE, *SIZE], done), *(_lists(kept, pa.int64()) for kept in lists)], names=[*keys, *TILE, *SIZE, *values])
+        if last:
+            yield made(*last[1:])
 
     rows = tiles.repartition(*keys, *TILE).sortWithinPartitions(*keys, *TILE)
     return rows.mapInArrow(run, f"{_types(tiles, keys)}, {_schema(values)}")

@@ -2,7 +2,7 @@
 
 Sums over a k x k window are separable, so they are two window functions with a
 value range, first along rows and then along columns: work and rows are linear in the
-pixels whatever k. Operators that need the window's values (entropy, general kernels)
+pixels whatever k. Entropy slides histograms over tiles with a halo. General kernels
 send each pixel to the places it contributes to and aggregate there, with partial sums
 before the shuffle.
 """
@@ -10,11 +10,15 @@ before the shuffle.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators import tiles
 from tessera.operators.pixelwise import XY
 
 
@@ -62,16 +66,80 @@ def scatter(df: DataFrame, half: int) -> DataFrame:
     return rows.withColumns({"tx": (F.col("x") + F.col("__dx")).cast("long"), "ty": (F.col("y") + F.col("__dy")).cast("long")})
 
 
-def local_entropy(df: DataFrame, keys: list[str], size: int = 3, alpha: str = "alpha", value: str = "v", top: float = 255.0) -> DataFrame:
-    """Entropy of the valid values in the window over the log of their number of distinct values, times ``top``."""
+#: Up to this size a window's values are counted by rows.
+SMALL_WINDOW = 3
+
+
+def sliding_entropy(values: np.ndarray, valid: np.ndarray, half: int) -> np.ndarray:
+    """Entropy over the log of the number of distinct values, of the valid values around each place whose window lies in the array; else 0.
+
+    Columns keep histograms of as many rows as the window has; the next row is inserted and the last one erased, and running
+    sums over the columns give every window's counts. So the work does not grow with the window.
+    """
+    h, w = values.shape
+    out = np.zeros((h, w))
+    size = 2 * half + 1
+    if h < size or w < size:
+        return out
+    known, rank = np.unique(values, return_inverse=True)
+    rank = rank.reshape(h, w)
+    x = np.arange(w)
+    columns = np.zeros((w, len(known)), np.int32)
+    c = np.arange(size * size + 1)
+    by_count = np.where(c > 0, c * np.log(np.maximum(c, 1)), 0.0)
+
+    def count(y: int, sign: int) -> None:
+        on = valid[y]
+        columns[x[on], rank[y, on]] += sign
+
+    for y in range(h):
+        count(y, 1)
+        if y >= size:
+            count(y - size, -1)
+        if y >= size - 1:
+            running = np.zeros((w + 1, len(known)), np.int32)
+            np.cumsum(columns, axis=0, out=running[1:])
+            windows = running[size:] - running[:-size]
+            n, bins, t = windows.sum(axis=1), (windows > 0).sum(axis=1), by_count[windows].sum(axis=1)
+            some = bins > 1
+            entropy = (np.log(np.maximum(n, 1)) - t / np.maximum(n, 1)) / np.log(np.maximum(bins, 2))
+            out[y - half, half : w - half] = np.where(some, entropy, 0.0)
+    return out
+
+
+def local_entropy(df: DataFrame, keys: list[str], size: int = 3, alpha: str = "alpha", value: str = "v", top: float = 255.0, side: int = tiles.SIDE) -> DataFrame:
+    """Entropy of the valid values in the window over the log of their number of distinct values, times ``top``, at valid interior places. Values are whole numbers.
+
+    Small windows send each pixel to the places around it and count there, rows in the square of the size; for others tiles with a
+    halo of half a window go through :func:`sliding_entropy`. Both give the same.
+    """
     half = size // 2
-    moved = scatter(df.filter(alpha), half).groupBy(*keys, "tx", "ty", value).agg(F.count("*").alias("c"))
-    # sum of c ln c and of c: p ln p follows without a second pass
-    sums = moved.groupBy(*keys, F.col("tx").alias("x"), F.col("ty").alias("y")).agg(F.sum("c").alias("n"), F.count("*").alias("bins"), F.sum(F.col("c") * F.log("c")).alias("t"))
-    inner = interior(df, keys, half).filter(alpha).select(*keys, *XY)
-    n, bins = F.col("n"), F.col("bins")
-    entropy = (F.log(n) - F.col("t") / n) / F.log(bins) * top
-    return inner.join(sums, [*keys, *XY], "left").select(*keys, *XY, F.when(F.coalesce(bins, F.lit(0)) <= 1, F.lit(0.0)).otherwise(entropy).alias("entropy"))
+    if size <= SMALL_WINDOW:
+        moved = scatter(df.filter(alpha), half).groupBy(*keys, "tx", "ty", value).agg(F.count("*").alias("c"))
+        # sum of c ln c and of c: p ln p follows without a second pass
+        sums = moved.groupBy(*keys, F.col("tx").alias("x"), F.col("ty").alias("y")).agg(F.sum("c").alias("n"), F.count("*").alias("bins"), F.sum(F.col("c") * F.log("c")).alias("t"))
+        inner = interior(df, keys, half).filter(alpha).select(*keys, *XY)
+        n, bins = F.col("n"), F.col("bins")
+        entropy = (F.log(n) - F.col("t") / n) / F.log(bins) * top
+        return inner.join(sums, [*keys, *XY], "left").select(*keys, *XY, F.when(F.coalesce(bins, F.lit(0)) <= 1, F.lit(0.0)).otherwise(entropy).alias("entropy"))
+    packed = tiles.pack(df.select(*keys, *XY, F.col(value).alias("__v"), F.col(alpha).alias("__on")), keys, ["__v"], ["__on"], side)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, rows = [], []
+            for r, (tx, ty, w, h, x0, y0, pw, ph) in enumerate(tiles._ints(b, [*tiles.TILE, "w", "h", "x0", "y0", "pw", "ph"])):
+                on = tiles._plane(b.column("__on"), r).reshape(ph, pw) > 0
+                entropy = sliding_entropy(tiles._plane(b.column("__v"), r).reshape(ph, pw), on, half)
+                left, top_, right, low = max(tx * side, half), max(ty * side, half), min(tx * side + side, w - half), min(ty * side + side, h - half)
+                if left < right and top_ < low:
+                    inner = np.s_[top_ - y0 : low - y0, left - x0 : right - x0]
+                    y, x = np.nonzero(on[inner])
+                    at.append(np.full(len(x), r))
+                    rows.append((x + left, y + top_, entropy[inner][y, x] * top))
+            columns = [np.concatenate(c) if rows else np.empty(0, kind) for c, kind in zip(zip(*rows) if rows else [()] * 3, (np.int64, np.int64, float))]
+            yield pa.RecordBatch.from_arrays([*tiles._taken(b, keys, np.concatenate(at) if at else []), *map(pa.array, columns)], names=[*keys, *XY, "entropy"])
+
+    return tiles.haloed(packed, keys, ["__v", "__on"], half, side).mapInArrow(run, f"{tiles._types(df, keys)}, x long, y long, entropy double")
 
 
 def convolve(df: DataFrame, keys: list[str], kernel: dict[tuple[int, int], float], value: str = "v", normalise: bool = False) -> DataFrame:

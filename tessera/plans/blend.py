@@ -13,9 +13,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions import colour
+from tessera.functions import colour, planes
 from tessera.functions.scalar import half_away
-from tessera.operators import cuts, masks, pyramid, seams, windows
+from tessera.operators import cuts, masks, pyramid, seams, tiles, windows
 from tessera.operators.pixelwise import XY
 from tessera.plans.config import NEAREST, BlendConfig
 from tessera.storage import materialize
@@ -143,9 +143,16 @@ def join_image(black: DataFrame, white: DataFrame, keys: list[str], levels: int,
             part = part.withColumns({"x": F.col("x") - F.col("x0"), "y": F.col("y") - F.col("y0")}).drop("x0", "y0", "x1", "y1")
         part = materialize(part, "part")
         names = list(channels)
-        half = lambda end, a: pyramid.laplacian(part.select(*place, *(F.col(f"{c}{end}").alias(c) for c in channels), F.col(a).alias("alpha")), keys, names, levels, "alpha", wrap)
-        weights = pyramid.gaussian(part.select(*place, "m"), keys, ["m"], levels, wrap=False)
-        done = pyramid.collapse(pyramid.blend_levels(weights, half("w", "white"), half("b", "black"), keys, names), keys, names, wrap)
+
+        def half(end: str, a: str) -> list[DataFrame]:
+            seen = tuple(F.col(f"{c}{end}") for c in channels)
+            seen = planes.into(seen, config.space) if config.space != "identity" else seen
+            return tiles.laplacian(tiles.pack(part.select(*place, *(v.alias(c) for c, v in zip(channels, seen)), F.col(a).alias("alpha")), keys, names, ["alpha"]), keys, names, levels, "alpha", wrap)
+
+        weights = tiles.gaussian(tiles.pack(part, keys, ["m"]), keys, ["m"], levels)
+        done = tiles.unpack(tiles.collapse(tiles.blend_levels(weights, half("w", "white"), half("b", "black"), keys, names), keys, names, wrap), keys, names)
+        if config.space != "identity":
+            done = done.select(*place, *(v.alias(c) for c, v in zip(channels, planes.out(tuple(map(F.col, channels)), config.space))))
         if config.wrap == "none":
             done = done.join(region, keys).withColumns({"x": F.col("x") + F.col("x0"), "y": F.col("y") + F.col("y0")})
         blended = [f"{c}s" for c in channels]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass, fields, replace
 from typing import TypeVar
 
+from tessera.functions.planes import SPACES
+
 Config = TypeVar("Config", "FuseConfig", "BlendConfig")
 
 
@@ -85,8 +87,9 @@ class FuseConfig:
 
 @dataclass(frozen=True)
 class BlendConfig:
-    """Mosaic blending: seam generation and optimisation.
+    """Mosaic blending: blending space, seam generation and optimisation.
 
+    Colour images of 8 bits blend in their channels or in the planes of a perceptual ``space``.
     A seam is the nearest-feature mask or a graph cut along it, found on every ``coarse_factor``-th
     row and column; its contours, a vertex every ``vectorize_distance`` corners (0: as many as suit the mask), go through the optimizers.
     Where that leaves the smallest image fewer than ``smallest_coarse`` places, masks are fine instead, see :meth:`for_images`.
@@ -94,6 +97,7 @@ class BlendConfig:
 
     levels: int = 0
     wrap: str = "none"
+    space: str = "identity"
     seam: str = "graphcut"
     coarse_factor: int = 8
     smallest_coarse: int = 64
@@ -114,6 +118,8 @@ class BlendConfig:
     def __post_init__(self) -> None:
         if self.wrap not in ("none", "horizontal", "vertical", "both"):
             raise ValueError("wrap must be none, horizontal, vertical or both")
+        if self.space not in SPACES:
+            raise ValueError(f"space must be one of {', '.join(SPACES)}")
         if self.seam not in ("nearest", "graphcut"):
             raise ValueError("seam must be nearest or graphcut")
         if not set(self.optimizers) <= {"anneal", "dijkstra"}:

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import colour, exposure
-from tessera.functions.scalar import fill_in, half_away, half_up
-from tessera.operators import pyramid, stack, windows
+from tessera.functions.scalar import fill_in, half_up
+from tessera.operators import pyramid, stack, tiles, windows
 from tessera.operators.pixelwise import XY
 from tessera.plans.config import FuseConfig
 
@@ -64,16 +64,15 @@ def score(df: DataFrame, keys: list[str], config: FuseConfig, top: float = 255.0
 def blend_stack(df: DataFrame, scene: list[str], levels: int, values: tuple[str, ...] = GRAY, mask: str = "m", order: str = "ord", top: int = 255) -> DataFrame:
     """Sum over the stack of Laplacian times the masks' Gaussian, per level; then collapse. Masks are integers from 0 to top.
 
-    Images and masks go through one pyramid, so a level is one shuffle and their product needs no join.
+    Images and masks go through one pyramid of tiles, so a level is one shuffle and their product needs no join.
     """
     keys, names = [*scene, order], list(values)
-    both = pyramid.gaussian(df.select(*keys, *XY, *names, mask), keys, [*names, mask], levels)
+    both = tiles.gaussian(tiles.pack(df, keys, [*names, mask]), keys, [*names, mask], levels)
     out = []
     for i, level in enumerate(both):
-        rows = pyramid.less_expanded(level, both[i + 1], keys, names) if i + 1 < levels else level
-        sums = [F.sum(half_away(F.col(v) * F.col(mask) / top)).alias(v) for v in names]
-        out.append(rows.groupBy(*scene, *XY).agg(*sums, F.first("w").alias("w"), F.first("h").alias("h")))
-    done = pyramid.collapse(out, scene, names)
+        rows = tiles.plus_expanded(level, both[i + 1], keys, names, -1) if i + 1 < levels else level
+        out.append(tiles.weighted_sum(rows, scene, names, mask, top))
+    done = tiles.unpack(tiles.collapse(out, scene, names), scene, names)
     return done.select(*scene, *XY, *(F.least(F.greatest(v, F.lit(0)), F.lit(top)).alias(v) for v in names))
 
 

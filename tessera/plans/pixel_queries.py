@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import colour, exposure, scalar
+from tessera.functions import colour, exposure, planes, scalar
 from tessera.operators import pixelwise as px
 from tessera.plans.registry import query
 from tessera.sources import fixtures as fx
@@ -367,3 +367,69 @@ def c17(spark, sf):
     a = fx.rgb(spark, sf).select(*PLACE, appearance.jch(*(c / 255 for c in _rgb())).alias("a"))
     b = a.select(*PLACE, appearance.rgb(F.col("a.j"), F.col("a.c") * 1.5, F.col("a.h")).alias("b"))
     return b.select(*PLACE, *(r6(F.col(f"b.{c}")).alias(c) for c in "rgb"))
+
+
+# M13: two images half and half in the planes of CIELAB and CIELUV, and back into the gamut
+
+
+def _fit_sql(first: str, back: str) -> str:
+    """Chroma shares t by halving; ``back`` gives linear channels lr, lg, lb of row columns and {t}."""
+    channels = ["CASE WHEN {0} <= 0.0031308 THEN 12.92 * {0} ELSE 1.055 * pow({0}, 1 / 2.4) - 0.055 END".format(c) for c in ("lr", "lg", "lb")]
+    outside = " OR ".join(f"greatest(-({c}), ({c}) - 1) > 0.001" for c in channels)
+    sql, last = f", t0 AS (SELECT *, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi FROM {first})", "t0"
+    for i in range(1, 13):
+        sql += f", m{i} AS (SELECT *, (lo + hi) / 2 AS t FROM {last}), {back.format(i=f'm{i}', o=f'l{i}')}, t{i} AS (SELECT * EXCLUDE (t, lr, lg, lb, lo, hi), CASE WHEN {outside} THEN lo ELSE t END AS lo, CASE WHEN {outside} THEN t ELSE hi END AS hi FROM l{i})"
+        last = f"t{i}"
+    sql += f", w AS (SELECT *, 1.0::DOUBLE AS t FROM {last}), {back.format(i='w', o='wl')}, s AS (SELECT * EXCLUDE (t, lr, lg, lb), CASE WHEN {outside} THEN lo ELSE 1.0::DOUBLE END AS t FROM wl), {back.format(i='s', o='sl')}"
+    done = ", ".join(f"floor(least(greatest({c}, 0), 1) * 255 + 0.5)::BIGINT AS {n}" for n, c in zip("rgb", channels))
+    return sql + f" SELECT image_id, x, y, {done} FROM sl"
+
+
+def _mixed_sql(l: str, one: str, two: str, source: str) -> str:
+    enc = lambda c: f"floor({c} + 0.5)::BIGINT"
+    return f""", e AS (SELECT image_id, x, y, {enc(f'128 * {l} / 100')} AS e1, {enc(f'128 * (200 + {one}) / 400')} AS e2, {enc(f'128 * (200 + {two}) / 400')} AS e3 FROM {source}),
+    mixed AS (SELECT p.image_id, p.x, p.y, (p.e1 + q.e1 + 1) // 2 * 100.0::DOUBLE / 128 AS cl, (p.e2 + q.e2 + 1) // 2 * 400.0::DOUBLE / 128 - 200 AS c1, (p.e3 + q.e3 + 1) // 2 * 400.0::DOUBLE / 128 - 200 AS c2
+        FROM e p JOIN e q ON p.image_id = q.image_id - 1 AND p.x = q.x AND p.y = q.y)"""
+
+
+_RGB_OF_XYZ = ", ".join(f"{m[0]!r}::DOUBLE * bx + {m[1]!r}::DOUBLE * by_ + {m[2]!r}::DOUBLE * bz AS {n}" for n, m in zip(("lr", "lg", "lb"), colour.FROM_XYZ))
+_UNF = "CASE WHEN {0} * {0} * {0} > 216.0::DOUBLE / 24389 THEN {0} * {0} * {0} ELSE (116 * {0} - 16) / (24389.0::DOUBLE / 27) END"
+_LAB_BACK = f"""{{i}}f AS (SELECT *, (cl + 16) / 116 AS fy, (cl + 16) / 116 + c1 * t / 500 AS fx, (cl + 16) / 116 - c2 * t / 200 AS fz FROM {{i}}),
+    {{i}}x AS (SELECT * EXCLUDE (fx, fy, fz), {_UNF.format('fx')} * 0.96422::DOUBLE AS bx, {_UNF.format('fy')} * 1.0::DOUBLE AS by_, {_UNF.format('fz')} * 0.82521::DOUBLE AS bz FROM {{i}}f),
+    {{o}} AS (SELECT * EXCLUDE (bx, by_, bz), {_RGB_OF_XYZ} FROM {{i}}x)"""
+_LUV_BACK = f"""{{i}}f AS (SELECT *, CASE WHEN cl > 8 THEN pow((cl + 16) / 116, 3) ELSE cl / (24389.0::DOUBLE / 27) END AS by_,
+        CASE WHEN cl > 0 THEN c1 * t / (13 * cl) ELSE 0 END + 4 * 0.96422::DOUBLE / 18.43985 AS u, CASE WHEN cl > 0 THEN c2 * t / (13 * cl) ELSE 0 END + 9.0::DOUBLE / 18.43985 AS v FROM {{i}}),
+    {{i}}x AS (SELECT * EXCLUDE (u, v), CASE WHEN cl > 0 THEN by_ * 9 * u / (4 * v) ELSE 0 END AS bx, CASE WHEN cl > 0 THEN by_ * (12 - 3 * u - 20 * v) / (4 * v) ELSE 0 END AS bz FROM {{i}}f),
+    {{o}} AS (SELECT * EXCLUDE (bx, by_, bz), {_RGB_OF_XYZ} FROM {{i}}x)"""
+
+
+def _half_and_half(spark, sf, space):
+    pair = _rgb_pair(spark, sf)
+    a, b = (planes.into(c, space) for c in _ab())
+    mixed = pair.select(*PLACE, *(F.call_function("div", p + q, F.lit(2)).alias(f"p{i}") for i, (p, q) in enumerate(zip(a, b))))
+    return mixed.select(*PLACE, *(c.alias(n) for n, c in zip("rgb", planes.out((F.col("p0"), F.col("p1"), F.col("p2")), space))))
+
+
+@query("m13_lab_planes", _LAB + _mixed_sql("l", "a", "bb", "lab") + _fit_sql("mixed", _LAB_BACK), "rgb")
+def m13_lab(spark, sf):
+    return _half_and_half(spark, sf, "lab")
+
+
+_LUV = f""", st AS (SELECT *, cx + 15 * cy + 3 * cz AS t, {_LSTAR.format("cy")} AS l FROM xyz),
+    suv AS (SELECT *, CASE WHEN t > 0 THEN 4 * cx / t ELSE 4 * 0.96422::DOUBLE / 18.43985 END AS u, CASE WHEN t > 0 THEN 9 * cy / t ELSE 9.0::DOUBLE / 18.43985 END AS v FROM st),
+    luv AS (SELECT image_id, x, y, l, 13 * l * (u - 4 * 0.96422::DOUBLE / 18.43985) AS us, 13 * l * (v - 9.0::DOUBLE / 18.43985) AS vs FROM suv)"""
+
+
+@query("m13_luv_planes", _XYZ + _LUV + _mixed_sql("l", "us", "vs", "luv") + _fit_sql("mixed", _LUV_BACK), "rgb")
+def m13_luv(spark, sf):
+    return _half_and_half(spark, sf, "luv")
+
+
+@query("m13_identity_planes", "SELECT a.image_id, a.x, a.y, (a.r + b.r + 1) // 2 AS r, (a.g + b.g + 1) // 2 AS g, (a.b + b.b + 1) // 2 AS b FROM rgb a JOIN rgb b ON a.image_id = b.image_id - 1 AND a.x = b.x AND a.y = b.y", "rgb")
+def m13_identity(spark, sf):
+    return _half_and_half(spark, sf, "identity")
+
+
+@query("m13_jch_planes")
+def m13_jch(spark, sf):
+    return _half_and_half(spark, sf, "jch")

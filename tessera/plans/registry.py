@@ -21,7 +21,8 @@ def query(name: str, sql: str | None = None, *rasters: str) -> Callable[[Query],
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = f
         if sql:
-            ORACLES[name] = with_rasters(sql, *rasters) if rasters else sql
+            whole = with_rasters(sql, *rasters) if rasters else sql
+            ORACLES[name] = whole.replace("WITH ", "WITH RECURSIVE ", 1) if "USING KEY" in sql else whole
         return f
 
     return register

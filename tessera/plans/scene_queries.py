@@ -257,11 +257,20 @@ def blend_mosaic_default(spark, sf):
     return blend.blend(_alpha_mosaic(spark, sf), MOSAIC, 23, 8, 4, config=BlendConfig())
 
 
+def _color_mosaic(spark, sf):
+    c = fx.rgb(spark, sf)
+    return c.select(F.expr("image_id div 4").alias("mosaic_id"), (F.col("image_id") % 4).alias("ord"), (F.col("x") + 5 * (F.col("image_id") % 4)).alias("x"), "y", "r", "g", "b", (F.col("g") >= 60).alias("alpha"))
+
+
 @query("blend_mosaic_color")
 def blend_mosaic_color(spark, sf):
-    c = fx.rgb(spark, sf)
-    m = c.select(F.expr("image_id div 4").alias("mosaic_id"), (F.col("image_id") % 4).alias("ord"), (F.col("x") + 5 * (F.col("image_id") % 4)).alias("x"), "y", "r", "g", "b", (F.col("g") >= 60).alias("alpha"))
-    return blend.blend(m, MOSAIC, 23, 8, 4, 2, channels=fuse.RGB, config=BlendConfig(seam="nearest", optimizers=(), pre_assemble=True))
+    return blend.blend(_color_mosaic(spark, sf), MOSAIC, 23, 8, 4, 2, channels=fuse.RGB, config=BlendConfig(seam="nearest", optimizers=(), pre_assemble=True))
+
+
+@query("blend_mosaic_lab")
+def blend_mosaic_lab(spark, sf):
+    """Colour mosaics blended in the planes of CIELAB."""
+    return blend.blend(_color_mosaic(spark, sf), MOSAIC, 23, 8, 4, 2, channels=fuse.RGB, config=BlendConfig(space="lab", seam="nearest", optimizers=()))
 
 
 @query(

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.operators import cuts, lines, seams
+from tessera.operators import cuts, lines, paths, regions, seams
 from tessera.plans.raster_queries import KEYS, _binary
 from tessera.plans.registry import query
 from tessera.sources import fixtures as fx
@@ -148,3 +149,54 @@ def g19(spark, sf):
 def g24(spark, sf):
     v = _lines(spark, sf).select("image_id", F.lit(0).alias("contour"), F.col("line").alias("ord"), (F.col("line") % 2 == 1).alias("movable"), F.col("ax").alias("x"), F.col("ay").alias("y"))
     return lines.draw(v, ["image_id"], 8, 8)
+
+
+# tiles smaller than the 8 x 8 images, so that regions and paths cross their borders
+_SMALL = 4
+
+
+@query(
+    "g14_connected_regions",
+    """, bin AS (SELECT image_id, x, y, CASE WHEN v >= 90 THEN 1 ELSE 0 END AS m FROM gray),
+    reach(image_id, x, y, region) USING KEY (image_id, x, y) AS (
+        SELECT image_id, x, y, y * 2147483648 + x FROM bin
+        UNION
+        SELECT b.image_id, b.x, b.y, min(p.region) FROM reach p JOIN bin a ON a.image_id = p.image_id AND a.x = p.x AND a.y = p.y
+        JOIN bin b ON b.image_id = a.image_id AND b.m = a.m AND abs(b.x - a.x) + abs(b.y - a.y) = 1
+        JOIN recurring.reach k ON k.image_id = b.image_id AND k.x = b.x AND k.y = b.y WHERE p.region < k.region GROUP BY b.image_id, b.x, b.y)
+    SELECT image_id, x, y, region FROM reach""",
+    "gray",
+)
+def g14_regions(spark, sf):
+    return regions.connected(_binary(spark, sf), KEYS, "m", _SMALL)
+
+
+_DISTANCES = """, steps AS (SELECT image_id, x, y, greatest(1, v) * CASE WHEN v = 255 THEN 65536 ELSE 1 END AS c FROM gray),
+    dist(image_id, x, y, d) USING KEY (image_id, x, y) AS (
+        SELECT DISTINCT image_id, image_id % 8, 0::BIGINT, 0::BIGINT FROM gray
+        UNION
+        SELECT s.image_id, s.x, s.y, min(p.d + CASE WHEN s.x <> p.x AND s.y <> p.y THEN s.c * 14 // 10 ELSE s.c END) AS d
+        FROM dist p JOIN steps s ON s.image_id = p.image_id AND s.x BETWEEN p.x - 1 AND p.x + 1 AND s.y BETWEEN p.y - 1 AND p.y + 1
+        LEFT JOIN recurring.dist k ON k.image_id = s.image_id AND k.x = s.x AND k.y = s.y
+        WHERE k.d IS NULL OR p.d + CASE WHEN s.x <> p.x AND s.y <> p.y THEN s.c * 14 // 10 ELSE s.c END < k.d
+        GROUP BY s.image_id, s.x, s.y)"""
+
+
+@query("g21_path_distances", _DISTANCES + " SELECT image_id, x, y, d FROM dist", "gray")
+def g21_distances(spark, sf):
+    """From one place of the top row of each image to all others."""
+    cost = fx.gray(spark, sf).withColumnRenamed("v", "cost")
+    return paths.distances(cost, KEYS, ["cost"], cost.select("image_id", (F.col("image_id") % 8).alias("x"), F.lit(0).cast("long").alias("y")).distinct(), side=_SMALL)
+
+
+@query("g21_tiled_paths", _DISTANCES + " SELECT image_id, d AS cost FROM dist WHERE x = 7 AND y = 7", "gray")
+def g21_tiled(spark, sf):
+    """What the paths cost, added up along their places, from the last place of each image to the top row."""
+    cost = fx.gray(spark, sf).withColumnRenamed("v", "cost")
+    ends = cost.select("image_id", F.lit(7).cast("long").alias("x"), F.lit(7).cast("long").alias("y"), (F.col("image_id") % 8).alias("x2"), F.lit(0).cast("long").alias("y2")).distinct()
+    walk = paths.cheapest(cost, KEYS, ["cost"], ends, side=_SMALL).join(cost.select("image_id", "x", "y", "cost"), ["image_id", "x", "y"])
+    order = W.partitionBy("image_id").orderBy("ord")
+    straight = F.greatest(F.lit(1), F.col("cost")) * F.when(F.col("cost") == 255, 65_536).otherwise(1)
+    slanted = (F.col("x") != F.lead("x").over(order)) & (F.col("y") != F.lead("y").over(order))
+    entered = F.when(F.lead("x").over(order).isNull(), 0).when(slanted, F.call_function("div", straight * 14, F.lit(10))).otherwise(straight)
+    return walk.select("image_id", entered.cast("long").alias("c")).groupBy("image_id").agg(F.sum("c").alias("cost"))

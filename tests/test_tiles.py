@@ -1,10 +1,12 @@
 """Tiles give what the pixel form gives, whatever their side."""
 
+import heapq
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import pyramid, tiles
+from tessera.operators import cuts, paths, pyramid, regions, seams, tiles, windows
 
 KEYS = ["image_id"]
 
@@ -76,3 +78,98 @@ def test_empty(spark):
     df = pixels(spark, [])
     t = tiles.pack(df, KEYS, ["v"], ["alpha"])
     assert tiles.unpack(tiles.collapse(tiles.laplacian(t, KEYS, ["v"], 3, "alpha"), KEYS, ["v"]), KEYS, ["v"]).count() == 0
+
+
+def test_regions_across_tiles_equal_one_array(spark):
+    rnd = np.random.default_rng(1)
+    images = [rnd.integers(0, 2, (9, 13)), (np.add.outer(np.arange(30), np.arange(41)) // 3) % 2, rnd.integers(0, 2, (1, 20)), np.zeros((10, 10), int)]
+    rows = [(i, x, y, int(v)) for i, image in enumerate(images) for (y, x), v in np.ndenumerate(image)]
+    got = {(r.image_id, r.x, r.y): r.region for r in regions.connected(spark.createDataFrame(rows, "image_id long, x long, y long, v long"), KEYS, "v", 4).collect()}
+    want = {}
+    for i, image in enumerate(images):
+        number = cuts.regions(image[:, 1:] == image[:, :-1], image[1:] == image[:-1])
+        first = {}
+        for (y, x), n in np.ndenumerate(number):
+            want[i, x, y] = first.setdefault(n, y * regions.WIDE + x)
+    assert got == want
+
+
+def dijkstra(cost, source):
+    h, w = cost.shape
+    best, queue = {source: 0}, [(0, source)]
+    while queue:
+        c, (x, y) = heapq.heappop(queue)
+        if c > best[x, y]:
+            continue
+        for dx, dy in paths.AROUND:
+            p = x + dx, y + dy
+            if 0 <= p[0] < w and 0 <= p[1] < h:
+                k = seams.step_cost(int(cost[p[1], p[0]])) * (14 if dx and dy else 10) // 10
+                if c + k < best.get(p, 1 << 62):
+                    best[p] = c + k
+                    heapq.heappush(queue, (c + k, p))
+    return best
+
+
+def test_relaxing_a_tile_equals_dijkstra():
+    rnd = np.random.default_rng(1)
+    for _ in range(20):
+        image = rnd.integers(0, 256, rnd.integers(1, 14, 2))
+        d = np.full((image.shape[0] + 2, image.shape[1] + 2), paths.FAR)
+        d[1, 1] = 0
+        got = paths.relax(d, paths.pixels_entered({"cost": image}))[1:-1, 1:-1]
+        assert {(x, y): v for (y, x), v in np.ndenumerate(got)} == dijkstra(image, (0, 0))
+
+
+def test_paths_across_tiles_equal_dijkstra(spark):
+    rnd = np.random.default_rng(2)
+    images = [rnd.integers(0, 256, (11, 9)), np.where(rnd.random((14, 14)) < 0.4, 255, 1)]
+    rows = [(i, x, y, int(v)) for i, image in enumerate(images) for (y, x), v in np.ndenumerate(image)]
+    df = spark.createDataFrame(rows, "image_id long, x long, y long, cost long")
+    ends = [(0, 8, 10, 0, 0), (1, 0, 13, 13, 0)]
+    want = [dijkstra(images[i], (x2, y2)) for i, _, _, x2, y2 in ends]
+    sources = spark.createDataFrame([(i, x2, y2) for i, _, _, x2, y2 in ends], "image_id long, x long, y long")
+    got = {(r.image_id, r.x, r.y): r.d for r in paths.distances(df, KEYS, ["cost"], sources, side=4).collect()}
+    assert got == {(i, *p): v for i, best in enumerate(want) for p, v in best.items()}
+    walked = sorted(tuple(r) for r in paths.cheapest(df, KEYS, ["cost"], spark.createDataFrame(ends, "image_id long, x long, y long, x2 long, y2 long"), side=4).collect())
+    for i, x, y, x2, y2 in ends:
+        path = [r[2:] for r in walked if r[0] == i]
+        assert path[0] == (x, y) and path[-1] == (x2, y2) and all(max(abs(a[0] - b[0]), abs(a[1] - b[1])) == 1 for a, b in zip(path, path[1:]))
+        assert sum(seams.step_cost(int(images[i][a[1], a[0]])) * (14 if a[0] != b[0] and a[1] != b[1] else 10) // 10 for a, b in zip(path, path[1:])) == want[i][x, y]
+
+
+def test_corners_are_searched_along_their_steps():
+    rnd = np.random.default_rng(3)
+    shape = (7, 9)
+    down, right = cuts.step_costs(rnd.integers(0, 256, shape), rnd.random(shape) < 0.9, rnd.integers(0, 511, shape))
+    near = lambda c: np.where(c >= cuts.CLOSED, paths.CLOSED, c)
+    shut = np.full((8, 10), paths.CLOSED)
+    planes = {n: shut.copy() for n in ("up", "down", "left", "right")}
+    planes["up"][1:], planes["down"][:-1], planes["left"][:, 1:], planes["right"][:, :-1] = near(down), near(down), near(right), near(right)
+    d = np.full((10, 12), paths.FAR)
+    d[1, 5] = 0
+    got = paths.relax(d, paths.corners_entered(planes))[1:-1, 1:-1]
+    for end in ((4, 7), (2, 3), (9, 4)):
+        way = cuts.cheapest_corners(down, right, (4, 0), end, np.zeros((8, 10), bool))
+        assert (got[end[1], end[0]] >= paths.CLOSED) if way is None else got[end[1], end[0]] == cuts.cut_cost([way], down, right)
+
+
+@pytest.mark.parametrize("half", [1, 2, 6])
+def test_sliding_entropy_equals_each_window(half):
+    rnd = np.random.default_rng(half)
+    image, valid = rnd.integers(0, 6, (15, 17)), rnd.random((15, 17)) < 0.7
+    got = windows.sliding_entropy(image, valid, half)
+    for (y, x), e in np.ndenumerate(got):
+        want = 0.0
+        if half <= y < 15 - half and half <= x < 17 - half:
+            cut = np.s_[y - half : y + half + 1, x - half : x + half + 1]
+            _, c = np.unique(image[cut][valid[cut]], return_counts=True)
+            p = c / max(c.sum(), 1)
+            want = float(-(p * np.log(p)).sum() / np.log(len(c))) if len(c) > 1 else 0.0
+        assert e == pytest.approx(want, abs=1e-9)
+
+
+def test_entropy_across_tiles(spark):
+    df = pixels(spark, [(19, 13), (4, 30)], top=5)
+    of = lambda side: sorted((r.image_id, r.x, r.y, round(r.entropy, 9)) for r in windows.local_entropy(df, KEYS, 5, side=side).collect())
+    assert of(4) == of(64) and {r[0] for r in of(64)} == {0}
