@@ -249,7 +249,7 @@ def anneal(cost: np.ndarray, contour: list[tuple[bool, int, int]], distance_weig
             before, mean = mean, estimate()
             moved = (mean != before).any(axis=1)
             stale = far_off = np.roll(moved, 1) | np.roll(moved, -1)
-            if not moved.any() and np.abs(prob[busy] - last).max(initial=0) < 1e-15:
+            if not moved.any() and np.abs(prob[busy] - last).max(initial=0) < 1e-11:
                 break  # further rounds at this temperature change nothing
         least = np.where(prob.max(axis=1) > 0.99, 0.5, 1e-5)[:, None]
         there &= prob >= least

@@ -60,6 +60,11 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None, scrat
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> list[str]:
+    """The tables that this process wrote and that are still there."""
+    return list(_written)
+
+
 def discard(spark: SparkSession, paths: list[str]) -> int:
     """Delete tables that no frame still to be run reads, and empty the list."""
     jvm = spark.sparkContext._jvm
