@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontaminate, ngram_join, pii, quality_rules, spm_sample
-from tessera.storage import discard, materialize
+from tessera.storage import discard, materialize, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -69,8 +69,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     last: list[str] = []
     for i, (_, stage) in enumerate(STAGES):
-        written: list[str] = []
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{i}", scratch=written)
-        discard(spark, last)
-        last = written
+        before, own = set(written()), []
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{i}", scratch=own)
+        # the rows before, and what the stage needed for its own
+        discard(spark, last + [path for path in written() if path not in before and path not in own])
+        last = own
     return docs

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 
@@ -306,14 +307,23 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
     m = normalise(text)
     if m is None:
         return []
-    taken = {k: [(s, e) for s, kind, e in base if kind == k] for k in range(4)}
+    # of one kind, base spans and found ones are in order and apart, so only those around a new span are looked at
+    known = {k: ([s for s, kind, _ in base if kind == k], [e for _, kind, e in base if kind == k]) for k in range(4)}
+    mine: dict[int, list[tuple[int, int]]] = {k: [] for k in range(4)}
     found = []
     for s, kind, e in base_spans(m.text):
         a, b = m.start[s], m.end[e - 1]
         if any(m.changed[s:e]) or b - a != e - s:  # rewritten, or something inside dropped
-            if all(b <= x or a >= y or (a <= x and y <= b and b - a > y - x) for x, y in taken[kind]):
+            starts, ends = known[kind]
+            first, last = bisect_right(ends, a), bisect_left(starts, b)
+            met = list(zip(starts[first:last], ends[first:last]))
+            for x, y in reversed(mine[kind]):
+                if y <= a:
+                    break
+                met.append((x, y))
+            if all(a <= x and y <= b and b - a > y - x for x, y in met):
                 found.append((a, kind, b))
-                taken[kind].append((a, b))
+                mine[kind].append((a, b))
     return found
 
 

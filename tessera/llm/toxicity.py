@@ -12,7 +12,8 @@ hash of doc_id among rows whose crc32(doc_id) mod 3 is not 1. It runs in one
 task whose memory that parameter bounds; features are extracted in many.
 
 Defined results: a null or empty text scores as the bias alone; repeated labels
-of a document count as toxic if one is; with no positive or no negative label
+of a document count as toxic if one is; of texts that share a labelled doc_id the
+least is learned, once; with no positive or no negative label
 all scores are the smoothed share of toxic labels; repeated rows are scored each; other columns
 are not read.
 """
@@ -134,7 +135,8 @@ def held_out() -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[np.ndarray, np.ndarray, float]:
     y = labels.filter("toxic is not null and doc_id is not null").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
     chosen = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most max_train rows
+    # at most max_train rows are broadcast, and one text of each stays
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
 
     def extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _Vocabulary()

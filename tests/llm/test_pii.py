@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import time
 
@@ -140,3 +141,32 @@ def test_letters_in_prose_are_no_digits():
     start = time.perf_counter()
     pii.added_spans("1l " * 200_000 + "a at b.c " * 50_000, [])
     assert time.perf_counter() - start < 20
+
+
+def test_added_spans_equal_a_comparison_with_all_spans():
+    """Every new span against all that are taken, as the definition says."""
+    rnd = random.Random(7)
+    parts = ["jane at example dot com", "bob@site.org", "carl (at) mail dot net", "call +49 30 123 456 78", "ten two one 10.0.0.1", "1O.0.0.1", "4539 1488 0343 6467", "four five three nine 1488 0343 6467", "x", ",", "o n e", "ｊane@ｅxample.com"]
+    for _ in range(300):
+        text = rnd.choice([" ", "  ", "\n"]).join(rnd.choice(parts) for _ in range(rnd.randint(1, 12)))
+        base, m = pii.base_spans(text), pii.normalise(text)
+        want = []
+        if m:
+            taken = {k: [(s, e) for s, kind, e in base if kind == k] for k in range(4)}
+            for s, kind, e in pii.base_spans(m.text):
+                a, b = m.start[s], m.end[e - 1]
+                if (any(m.changed[s:e]) or b - a != e - s) and all(b <= x or a >= y or (a <= x and y <= b and b - a > y - x) for x, y in taken[kind]):
+                    want.append((a, kind, b))
+                    taken[kind].append((a, b))
+        assert pii.added_spans(text, base) == want, text
+
+
+def test_many_disguised_addresses_take_linear_time():
+    def seconds(n):
+        text = " ".join(f"jane{i} at example{i} dot com" for i in range(n))
+        began = time.perf_counter()
+        assert len(pii.added_spans(text, pii.base_spans(text))) == n
+        return time.perf_counter() - began
+
+    seconds(200)
+    assert seconds(16_000) < 8 * 2 * seconds(2_000)
