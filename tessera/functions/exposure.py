@@ -60,8 +60,12 @@ def dump(spark: SparkSession, name: str, n: int = 21, optimum: float = 0.5, widt
 
 def validate(spark: SparkSession, name: str, optimum: float = 0.5, width: float = 0.2, n: int = SAMPLES) -> DataFrame:
     """One row (n_negative, n_over, n_zero, n, valid): a weight may not be negative, over one, or zero throughout."""
-    d = dump(spark, name, n, optimum, width)
-    out = d.agg(F.count_if(F.col("w") < 0).alias("n_negative"), F.count_if(F.col("w") > 1).alias("n_over"), F.count_if(F.col("w") == 0).alias("n_zero"), F.count("*").alias("n"))
+    return faults(dump(spark, name, n, optimum, width), [], F.col("w"))
+
+
+def faults(df: DataFrame, keys: list[str], w: Column) -> DataFrame:
+    """(keys, n_negative, n_over, n_zero, n, valid) of the weights ``w`` that occur: none may be negative or over one, nor all zero."""
+    out = df.groupBy(*keys).agg(F.count_if(w < 0).alias("n_negative"), F.count_if(w > 1).alias("n_over"), F.count_if(w == 0).alias("n_zero"), F.count("*").alias("n"))
     return out.withColumn("valid", (F.col("n_negative") == 0) & (F.col("n_over") == 0) & (F.col("n_zero") < F.col("n")))
 
 

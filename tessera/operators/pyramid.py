@@ -177,3 +177,16 @@ def natural_levels(short_side: int, wanted: int = 0) -> int:
     if wanted > 0:
         return min(wanted, levels)
     return max(1, levels + wanted)
+
+
+def half_width_of(levels: Column) -> Column:
+    """:func:`filter_half_width` of a column."""
+    return F.when(levels == 1, 0).otherwise(F.pow(F.lit(2.0), levels + 1) - 4).cast("long")
+
+
+def natural_levels_of(short_side: Column, wanted: int = 0) -> Column:
+    """:func:`natural_levels` of a column of whole numbers."""
+    # (s + 1) >> 1 again and again is the ceiling of s over powers of two
+    over = (F.when(F.ceil(short_side / (1 << n)) > 8, 1).otherwise(0) for n in range(MAX_LEVELS - 1))
+    levels = fold(lambda a, b: a + b, over, F.lit(1))
+    return (F.least(levels, F.lit(wanted)) if wanted > 0 else F.greatest(levels + wanted, F.lit(1))).cast("long")

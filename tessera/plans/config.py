@@ -46,6 +46,8 @@ def override(config: Config, parameters: Parameters) -> Config:
 class FuseConfig:
     """Stack fusion: criterion weights in [0, 1] and their shapes.
 
+    With ``lce_scale`` the image is sharpened by a Gaussian of that scale, ``lce_factor`` strong, before its edges are sought. Values
+    at or under ``entropy_lower`` of the range count as 0 in the entropy, those from ``entropy_upper`` on as the largest.
     Exposure counts only where ``lower_projector`` reaches ``exposure_lower`` and ``upper_projector`` does not
     pass ``exposure_upper`` (shares of the range). Contrast is the local deviation or, with an
     ``edge_scale``, the Laplacian of a Gaussian of that scale, for which the deviation
@@ -67,18 +69,24 @@ class FuseConfig:
     contrast_window: int = 5
     edge_scale: float = 0.0
     min_curvature: float = 0.0
+    lce_scale: float = 0.0
+    lce_factor: float = 0.0
+    entropy_lower: float = 0.0
+    entropy_upper: float = 1.0
     entropy_window: int = 3
     hard_mask: bool = False
     levels: int = 0
 
     def __post_init__(self) -> None:
-        for name in ("exposure_weight", "contrast_weight", "saturation_weight", "entropy_weight", "exposure_optimum", "exposure_lower", "exposure_upper"):
+        for name in ("exposure_weight", "contrast_weight", "saturation_weight", "entropy_weight", "exposure_optimum", "exposure_lower", "exposure_upper", "entropy_lower", "entropy_upper"):
             if not 0 <= getattr(self, name) <= 1:
                 raise ValueError(f"{name} must be from 0 to 1")
         if self.exposure_width <= 0:
             raise ValueError("exposure_width must be positive")
-        if self.edge_scale < 0 or self.min_curvature < 0:
-            raise ValueError("edge_scale and min_curvature must not be negative")
+        if min(self.edge_scale, self.min_curvature, self.lce_scale, self.lce_factor) < 0:
+            raise ValueError("edge_scale, min_curvature, lce_scale and lce_factor must not be negative")
+        if self.entropy_lower >= self.entropy_upper:
+            raise ValueError("entropy_lower must be under entropy_upper")
         if not any((self.exposure_weight, self.contrast_weight, self.saturation_weight, self.entropy_weight)):
             raise ValueError("at least one criterion needs a weight")
         if self.contrast_window < 3 or self.contrast_window % 2 == 0 or self.entropy_window < 3 or self.entropy_window % 2 == 0:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import colour, exposure
-from tessera.functions.scalar import fill_in, half_up
+from tessera.functions.scalar import clamp, fill_in, half_up
 from tessera.operators import pyramid, stack, tiles, windows
 from tessera.operators.pixelwise import XY
 from tessera.plans.config import FuseConfig
@@ -47,13 +47,18 @@ def score(df: DataFrame, keys: list[str], config: FuseConfig, top: float = 255.0
             rows = rows.join(windows.local_stddev(base, keys, config.contrast_window, "__on", "__gray"), place, "left")
             contrast = F.coalesce("stddev", F.lit(0.0))
         if config.edge_scale:
-            edges = windows.convolve(base, keys, windows.laplacian_of_gaussian(config.edge_scale), "__gray")
+            sharp = base
+            if config.lce_scale:
+                sharp = windows.convolve(base, keys, windows.gaussian_sharpening(config.lce_scale, config.lce_factor), "__gray").withColumnRenamed("out", "__gray")
+            edges = windows.convolve(sharp, keys, windows.laplacian_of_gaussian(config.edge_scale), "__gray")
             rows = rows.join(edges.withColumnRenamed("out", "__edge"), place, "left")
             edge = F.abs(F.coalesce("__edge", F.lit(0.0)))
             contrast = fill_in(edge, contrast, config.min_curvature * top, 1.0, 1.0) if config.min_curvature else edge
         terms.append(config.contrast_weight * contrast / top)
     if config.entropy_weight:
         parts = []
+        if config.entropy_lower > 0 or config.entropy_upper < 1:
+            base = base.withColumns({c: clamp(F.col(c), config.entropy_lower * top, 0, config.entropy_upper * top, int(top)).cast("long") for c in channels})
         for c in channels:
             rows = rows.join(windows.local_entropy(base, keys, config.entropy_window, "__on", c).withColumnRenamed("entropy", f"__e{c}"), place, "left")
             parts.append(F.coalesce(f"__e{c}", F.lit(0.0)))

@@ -341,23 +341,67 @@ def e07(spark, sf):
 _SAMPLES = ", ".join(f"({_R.format(s)}) AS {n}" for n, s in _weights("y").items())
 
 
-@query("e08_validate_weights", f"WITH s AS (SELECT i / 65535 AS y FROM range(65536) t(i)), w AS (SELECT {_weights('y')['bisquare']} AS w FROM s) SELECT count(*) FILTER (w < 0) AS n_negative, count(*) FILTER (w > 1) AS n_over, count(*) FILTER (w = 0) AS n_zero, count(*) AS n, true AS valid FROM w")
+@query(
+    "e08_validate_weights",
+    f", w AS (SELECT image_id, {_weights('v / 255')['bisquare']} AS w FROM gray), n AS (SELECT image_id, count(*) FILTER (w < 0) AS n_negative, count(*) FILTER (w > 1) AS n_over, count(*) FILTER (w = 0) AS n_zero, count(*) AS n FROM w GROUP BY image_id) SELECT *, n_negative = 0 AND n_over = 0 AND n_zero < n AS valid FROM n",
+    "gray",
+)
 def e08(spark, sf):
-    return exposure.validate(spark, "bisquare")
+    """Whether the weights of each image's values are in order."""
+    return exposure.faults(fx.gray(spark, sf), ["image_id"], exposure.weight("bisquare", F.col("v") / 255, 0.5, 0.2))
 
 
-@query("e09_dump_weights", f"WITH s AS (SELECT i, i / 20 AS y FROM range(21) t(i)) SELECT i, y, {_R.format(_weights('y')['lorentzian'])} AS w FROM s")
+@query("e09_dump_weights", f"SELECT DISTINCT v, {_R.format(_weights('v / 255')['lorentzian'])} AS w FROM gray", "gray")
 def e09(spark, sf):
-    return exposure.dump(spark, "lorentz").withColumn("w", r6(F.col("w")))
-
-
-@query("c16_ciecam02_round_trip", "SELECT image_id, x, y, r, g, b FROM rgb", "rgb")
+    """The weights of the values that occur."""
+    return fx.gray(spark, sf).select("v").distinct().withColumn("w", r6(exposure.weight("lorentz", F.col("v") / 255, 0.5, 0.2)))
+
+
+def _jch_sql() -> str:
+    """CIECAM02 step by step, from its published formulas: D50, adapting field 4 cd/m2, background 20, average surround."""
+    import math
+
+    white = (96.422, 100.0, 82.521)
+    cat = ((0.7328, 0.4296, -0.1624), (-0.7036, 1.6975, 0.0061), (0.0030, 0.0136, 0.9834))
+    back = ((1.096124, -0.278869, 0.182745), (0.454369, 0.473533, 0.072098), (-0.009628, -0.005698, 1.015326))
+    hpe = ((0.38971, 0.68898, -0.07868), (-0.22981, 1.18340, 0.04641), (0.0, 0.0, 1.0))
+    # the inverse to the precision of a double, by one Newton step from the published figures
+    times = lambda a, b: tuple(tuple(sum(a[i][k] * b[k][j] for k in range(3)) for j in range(3)) for i in range(3))
+    for _ in range(4):
+        ab = times(cat, back)
+        back = times(back, tuple(tuple((2.0 if i == j else 0.0) - ab[i][j] for j in range(3)) for i in range(3)))
+    k = 1 / 21
+    fl = 0.2 * k**4 * 20 + 0.1 * (1 - k**4) ** 2 * 20 ** (1 / 3)
+    n = 20 / white[1]
+    nbb, z, d = 0.725 * (1 / n) ** 0.2, 1.48 + math.sqrt(n), 1 - math.exp(-46 / 92) / 3.6
+    rw = [sum(c * w for c, w in zip(row, white)) for row in cat]
+    gain = [d * white[1] / r + 1 - d for r in rw]
+    to = times(hpe, back)
+    squeeze = lambda x: math.copysign(400, x) * (fl * abs(x) / 100) ** 0.42 / ((fl * abs(x) / 100) ** 0.42 + 27.13) + 0.1
+    cone = [squeeze(sum(to[i][j] * gain[j] * rw[j] for j in range(3))) for i in range(3)]
+    aw = (2 * cone[0] + cone[1] + cone[2] / 20 - 0.305) * nbb
+    f = lambda x: f"{x!r}::DOUBLE"
+    sharp = ", ".join(f"{f(gain[i])} * 100 * ({f(cat[i][0])} * cx + {f(cat[i][1])} * cy + {f(cat[i][2])} * cz) AS s{i}" for i in range(3))
+    cones = ", ".join(" + ".join(f"{f(to[i][j])} * s{j}" for j in range(3)) + f" AS p{i}" for i in range(3))
+    power = lambda i: f"pow({f(fl)} * abs(p{i}) / 100, 0.42)"
+    small = ", ".join(f"sign(p{i}) * 400 * {power(i)} / ({power(i)} + 27.13) + 0.1 AS q{i}" for i in range(3))
+    chroma = f"pow(50000.0::DOUBLE / 13 * {f(nbb)} * (cos(radians(h) + 2) + 3.8) / 4 * sqrt(ca * ca + cb * cb) / (q0 + q1 + 21 * q2 / 20), 0.9) * sqrt(j / 100) * {f((1.64 - 0.29**n) ** 0.73)}"
+    return f""", sharp AS (SELECT *, {sharp} FROM xyz), cones AS (SELECT *, {cones} FROM sharp), small AS (SELECT *, {small} FROM cones),
+    opp AS (SELECT *, q0 - 12 * q1 / 11 + q2 / 11 AS ca, (q0 + q1 - 2 * q2) / 9 AS cb, 100 * pow(greatest((2 * q0 + q1 + q2 / 20 - 0.305) * {f(nbb)} / {f(aw)}, 0), {f(0.69 * z)}) AS j FROM small),
+    jh AS (SELECT *, degrees(atan2(cb, ca)) AS h FROM opp), jch AS (SELECT *, {chroma} AS c FROM jh)
+    SELECT image_id, x, y, round(j, 4) + 0.0 AS j, round(c * cos(radians(h)), 4) + 0.0 AS a, round(c * sin(radians(h)), 4) + 0.0 AS b, r AS r_back, g AS g_back, jch.b AS b_back FROM jch"""
+
+
+@query("c16_ciecam02_round_trip", _XYZ + _jch_sql(), "rgb")
 def c16(spark, sf):
+    """Lightness and the chroma vector, and the channels that they give back."""
     from tessera.functions import appearance
 
     a = fx.rgb(spark, sf).select(*PLACE, appearance.jch(*(c / 255 for c in _rgb())).alias("a"))
-    b = a.select(*PLACE, appearance.rgb(F.col("a.j"), F.col("a.c"), F.col("a.h")).alias("b"))
-    return b.select(*PLACE, *(scalar.half_up(F.col(f"b.{c}") * 255).alias(c) for c in "rgb"))
+    b = a.select("*", appearance.rgb(F.col("a.j"), F.col("a.c"), F.col("a.h")).alias("b"))
+    hue = F.radians("a.h")
+    seen = [F.round(v, 4) + 0.0 for v in (F.col("a.j"), F.col("a.c") * F.cos(hue), F.col("a.c") * F.sin(hue))]
+    return b.select(*PLACE, *(v.alias(n) for v, n in zip(seen, "jab")), *(scalar.half_up(F.col(f"b.{c}") * 255).alias(f"{c}_back") for c in "rgb"))
 
 
 @query("c17_gamut_repair")

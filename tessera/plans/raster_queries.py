@@ -239,25 +239,25 @@ def m09(spark, sf):
     return _level(pyramid.collapse(pyramid.blend_levels(mask, white, black, KEYS, ["v"]), KEYS, ["v"]))
 
 
-@query("m11_filter_half_width", "SELECT l AS level, CASE WHEN l = 1 THEN 0 ELSE 2 ** (l + 1) - 4 END::BIGINT AS half_width FROM range(1, 30) t(l)")
+_HALVINGS = """, h AS (SELECT file, layer_no, least(w, h) * 20 AS side, 1::BIGINT AS levels, 0::BIGINT AS half_width FROM layers
+    UNION ALL SELECT file, layer_no, (side + 1) // 2, levels + 1, 2 * half_width + 4 FROM h WHERE side > 8)"""
+
+
+def _short_side() -> F.Column:
+    return F.least("w", "h") * 20
+
+
+@query("m11_filter_half_width", _HALVINGS + " SELECT file, layer_no, max(half_width) AS half_width FROM h GROUP BY file, layer_no", "layers")
 def m11(spark, sf):
-    rows = [(i, pyramid.filter_half_width(i)) for i in range(1, 30)]
-    return spark.createDataFrame(rows, "level long, half_width long")
+    """How far a pixel of each layer reaches through the levels that suit it."""
+    return fx.layers(spark, sf).select("file", "layer_no", pyramid.half_width_of(pyramid.natural_levels_of(_short_side())).alias("half_width"))
 
 
-@query(
-    "m12_natural_levels",
-    """WITH RECURSIVE h AS (SELECT l_orderkey AS file, l_linenumber AS line, least(l_quantity::BIGINT, 1 + l_partkey % 16) * 20 AS side, 1::BIGINT AS levels FROM lineitem
-    UNION ALL SELECT file, line, (side + 1) // 2, levels + 1 FROM h WHERE side > 8)
-    SELECT levels, count(*) AS n FROM (SELECT file, line, max(levels) AS levels FROM h GROUP BY ALL) GROUP BY levels""",
-)
+@query("m12_natural_levels", _HALVINGS + ", m AS (SELECT max(levels) AS levels FROM h GROUP BY file, layer_no) SELECT levels, greatest(levels - 2, 1) AS fewer, least(levels, 3) AS capped, count(*) AS n FROM m GROUP BY levels", "layers")
 def m12(spark, sf):
-    li = fx.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.least(F.col("l_quantity").cast("long"), 1 + F.col("l_partkey") % 16) * 20).alias("side"))
-    # halvings (s + 1) >> 1 until at most 8: one more than the least n with ceil(s / 2^n) <= 8
-    levels = F.lit(1).cast("long")
-    for n in range(pyramid.MAX_LEVELS - 1):
-        levels = levels + F.when(F.ceil(F.col("side") / (1 << n)) > 8, 1).otherwise(0)
-    return li.groupBy("l_orderkey", "l_linenumber").agg(F.max(levels).alias("levels")).groupBy("levels").agg(F.count("*").alias("n"))
+    side = _short_side()
+    levels = fx.layers(spark, sf).select(pyramid.natural_levels_of(side).alias("levels"), pyramid.natural_levels_of(side, -2).alias("fewer"), pyramid.natural_levels_of(side, 3).alias("capped"))
+    return levels.groupBy("levels", "fewer", "capped").agg(F.count("*").alias("n"))
 
 
 # Aggregates -----------------------------------------------------------------

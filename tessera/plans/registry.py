@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None, *rasters: str) -> Callable[[Query],
         QUERIES[name] = f
         if sql:
             whole = with_rasters(sql, *rasters) if rasters else sql
-            ORACLES[name] = whole.replace("WITH ", "WITH RECURSIVE ", 1) if "USING KEY" in sql else whole
+            ORACLES[name] = whole.replace("WITH ", "WITH RECURSIVE ", 1) if "USING KEY" in sql or "FROM h WHERE" in sql else whole
         return f
 
     return register

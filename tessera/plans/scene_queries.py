@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import pyramid
+from tessera.operators import masks, pyramid
 from tessera.operators import pixelwise as px
 from tessera.plans import blend, fuse
 from tessera.plans.config import BlendConfig, FuseConfig
@@ -327,8 +327,9 @@ _COLOR_SCORE = f"CASE WHEN alpha THEN 0.9::DOUBLE * CASE WHEN {_LO} >= 25.5 AND
 
 @query(
     "fuse_color_scores",
-    f""", p AS (SELECT *, floor((r + g + b) / 3 + 0.5)::BIGINT AS v FROM color_bracket),
-    sd AS (SELECT p.scene_id, p.ord, p.x, p.y, coalesce(stddev_samp(q.v) FILTER (q.alpha), 0) AS sd FROM p JOIN p q ON q.scene_id = p.scene_id AND q.ord = p.ord AND abs(q.x - p.x) <= 2 AND abs(q.y - p.y) <= 2
+    f""", p AS MATERIALIZED (SELECT *, floor((r + g + b) / 3 + 0.5)::BIGINT AS v FROM color_bracket),
+    moved AS (SELECT scene_id, ord, x + dx AS x, y + dy AS y, v FROM p, range(-2, 3) i(dx), range(-2, 3) j(dy) WHERE alpha),
+    sd AS (SELECT p.scene_id, p.ord, p.x, p.y, coalesce(stddev_samp(moved.v), 0) AS sd FROM p JOIN moved USING (scene_id, ord, x, y)
         WHERE p.alpha AND p.x BETWEEN 2 AND 5 AND p.y BETWEEN 2 AND 5 GROUP BY ALL)
     SELECT p.scene_id, p.ord, p.x, p.y, {_R.format(_COLOR_SCORE)} AS w FROM p LEFT JOIN sd USING (scene_id, ord, x, y)""",
     "color_bracket",
@@ -347,9 +348,13 @@ def fuse_color_stack(spark, sf):
 
 @query(
     "b_gigapixel_bounds",
-    "SELECT 0::BIGINT AS x0, 15::BIGINT AS y0, 39::BIGINT AS x1, 29::BIGINT AS y1, 200::BIGINT AS shared",
+    """WITH p AS (SELECT DISTINCT l_orderkey % 4000 AS x, l_partkey % 3000 AS y FROM lineitem), b AS (SELECT *, y BETWEEN 1500 AND 2499 AS white, y >= 2000 AS black FROM p)
+    SELECT min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1, count(*) FILTER (white AND black) AS shared,
+        CASE WHEN NOT bool_or(white AND black) THEN 'none' WHEN bool_or(white AND NOT black) THEN 'partial' ELSE 'complete' END AS overlap FROM b WHERE white OR black""",
 )
 def gigapixel(spark, sf):
-    places = spark.range(40).select(F.col("id").alias("x")).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(29).cast("long")))).withColumn("image_id", F.lit(0))
-    both = places.withColumns({"white": F.col("y").between(15, 24), "black": F.col("y") >= 20})
-    return both.filter("white or black").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"), F.count_if(F.col("white") & F.col("black")).alias("shared"))
+    """Two opposing bands of a wide canvas, at the places that line items name: the box of both, and how they overlap."""
+    places = fx.table(spark, sf, "lineitem").select(F.lit(0).alias("image_id"), (F.col("l_orderkey") % 4000).alias("x"), (F.col("l_partkey") % 3000).alias("y")).distinct()
+    both = places.withColumns({"white": F.col("y").between(1500, 2499), "black": F.col("y") >= 2000}).withColumn("alpha", F.col("white") | F.col("black"))
+    shared = both.groupBy("image_id").agg(F.count_if(F.col("white") & F.col("black")).alias("shared"))
+    return masks.bounding_box(both, ["image_id"]).join(shared, "image_id").join(masks.overlap_class(both.filter("alpha"), ["image_id"]), "image_id").drop("image_id")

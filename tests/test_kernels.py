@@ -296,9 +296,14 @@ def test_each_criterion_changes_the_score(spark):
     df = spark.createDataFrame(rows, "scene_id long, ord long, x long, y long, r long, g long, b long, alpha boolean")
     of = lambda **kw: {(r.ord, r.x, r.y): r.w for r in fuse.score(df, ["scene_id", "ord"], FuseConfig(**kw), channels=fuse.RGB, alpha="alpha").collect()}
     plain = of()
-    for kw in ({"saturation_weight": 0.5}, {"contrast_weight": 0.5}, {"contrast_weight": 0.5, "edge_scale": 0.6}, {"contrast_weight": 0.5, "edge_scale": 0.6, "min_curvature": 0.3}, {"entropy_weight": 0.5}, {"projector": "value"}, {"exposure_lower": 0.2}, {"exposure_upper": 0.8}):
+    for kw in ({"saturation_weight": 0.5}, {"contrast_weight": 0.5}, {"contrast_weight": 0.5, "edge_scale": 0.6}, {"contrast_weight": 0.5, "edge_scale": 0.6, "min_curvature": 0.3}, {"contrast_weight": 0.5, "edge_scale": 0.6, "lce_scale": 0.7, "lce_factor": 2.0}, {"entropy_weight": 0.5}, {"projector": "value"}, {"exposure_lower": 0.2}, {"exposure_upper": 0.8}):
         assert of(**kw) != plain, kw
     assert of(contrast_weight=0.5, edge_scale=0.6) != of(contrast_weight=0.5, edge_scale=0.6, min_curvature=0.3)
+    assert of(contrast_weight=0.5, edge_scale=0.6) != of(contrast_weight=0.5, edge_scale=0.6, lce_scale=0.7, lce_factor=2.0)
+    assert of(contrast_weight=0.5, edge_scale=0.6) == of(contrast_weight=0.5, edge_scale=0.6, lce_scale=0.7)  # no strength, no sharpening
+    assert of(entropy_weight=0.5) != of(entropy_weight=0.5, entropy_lower=0.4, entropy_upper=0.6)
+    with pytest.raises(ValueError):
+        FuseConfig(entropy_lower=0.7, entropy_upper=0.6)
     assert all(plain[o, x, y] == 0 for _, o, x, y, *_, a in rows if not a)
     fused = fuse.fuse(df, ["scene_id"], FuseConfig(saturation_weight=0.3), 16, channels=fuse.RGB, alpha="alpha").collect()
     assert len(fused) == 81 and all(0 <= v <= 255 for r in fused for v in (r.r, r.g, r.b)) and all(r.r == r.g == r.b == 0 for r in fused if not r.alpha)

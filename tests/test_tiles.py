@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import planes
 from tessera.operators import cuts, paths, pyramid, regions, seams, tiles, windows
 
 KEYS = ["image_id"]
@@ -173,3 +174,34 @@ def test_entropy_across_tiles(spark):
     df = pixels(spark, [(19, 13), (4, 30)], top=5)
     of = lambda side: sorted((r.image_id, r.x, r.y, round(r.entropy, 9)) for r in windows.local_entropy(df, KEYS, 5, side=side).collect())
     assert of(4) == of(64) and {r[0] for r in of(64)} == {0}
+
+
+def test_planes_there_and_back(spark):
+    rnd = np.random.default_rng(8)
+    rows = [(i, *map(int, c)) for i, c in enumerate([*rnd.integers(0, 256, (200, 3)), (0, 0, 0), (255, 255, 255), (255, 0, 0)])]
+    df = spark.createDataFrame(rows, "i long, r long, g long, b long")
+    rgb = tuple(map(F.col, "rgb"))
+    for space, kind, most in (("identity", "uint8", 0), ("lab", "uint8", 12), ("luv", "uint8", 16), ("jch", "uint8", 1)):
+        p = df.select("*", *(c.alias(f"p{i}") for i, c in enumerate(planes.into(rgb, space, kind))))
+        back = p.select("*", *(c.alias(f"o{n}") for n, c in zip("rgb", planes.out(tuple(F.col(f"p{i}") for i in range(3)), space, kind)))).collect()
+        # planes of 8-bit Lab and Luv have steps of some units of colour
+        miss = [abs(r[c] - r[f"o{c}"]) for r in back for c in "rgb"]
+        assert sum(miss) / len(miss) <= most / 3 and all(0 <= r[f"o{c}"] <= 255 for r in back for c in "rgb"), space
+        assert len(back) == len(rows) and dict(p.dtypes)["p0"] == "bigint"
+    with pytest.raises(ValueError):
+        planes.into((F.col("r"),), "lab")
+    with pytest.raises(ValueError):
+        planes.into(rgb, "other")
+    assert planes.top("uint16") == 65_535
+
+
+def test_colours_outside_the_gamut_lose_chroma_only():
+    light, one, two = np.array([50.0, 60.0, 30.0]), np.array([5.0, 150.0, -150.0]), np.array([5.0, 150.0, 120.0])
+    rgb = planes.fitted(light, one, two, planes._lab_back)
+    assert ((rgb >= 0) & (rgb <= 1)).all() and np.allclose(rgb[:, 0], planes._lab_back(light, one, two)[:, 0])
+    # the same hue and lightness with a little more chroma does not fit
+    for k in (1, 2):
+        shares = np.linspace(0, 1, 2000)
+        fits = np.array([max(-c.min(), c.max() - 1) <= planes.TOLERANCE for c in (planes._lab_back(light[k : k + 1], one[k : k + 1] * t, two[k : k + 1] * t) for t in shares)])
+        best = shares[np.argmin(fits) - 1]
+        assert np.abs(rgb[:, k] - np.clip(planes._lab_back(light[k : k + 1], one[k : k + 1] * best, two[k : k + 1] * best)[:, 0], 0, 1)).max() < 0.01
