@@ -36,3 +36,27 @@ def test_a_table_is_whole_though_its_shuffles_are_gone(spark):
     df = spark.range(1000).selectExpr("id % 10 as k", "id").groupBy("k").sum("id")
     one, two = storage.materialize(df, "sums"), storage.materialize(df, "sums")
     assert sorted(one.collect()) == sorted(two.collect()) == sorted(df.collect())
+
+
+def test_no_table_of_places_goes_through_the_driver(spark):
+    """Runs of equal numbers are a few bytes as a file and many rows in memory; what a hint asks for is still broadcast."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(200_000).selectExpr("id", "id div 1000 as v")
+    a, b = storage.materialize(rows, "a"), storage.materialize(rows, "b")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(a.join(b, "id"))
+    with storage.bounded_broadcasts(spark):
+        joined = a.join(b, "id")
+        assert joined.count() == 200_000 and "Broadcast" not in plan(joined)
+        assert "BroadcastHashJoin" in plan(a.join(F.broadcast(b), "id"))
+    assert "BroadcastHashJoin" in plan(a.join(b, "id"))
+
+
+def test_a_blend_step_broadcasts_nothing(spark):
+    from tessera.plans import blend
+
+    rows = spark.range(160).selectExpr("id div 80 as image_id", "id % 10 as x", "id % 80 div 10 as y", "id % 200 as v")
+    side = lambda ok: rows.withColumn("alpha", ok)
+    out = blend.join_image(side(rows.x < 7), side(rows.x > 3), ["image_id"], 2)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 160
