@@ -53,11 +53,12 @@ def g14(spark, sf):
 
 @query("g15_anneal")
 def g15(spark, sf):
-    def kernel(image: np.ndarray) -> list[tuple]:
-        contours = seams.vectorise(_bright(image), 2)
-        return [(c, o, m, x, y) for c, contour in enumerate(contours) for o, (m, x, y) in enumerate(seams.anneal(image, contour))]
+    def kernel(images: list[np.ndarray]) -> list[list[tuple]]:
+        found = [seams.vectorise(_bright(image), 2) for image in images]
+        moved = iter(seams.anneal_all([(image, contour) for image, contours in zip(images, found) for contour in contours]))
+        return [[(c, o, m, x, y) for c, _ in enumerate(contours) for o, (m, x, y) in enumerate(next(moved))] for contours in found]
 
-    return seams.per_image(fx.gray(spark, sf), KEYS, kernel, "contour_id long, ord long, movable boolean, x long, y long")
+    return seams.per_images(fx.gray(spark, sf), KEYS, kernel, "contour_id long, ord long, movable boolean, x long, y long")
 
 
 @query("g21_cheapest_path")
@@ -88,11 +89,11 @@ def _half_guide(image: np.ndarray) -> np.ndarray:
 
 @query("g08_create_mask")
 def g08(spark, sf):
-    def kernel(image: np.ndarray) -> list[tuple]:
-        mask = cuts.create_mask(image, np.ones_like(image, bool), _half_guide(image), image, 2, graph_cut=True)
-        return [(x, y, int(mask[y, x])) for y in range(image.shape[0]) for x in range(image.shape[1])]
+    def kernel(images: list[np.ndarray]) -> list[list[tuple]]:
+        masks = cuts.create_masks([(image, np.ones_like(image, bool), _half_guide(image), image) for image in images], 2, graph_cut=True)
+        return [[(x, y, int(mask[y, x])) for y in range(mask.shape[0]) for x in range(mask.shape[1])] for mask in masks]
 
-    return seams.per_image(fx.gray(spark, sf), KEYS, kernel, "x long, y long, m long")
+    return seams.per_images(fx.gray(spark, sf), KEYS, kernel, "x long, y long, m long")
 
 
 @query("g09_vectorised_mask_round_trip", ", bin AS (SELECT image_id, x, y, CASE WHEN v >= 90 THEN 255 ELSE 0 END::BIGINT AS m FROM gray) SELECT image_id, x, y, m FROM bin", "gray")

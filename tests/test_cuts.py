@@ -238,3 +238,30 @@ def test_line_relations_equal_the_kernels(spark):
     at, on = seams.raster(ends[:, :2], ends[:, 2:])
     found = {(r.line, r.ord): (r.x, r.y) for r in lines.pixels(given, ["line"]).collect()}
     assert found == {(i, t): tuple(map(int, at[i, t])) for i in range(60) for t in np.nonzero(on[i])[0]}
+
+
+def test_contours_annealed_side_by_side_end_where_each_ends_alone():
+    rnd = np.random.default_rng(5)
+    images = [rnd.integers(0, 256, (8, 8)) for _ in range(12)] + [rnd.integers(0, 256, (23, 17)), np.zeros((3, 3), np.int64)]
+    jobs = [(image, contour) for image in images for contour in seams.vectorise(np.where(image > 128, 255, 0), 2)]
+    together = seams.anneal_all(jobs)
+    assert together == [seams.anneal(*job) for job in jobs]
+    assert together != [contour for _, contour in jobs]
+    whole = [(image, np.ones_like(image, bool), np.where(np.arange(image.shape[1]) < 2, 255, 0) * np.ones((len(image), 1), int), image) for image in images[:6]]
+    for mask, one in zip(cuts.create_masks(whole, 2, graph_cut=True), whole):
+        assert (mask == cuts.create_mask(*one, 2, graph_cut=True)).all()
+    assert seams.anneal_all([]) == [] and cuts.create_masks([]) == []
+
+
+def test_small_images_come_to_a_kernel_together(spark, monkeypatch):
+    monkeypatch.setattr(seams, "PLACES_AT_ONCE", 40)
+    rows = [(i, x, y, i * 100 + y * 10 + x) for i in range(30) for x in range(1 + i % 4) for y in range(1 + i % 3)]
+    df = spark.createDataFrame([(None, 0, 0, 7), *rows], "image_id long, x long, y long, v long").repartition(1)
+
+    def alone(image):
+        return [(x, y, int(image[y, x]), 1) for y in range(image.shape[0]) for x in range(image.shape[1])]
+
+    got = seams.per_images(df, ["image_id"], lambda images: [[(x, y, v, len(images)) for x, y, v, _ in alone(i)] for i in images], "x long, y long, v long, n long").collect()
+    one = seams.per_image(df, ["image_id"], alone, "x long, y long, v long, n long").collect()
+    assert sorted((str(r.image_id), *r[1:4]) for r in got) == sorted((str(r.image_id), *r[1:4]) for r in one)
+    assert max(r.n for r in got) > 1
