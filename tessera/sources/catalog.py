@@ -60,26 +60,25 @@ def parse_indices(spec: str) -> list[IndexRange]:
 
 
 def select_indexed(layers: DataFrame, spec: str) -> DataFrame:
-    """The layers of an index list, in its order and as often as it names them: columns of ``layers`` and pos from 0."""
-    last = layers.groupBy("file").agg(F.max("layer_no").alias("__last"))
-    parts = []
-    for i, r in enumerate(parse_indices(spec)):
-        at = lambda n, default: F.lit(default) if n is None else F.lit(n) if n > 0 else F.col("__last") + 1 + n
-        a = at(r.first, 1) if r.first is not None else F.lit(1)
-        b = at(r.last, 1) if r.last is not None else F.col("__last")
+    """The layers of an index list, in its order and as often as it names them: columns of ``layers`` and pos from 0.
+
+    What a range gives follows from its ends and the file's last layer, so each layer finds its own positions: one window, no join.
+    """
+    last = F.col("__last")
+    rows = layers.withColumn("__last", F.max("layer_no").over(W.partitionBy("file")))
+    at, before = [], F.lit(0).cast("long")
+    for r in parse_indices(spec):
+        end = lambda n, default: (default if n is None else F.lit(n) if n > 0 else last + 1 + n).cast("long")
+        lo, hi = end(r.first, F.lit(1)), end(r.last, last)
+        # a single index outside the file names nothing; ranges are cut to the file
         single = r.first is not None and r.first == r.last
-        lo, hi = a.cast("long"), b.cast("long")
-        low, high = F.greatest(lo, F.lit(1)), F.least(hi, F.col("__last"))
-        ok = (low <= high) if not single else (lo >= 1) & (lo <= F.col("__last"))
-        seq = F.sequence(low, high) if not single else F.array(lo)
-        seq = F.reverse(seq) if r.reverse else seq
-        parts.append(last.filter(ok).select("file", F.lit(i).alias("__part"), F.posexplode(seq).alias("__at", "layer_no")))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    order = W.partitionBy("file").orderBy("__part", "__at")
-    rows = rows.withColumn("pos", (F.row_number().over(order) - 1).cast("long")).drop("__part", "__at")
-    return rows.join(layers, ["file", "layer_no"])
+        low, high = (lo, hi) if single else (F.greatest(lo, F.lit(1)), F.least(hi, last))
+        ok = (low >= 1) & (low <= high) & (high <= last)
+        nth = high - F.col("layer_no") if r.reverse else F.col("layer_no") - low
+        at.append(F.when(ok & F.col("layer_no").between(low, high), before + nth))
+        before = before + F.when(ok, high - low + 1).otherwise(0)
+    positions = F.filter(F.array(*at), lambda p: p.isNotNull())
+    return rows.withColumn("pos", F.explode(positions)).drop("__last")
 
 
 def check_compatible(images: DataFrame) -> DataFrame:
