@@ -123,7 +123,9 @@ def p19(spark, sf):
 @query("p20_luminance_rescale", "SELECT image_id, x, y, r + g + b AS total, floor((r * 0.3 + g * 0.59 + b * 0.11) / 255 * 127 + 0.5)::BIGINT AS v FROM rgb", "rgb")
 def p20(spark, sf):
     c = (F.col("r"), F.col("g"), F.col("b"))
-    return fx.rgb(spark, sf).select(*PLACE, (c[0] + c[1] + c[2]).alias("total"), scalar.half_up(colour.projector("luminance")(c, 255) / 255 * 127).alias("v"))
+    # the weights are hundredths, so their sum is exact in whole numbers and rounded once
+    light = sum(int(100 * w + 0.5) * v for w, v in zip(colour.LUMA, c)) / 100
+    return fx.rgb(spark, sf).select(*PLACE, (c[0] + c[1] + c[2]).alias("total"), scalar.half_up(light / 255 * 127).alias("v"))
 
 
 @query("p21_scalars", "SELECT image_id, x, y, sign(v - 128)::BIGINT AS s, (v - 128) * (v - 128) AS q, floor(log10(v + 1))::BIGINT AS l, CASE WHEN v >= 128 THEN floor((v - 128) / 2 + 0.5) ELSE ceil((v - 128) / 2 - 0.5) END::BIGINT AS h, (v + 3) // 7 AS n FROM gray", "gray")
