@@ -14,9 +14,10 @@ two sets agree on k weak segments and on no other, at most k - 1 segments differ
 more, so one of the k successors differs by at most one.) No link is lost under either
 plan, whichever shingles count as frequent.
 
-Equal sets become one class first. The pairs of small buckets, and in large ones each
-set and the best connected member, are candidates unless sizes or sketches rule them
-out; sets that candidates hold together are verified in blocks of bounded size, those of
+Equal sets become one class first. In a small bucket, sizes and rough sketches that travel with the index
+rule most pairs out. If what is left has no cycle, its pairs are candidates; else each set and the smallest doc_id of
+those that hold together are, and in large buckets each set and the best connected member, so candidates grow with a
+bucket's members and not with their square. Sets that candidates hold together are verified in blocks of bounded size, those of
 a large cluster within their block and with the cluster's best connected set. Then the sets of different
 components that a large bucket or a candidate still ties are compared by sketches, size
 band by size band, and what is left is verified between all blocks.
@@ -55,9 +56,9 @@ VOCABULARY = 150_000
 FLUSH, BLOCK_SHINGLES, BLOCK_SETS, BLOCK_SKETCHES = 1_500_000, 150_000, 1_000, 2_048
 #: Frequent shingles for the plans: at most so many, with at least so many documents, and repeated in a map task.
 FREQUENT, FREQUENT_DOCS, REPEATED = 1 << 18, 128, 8
-#: Members of a bucket up to which all its pairs are verified, and that a map task sends on as they are. Larger buckets go by hubs.
+#: Members of a bucket up to which all its pairs are looked at, and that a map task sends on as they are. Larger buckets go by hubs.
 SMALL_BUCKET, LOCAL_BUCKET = 64, 8
-PAIRS_AT_ONCE = 500_000
+PAIRS_AT_ONCE = 1 << 17
 #: For the plans only: bytes of a word, and how often two lone shingles are equal by chance.
 WORD_BYTES, CHANCE = 6.5, 1e-4
 CANDIDATE_COST = 50.0
@@ -242,12 +243,39 @@ def _fold(s: np.ndarray, parts: int) -> np.ndarray:
     return s
 
 
+def rough(s: np.ndarray) -> bytes:
+    """A sketch modulo 16, two parts to a byte."""
+    return ((s[::2] & 15) | s[1::2] << 4).tobytes()
+
+
+def _allowed(join: Join, total: np.ndarray) -> np.ndarray:
+    """The most shingles that two linked sets of together ``total`` do not share."""
+    # linked: den * both >= num * (total - both), and total - 2 * both are not shared
+    return total - 2 * -(-join.num * total // (join.num + join.den))
+
+
+def may_link_roughly(join: Join, na: np.ndarray, nb: np.ndarray, flat: np.ndarray, sa: np.ndarray, sb: np.ndarray) -> np.ndarray:
+    """:func:`may_link` by rough sketches, which begin in ``flat`` at ``sa`` and ``sb``."""
+    out = np.maximum(na, nb) * join.num <= np.minimum(na, nb) * join.den
+    la, lb, most = sketch_parts(na) // 2, sketch_parts(nb) // 2, _allowed(join, na + nb)
+    for p, q in set(zip(la[out].tolist(), lb[out].tolist())):
+        at = np.flatnonzero((la == p) & (lb == q) & out)
+        step = max(1, (1 << 20) // max(p, q))
+        for i in range(0, len(at), step):
+            rows = at[i : i + step]
+            x, y = flat[sa[rows][:, None] + np.arange(p)], flat[sb[rows][:, None] + np.arange(q)]
+            far = 0
+            for u, v in ((x & 15, y & 15), (x >> 4, y >> 4)):
+                d = (_fold(u, min(p, q)) - _fold(v, min(p, q))) & 15
+                far = far + np.minimum(d, 16 - d).sum(axis=1, dtype=np.int64)
+            out[rows] = far <= most[rows]
+    return out
+
+
 def may_link(join: Join, na: np.ndarray, nb: np.ndarray, sa: list[bytes], sb: list[bytes]) -> np.ndarray:
     """False only where sizes or sketches rule a link out: each unit that two sketches differ by is a shingle not shared."""
     lo, hi = np.minimum(na, nb), np.maximum(na, nb)
     total = na + nb
-    # linked: den * both >= num * (total - both), and total - 2 * both are not shared
-    both = -(-join.num * total // (join.num + join.den))
     out = hi * join.num <= lo * join.den
     la, lb = np.array([len(x) for x in sa]), np.array([len(x) for x in sb])
     for p, q in set(zip(la.tolist(), lb.tolist())):
@@ -258,29 +286,29 @@ def may_link(join: Join, na: np.ndarray, nb: np.ndarray, sa: list[bytes], sb: li
             x = np.frombuffer(b"".join(sa[r] for r in rows), np.uint8).reshape(-1, p)
             y = np.frombuffer(b"".join(sb[r] for r in rows), np.uint8).reshape(-1, q)
             d = _fold(x, min(p, q)) - _fold(y, min(p, q))  # counts wrap, so the distance is around the circle
-            out[rows] = np.minimum(d, -d).sum(axis=1, dtype=np.int64) <= (total - 2 * both)[rows]
+            out[rows] = np.minimum(d, -d).sum(axis=1, dtype=np.int64) <= _allowed(join, total)[rows]
     return out
 
 
-def _pack_keys(key: np.ndarray, doc: np.ndarray, size: np.ndarray) -> bytes:
-    """Ascending 48-bit keys as byte planes of their steps, documents by their place in a table; zstd."""
+def _pack_keys(key: np.ndarray, row: np.ndarray, doc: np.ndarray, size: np.ndarray, roughs: list[bytes]) -> bytes:
+    """Ascending 48-bit keys as byte planes of their steps, sets by their place in a table of what ``row`` points at; zstd."""
     order = np.argsort(key, kind="stable")
-    own, ix = np.unique(doc[order], return_inverse=True)
-    n = np.zeros(len(own), np.int64)
-    n[ix] = size[order]
+    own, ix = np.unique(row[order], return_inverse=True)
     steps = np.diff(key[order], prepend=np.uint64(0))
     planes = [np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() for x in (steps, ix.astype(np.uint32))]
-    blob = len(key).to_bytes(8, "little") + b"".join(planes) + own.tobytes() + n.tobytes()
+    blob = len(key).to_bytes(8, "little") + len(own).to_bytes(8, "little") + b"".join(planes) + doc[own].tobytes() + size[own].tobytes() + b"".join(roughs[r] for r in own)
     return len(blob).to_bytes(8, "little") + pa.compress(blob, codec="zstd", asbytes=True)
 
 
-def _unpack_keys(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpack_keys(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, the place of each one's set in a table, and its columns: document, size, and all rough sketches one after the other."""
     blob = pa.decompress(memoryview(blob)[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
-    n, at = int.from_bytes(blob[:8], "little"), 8
+    n, own, at = int.from_bytes(blob[:8], "little"), int.from_bytes(blob[8:16], "little"), 16
     whole = lambda kind, width, at: np.ascontiguousarray(np.frombuffer(blob, np.uint8, n * width, at).reshape(width, n).T).view(kind).reshape(n)
     key, ix = np.cumsum(whole("<u8", 8, at)), whole("<u4", 4, at + 8 * n)
-    table = np.frombuffer(blob, "<i8", -1, at + 12 * n).reshape(2, -1)
-    return key.astype(np.uint64), table[0][ix], table[1][ix]
+    at += 12 * n
+    doc, size = np.frombuffer(blob, "<i8", 2 * own, at).reshape(2, -1)
+    return key.astype(np.uint64), ix.astype(np.int64), doc, size, np.frombuffer(blob, np.uint8, -1, at + 16 * own)
 
 
 def _stars(group: np.ndarray, doc: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -301,21 +329,51 @@ def _stars(group: np.ndarray, doc: np.ndarray, count: np.ndarray) -> tuple[np.nd
     return hub, a, b, count[apart] == 2
 
 
-def _pairs(starts: np.ndarray, count: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (a, b) with a < b of each small bucket; buckets are [start, start + count) of ``doc``."""
-    a, b = [], []
+def _held_together(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``n`` nodes the smallest that the edges (a, b) lead to."""
+    least = np.arange(n)
+    while True:
+        low = np.minimum(least[a], least[b])
+        before = least.copy()
+        np.minimum.at(least, a, low)
+        np.minimum.at(least, b, low)
+        least = least[least]
+        if (least == before).all():
+            return least
+
+
+def _pairs(join: Join, starts: np.ndarray, count: np.ndarray, doc: np.ndarray, size: np.ndarray, roughs: np.ndarray, where: np.ndarray, ref: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Edges (a, b, closed) of small buckets, [start, start + count) of ``ref``, which points at a document, its size and where its rough sketch begins.
+
+    A bucket whose possible pairs have no cycle gives these, closed. In others the sets that such pairs hold together are tied to
+    one of them, so a bucket gives fewer edges than it has members.
+    """
     for n in np.unique(count).tolist():
         i, j = np.triu_indices(n, 1)
         every = starts[count == n]
-        for k in range(0, len(every), max(1, PAIRS_AT_ONCE // len(i))):  # repeated pairs go before they pile up
-            at = every[k : k + max(1, PAIRS_AT_ONCE // len(i)), None]
-            x, y = doc[at + i].ravel(), doc[at + j].ravel()
-            x, y, _ = _distinct_edges(np.minimum(x, y), np.maximum(x, y), np.ones(len(x), bool))
-            a.append(x[x != y])
-            b.append(y[x != y])
-    if not a:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(a), np.concatenate(b)
+        step = max(1, PAIRS_AT_ONCE // len(i))
+        for k in range(0, len(every), step):  # repeated edges go before they pile up
+            members = ref[every[k : k + step, None] + np.arange(n)].ravel()
+            lead = np.arange(0, len(members), n)[:, None]
+            x, y = (lead + i).ravel(), (lead + j).ravel()
+            p, q = members[x], members[y]
+            ok = (doc[p] != doc[q]) & may_link_roughly(join, size[p], size[q], roughs, where[p], where[q])
+            x, y = x[ok], y[ok]
+            if not len(x):
+                continue
+            one = _held_together(len(members), x, y)
+            # without a cycle each pair joins two parts
+            tree = np.bincount(x // n, minlength=len(lead)) + np.bincount(np.flatnonzero(one == np.arange(len(one))) // n, minlength=len(lead)) == n
+            plain = tree[x // n]
+            p, q = doc[members[x[plain]]], doc[members[y[plain]]]
+            tied = np.flatnonzero(~tree[np.arange(len(members)) // n])
+            # the smallest doc_id is the same in all tasks, so buckets of one group repeat their edges
+            hub = np.full(len(members), np.iinfo(np.int64).max)
+            np.minimum.at(hub, one, doc[members])
+            c, d = hub[one[tied]], doc[members[tied]]
+            c, d = c[c != d], d[c != d]
+            a, b = np.append(np.minimum(p, q), c), np.append(np.maximum(p, q), d)
+            yield _distinct_edges(a, b, np.arange(len(a)) < len(p))
 
 
 def _distinct_edges(a: np.ndarray, b: np.ndarray, closed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -332,13 +390,13 @@ def _index(docs: DataFrame, join: Join, wide_plan: dict[int, bool], common: Broa
     Buckets never become rows: inside a task, map or reduce, their members are tied to a
     hub (small buckets: to each other), and edges that many buckets repeat are one. A bucket's members in one map task
     send one record to its reduce task, so no bucket, however large, gathers anywhere.
-    An edge is closed if it comes from small buckets, all of whose pairs are edges, so that it stands for itself only.
+    An edge is closed if it comes from small buckets, all of whose possible pairs are edges, so that it stands for itself only.
     """
     spark = docs.sparkSession
     n_parts = partition_count(spark)
     ids = partition_ids(spark, n_parts)
 
-    def flush(info: list[tuple[int, int, int, int]], keys: list[np.ndarray], sketches: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def flush(info: list[tuple[int, int, int, int]], keys: list[np.ndarray], sketches: list[bytes], roughs: list[bytes]) -> Iterator[pa.RecordBatch]:
         if not info:
             return
         doc, size = np.array([i[0] for i in info], np.int64), np.array([i[1] for i in info], np.int64)
@@ -360,15 +418,15 @@ def _index(docs: DataFrame, join: Join, wide_plan: dict[int, bool], common: Broa
         # 48 bits tell buckets apart well enough: a chance collision is one more candidate to verify
         every, row = every[chosen] >> np.uint64(16), row[chosen]
         order, first, group = witnesses(every)
-        k, i, s = every[order], doc[row[order]], size[row[order]]
+        k, r = every[order], row[order]
+        i = doc[r]
         several = group > LOCAL_BUCKET
         hub, a, b, closed = _stars(np.cumsum(first)[several], i[several], np.full(int(several.sum()), 3))
         yield from send(a, b, closed)
-        # the hub speaks for its bucket, with its own size
-        size_of = dict(zip(doc.tolist(), size.tolist()))
+        # the hub speaks for its bucket
+        row_of = dict(zip(doc.tolist(), range(len(doc))))
         lead = first[several]
-        hubs = hub[lead]
-        for tag, key, who, n in ((WITNESS, k[~several], i[~several], s[~several]), (SHARED_WITNESS, k[several][lead], hubs, np.array([size_of[h] for h in hubs.tolist()], np.int64))):
+        for tag, key, who in ((WITNESS, k[~several], r[~several]), (SHARED_WITNESS, k[several][lead], np.array([row_of[h] for h in hub[lead].tolist()], np.int64))):
             home = (key % np.uint64(n_parts)).astype(np.int64)
             by = np.argsort(home, kind="stable")
             cuts = np.searchsorted(home[by], np.arange(n_parts + 1))
@@ -377,7 +435,7 @@ def _index(docs: DataFrame, join: Join, wide_plan: dict[int, bool], common: Broa
                 at = by[cuts[p] : cuts[p + 1]]
                 if len(at):
                     pids.append(ids[p])
-                    blobs.append(_pack_keys(key[at], who[at], n[at]))
+                    blobs.append(_pack_keys(key[at], who[at], doc, size, roughs))
             yield pa.RecordBatch.from_arrays([pa.array(pids, pa.int32()), pa.array([tag] * len(pids), pa.int32()), pa.array(blobs, pa.binary())], names=["pid", "tag", "blob"])
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,6 +443,7 @@ def _index(docs: DataFrame, join: Join, wide_plan: dict[int, bool], common: Broa
         info: list[tuple[int, int, int, int]] = []
         keys: list[np.ndarray] = []
         sketches: list[bytes] = []
+        roughs: list[bytes] = []
         held = 0
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
@@ -392,12 +451,14 @@ def _index(docs: DataFrame, join: Join, wide_plan: dict[int, bool], common: Broa
                 m = _mix(x + _C)
                 info.append((doc_id, len(x), int(m.sum()), int(_mix(m + _A).sum())))
                 keys.append(signatures(join, x, wide_plan, common.value) if len(x) else x)
-                sketches.append(sketch(m).tobytes())
+                counts = sketch(m)
+                sketches.append(counts.tobytes())
+                roughs.append(rough(counts))
                 held += len(keys[-1])
                 if held > FLUSH:
-                    yield from flush(info, keys, sketches)
-                    info, keys, sketches, held = [], [], [], 0
-        yield from flush(info, keys, sketches)
+                    yield from flush(info, keys, sketches, roughs)
+                    info, keys, sketches, roughs, held = [], [], [], [], 0
+        yield from flush(info, keys, sketches, roughs)
 
     def send(a: np.ndarray, b: np.ndarray, closed: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(a):
@@ -405,7 +466,7 @@ def _index(docs: DataFrame, join: Join, wide_plan: dict[int, bool], common: Broa
             yield from scatter((_mix(a.astype(np.uint64)) % np.uint64(n_parts)).astype(np.int64), [a, b, closed], ids, EDGE)
 
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lone, tied = [], []
+        lone, tables, tied, held = [], [], [], 0
         for batch in batches:
             for pid, tag, blob in zip(*(c.to_pylist() for c in batch.columns)):
                 if tag == DOC:
@@ -413,31 +474,28 @@ def _index(docs: DataFrame, join: Join, wide_plan: dict[int, bool], common: Broa
                 elif tag == EDGE:
                     tied.append(unpack(blob, _EDGE))
                 else:
-                    key, doc, size = _unpack_keys(blob)
-                    lone.append((key, doc, size, np.full(len(key), tag == SHARED_WITNESS)))
+                    key, ref, *table = _unpack_keys(blob)
+                    lone.append((key, ref + held, np.full(len(key), tag == SHARED_WITNESS)))
+                    tables.append(table)
+                    held += len(table[0])
         if tied:
             yield from send(*(np.concatenate(c) for c in zip(*tied)))
         if lone:
-            key, doc, size, shared = (np.concatenate(c) for c in zip(*lone))
+            key, ref, shared = (np.concatenate(c) for c in zip(*lone))
+            doc, size, roughs = (np.concatenate(c) for c in zip(*tables))
+            where = np.cumsum(sketch_parts(size) // 2) - sketch_parts(size) // 2
             order, first, group = witnesses(key)
             several = group > 1
-            doc, size, shared, which = doc[order][several], size[order][several], shared[order][several], np.cumsum(first)[several]
-            if len(doc):
+            ref, shared, which = ref[order][several], shared[order][several], np.cumsum(first)[several]
+            if len(ref):
                 starts = np.flatnonzero(np.diff(which, prepend=-1))
                 count = np.diff(np.append(starts, len(which)))
                 small = (count <= SMALL_BUCKET) & ~np.logical_or.reduceat(shared, starts)
-                a, b = _pairs(starts[small], count[small], doc)
-                closed = np.ones(len(a), bool)
+                edges = list(_pairs(join, starts[small], count[small], doc, size, roughs, where, ref))
                 large = np.repeat(~small, count)
-                _, c, d, _ = _stars(which[large], doc[large], np.zeros(int(large.sum())))
-                a, b, closed = np.concatenate([a, c]), np.concatenate([b, d]), np.append(closed, np.zeros(len(c), bool))
-                size_of = dict(zip(doc.tolist(), size.tolist()))
-                if len(a):
-                    a, b, closed = _distinct_edges(a, b, closed)
-                    na, nb = (np.fromiter(map(size_of.__getitem__, x.tolist()), np.int64, len(x)) for x in (a, b))
-                    # a small bucket's pair of sizes too far apart is settled
-                    used = ~closed | (np.maximum(na, nb) * join.num <= np.minimum(na, nb) * join.den)
-                    yield from send(a[used], b[used], closed[used])
+                _, c, d, _ = _stars(which[large], doc[ref[large]], np.zeros(int(large.sum())))
+                edges.append((c, d, np.zeros(len(c), bool)))
+                yield from send(*(np.concatenate(c) for c in zip(*edges)))
 
     names = ["kind", "id", "other", "n", "h1", "h2", "closed", "sketch"]
 
