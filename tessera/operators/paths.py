@@ -116,7 +116,7 @@ def _stepper(keys: list[str], planes: list[str], enter: Enter, side: int, whole:
     """One round. ``whole`` only sends all borders, for a walk along the distances."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in tiles.bounded(batches):
             sizes, dist, strips = _ints(b, [*TILE, *SIZE]), [], []
             for r, (tx, ty, w, h, _, _) in enumerate(sizes):
                 shape = min(side, h - ty * side), min(side, w - tx * side)
@@ -172,7 +172,7 @@ def _walker(keys: list[str], planes: list[str], enter: Enter, side: int) -> tile
     """Follows falling distances from a place (x, y) through one tile; the last point may lie in the next tile."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in tiles.bounded(batches):
             places, ends = [], []
             for r, (tx, ty, w, h, _, _) in enumerate(_ints(b, [*TILE, *SIZE])):
                 shape = min(side, h - ty * side), min(side, w - tx * side)

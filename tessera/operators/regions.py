@@ -28,7 +28,7 @@ def _label(packed: DataFrame, keys: list[str], value: str, side: int) -> DataFra
     """Column label of each place, and what the four borders show: (values, labels) along each."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in tiles.bounded(batches):
             sizes = _ints(b, [*TILE, *SIZE])
             labels, borders = [], [[[], []] for _ in _EDGES]
             for r, (tx, ty, w, h, _, _) in enumerate(sizes):
