@@ -56,12 +56,11 @@ def score(df: DataFrame, keys: list[str], config: FuseConfig, top: float = 255.0
             contrast = fill_in(edge, contrast, config.min_curvature * top, 1.0, 1.0) if config.min_curvature else edge
         terms.append(config.contrast_weight * contrast / top)
     if config.entropy_weight:
-        parts = []
         if config.entropy_lower > 0 or config.entropy_upper < 1:
             base = base.withColumns({c: clamp(F.col(c), config.entropy_lower * top, 0, config.entropy_upper * top, int(top)).cast("long") for c in channels})
-        for c in channels:
-            rows = rows.join(windows.local_entropy(base, keys, config.entropy_window, "__on", c).withColumnRenamed("entropy", f"__e{c}"), place, "left")
-            parts.append(F.coalesce(f"__e{c}", F.lit(0.0)))
+        # all channels go through one exchange
+        rows = rows.join(windows.local_entropies(base, keys, {c: f"__e{c}" for c in channels}, config.entropy_window, "__on"), place, "left")
+        parts = [F.coalesce(f"__e{c}", F.lit(0.0)) for c in channels]
         terms.append(config.entropy_weight * (F.least(*parts) if len(parts) > 1 else parts[0]) / top)
     return rows.select(*df.columns, stack.total_score(F.col(alpha) if alpha else None, *terms).alias("w"))
 
