@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import exposure
-from tessera.operators import masks, pyramid, stack, windows
+from tessera.operators import masks, pyramid, stack, tiles, windows
 from tessera.operators import pixelwise as px
 from tessera.plans.pixel_queries import _R, _weights, r6
 from tessera.plans.registry import query
@@ -213,7 +213,9 @@ def m07(spark, sf):
 
 @query("m08_collapse", "SELECT image_id, x, y, v FROM gray", "gray")
 def m08(spark, sf):
-    return _level(pyramid.collapse(pyramid.laplacian(fx.gray(spark, sf), KEYS, ["v"], 3, "alpha"), KEYS, ["v"]))
+    # a level is an exchange of tiles, not a row for every place and tap
+    packed = tiles.pack(fx.gray(spark, sf), KEYS, ["v"], ["alpha"])
+    return tiles.unpack(tiles.collapse(tiles.laplacian(packed, KEYS, ["v"], 3, "alpha"), KEYS, ["v"]), KEYS, ["v"])
 
 
 @query(
