@@ -14,10 +14,10 @@ two sets agree on k weak segments and on no other, at most k - 1 segments differ
 more, so one of the k successors differs by at most one.) No link is lost under either
 plan, whichever shingles count as frequent.
 
-Equal sets become one class first. In a small bucket, sizes and rough sketches that travel with the index
-rule most pairs out. If what is left has no cycle, its pairs are candidates; else each set and the smallest doc_id of
-those that hold together are, and in large buckets each set and the best connected member, so candidates grow with a
-bucket's members and not with their square. Sets that candidates hold together are verified in blocks of bounded size, those of
+Equal sets become one class first. The index carries keys and ids only; small buckets of the same members are one, and these
+meet sizes and sketches in a join. They rule most pairs out. If what is left has no cycle, its pairs are candidates; else each
+set and the smallest doc_id of those that hold together are, and in large buckets each set and the best connected member, so
+candidates grow with a bucket's members and not with their square. Sets that candidates hold together are verified in blocks of bounded size, those of
 a large cluster within their block and with the cluster's best connected set. Then the sets of different
 components that a large bucket or a candidate still ties are compared by sketches, size
 band by size band, and what is left is verified between all blocks.
@@ -59,6 +59,8 @@ FREQUENT, FREQUENT_DOCS, REPEATED = 1 << 18, 128, 8
 #: Members of a bucket up to which all its pairs are looked at, and that a map task sends on as they are. Larger buckets go by hubs.
 SMALL_BUCKET, LOCAL_BUCKET = 64, 8
 PAIRS_AT_ONCE = 1 << 17
+#: Members of small buckets whose sketches a task holds at once.
+MEMBERS_AT_ONCE = 1 << 14
 #: For the plans only: bytes of a word, and how often two lone shingles are equal by chance.
 WORD_BYTES, CHANCE = 6.5, 1e-4
 CANDIDATE_COST = 50.0
@@ -222,7 +224,7 @@ def signatures(join: Join, x: np.ndarray, wide_plan: dict[int, bool], common: np
     return np.unique(np.concatenate(out))
 
 
-DOC, WITNESS, SHARED_WITNESS, EDGE = range(4)
+DOC, WITNESS, SHARED_WITNESS, EDGE, BUCKET = range(5)
 _DOC, _EDGE = ["<i8"] * 4, ["<i8", "<i8", "?"]
 
 
@@ -290,25 +292,62 @@ def may_link(join: Join, na: np.ndarray, nb: np.ndarray, sa: list[bytes], sb: li
     return out
 
 
-def _pack_keys(key: np.ndarray, row: np.ndarray, doc: np.ndarray, size: np.ndarray, roughs: list[bytes]) -> bytes:
-    """Ascending 48-bit keys as byte planes of their steps, sets by their place in a table of what ``row`` points at; zstd."""
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers as byte planes, which compress well where most are small."""
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+
+
+def _whole(blob: bytes, kind: str, n: int, at: int) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8, n * width, at).reshape(width, n).T).view(kind).reshape(n)
+
+
+def _squeeze(blob: bytes) -> bytes:
+    return len(blob).to_bytes(8, "little") + pa.compress(blob, codec="zstd", asbytes=True)
+
+
+def _unsqueeze(blob: bytes) -> bytes:
+    return pa.decompress(memoryview(blob)[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _pack_keys(key: np.ndarray, row: np.ndarray, doc: np.ndarray) -> bytes:
+    """Ascending 48-bit keys as their steps, and sets by their place in a table of the documents that ``row`` points at."""
     order = np.argsort(key, kind="stable")
     own, ix = np.unique(row[order], return_inverse=True)
     steps = np.diff(key[order], prepend=np.uint64(0))
-    planes = [np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() for x in (steps, ix.astype(np.uint32))]
-    blob = len(key).to_bytes(8, "little") + len(own).to_bytes(8, "little") + b"".join(planes) + doc[own].tobytes() + size[own].tobytes() + b"".join(roughs[r] for r in own)
-    return len(blob).to_bytes(8, "little") + pa.compress(blob, codec="zstd", asbytes=True)
+    return _squeeze(len(key).to_bytes(8, "little") + len(own).to_bytes(8, "little") + _planes(steps) + _planes(ix.astype(np.uint32)) + _planes(np.diff(doc[own], prepend=0)))
+
+
+def _unpack_keys(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, and each one's document."""
+    blob = _unsqueeze(blob)
+    n, own = int.from_bytes(blob[:8], "little"), int.from_bytes(blob[8:16], "little")
+    doc = np.cumsum(_whole(blob, "<i8", own, 16 + 12 * n))
+    return np.cumsum(_whole(blob, "<u8", n, 16)), doc[_whole(blob, "<u4", n, 16 + 8 * n)]
 
 
-def _unpack_keys(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, the place of each one's set in a table, and its columns: document, size, and all rough sketches one after the other."""
-    blob = pa.decompress(memoryview(blob)[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
-    n, own, at = int.from_bytes(blob[:8], "little"), int.from_bytes(blob[8:16], "little"), 16
-    whole = lambda kind, width, at: np.ascontiguousarray(np.frombuffer(blob, np.uint8, n * width, at).reshape(width, n).T).view(kind).reshape(n)
-    key, ix = np.cumsum(whole("<u8", 8, at)), whole("<u4", 4, at + 8 * n)
-    at += 12 * n
-    doc, size = np.frombuffer(blob, "<i8", 2 * own, at).reshape(2, -1)
-    return key.astype(np.uint64), ix.astype(np.int64), doc, size, np.frombuffer(blob, np.uint8, -1, at + 16 * own)
+def _pack_buckets(buckets: list[np.ndarray]) -> bytes:
+    """Members of buckets, one a row and ascending; a table for each number of members."""
+    return _squeeze(b"".join(np.array(x.shape, "<i8").tobytes() + _planes(np.diff(x, axis=1, prepend=0).ravel()) for x in buckets))
+
+
+def _unpack_buckets(blob: bytes) -> list[np.ndarray]:
+    blob, at, out = _unsqueeze(blob), 0, []
+    while at < len(blob):
+        rows, n = np.frombuffer(blob, "<i8", 2, at).tolist()
+        out.append(np.cumsum(_whole(blob, "<i8", rows * n, at + 16).reshape(rows, n), axis=1))
+        at += 16 + 8 * rows * n
+    return out
+
+
+def _distinct_buckets(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different rows, and a hash of each one."""
+    h = _mix(x.astype(np.uint64) + _A).sum(axis=1, dtype=np.uint64)
+    order = np.argsort(h, kind="stable")
+    x = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]).any(axis=1)
+    return x[new], h[order][new]
 
 
 def _stars(group: np.ndarray, doc: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -385,18 +424,18 @@ def _distinct_edges(a: np.ndarray, b: np.ndarray, closed: np.ndarray) -> tuple[n
 
 
 def _index(docs: DataFrame, join: Join, wide_plan: dict[int, bool], common: Broadcast, scratch: list[str]) -> DataFrame:
-    """kind 0: a document's size, set hash and sketch; kind 1: candidate edges (id, other, closed).
+    """kind 0: a document's size, set hash and sketch; kind 1: edges of large buckets (id, other); kind 2: members of small ones (bucket id, other).
 
-    Buckets never become rows: inside a task, map or reduce, their members are tied to a
-    hub (small buckets: to each other), and edges that many buckets repeat are one. A bucket's members in one map task
-    send one record to its reduce task, so no bucket, however large, gathers anywhere.
-    An edge is closed if it comes from small buckets, all of whose possible pairs are edges, so that it stands for itself only.
+    Large buckets never become rows: inside a task, map or reduce, their members are tied to a
+    hub, and edges that many buckets repeat are one. A bucket's members in one map task
+    send one record to its reduce task, so no bucket, however large, gathers anywhere. Small buckets of the
+    same members, as two near copies have them under most of their keys, are one.
     """
     spark = docs.sparkSession
     n_parts = partition_count(spark)
     ids = partition_ids(spark, n_parts)
 
-    def flush(info: list[tuple[int, int, int, int]], keys: list[np.ndarray], sketches: list[bytes], roughs: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def flush(info: list[tuple[int, int, int, int]], keys: list[np.ndarray], sketches: list[bytes]) -> Iterator[pa.RecordBatch]:
         if not info:
             return
         doc, size = np.array([i[0] for i in info], np.int64), np.array([i[1] for i in info], np.int64)
@@ -435,7 +474,7 @@ def _index(docs: DataFrame, join: Join, wide_plan: dict[int, bool], common: Broa
                 at = by[cuts[p] : cuts[p + 1]]
                 if len(at):
                     pids.append(ids[p])
-                    blobs.append(_pack_keys(key[at], who[at], doc, size, roughs))
+                    blobs.append(_pack_keys(key[at], who[at], doc))
             yield pa.RecordBatch.from_arrays([pa.array(pids, pa.int32()), pa.array([tag] * len(pids), pa.int32()), pa.array(blobs, pa.binary())], names=["pid", "tag", "blob"])
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -443,7 +482,6 @@ def _index(docs: DataFrame, join: Join, wide_plan: dict[int, bool], common: Broa
         info: list[tuple[int, int, int, int]] = []
         keys: list[np.ndarray] = []
         sketches: list[bytes] = []
-        roughs: list[bytes] = []
         held = 0
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
@@ -451,14 +489,12 @@ def _index(docs: DataFrame, join: Join, wide_plan: dict[int, bool], common: Broa
                 m = _mix(x + _C)
                 info.append((doc_id, len(x), int(m.sum()), int(_mix(m + _A).sum())))
                 keys.append(signatures(join, x, wide_plan, common.value) if len(x) else x)
-                counts = sketch(m)
-                sketches.append(counts.tobytes())
-                roughs.append(rough(counts))
+                sketches.append(sketch(m).tobytes())
                 held += len(keys[-1])
                 if held > FLUSH:
-                    yield from flush(info, keys, sketches, roughs)
-                    info, keys, sketches, roughs, held = [], [], [], [], 0
-        yield from flush(info, keys, sketches, roughs)
+                    yield from flush(info, keys, sketches)
+                    info, keys, sketches, held = [], [], [], 0
+        yield from flush(info, keys, sketches)
 
     def send(a: np.ndarray, b: np.ndarray, closed: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(a):
@@ -466,7 +502,7 @@ def _index(docs: DataFrame, join: Join, wide_plan: dict[int, bool], common: Broa
             yield from scatter((_mix(a.astype(np.uint64)) % np.uint64(n_parts)).astype(np.int64), [a, b, closed], ids, EDGE)
 
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lone, tables, tied, held = [], [], [], 0
+        lone, tied = [], []
         for batch in batches:
             for pid, tag, blob in zip(*(c.to_pylist() for c in batch.columns)):
                 if tag == DOC:
@@ -474,39 +510,52 @@ def _index(docs: DataFrame, join: Join, wide_plan: dict[int, bool], common: Broa
                 elif tag == EDGE:
                     tied.append(unpack(blob, _EDGE))
                 else:
-                    key, ref, *table = _unpack_keys(blob)
-                    lone.append((key, ref + held, np.full(len(key), tag == SHARED_WITNESS)))
-                    tables.append(table)
-                    held += len(table[0])
+                    key, doc = _unpack_keys(blob)
+                    lone.append((key, doc, np.full(len(key), tag == SHARED_WITNESS)))
         if tied:
             yield from send(*(np.concatenate(c) for c in zip(*tied)))
         if lone:
-            key, ref, shared = (np.concatenate(c) for c in zip(*lone))
-            doc, size, roughs = (np.concatenate(c) for c in zip(*tables))
-            where = np.cumsum(sketch_parts(size) // 2) - sketch_parts(size) // 2
+            key, doc, shared = (np.concatenate(c) for c in zip(*lone))
             order, first, group = witnesses(key)
             several = group > 1
-            ref, shared, which = ref[order][several], shared[order][several], np.cumsum(first)[several]
-            if len(ref):
+            doc, shared, which = doc[order][several], shared[order][several], np.cumsum(first)[several]
+            if len(doc):
                 starts = np.flatnonzero(np.diff(which, prepend=-1))
                 count = np.diff(np.append(starts, len(which)))
                 small = (count <= SMALL_BUCKET) & ~np.logical_or.reduceat(shared, starts)
-                edges = list(_pairs(join, starts[small], count[small], doc, size, roughs, where, ref))
+                yield from send_buckets(doc, starts[small], count[small])
                 large = np.repeat(~small, count)
-                _, c, d, _ = _stars(which[large], doc[ref[large]], np.zeros(int(large.sum())))
-                edges.append((c, d, np.zeros(len(c), bool)))
-                yield from send(*(np.concatenate(c) for c in zip(*edges)))
+                _, c, d, _ = _stars(which[large], doc[large], np.zeros(int(large.sum())))
+                yield from send(c, d, np.zeros(len(c), bool))
+
+    def send_buckets(doc: np.ndarray, starts: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
+        to: dict[int, list[np.ndarray]] = {}
+        for n in np.unique(count).tolist():
+            members = np.sort(doc[starts[count == n][:, None] + np.arange(n)], axis=1)
+            members, h = _distinct_buckets(members[members[:, 0] < members[:, -1]])
+            home = (h % np.uint64(n_parts)).astype(np.int64)
+            for p in np.unique(home).tolist():
+                to.setdefault(p, []).append(members[home == p])
+        if to:
+            yield pa.RecordBatch.from_arrays([pa.array([ids[p] for p in to], pa.int32()), pa.array([BUCKET] * len(to), pa.int32()), pa.array([_pack_buckets(x) for x in to.values()], pa.binary())], names=["pid", "tag", "blob"])
 
     names = ["kind", "id", "other", "n", "h1", "h2", "closed", "sketch"]
 
     def settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows: documents, and each edge once however many buckets had it."""
+        """Rows: documents, and each edge and each small bucket once however many keys had it."""
         tied = []
+        buckets: dict[int, list[np.ndarray]] = {}
+        lead = 0
         for batch in batches:
-            for tag, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for pid, tag, blob in zip(*(c.to_pylist() for c in batch.columns)):
                 if tag == EDGE:
                     tied.append(unpack(blob, _EDGE))
                     continue
+                if tag == BUCKET:
+                    lead = pid << 40  # of this task only, so its buckets' numbers are as well
+                    for x in _unpack_buckets(blob):
+                        buckets.setdefault(x.shape[1], []).append(x)
+                    continue
                 d, n, h1, h2 = unpack(blob, _DOC)
                 ends = 8 + 32 * len(d) + np.cumsum(sketch_parts(n))
                 sketches = [blob[b - w : b] for b, w in zip(ends.tolist(), sketch_parts(n).tolist())]
@@ -516,6 +565,11 @@ def _index(docs: DataFrame, join: Join, wide_plan: dict[int, bool], common: Broa
             a, b, closed = _distinct_edges(*(np.concatenate(c) for c in zip(*tied)))
             zero = pa.array(np.zeros(len(a), np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(a), np.int32)), pa.array(a), pa.array(b), zero, zero, zero, pa.array(closed), pa.nulls(len(a), pa.binary())], names=names)
+        for n, found in sorted(buckets.items()):
+            members, _ = _distinct_buckets(np.concatenate(found))
+            number, lead = lead + np.arange(len(members)), lead + len(members)
+            zero = pa.array(np.zeros(members.size, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(members.size, 2, np.int32)), pa.array(np.repeat(number, n)), pa.array(members.ravel()), zero, zero, zero, pa.array(np.zeros(members.size, bool)), pa.nulls(members.size, pa.binary())], names=names)
 
     rows = docs.mapInArrow(emit, SCATTERED)
     found = exchange(rows, n_parts).mapInArrow(gather, SCATTERED)
@@ -523,6 +577,37 @@ def _index(docs: DataFrame, join: Join, wide_plan: dict[int, bool], common: Broa
     return materialize(out, "candidates", partition_by="kind", scratch=scratch)
 
 
+def _small_buckets(members: DataFrame, info: DataFrame, join: Join) -> DataFrame:
+    """Edges (a, b, closed) of the small buckets (bucket, id).
+
+    An edge is closed if all possible pairs of its bucket are edges, so that it stands for itself only.
+    """
+
+    def edges(rows: pa.Table) -> pa.RecordBatch:
+        bucket, doc, size = (rows.column(i).to_numpy() for i in range(3))
+        roughs = [rough(np.frombuffer(s, np.uint8)) for s in rows.column(3).to_pylist()]
+        starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        found = list(_pairs(join, starts, np.diff(np.append(starts, len(bucket))), doc, size, np.frombuffer(b"".join(roughs), np.uint8), np.cumsum([0, *map(len, roughs)])[:-1], np.arange(len(doc))))
+        a, b, closed = _distinct_edges(*(np.concatenate(c) for c in zip(*found))) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(closed)], names=["a", "b", "closed"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) > MEMBERS_AT_ONCE:
+                rows = pa.Table.from_batches(held)
+                bucket = rows.column(0).to_numpy()
+                at = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on
+                yield edges(rows.slice(0, at))
+                held = rows.slice(at).to_batches()
+        if held:
+            yield edges(pa.Table.from_batches(held))
+
+    rows = members.join(info, "id").select("bucket", "id", "n", "sketch")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long, closed boolean")
+
+
 def _prune(edges: DataFrame, info: DataFrame, join: Join) -> DataFrame:
     """The edges (a, b, closed) that sizes and sketches leave possible, with column possible."""
 
@@ -771,11 +856,13 @@ def _find(docs: DataFrame, join: Join, keep: str) -> tuple[DataFrame, DataFrame,
     classes = materialize(classes, "classes", scratch=kept)
     copies = info.join(classes.filter("copies > 1"), ["n", "h1", "h2"]).filter("doc_id <> rep").select("doc_id", "rep").dropDuplicates(["doc_id"])
     to_rep = lambda df, c: df.join(copies.withColumnRenamed("doc_id", c), c, "left").withColumn(c, F.coalesce("rep", c)).drop("rep")
-    edges = to_rep(to_rep(index.filter("kind = 1").select(F.col("id").alias("a"), F.col("other").alias("b"), "closed"), "a"), "b")
+    # a document of which a bucket speaks, with its size and sketch
+    known = index.filter("kind = 0").select("id", "n", "sketch").dropDuplicates(["id"])
+    small = _small_buckets(index.filter("kind = 2").select(F.col("id").alias("bucket"), F.col("other").alias("id")), known, join)
+    edges = index.filter("kind = 1").select(F.col("id").alias("a"), F.col("other").alias("b"), "closed").unionByName(small)
+    edges = to_rep(to_rep(edges, "a"), "b")
     edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "closed").filter("a <> b")
     edges = edges.groupBy("a", "b").agg(F.bool_and("closed").alias("closed"))
-    # a document of which a bucket's edge speaks, with its size and sketch
-    known = index.filter("kind = 0").select("id", "n", "sketch").dropDuplicates(["id"])
     # an edge of a small bucket that sketches rule out is settled
     edges = materialize(_prune(edges, known, join).filter("possible or not closed"), "edges", scratch=scratch)
     weights = classes.groupBy("rep").agg(F.max("docs").alias("docs"))
